@@ -87,20 +87,40 @@ def hashed_words(texts: list[bytes], lut: np.ndarray) -> tuple[np.ndarray, np.nd
     return span_hashes(data.astype(np.uint64), start, end), first
 
 
-def by_bytes(texts: list[bytes], limit: int = 1 << 21):
-    """Slices of a batch of about `limit` bytes at most, so that memory does not follow the batch."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield lo, i
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def as_bytes(column) -> list[bytes]:
     """An Arrow text column as bytes; null is empty."""
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def add_columns(docs: DataFrame, keep: list[str], text_col: str, fn, fields: str, limit: int = 1 << 23) -> DataFrame:
+    """`keep` of each row, and the columns that `fn(list of texts)` gives for a batch, by Arrow: kept columns pass untouched."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    source = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = b.schema.get_field_index("_text")
+            texts = b.column(at).to_pylist()
+            sizes = [len(t or "") for t in texts]
+            for lo, hi in by_size(sizes, limit):
+                some = fn(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([b.column(i).slice(lo, hi - lo) for i in range(at)] + [x if isinstance(x, pa.Array) else pa.array(x) for x in some], names=[*keep, *names])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]]
+    return source.mapInArrow(run, ", ".join([*kept, fields]))
+
+
+def by_size(sizes: list[int], limit: int):
+    """Ranges of rows of about `limit` together at most."""
+    lo = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(sizes):
+        yield lo, len(sizes)

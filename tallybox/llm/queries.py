@@ -9,6 +9,10 @@ from tallybox.llm.common import table
 from tallybox.llm.decontaminate import decontaminate
 from tallybox.llm.licenses import notices, scan_licenses
 from tallybox.llm.line_dedup import dedup_lines
+from tallybox.llm.pieces import decode, encode
+from tallybox.llm.quality import score_quality
+from tallybox.llm.substring_dedup import remove_repeats
+from tallybox.llm.toxicity import score_toxicity
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,4 +31,40 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_license_scan, op8_line_dedup)}
+def model_file() -> str:
+    """The public BPE model's path, the same on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode(encode(table(spark, sf_dir, "documents"), model_file(), keep=["doc_id", "text"]), model_file())
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def _fold():
+    """crc32 of the id's text mod 5; rows of fold 0 are held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+
+
+def _scored(out: DataFrame, threshold: float) -> DataFrame:
+    return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold() != 0)
+    return _scored(out, 0.3)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold() != 0)
+    return _scored(out, 0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_quality, op4_substring_dedup, op5_license_scan, op8_line_dedup, op10_toxicity)}
