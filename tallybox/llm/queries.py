@@ -9,10 +9,13 @@ from tallybox.llm.common import table
 from tallybox.llm.decontaminate import decontaminate
 from tallybox.llm.licenses import notices, scan_licenses
 from tallybox.llm.line_dedup import dedup_lines
+from tallybox.llm.near_dedup import near_duplicates
+from tallybox.llm.pages import extract_pages
 from tallybox.llm.pieces import decode, encode
 from tallybox.llm.quality import score_quality
 from tallybox.llm.substring_dedup import remove_repeats
 from tallybox.llm.toxicity import score_toxicity
+from tallybox.llm.vectors import near_vectors
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +30,15 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -62,9 +74,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(out, 0.3)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold() != 0)
     return _scored(out, 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_quality, op4_substring_dedup, op5_license_scan, op8_line_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_quality, op4_substring_dedup, op5_license_scan,
+                                   op6_embedding_near_dedup, op7_near_dedup, op8_line_dedup, op9_html_extraction, op10_toxicity)}

@@ -3,27 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallybox.llm.common import table
 from tallybox.llm.decontaminate import drop_contaminated
 from tallybox.llm.line_dedup import dedup_lines
+from tallybox.llm.near_dedup import drop_near_duplicates
+from tallybox.llm.pieces import decode, encode
+from tallybox.llm.queries import model_file
+from tallybox.llm.toxicity import score_toxicity
+
+TOXIC = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that score TOXIC or more go. All labels teach: the held-out fold is for measuring only."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), keep=docs.columns)
+    return scored.filter(F.col("score") < TOXIC).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-site lines go from the texts; every document stays."""
     return dedup_lines(docs).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each class stays."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All columns, the ids, and whether they decode to the text."""
+    coded = decode(encode(docs, model_file()), model_file())
+    return coded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
