@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import SPACE_TABLE, as_bytes, by_size, hashed_words, row_key, span_hashes
+from tallybox.llm.common import SPACE_TABLE, as_bytes, by_size, cut, hashed_words, row_key, span_hashes
 
 WINDOW, SHINGLE = 35, 6
 LIMIT = 1 << 21
@@ -108,19 +108,29 @@ def _window_rows(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(_k1, _k2, spans array<struct<s, e>>): word ranges of each row that lie in repeats; rows without are absent."""
-    keyed = docs.select(F.col(id_col).alias("_id"), *row_key(id_col, text_col), F.col(text_col).alias("_text"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), *row_key(id_col, text_col), F.col(text_col).alias("_text"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
+                   dealt: DataFrame | None = None) -> DataFrame:
+    """(_k1, _k2, spans array<struct<s, e>>): word ranges of each row that lie in repeats; rows without are absent.
+
+    `dealt`: the keyed rows, dealt out by key, where the caller needs them so itself."""
+    keyed = _keyed(docs, id_col, text_col)
+    dealt = keyed.repartition("_k1", "_k2") if dealt is None else dealt
     runs = keyed.select("_k1", "_k2", "_text").mapInArrow(_run_rows(window, shingle), "anchor long, span long, _k1 long, _k2 long, s int, e int")
-    spans = runs.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "s", "e")).alias("first"))
-    # an anchor met once roots no repeat; a span met twice is one
-    anchors = (spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.max("n").alias("most")))
-    whole = runs.join(spans.filter("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("_k1", "_k2", "s", "e")
-    # a run may also hold one window twice by itself; its anchor then occurs in two runs of that document
-    open_ = (spans.join(anchors.filter("spans > 1").select("anchor"), "anchor", "left_semi")
-             .select("anchor", "n", "first.*").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("runs")))
+    spans = runs.groupBy("anchor", "span").agg(F.count("*").alias("n"))
+    # an anchor met once roots no repeat; a span met twice is one; an anchor with several spans has open branches
+    open_ = spans.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1").select("anchor", F.lit(True).alias("open"))
+    live = spans.join(open_, "anchor", "left").filter("n > 1 or open").select("anchor", "span", "n", F.coalesce("open", F.lit(False)).alias("open"))
+    live = cut(runs.join(live, ["anchor", "span"]))
+    whole = live.filter("n > 1").select("_k1", "_k2", "s", "e")
+    # one run of each span stands for its copies; any one does
+    one = live.filter("open").groupBy("anchor", "span").agg(*[F.first(c).alias(c) for c in ("_k1", "_k2", "s", "e")])
+    branches = one.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("runs"))
     # the id goes along unread: the last step needs the same columns, so that both share one shuffle of the texts
-    windows = (keyed.join(open_, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "runs", "_id")
+    windows = (dealt.join(branches, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "runs", "_id")
                .mapInArrow(_window_rows(window), "anchor long, hash long, _k1 long, _k2 long, s int"))
     deep = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "hash")
     part = windows.join(deep, ["anchor", "hash"], "left_semi").select("_k1", "_k2", "s", (F.col("s") + window).alias("e"))
@@ -129,9 +139,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_text (kept words joined by one space), spans."""
-    spans = repeated_spans(docs, id_col, text_col, window, shingle)
-    keyed = docs.select(F.col(id_col).alias("_id"), *row_key(id_col, text_col), F.col(text_col).alias("_text"))
-    packed = keyed.join(spans, ["_k1", "_k2"], "left").select("_id", "spans", "_text")
+    dealt = _keyed(docs, id_col, text_col).repartition("_k1", "_k2")
+    spans = repeated_spans(docs, id_col, text_col, window, shingle, dealt)
+    packed = dealt.join(spans, ["_k1", "_k2"], "left").select("_id", "spans", "_text")
 
     def cut_out(texts, spans):
         n, gone, kept = [], [], []
