@@ -1,0 +1,257 @@
+"""Distributions, duplicates, groups, splits, validation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallybox.functions.columns import BOX
+from tallybox.operators import audit, govern, metrics, sets
+from tallybox.operators.fuse import GROUP
+from tallybox.plans.metric_queries import FIG, L, labelled
+from tallybox.plans.registry import query
+
+
+@query("g1_dataset_audit", """WITH b AS (SELECT class_id, x2-x1 AS w, y2-y1 AS h, (x2-x1)*(y2-y1) AS area FROM det), u AS (SELECT class_id, unnest(['w', 'h', 'area']) AS measure, unnest([w, h, area]) AS v FROM b)
+SELECT class_id, measure, round(quantile_cont(v, 0.0), 6) AS p0, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 1.0), 6) AS p100 FROM u GROUP BY ALL""")
+def g1(v):
+    d = v.det.withColumns({"w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}).withColumn("area", F.col("w") * F.col("h"))
+    p = audit.percentiles(d, ["class_id"], ["w", "h", "area"], [0, 25, 50, 95, 100])
+    return p.select("class_id", "measure", *[F.round(c, 6).alias(c) for c in ("p0", "p25", "p50", "p95", "p100")])
+
+
+@query("g2_class_distribution", "SELECT class_id, count(DISTINCT image_id) AS images, count(*) AS boxes, quantile_cont((x2-x1)*(y2-y1), 0.5) AS median_area, round(avg(CASE WHEN (x2-x1) < 210 THEN 1.0 ELSE 0.0 END), 6) AS tiny, round(avg(CASE WHEN (y2-y1)/(x2-x1) > 1.2 THEN 1.0 ELSE 0.0 END), 6) AS elongated, round(avg(CASE WHEN touches_edge THEN 1.0 ELSE 0.0 END), 6) AS edge FROM det GROUP BY 1")
+def g2(v):
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return v.det.groupBy("class_id").agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("boxes"), F.percentile(w * h, 0.5).alias("median_area"), share(w < 210).alias("tiny"), share(h / w > 1.2).alias("elongated"), share(F.col("touches_edge")).alias("edge"))
+
+
+@query("g3_geometry_by_family", "SELECT model, class_id, count(*) AS n, round(avg(CASE WHEN least(x2-x1, y2-y1)*1024/4096 < 55 THEN 1.0 ELSE 0.0 END), 6) AS thin, quantile_cont(x2-x1, 0.5) AS median_w FROM det GROUP BY ALL")
+def g3(v):
+    side = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * 1024 / 4096
+    return v.det.groupBy("model", "class_id").agg(F.count("*").alias("n"), F.round(F.avg((side < 55).cast("double")), 6).alias("thin"), F.percentile(F.col("x2") - F.col("x1"), 0.5).alias("median_w"))
+
+
+@query("g4_split_by_class", "SELECT class_id, count(*) FILTER (view = 'grid') AS grid, count(*) FILTER (view = 'original') AS original FROM det JOIN images USING (image_id) GROUP BY 1")
+def g4(v):
+    return v.det.join(F.broadcast(v.images.select("image_id", "view")), "image_id").groupBy("class_id").pivot("view", ["grid", "original"]).count().fillna(0)
+
+
+@query("g5_prediction_distribution", "WITH i AS (SELECT image_id, class_id, count(*) AS n FROM det GROUP BY ALL) SELECT class_id, sum(n)::BIGINT AS total, count(*) AS images, quantile_cont(n, 0.5) AS median, round(quantile_cont(n, 0.99), 6) AS p99 FROM i GROUP BY 1")
+def g5(v):
+    i = v.det.groupBy(*GROUP).agg(F.count("*").alias("n"))
+    return i.groupBy("class_id").agg(F.sum("n").alias("total"), F.count("*").alias("images"), F.percentile("n", 0.5).alias("median"), F.round(F.percentile("n", 0.99), 6).alias("p99"))
+
+
+@query("g6_spearman", "WITH i AS (SELECT image_id, count(*) AS n, CAST(sum(floor(score*1000)) AS BIGINT) % 50 AS c FROM det GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY n)+(count(*) OVER (PARTITION BY n)-1)/2 AS rx, rank() OVER (ORDER BY c)+(count(*) OVER (PARTITION BY c)-1)/2 AS ry FROM i) SELECT round(corr(rx, ry), 6) AS rho FROM r")
+def g6(v):
+    i = v.det.groupBy("image_id").agg(F.count("*").alias("n"), (F.sum(F.floor(F.col("score") * 1000)) % 50).alias("c"))
+    return audit.spearman(i, "n", "c").select(F.round("rho", 6).alias("rho"))
+
+
+@query("g7_ks_statistic", "WITH c AS (SELECT n_chars, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (lang <> 'en') AS b FROM documents GROUP BY 1), s AS (SELECT abs(sum(a) OVER w/sum(a) OVER ()-sum(b) OVER w/sum(b) OVER ()) AS d FROM c WINDOW w AS (ORDER BY n_chars ROWS UNBOUNDED PRECEDING)) SELECT round(max(d), 6) AS ks FROM s")
+def g7(v):
+    return audit.ks_statistic(v.documents.withColumn("en", F.col("lang") == "en"), "n_chars", "en").select(F.round("ks", 6).alias("ks"))
+
+
+HIST = "hb AS (SELECT event_type, least(greatest(floor(value/(1000.0::DOUBLE/256)), 0), 255)::INT AS bin FROM events WHERE value IS NOT NULL), hc AS (SELECT event_type, bin, count(*) AS n FROM hb GROUP BY ALL), h AS (SELECT event_type, bin, n/sum(n) OVER (PARTITION BY event_type) AS share FROM hc)"
+
+
+@query("g8_jensen_shannon", f"WITH {HIST}, t AS (SELECT min(event_type) AS lo, max(event_type) AS hi FROM h), a AS (SELECT bin, share FROM h, t WHERE event_type = lo), b AS (SELECT bin, share FROM h, t WHERE event_type = hi), j AS (SELECT coalesce(a.share, 0) AS p, coalesce(b.share, 0) AS q FROM a FULL JOIN b USING (bin)) SELECT round(sum(CASE WHEN p > 0 THEN p*log2(p/((p+q)/2)) ELSE 0 END)/2+sum(CASE WHEN q > 0 THEN q*log2(q/((p+q)/2)) ELSE 0 END)/2, 6) AS jsd FROM j")
+def g8(v):
+    h = audit.histogram(v.events, ["event_type"], "value", 0.0, 1000.0, 256)
+    t = v.events.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
+    h = h.crossJoin(F.broadcast(t))
+    return audit.jensen_shannon(h.filter("event_type = lo"), h.filter("event_type = hi")).select(F.round("jsd", 6).alias("jsd"))
+
+
+@query("g9_histogram", f"WITH {HIST} SELECT event_type, bin, round(share, 9) AS share FROM h")
+def g9(v):
+    return audit.histogram(v.events, ["event_type"], "value", 0.0, 1000.0, 256).withColumn("share", F.round("share", 9))
+
+
+@query("g10_conflicting_duplicates", "WITH a AS (SELECT sha256(text) AS sha, concat(quality, '/', toxic) AS mark FROM documents JOIN labels USING (doc_id)) SELECT sha, count(*) AS members, count(DISTINCT mark) AS marks FROM a GROUP BY 1 HAVING count(DISTINCT mark) > 1")
+def g10(v):
+    a = v.documents.join(v.labels, "doc_id").select(F.sha2("text", 256).alias("sha"), F.concat_ws("/", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("mark"))
+    return audit.conflicting_groups(a, "sha", "mark")
+
+
+@query("g11_grounding_audit", "WITH i AS (SELECT conv_id, count(*) AS q FROM conversations GROUP BY 1) SELECT sum(q)::BIGINT AS samples, count(*) AS image_groups, min(q) AS least, max(q) AS most, round(avg(q), 6) AS mean, quantile_cont(q, 0.5) AS median FROM i")
+def g11(v):
+    i = v.conversations.groupBy("conv_id").agg(F.count("*").alias("q"))
+    return i.agg(F.sum("q").alias("samples"), F.count("*").alias("image_groups"), F.min("q").alias("least"), F.max("q").alias("most"), F.round(F.avg("q"), 6).alias("mean"), F.percentile("q", 0.5).alias("median"))
+
+
+@query("g12_change_summary", "WITH d AS (SELECT score-CASE WHEN class_id < 3 THEN score/2 ELSE score END AS d FROM det) SELECT count(*) FILTER (d <> 0) AS changed, round(min(d), 6) AS least, round(quantile_cont(d, 0.5), 6) AS median, round(max(d), 6) AS most FROM d")
+def g12(v):
+    d = v.det.select((F.col("score") - F.when(F.col("class_id") < 3, F.col("score") / 2).otherwise(F.col("score"))).alias("d"))
+    return d.agg(F.count_if(F.col("d") != 0).alias("changed"), F.round(F.min("d"), 6).alias("least"), F.round(F.percentile("d", 0.5), 6).alias("median"), F.round(F.max("d"), 6).alias("most"))
+
+
+@query("g13_membership_digest")
+def g13(v):
+    return sets.membership_digest(v.det, [*GROUP, *BOX])
+
+
+@query("g14_membership_equality", "WITH a AS (SELECT image_id, class_id FROM det_a), b AS (SELECT image_id, class_id FROM det_b), x AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), y AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a) SELECT (SELECT count(*) FROM x)+(SELECT count(*) FROM y) AS different")
+def g14(v):
+    a, b = v.det_a.select(*GROUP), v.det_b.select(*GROUP)
+    return sets.bag_difference(a, b).agg(F.count("*").alias("different"))
+
+
+@query("g15_nearest_rank", "WITH s AS (SELECT class_id, score, row_number() OVER (PARTITION BY class_id ORDER BY score)-1 AS i, count(*) OVER (PARTITION BY class_id) AS n FROM det) SELECT class_id, max(score) FILTER (i = round_even(0.1*(n-1), 0)) AS q10, max(score) FILTER (i = round_even(0.5*(n-1), 0)) AS q50, max(score) FILTER (i = round_even(0.9*(n-1), 0)) AS q90 FROM s GROUP BY 1")
+def g15(v):
+    return audit.nearest_rank(v.det, ["class_id"], "score", [0.1, 0.5, 0.9])
+
+
+@query("g16_dimension_counts", "SELECT lang, source, n_chars // 1000 AS kilo, count(*) AS n FROM documents GROUP BY ALL")
+def g16(v):
+    return v.documents.groupBy("lang", "source", F.expr("n_chars div 1000").alias("kilo")).agg(F.count("*").alias("n"))
+
+
+@query("g17_tile_label_counts", "WITH t AS (SELECT image_id, floor(x1/1024)::INT AS tx, class_id FROM gt) SELECT class_id, count(DISTINCT (image_id, tx)) AS tiles, count(DISTINCT image_id) AS sources, count(*) AS boxes FROM t GROUP BY 1")
+def g17(v):
+    t = v.gt.withColumn("tx", F.floor(F.col("x1") / 1024))
+    return t.groupBy("class_id").agg(F.countDistinct("image_id", "tx").alias("tiles"), F.countDistinct("image_id").alias("sources"), F.count("*").alias("boxes"))
+
+
+# --- governance --------------------------------------------------------------------------------
+
+def cc(v):
+    o = v.orders.filter("o_orderkey % 9 = 0")
+    keys = F.array(F.concat(F.lit("o"), (F.col("o_orderkey") % 701).cast("string")))
+    rows = o.select(F.col("o_custkey").alias("id"), keys.alias("keys"))
+    return govern.connected_groups(rows.select("id").distinct(), govern.key_edges(rows, "id"))
+
+
+CCS = """e AS (SELECT DISTINCT o_custkey AS id, concat('o', o_orderkey % 701) AS key FROM orders WHERE o_orderkey % 9 = 0), h AS (SELECT key, min(id) AS head FROM e GROUP BY 1),
+ed AS (SELECT DISTINCT head AS a, id AS b FROM e JOIN h USING (key) WHERE head <> id), both_ AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), vs AS (SELECT DISTINCT id FROM e),
+re AS (SELECT id, id AS r FROM vs UNION SELECT b, r FROM re JOIN both_ ON re.id = both_.a), gr AS (SELECT id, min(r) AS head FROM re GROUP BY 1)"""
+
+
+@query("d1_connected_groups", f"WITH RECURSIVE {CCS} SELECT id, head FROM gr")
+def d1(v):
+    return cc(v).select("id", "head")
+
+
+@query("d2_quarantine", f"WITH RECURSIVE {CCS}, mk AS (SELECT id, 'test' AS reason FROM gr WHERE id % 211 = 0 UNION ALL SELECT id, 'conflict' FROM gr WHERE id % 97 = 0), bad AS (SELECT head, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM gr JOIN mk USING (id) GROUP BY 1) SELECT id, head, reasons FROM gr JOIN bad USING (head)")
+def d2(v):
+    g = cc(v)
+    marks = g.filter("id % 211 = 0").select("id", F.lit("test").alias("reason")).union(g.filter("id % 97 = 0").select("id", F.lit("conflict").alias("reason")))
+    return govern.quarantine(g, marks)
+
+
+CLS = list(range(8))
+
+
+def per_group(v):
+    g = v.gt.join(F.broadcast(v.images.select("image_id", "grp")), "image_id")
+    return g.groupBy("grp").agg(F.count("*").alias("n"), *[F.count_if(F.col("class_id") == c).alias(f"c{c}") for c in CLS])
+
+
+def sql_split(seed: int, trials: int, share: float) -> str:
+    err = " + ".join(f"abs(sum(CASE WHEN val THEN c{c} ELSE 0 END)/greatest(sum(c{c}), 1)-{share}) + CASE WHEN sum(c{c}) > 0 AND sum(CASE WHEN val THEN c{c} ELSE 0 END) = 0 THEN 4.0 ELSE 0.0 END" for c in CLS)
+    counts = ", ".join(f"count(*) FILTER (class_id = {c}) AS c{c}" for c in CLS)
+    return f"""pg AS (SELECT grp, count(*) AS n, {counts} FROM gt JOIN images USING (image_id) GROUP BY 1),
+tr AS (SELECT *, CAST(concat('0x', substr(sha256(concat('{seed}:', trial, ':', grp)), 1, 8)) AS BIGINT) % 1000 < {int(1000 * share)} AS val FROM pg, range(0, {trials}) r(trial)),
+co AS (SELECT trial, round({err} + 0.5*abs(sum(CASE WHEN val THEN n ELSE 0 END)/sum(n)-{share}), 9) AS cost, count(*) FILTER (val) AS groups FROM tr GROUP BY 1)"""
+
+
+@query("d3_group_stratified_split", f"WITH {sql_split(7, 50, 0.25)} SELECT cost, CAST(trial AS INT) AS trial, groups FROM co ORDER BY cost, trial LIMIT 1")
+def d3(v):
+    return govern.best_split(per_group(v), [f"c{c}" for c in CLS], 0.25, 50, 7)
+
+
+@query("d4_three_way_split", f"WITH {sql_split(7, 50, 0.25)}, {sql_split(1016, 50, 0.2).replace('pg AS', 'pg2 AS').replace('FROM pg,', 'FROM pg2,').replace('tr AS', 'tr2 AS').replace('FROM tr ', 'FROM tr2 ').replace('co AS', 'co2 AS')} SELECT 'val' AS part, cost, CAST(trial AS INT) AS trial FROM (SELECT * FROM co ORDER BY cost, trial LIMIT 1) UNION ALL SELECT 'calibration', cost, CAST(trial AS INT) FROM (SELECT * FROM co2 ORDER BY cost, trial LIMIT 1)")
+def d4(v):
+    g, c = per_group(v), [f"c{c}" for c in CLS]
+    one = lambda part, share, seed: govern.best_split(g, c, share, 50, seed).select(F.lit(part).alias("part"), "cost", "trial")
+    return one("val", 0.25, 7).union(one("calibration", 0.2, 7 + 1009))
+
+
+MEMBERS = "m AS (SELECT CASE WHEN image_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, concat('im', image_id % 190) AS path, grp FROM images)"
+
+
+@query("d5_split_violations", f"WITH {MEMBERS} SELECT DISTINCT 'duplicate_path' AS kind, path AS key FROM m GROUP BY split, path HAVING count(*) > 1 UNION ALL SELECT 'shared_path', path FROM m GROUP BY path HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'shared_group', grp FROM m GROUP BY grp HAVING count(DISTINCT split) > 1")
+def d5(v):
+    m = v.images.select(F.when(F.col("image_id") % 5 == 0, "val").otherwise("train").alias("split"), F.concat(F.lit("im"), (F.col("image_id") % 190).cast("string")).alias("path"), "grp")
+    return govern.split_violations(m)
+
+
+@query("d6_frozen_records", "WITH f AS (SELECT image_id AS path, grp, sha256(CAST(image_id AS VARCHAR)) AS sha FROM images), n AS (SELECT image_id AS path, CASE WHEN image_id % 17 = 0 THEN 'x' ELSE grp END AS grp, sha256(CAST(CASE WHEN image_id % 19 = 0 THEN -1 ELSE image_id END AS VARCHAR)) AS sha FROM images WHERE image_id % 23 <> 0) SELECT path, CASE WHEN n.grp IS NULL THEN 'missing' WHEN n.grp <> f.grp THEN 'group' ELSE 'changed' END AS problem FROM f LEFT JOIN n USING (path) WHERE n.grp IS NULL OR n.grp <> f.grp OR n.sha <> f.sha")
+def d6(v):
+    sha = lambda c: F.sha2(c.cast("string"), 256)
+    i = F.col("image_id")
+    frozen = v.images.select(i.alias("path"), "grp", sha(i).alias("sha"))
+    now = v.images.filter("image_id % 23 <> 0").select(i.alias("path"), F.when(i % 17 == 0, "x").otherwise(F.col("grp")).alias("grp"), sha(F.when(i % 19 == 0, -1).otherwise(i)).alias("sha"))
+    return govern.frozen_violations(frozen, now)
+
+
+@query("d7_evaluation_scope", "WITH e AS (SELECT image_id FROM images WHERE view = 'grid'), u AS (SELECT DISTINCT image_id FROM det WHERE score > 0.5 AND image_id % 3 = 0 AND image_id % 21 <> 0 UNION SELECT 1) SELECT image_id, 'not_evaluated' AS problem FROM e WHERE image_id NOT IN (SELECT image_id FROM u) UNION ALL SELECT image_id, 'out_of_scope' FROM u WHERE image_id NOT IN (SELECT image_id FROM e)")
+def d7(v):
+    from tallybox.operators.support import missing_and_unknown
+
+    e = v.images.filter("view = 'grid'").select("image_id")
+    u = v.det.filter("score > 0.5 and image_id % 3 = 0 and image_id % 21 <> 0").select("image_id").distinct().union(v.spark.range(1, 2).toDF("image_id"))
+    names = F.when(F.col("problem") == "missing", "not_evaluated").otherwise("out_of_scope")
+    return missing_and_unknown(e, u, "image_id").select("image_id", names.alias("problem"))
+
+
+@query("d8_split_by_key", "SELECT DISTINCT grp, CAST(concat('0x', substr(sha256(concat('v', grp)), 1, 12)) AS BIGINT)/281474976710656.0::DOUBLE < 0.2 AS val FROM images")
+def d8(v):
+    return govern.hash_order_split(v.images, "grp", 0.2, "v")
+
+
+BAD = """p AS (SELECT det_id, CASE WHEN class_id = 6 AND image_id % 2 = 0 THEN -1 ELSE image_id END AS image_id, CASE WHEN class_id = 7 THEN 99 ELSE class_id END AS class_id, CASE WHEN det_id % 101 = 0 THEN 1.5::DOUBLE WHEN det_id % 103 = 0 THEN 'nan'::DOUBLE ELSE score END AS score,
+ CASE WHEN det_id % 107 = 0 THEN 'infinity'::DOUBLE ELSE x1 END AS x1, y1, CASE WHEN det_id % 109 = 0 THEN x1 ELSE x2 END AS x2, y2+CASE WHEN det_id % 113 = 0 THEN 3000 ELSE 0 END AS y2 FROM det)"""
+PROBLEM = """CASE WHEN image_id = -1 THEN 'unknown_image' WHEN class_id = 99 THEN 'unknown_class' WHEN isnan(score) OR score < 0 OR score > 1 THEN 'score' WHEN isinf(x1) OR isinf(x2) OR isinf(y2) THEN 'box_not_finite'
+ WHEN x2 <= x1 OR y2 <= y1 THEN 'box_empty' WHEN x1 < 0 OR y1 < 0 OR x2 > 4096 OR y2 > 3000 THEN 'box_outside' END"""
+
+
+def faulty(v):
+    i = F.col("det_id")
+    return v.det.select("det_id", F.when((F.col("class_id") == 6) & (F.col("image_id") % 2 == 0), -1).otherwise(F.col("image_id")).alias("image_id"), F.when(F.col("class_id") == 7, 99).otherwise(F.col("class_id")).alias("class_id"),
+                        F.when(i % 101 == 0, 1.5).when(i % 103 == 0, float("nan")).otherwise(F.col("score")).alias("score"), F.when(i % 107 == 0, float("inf")).otherwise(F.col("x1")).alias("x1"), "y1",
+                        F.when(i % 109 == 0, F.col("x1")).otherwise(F.col("x2")).alias("x2"), (F.col("y2") + F.when(i % 113 == 0, 3000).otherwise(0)).alias("y2"))
+
+
+def problem():
+    return govern.box_problem(F.lit(4096.0), F.lit(3000.0), F.col("image_id") >= 0, F.col("class_id").between(0, 7))
+
+
+@query("d9_validate_predictions", f"WITH {BAD} SELECT coalesce({PROBLEM}, 'ok') AS problem, count(*) AS n FROM p GROUP BY 1")
+def d9(v):
+    return faulty(v).groupBy(F.coalesce(problem(), F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("d10_violating_rows", f"WITH {BAD} SELECT det_id, {PROBLEM} AS problem FROM p WHERE {PROBLEM} IS NOT NULL")
+def d10(v):
+    return faulty(v).select("det_id", problem().alias("problem")).filter("problem is not null")
+
+
+@query("d11_dataset_signature")
+def d11(v):
+    files = v.documents.select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    return sets.membership_digest(files, ["path", "sha"])
+
+
+@query("d12_manifest_verification", "SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 31 = 0 OR doc_id % 37 = 0")
+def d12(v):
+    files = v.documents.select(F.col("doc_id").alias("path"), F.lit("g").alias("grp"), F.sha2("text", 256).alias("sha"))
+    now = files.filter("path % 31 <> 0").withColumn("sha", F.when(F.col("path") % 37 == 0, "0").otherwise(F.col("sha")))
+    return govern.frozen_violations(files, now).select(F.col("path").alias("doc_id"), "problem")
+
+
+@query("d13_replay_audit", f"WITH {FIG} SELECT class_id FROM fig WHERE abs(ap-(ap+CASE WHEN class_id % 3 = 0 THEN 1e-6 ELSE 1e-12 END)) > 1e-9")
+def d13(v):
+    now = metrics.class_figures(labelled(v), v.gt, ["class_id"])
+    reported = now.select("class_id", (F.col("ap") + F.when(F.col("class_id") % 3 == 0, 1e-6).otherwise(1e-12)).alias("was"))
+    return now.join(reported, "class_id").filter(F.abs(F.col("ap") - F.col("was")) > 1e-9).select("class_id")
+
+
+@query("d14_family_filter", "SELECT doc_id FROM documents WHERE regexp_matches(source, '^src1[0-9]$')")
+def d14(v):
+    return v.documents.filter(F.col("source").rlike("^src1[0-9]$")).select("doc_id")
+
+
+__all__ = ["L"]
