@@ -42,16 +42,19 @@ def boilerplate_lines(rows: DataFrame, min_sites: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                min_sites: int = 10) -> DataFrame:
-    """All rows and columns of `docs`, the text without its cross-site lines, and n_lines, n_removed (long)."""
+                min_sites: int = 10, counts: bool = True) -> DataFrame:
+    """All rows and columns of `docs`, the text without its cross-site lines, and (if `counts`) n_lines and n_removed, which
+    replace columns of these names."""
     rows = _line_rows(docs, id_col, text_col, site_col)
     boiler = boilerplate_lines(rows, min_sites)
-    gone = (rows.select("_h1", "_h2", "_k1", "_k2", "_pos").join(boiler, ["_h1", "_h2"])
-            .filter(~((F.col("_first._k1") == F.col("_k1")) & (F.col("_first._k2") == F.col("_k2")) & (F.col("_first._pos") == F.col("_pos"))))
+    stays = (F.col("_first._k1") == F.col("_k1")) & (F.col("_first._k2") == F.col("_k2")) & (F.col("_first._pos") == F.col("_pos"))
+    gone = (rows.select("_h1", "_h2", "_k1", "_k2", "_pos").join(boiler, ["_h1", "_h2"]).filter(~stays)
             .groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_gone")))
     keyed = docs.select("*", *row_key(id_col, text_col)).join(gone, ["_k1", "_k2"], "left")
     lines = F.split(text_col, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return keyed.select(*[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-                        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-                        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
+    added = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+             F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed")] if counts else []
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    return keyed.select(*[text if c == text_col else F.col(c) for c in names], *added)

@@ -18,13 +18,13 @@ TOXIC = 0.5
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score TOXIC or more go. All labels teach: the held-out fold is for measuring only."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), keep=docs.columns)
-    return scored.filter(F.col("score") < TOXIC).select(docs.columns)
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), keep=docs.columns, out="_toxicity")
+    return scored.filter(F.col("_toxicity") < TOXIC).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site lines go from the texts; every document stays."""
-    return dedup_lines(docs).select(docs.columns)
+    return dedup_lines(docs, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

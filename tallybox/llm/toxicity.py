@@ -209,8 +209,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: the id) and score double. `train`: boolean column, the ids that may teach."""
+                   label_col: str = "toxic", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """The columns `keep` (default: the id) and the score, a double named `out`. `train`: boolean column, the ids that may teach."""
     spark = docs.sparkSession
     keep = keep or [id_col]
     known = labelled(docs, labels, id_col, text_col, label_col, train)
@@ -243,4 +243,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc
         x = np.clip((features(model.value, texts) - mean) / std, -20, 20)
         return [1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -30, 30)))]
 
-    return add_columns(docs, keep, text_col, score, "score double")
+    return add_columns(docs, keep, text_col, score, f"{out} double")
