@@ -78,13 +78,14 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-def quantile_floor(df: DataFrame, q: float, keys: list[str] | None = None, where: Column | None = None) -> DataFrame:
-    """Rows at or above the (conditional) score quantile of all rows or of their group."""
+def quantile_floor(df: DataFrame, q: float, keys: list[str] | None = None, where: Column | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Rows at or above the (conditional) score quantile of all rows (of another table, if given) or of their group."""
+    of = df if of is None else of
     value = F.col("score") if where is None else F.when(where, F.col("score"))
     if keys:
-        floor = df.groupBy(*keys).agg(F.percentile(value, q).alias("_f"))
+        floor = of.groupBy(*keys).agg(F.percentile(value, q).alias("_f"))
         return df.join(F.broadcast(floor), keys).filter("score >= coalesce(_f, score)").drop("_f")
-    return df.crossJoin(F.broadcast(df.agg(F.percentile(value, q).alias("_f")))).filter("score >= coalesce(_f, score)").drop("_f")
+    return df.crossJoin(F.broadcast(of.agg(F.percentile(value, q).alias("_f")))).filter("score >= coalesce(_f, score)").drop("_f")
 
 
 def weighted_quantile(df: DataFrame, q: float, weight: str, score: str = "score") -> DataFrame:

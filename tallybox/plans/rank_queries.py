@@ -82,8 +82,7 @@ def k1(v):
 
 @query("k2_quantile_floor", "WITH q AS (SELECT class_id, quantile_cont(score, 0.1) AS f FROM det GROUP BY 1) SELECT det_id FROM det JOIN q USING (class_id) WHERE score >= f AND score >= (SELECT quantile_cont(score, 0.1) FROM det)")
 def k2(v):
-    by_class = rank.quantile_floor(v.det, 0.1, ["class_id"]).select("det_id")
-    return by_class.join(rank.quantile_floor(v.det, 0.1).select("det_id"), "det_id")
+    return rank.quantile_floor(rank.quantile_floor(v.det, 0.1, ["class_id"]), 0.1, of=v.det).select("det_id")
 
 
 @query("k3_weighted_floor", "WITH w AS (SELECT score, sum(CASE WHEN view = 'original' THEN 488 ELSE 300 END) AS w FROM det JOIN images USING (image_id) GROUP BY 1), c AS (SELECT score, sum(w) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER () AS t FROM w) SELECT min(score) AS floor FROM c WHERE c >= 0.1*t")
