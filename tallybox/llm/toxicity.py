@@ -32,6 +32,8 @@ CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this many rows; beyond it the texts meet them in a shuffle join.
 BROADCAST_ROWS = 500_000
 WINDOW = 8
+#: Letters of a word's beginning, which carry the stem of a compound.
+STEM = 6
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -138,10 +140,10 @@ class KneserNey:
                 num[c, a["cell"]], total[c, b["cell"]], types[c, b["cell"]] = a[f"v{c}"], b[f"v{c}"], b[f"t{c}"]
             self.tables[order] = num, total, types
 
-    def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratio (toxic minus ordinary) and number of letters of each word."""
+    def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood ratio (toxic minus ordinary) of each word, its number of letters, and the ratio of its first STEM letters."""
         if not words:
-            return np.zeros(0), np.zeros(0)
+            return np.zeros(0), np.zeros(0), np.zeros(0)
         code, word, place = letter_codes(words)
         g = grams(code, place)
         logs = []
@@ -155,33 +157,35 @@ class KneserNey:
                 q = np.maximum(np.minimum(n, t) - DISCOUNT, 0) + DISCOUNT * types[k] * p
                 p = np.where(t > 0, np.minimum(q / np.maximum(t, 1), 1.0), p)
             logs.append(np.log(np.maximum(p, 1e-12)))
-        return np.bincount(word, logs[1] - logs[0], len(words)), np.bincount(word, minlength=len(words)).astype(float)
+        d = logs[1] - logs[0]
+        return np.bincount(word, d, len(words)), np.bincount(word, minlength=len(words)).astype(float), np.bincount(word, np.where(place < STEM, d, 0), len(words))
 
 
-FEATURES = ["whole", "word", "stretch", "word_sum"]
+FEATURES = ["whole", "word", "stretch", "word_sum", "stem", "stem2", "size"]
 
 
 def features(model: KneserNey, texts) -> np.ndarray:
-    """Per text: mean ratio by letter of the whole, of the most toxic word and stretch, and of that word its sum."""
+    """Per text: mean ratio by letter of the whole, of the most toxic word and stretch; the largest sum of a word; the largest and
+    second largest ratio of a word's beginning; the log of its words (a long text has large maxima by chance)."""
     rows = [_words(t) for t in texts]
     index: dict[str, int] = {}
     ids = [np.fromiter((index.setdefault(w, len(index)) for w in r), np.int64, len(r)) for r in rows]
-    ratio, letters = np.zeros(len(index)), np.zeros(len(index))
+    ratio, letters, stem = np.zeros(len(index)), np.zeros(len(index)), np.zeros(len(index))
     plain = [_NOT_LETTERS.sub("", w) for w in index]
     for lo in range(0, len(plain), 50_000):
         some = plain[lo:lo + 50_000]
         full = [i for i, w in enumerate(some) if w]
-        r, n = model.ratios([some[i] for i in full])
-        ratio[lo + np.array(full, int)], letters[lo + np.array(full, int)] = r, n
+        at = lo + np.array(full, int)
+        ratio[at], letters[at], stem[at] = model.ratios([some[i] for i in full])
     out = np.zeros((len(rows), len(FEATURES)))
     for k, i in enumerate(ids):
         n = letters[i]
-        r, n = ratio[i][n > 0], n[n > 0]
+        r, t, n = ratio[i][n > 0], stem[i][n > 0], n[n > 0]
         if len(r):
             sr, sn = np.concatenate([[0], np.cumsum(r)]), np.concatenate([[0], np.cumsum(n)])
             w = min(WINDOW, len(r))
             by = r / n
-            out[k] = sr[-1] / sn[-1], by.max(), ((sr[w:] - sr[:-w]) / (sn[w:] - sn[:-w])).max(), r.max()
+            out[k] = sr[-1] / sn[-1], by.max(), ((sr[w:] - sr[:-w]) / (sn[w:] - sn[:-w])).max(), r.max(), t.max(), np.partition(t, -2)[-2] if len(t) > 1 else 0.0, np.log(len(t))
     return out
 
 
