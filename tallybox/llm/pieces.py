@@ -21,9 +21,9 @@ from tallybox.llm.common import add_columns
 
 SPACE = "▁"
 #: Bytes of distinct chunk text under one suffix array, so that memory does not follow the batch.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Characters of text whose distinct chunks are matched together.
-BATCH = 24_000_000
+BATCH = 12_000_000
 END = 0xFF
 
 
@@ -91,7 +91,7 @@ class Pieces:
                 want = [b] if a == n else [a, b]
                 y = self._follows[x] = self.merge(b"".join(self.decoded[i] for i in want)) == want
             out[k] = y
-        if len(self._follows) > 1_000_000:
+        if len(self._follows) > 300_000:
             self._follows.clear()
         return out
 
@@ -330,12 +330,11 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: list[
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """All columns, and the text that the ids stand for (null for null)."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def text(ids):
-        model = load(model_file)
-        return ids.map(lambda x: None if x is None else decode_ids(model, x.tolist()))
-
-    return encoded.withColumn(out_col, text(F.col(ids_col)))
+    """All columns, and the text that the ids stand for (null for null): pieces joined as hexadecimal bytes, inside the JVM,
+    so that no second Python worker stands beside the encoder's. Ids outside the vocabulary stand for nothing."""
+    model = load(model_file)
+    table = F.split(F.lit(",".join(x.hex() for x in model.decoded)), ",")  # folded to a constant
+    text = F.unhex(F.array_join(F.transform(F.col(ids_col), lambda i: F.get(table, i)), "")).cast("string")
+    if model.prefix:
+        text = F.when(F.startswith(text, F.lit(model.prefix)), F.substr(text, F.lit(len(model.prefix) + 1))).otherwise(text)
+    return encoded.withColumn(out_col, text)
