@@ -6,15 +6,16 @@ text order, make one sketch value: texts agree in it if they share these k-mers
 similarity of 0.8 a value agrees with probability 0.8^2, and all twelve differ with less than 5e-6.
 
 Texts of equal words are one class from the start and only one of them goes on. Buckets of equal sketch values
-give candidates: in buckets of at most `SMALL` all pairs; in larger ones each member meets the bucket's hub, the member
-whose values are shared most often over all bands (the text that others are edits of). Where members fail, the member most
-similar to the hub becomes the next one, `CLIMBS` times, which climbs to the text in the middle of a group; then those left are
-split by their next value, each into one smaller bucket with its own hub, until none is left or the values end: a similar pair
-shares about eight buckets, so eight such chains. A text with at least `OWN` values in small buckets needs no large one:
-a similar text shares one of these with a chance of over 1 - 0.36^OWN, and was met there. No group is gathered, no large
-bucket pairs up, and no step has more rows than there are sketch values. A candidate pair links if the best
-alignment of the two k-mer sequences, within the band that a similarity of `min_similarity` allows, matches m
-k-mers with m / (n1 + n2 - m) >= min_similarity. Classes are the components of the links.
+give candidates: in buckets of at most `SMALL` all pairs; in larger ones each member first meets the bucket's hub, the member
+whose values are shared most often over all bands (the text that others are edits of). A large bucket whose members are one
+class by then is done. In every other one all pairs that are not yet of one class meet exactly: members are parted by
+length (texts of one class of lengths and the next can be similar), the members outside the bucket's largest class are dealt
+into salted blocks, as are all members, and each block of the ones meets each block of the others in a group of its
+own, which holds `BLOCK` texts of a side or so. A group counts the k-mers that two texts share, which bounds their similarity,
+and aligns the pairs that can reach it, most alike first, until they are one class. So rows are copied once per
+`BLOCK` members outside the largest class, no group is gathered, and no pair of a bucket is left out.
+A candidate pair links if the best alignment of the two k-mer sequences, within the band that a similarity of
+`min_similarity` allows, matches m k-mers with m / (n1 + n2 - m) >= min_similarity. Classes are the components of the links.
 
 Null, empty and wordless texts link with nothing. Rows equal in id and text are copies of each other. Null ids
 sort first.
@@ -32,8 +33,10 @@ from tallybox.llm.common import FOLD_TABLE, as_bytes, by_size, cut, hashed_words
 from tallybox.llm.graph import components
 
 SHINGLE, SKETCHES, KEPT = 5, 12, 2
-SMALL, OWN, CLIMBS = 12, 8, 2
-#: Sketch values that a pair must agree in before its texts are fetched: a similar pair has fewer with a chance of 1e-4.
+SMALL = 12
+#: Texts, and k-mers of them, on one side of a group in which a large bucket is finished.
+BLOCK, BLOCK_KMERS = 512, 1 << 19
+#: Sketch values that a pair of a small bucket, or of a hub, must agree in before its texts are fetched: a similar pair has fewer with a chance of 1e-4.
 AGREE = 2
 #: Keys of candidate texts are broadcast up to this many; beyond it the texts meet them in a shuffle join.
 BROADCAST_KEYS = 500_000
@@ -154,6 +157,79 @@ def _pairs(shared: DataFrame, min_similarity: float) -> DataFrame:
     return pairs.union(star).distinct()
 
 
+def _meet(least: float):
+    """Links of a group that make its classes: of texts on the left (side 0 or 2) with texts on the right (1 or 2)."""
+    def run(group):
+        import pyarrow as pa
+
+        group = group.combine_chunks()
+        k1, k2, r1, r2, side, rest, upper = (group.column(c).to_numpy() for c in ("_k1", "_k2", "r1", "r2", "side", "rest", "upper"))
+        words, first = hashed_words(as_bytes(group.column("_text")), FOLD_TABLE)
+        keys = [labelled_kmers(words[lo:hi]) for lo, hi in zip(first[:-1], first[1:], strict=True)]
+        n = np.array([len(k) for k in keys])
+        _, ids = np.unique(np.concatenate(keys), return_inverse=True)
+        ids = np.split(ids, np.cumsum(n)[:-1])
+        rank = np.empty(len(n), np.int64)
+        rank[np.lexsort((k2, k1))] = np.arange(len(n))
+        root = np.unique(np.stack([r1, r2], 1), axis=0, return_inverse=True)[1].ravel()
+        right = np.flatnonzero(side > 0)
+        pairs = []
+        if len(right):
+            there, begin = np.concatenate([ids[k] for k in right]), np.cumsum(n[right]) - n[right]
+            mark = np.zeros(max(x.max() for x in ids) + 1, bool)
+            for a in np.flatnonzero(side != 1):
+                mark[ids[a]] = True
+                both = np.add.reduceat(mark[there], begin, dtype=np.int64)
+                mark[ids[a]] = False
+                need = np.ceil(least * (n[a] + n[right]) / (1 + least) - 1e-9)
+                # two members outside the largest class meet twice, and two of the upper lengths in the next cell
+                on = np.flatnonzero((both >= need) & (root[right] != root[a]) & ~(rest[right] & (rank[right] < rank[a])) & ~(upper[right] & upper[a]))
+                pairs += zip((both[on] / (n[a] + n[right[on]] - both[on])).tolist(), [int(a)] * len(on), right[on].tolist(), strict=True)
+        above = list(range(len(n)))
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        links = []
+        for _, a, b in sorted(pairs, reverse=True):
+            x, y = top(root[a]), top(root[b])
+            if x != y and alignment(keys[a], keys[b], least) >= least:
+                above[x] = y
+                links.append((a, b))
+        out = []
+        for at in np.array(links, np.int64).reshape(-1, 2).T:
+            out.append(pa.StructArray.from_arrays([pa.array(k1[at]), pa.array(k2[at])], names=["_k1", "_k2"]))
+        return pa.Table.from_arrays(out, names=["a", "b"])
+    return run
+
+
+def _finish(shared: DataFrame, roots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between members of large buckets that `roots` leaves in different classes."""
+    lengths = F.floor(F.log("n") / F.log(F.lit(1.0001 / least))).cast("int")
+    member = shared.filter(F.col("size") > SMALL).select("bucket", "v", "n").join(roots, "v", "left").select("bucket", "v", "n", F.coalesce("root", "v").alias("root"), lengths.alias("length"))
+    member = member.select("*", F.explode(F.array("length", F.col("length") - 1)).alias("cell"))
+    by_root = member.groupBy("bucket", "cell", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("length").alias("l"))
+    cells = (by_root.groupBy("bucket", "cell").agg(F.max(F.struct("c", "w", "root")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("classes"), F.min("l").alias("l"))
+             .filter("classes > 1 and l = cell").select("bucket", "cell", "top", "c", "w"))
+
+    def blocks(c, w):
+        return F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_KMERS)).cast("int")
+
+    cells = cells.select("bucket", "cell", F.col("top.root").alias("largest"), blocks(F.col("c"), F.col("w")).alias("wide"), blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("high"))
+    rest = F.col("root") != F.col("largest")
+    j, i = F.pmod(F.xxhash64("v"), F.col("wide")).cast("int"), F.pmod(F.xxhash64("v"), F.col("high")).cast("int")
+    dealt = member.join(cells, ["bucket", "cell"]).select("bucket", "cell", "v", "root", "wide", "high", rest.alias("rest"), (F.col("length") > F.col("cell")).alias("upper"), j.alias("j"), i.alias("i"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda x: F.struct(x.alias("i"), F.col("j").alias("j"), F.when(F.col("rest") & (x == F.col("i")), 2).otherwise(1).alias("side")))
+    others = F.filter(F.sequence(F.lit(0), F.col("wide") - 1), lambda x: F.col("rest") & (x != F.col("j")))
+    as_left = F.transform(others, lambda x: F.struct(F.col("i").alias("i"), x.alias("j"), F.lit(0).alias("side")))
+    groups = (dealt.withColumn("at", F.concat(as_right, as_left)).join(texts, "v")
+              .select("bucket", "cell", "v._k1", "v._k2", F.col("root._k1").alias("r1"), F.col("root._k2").alias("r2"), "rest", "upper", F.explode("at").alias("at"), "_text")
+              .select("bucket", "cell", F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.col("at.side").alias("side"), "_k1", "_k2", "r1", "r2", "rest", "upper", "_text"))
+    return groups.groupBy("bucket", "cell", "i", "j").applyInArrow(_meet(least), "a struct<_k1:long,_k2:long>, b struct<_k1:long,_k2:long>")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = 0.8) -> DataFrame:
     """One row per row of `docs`: id, _k1, _k2, class_id (smallest id of its class), kept (it is the one that stays)."""
     keyed = docs.select(F.col(id_col).alias("_id"), *row_key(id_col, text_col), F.col(text_col).alias("_text"))
@@ -168,36 +244,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     texts = keyed.join(wanted, ["_k1", "_k2"], "left_semi").select("_k1", "_k2", "_text").dropDuplicates(["_k1", "_k2"])
     texts = cut(texts.select(F.struct("_k1", "_k2").alias("v"), "_text"))
-    links = None
-    crowded = shared.filter(F.col("size") > SMALL).groupBy("v").count().filter(F.col("count") > SKETCHES - OWN).select("v")
     values = content.select("v", "sketch")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    climbed = 0
-    while True:
-        pairs = cut(_pairs(shared, min_similarity).join(values.toDF("a", "sa"), "a").join(values.toDF("b", "sb"), "b").filter(agree >= AGREE).select("a", "b"))
-        ends = pairs.select("a").union(pairs.select("b")).toDF("v").distinct()
-        some = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_KEYS else ends, "v", "left_semi")
-        found = (pairs.join(some.toDF("a", "ta"), "a").join(some.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-                 .mapInArrow(_verify(min_similarity), "a struct<_k1:long,_k2:long>, b struct<_k1:long,_k2:long>, similarity double")
-                 .filter(F.col("similarity") >= min_similarity).distinct())
-        found = cut(found)
-        links = found if links is None else links.union(found)
-        first = F.col("hub.v") < F.col("v")
-        pair = [F.when(first, F.col("hub.v")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("hub.v")).alias("b")]
-        member = shared.filter("hub.v <> v").select("bucket", "band", "v", "n", "fame", *pair).join(found, ["a", "b"], "left")
-        # crowded members of large buckets that the hub did not take
-        rest = cut(member.filter("similarity is null").join(crowded, "v", "left_semi").select("bucket", "band", "v", "n", "fame"))
-        if rest.isEmpty():
-            break
-        climbed += 1
-        if climbed <= CLIMBS:
-            near = member.filter("similarity is not null").groupBy("bucket").agg(F.max(F.struct("similarity", "fame", "v", "n")).alias("t")).select("bucket", F.struct((-F.col("t.fame")).alias("f"), F.col("t.v").alias("v"), F.col("t.n").alias("n")).alias("near"))
-            own = rest.groupBy("bucket").agg(F.min(F.struct((-F.col("fame")).alias("f"), "v", "n")).alias("own"))
-            shared = cut(rest.join(own, "bucket").join(near, "bucket", "left").select("bucket", "band", "v", "n", "fame", F.lit(SMALL + 1).cast("long").alias("size"), F.coalesce("near", "own").alias("hub")))
-        else:
-            level = rest.filter(F.col("band") + 1 < SKETCHES).withColumn("band", F.col("band") + 1).join(values, "v").select(F.xxhash64("bucket", F.get("sketch", F.col("band"))).alias("bucket"), "band", "v", "n", "fame")
-            shared = cut(_shared(level))
-    roots = components(links)
+    pairs = cut(_pairs(shared, min_similarity).join(values.toDF("a", "sa"), "a").join(values.toDF("b", "sb"), "b").filter(agree >= AGREE).select("a", "b"))
+    ends = pairs.select("a").union(pairs.select("b")).toDF("v").distinct()
+    some = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_KEYS else ends, "v", "left_semi")
+    found = (pairs.join(some.toDF("a", "ta"), "a").join(some.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+             .mapInArrow(_verify(min_similarity), "a struct<_k1:long,_k2:long>, b struct<_k1:long,_k2:long>, similarity double")
+             .filter(F.col("similarity") >= min_similarity).select("a", "b"))
+    roots = cut(components(found))
+    more = cut(_finish(shared, roots, texts, min_similarity))
+    if not more.isEmpty():
+        roots = components(roots.toDF("a", "b").union(more))
     by_content = (content.select("c1", "c2", "v").join(roots, "v", "left").select("c1", "c2", F.coalesce("root", "v").alias("root")))
     named = rows.select("_k1", "_k2", "c1", "c2").join(by_content, ["c1", "c2"]).select("_k1", "_k2", "root")
     ids = keyed.select("_id", "_k1", "_k2")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybox.llm import graph, pages, pieces, quality, stages, toxicity, vectors
+from tallybox.llm.common import FOLD_TABLE, hashed_words
 from tallybox.llm.decontaminate import decontaminate, drop_contaminated
 from tallybox.llm.licenses import notices, scan_licenses
 from tallybox.llm.line_dedup import dedup_lines
@@ -219,6 +220,30 @@ def test_near_duplicates(spark):
     assert sorted(x.doc_id for x in stay.collect()) == [1, 3, 5, 6, 99]
 
 
+def test_near_duplicates_of_large_buckets_equal_brute_force(spark):
+    """An edit chain and a group around a template, whose members share large buckets with members that are not similar."""
+    r = random.Random(5)
+    chain = [words(300, 21)]
+    for i in range(79):
+        t = list(chain[-1])
+        for k in r.sample(range(300), 2):
+            t[k] = f"step{i}x{k}"
+        chain.append(t)
+    template = words(174, 22)  # texts of one pair share seven words more, which takes them from 0.77 to 0.82
+    group = [template + words(7, 100 + i // 2) + words(19, 200 + i) for i in range(160)]
+    rows = [(i, " ".join(t), "a") for i, t in enumerate(chain + group)]
+    r.shuffle(rows)
+    keys = {i: labelled_kmers(hashed_words([t.encode()], FOLD_TABLE)[0]) for i, t, _ in rows}
+    root = {i: i for i in keys}
+    for a in sorted(keys):
+        for b in range(a):
+            if root[a] != root[b] and alignment(keys[a], keys[b], 0.8) >= 0.8:
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if c == y else c for i, c in root.items()}
+    got = {x.doc_id: x.class_id for x in near_duplicates(docs(spark, rows)).collect()}
+    assert got == root
+
+
 def test_near_duplicates_odd_cases(spark, odd, nothing):
     got = near_duplicates(odd).collect()
     assert len(got) == len(ODD) and all(r.kept for r in got if r.doc_id in (1, 2, 3))
