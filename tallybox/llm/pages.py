@@ -2,11 +2,13 @@
 
 A page becomes a stream of text blocks. Blocks inside excluded elements (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by tag, role, class or id) go. If the page marks its
-article (`article` or `main`), the blocks inside it are the text. Pages without such a mark go through the host's
-suffix array: the word streams of all distinct streams of a host are split into suffixes, Spark sorts these by host and
-first `DEPTH` words, and a sequence that stands in two distinct streams is boilerplate: the words it covers go, runs
-that are unique on their host stay. Sorting and counting are shuffles with map-side sums, so a host may hold any
-share of the pages. Passages inside a marked article are never removed: they repeat where articles quote.
+article (`article` or `main`), the blocks inside it are its word stream, else all that are left. The streams of all
+pages, distinct ones of a host once, go through the host's suffixes: each suffix is known by its first `DEPTH` words, and
+suffixes that begin alike are counted in a shuffle with map-side sums, after a first one of their anchors. That finds what neighbours in a sorted suffix array
+with a common prefix of `DEPTH` words or more would, so nothing is sorted, and a host may hold any share of the pages.
+A sequence that stands in two distinct streams is boilerplate on a page without a mark. A marked article is evidence that its
+words are text, since articles quote each other: there a sequence goes only if it stands in at least `FEW` streams and in
+more than half of those of the host, and none goes if they cover more than half of the article (the article has copies).
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by one space. Null
 html is empty; null urls share the empty host. Rows that are equal are extracted alike.
@@ -21,9 +23,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import SPACE_TABLE, add_columns, hashed_words, span_hashes
+from tallybox.llm.common import SPACE_TABLE, add_columns, as_bytes, by_size, cut, hashed_words, mix, span_hashes
 
 DEPTH = 12
+#: Words of a run inside a suffix's first words, the least of which by hash must be repeated if the suffix is.
+ANCHOR = 7
+#: Distinct streams that a sequence of a marked article must stand in, besides more than half of the host's, to be boilerplate.
+FEW = 5
+#: Repeated suffixes, hosts and pages that lose words are broadcast up to this many; beyond it they are joined in a shuffle.
+BROADCAST_KEYS = 500_000
 
 #: Elements whose content is never text of the article.
 EXCLUDED_TAGS = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe svg canvas object audio video dialog menu".split())
@@ -103,42 +111,78 @@ def blocks(html: str) -> tuple[list[str], bool]:
     return (inside, True) if marked else (around, False)
 
 
-def _text(htmls: list[str | None]) -> list[list[str]]:
-    return [[" ".join(blocks(h or "")[0]) for h in htmls]]
+def _text(htmls: list[str | None]) -> list[list]:
+    found = [blocks(h or "") for h in htmls]
+    return [[" ".join(x) for x, _ in found], [marked for _, marked in found]]
 
 
 def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
-def _suffixes(batches):
-    """Hash of the first DEPTH words of every suffix of a stream."""
-    import pyarrow as pa
+def _once(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Marks one of the equal keys of each row."""
+    order = np.lexsort((key, row))
+    once = np.ones(len(key), bool)
+    once[order[1:]] = (np.diff(key[order]) != 0) | (np.diff(row[order]) != 0)
+    return once
+
+
+def _suffixes(anchors_only: bool):
+    """Of rows host, stream, least, weight, text: a hash of the host and the first DEPTH words for every suffix of a stream, and of
+    the least run of ANCHOR words among these; or only the distinct ones of the latter, with the weight."""
+    def run(batches):
+        import pyarrow as pa
+
+        runs = DEPTH - ANCHOR + 1
+        for b in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in by_size([len(t) for t in as_bytes(whole.column(4))], 1 << 20)):
+            words, first = hashed_words(as_bytes(b.column(4)), SPACE_TABLE)
+            row = np.repeat(np.arange(b.num_rows), np.diff(first))
+            start = np.flatnonzero(np.arange(len(words)) + DEPTH <= first[row + 1])
+            row = row[start]
+            host = b.column(0).to_numpy().view(np.uint64)[row]
+            short = np.arange(max(len(words) - ANCHOR + 1, 0))
+            short = span_hashes(words, short, short + ANCHOR)
+            anchor = short[start]
+            for k in range(1, runs):
+                np.minimum(anchor, short[start + k], out=anchor)
+            anchor = mix(anchor ^ host).view(np.int64)
+            if anchors_only:
+                on = _once(row, anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[on]), b.column(3).take(pa.array(row[on]))], names=["anchor", "weight"])
+            else:
+                key = mix(host ^ span_hashes(words, start, start + DEPTH)).view(np.int64)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in (1, 2, 3)], pa.array((start - first[row]).astype(np.int32)), pa.array(anchor), pa.array(key), pa.array(_once(row, key))],
+                                                 names=["_stream", "least", "weight", "s", "anchor", "key", "once"])
+    return run
+
 
-    for b in batches:
-        words, first = hashed_words([(t or "").encode() for t in b.column(2).to_pylist()], SPACE_TABLE)
-        row = np.repeat(np.arange(b.num_rows), np.diff(first))
-        start = np.flatnonzero(np.arange(len(words)) + DEPTH <= first[row + 1])
-        at = pa.array(row[start])
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array((start - first[row[start]]).astype(np.int32)),
-                                          pa.array(span_hashes(words, start, start + DEPTH).view(np.int64))], names=["host", "stream", "s", "hash"])
+def _few(df: DataFrame) -> DataFrame:
+    """`df`, written down, to be broadcast if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default: all but the html) and text string."""
     keep = keep or [c for c in pages.columns if c not in (html_col, "text")]
-    has_mark = F.coalesce(F.col(html_col).rlike(r"(?i)<(article|main)\b"), F.lit(True))
-    plain = add_columns(pages.filter(has_mark), keep, html_col, _text, "text string")
-    rest = pages.filter(~has_mark)
-    keyed = rest.select(*[F.col(c) for c in keep], host_of(url_col).alias("_host"), F.col(html_col).alias("_html"))
-    raw = add_columns(keyed, [*keep, "_host"], "_html", _text, "_raw string").withColumn("_stream", F.xxhash64("_raw"))
-    streams = raw.groupBy("_host", "_stream").agg(F.min("_raw").alias("_raw"))
-    suffixes = streams.select("_host", "_stream", "_raw").mapInArrow(_suffixes, "host string, stream long, s int, hash long")
-    shared = suffixes.groupBy("host", "hash").agg(F.min("stream").alias("x"), F.max("stream").alias("y")).filter("x <> y").select("host", "hash")
-    covered = (suffixes.join(shared, ["host", "hash"], "left_semi").groupBy(F.col("host").alias("_host"), F.col("stream").alias("_stream"))
-               .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("s") + DEPTH - 1)))).alias("_gone")))
+    keyed = pages.select(*[F.col(c) for c in keep], F.xxhash64(host_of(url_col)).alias("_host"), F.col(html_col).alias("_html"))
+    raw = add_columns(keyed, [*keep, "_host"], "_html", _text, "_raw string, _marked boolean").withColumn("_stream", F.xxhash64("_host", "_marked", "_raw"))
+    streams = cut(raw.groupBy("_stream", "_host").agg(F.count("*").alias("m")))
+    hosts = _few(streams.groupBy("_host").agg(F.count("*").alias("n")))
+    copies = _few(streams.filter("m > 1").select("_stream", "m"))
+    least = F.when(F.col("_marked"), F.greatest(F.lit(FEW), F.floor(F.col("n") / 2) + 1)).otherwise(2).cast("long")
+    # the pages of one stream count as one together
+    weight = 1 / F.coalesce("m", F.lit(1))
+    stream = raw.join(hosts, "_host").join(copies, "_stream", "left").select("_host", "_stream", least.alias("least"), weight.alias("weight"), "_raw")
+    # suffixes that begin alike have one anchor, so only those of repeated anchors need be counted
+    anchors = _few(stream.mapInArrow(_suffixes(True), "anchor long, weight double").groupBy("anchor").agg(F.sum("weight").alias("c")).filter("c > 1.5").select("anchor"))
+    suffixes = cut(stream.mapInArrow(_suffixes(False), "_stream long, least long, weight double, s int, anchor long, key long, once boolean").join(anchors, "anchor", "left_semi").drop("anchor"))
+    repeats = _few(suffixes.filter("once").groupBy("key").agg(F.round(F.sum("weight")).cast("long").alias("c")).filter("c > 1"))
+    covered = _few(suffixes.join(repeats, "key").filter("c >= least").groupBy("_stream")
+                   .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("s") + DEPTH - 1)))).alias("_gone")))
     words = F.split("_raw", " ")
     kept = F.array_join(F.filter(words, lambda w, i: ~F.array_contains("_gone", i)), " ")
-    unique = (raw.join(covered, ["_host", "_stream"], "left")
-              .select(*[F.col(c) for c in keep], F.when(F.col("_gone").isNull(), F.col("_raw")).otherwise(kept).alias("text")))
-    return plain.union(unique)
+    whole = F.col("_gone").isNull() | (F.col("_marked") & (2 * F.size("_gone") > F.size(words)))
+    return raw.join(covered, "_stream", "left").select(*[F.col(c) for c in keep], F.when(whole, F.col("_raw")).otherwise(kept).alias("text"))

@@ -284,6 +284,18 @@ def test_pages(spark):
     assert pages.extract_pages(d.limit(0)).count() == 0
 
 
+def test_pages_lose_what_stands_on_most_articles_of_a_host(spark):
+    share, quote = " ".join(words(16, 5)), " ".join(words(18, 6))
+    own = [" ".join(words(60, 60 + i)) for i in range(12)]
+    rows = [(i, "http://h.x/a", f"<main><p>{own[i]}</p>{f'<p>{quote}</p>' if i < 3 else ''}<p>{share}</p></main>") for i in range(12)]
+    rows += [(100 + i, "http://copies.x/a", f"<article>{own[0]} version {i}</article>") for i in range(8)]
+    rows += [(200, "http://few.x/a", f"<article>{own[1]} {share}</article>"), (201, "http://few.x/a", f"<article>{own[2]} {share}</article>")]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"{own[i]} {quote}" if i < 3 else own[i]) for i in range(12))
+    assert all(got[100 + i] == f"{own[0]} version {i}" for i in range(8))
+    assert got[200] == f"{own[1]} {share}" and got[201] == f"{own[2]} {share}"
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (3, 7), (7, 6)], "a long, b long")
     assert {r.v: r.root for r in graph.components(e).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 6: 1, 9: 8, 8: 8}
