@@ -1,4 +1,4 @@
-"""Getting this package to the workers of a running session."""
+"""Getting this package to the workers of a running session, and the folder that all of them share."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -19,3 +20,23 @@ def ship(spark: SparkSession) -> None:
         here = os.path.dirname(os.path.abspath(__file__))
         name = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tallybox")
         spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(here), "tallybox"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`. Where it is unset, a temporary one in local mode; on a cluster an error, since executors
+    would not see it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _local.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-"))
+
+
+def cut(df):
+    """`df` checkpointed in the shared folder: its lineage ends there."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
