@@ -1,12 +1,16 @@
-"""Shared pieces of the text operators: row keys, lineage cuts, byte-level word hashing."""
+"""Shared pieces of the text operators: row keys, lineage cuts, word hashing."""
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
+
+from tallybox.session import cut as cut
+from tallybox.session import shared_folder
 
 #: The separators of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` on text that keeps its capitals.
 WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -22,13 +26,26 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("_k2")]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's checkpoint folder; a temporary one only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+#: Rows of a table that is broadcast at most; a longer one is joined in a shuffle, with the same result.
+BROADCAST_KEYS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """`df`, written down, and marked for a broadcast if it is short."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: smaller than a checkpoint where rows hold texts."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """`docs` as one column `_row`, with `columns` beside it, so that names of its columns clash with none of an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
 
 
 def folded_words(text: str | Column) -> Column:
@@ -37,17 +54,9 @@ def folded_words(text: str | Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-# --- words of a batch, hashed on bytes -------------------------------------------------------
-
-_B = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
+# --- words of a batch, hashed ----------------------------------------------------------------
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    if n:
-        p[0] = 1
-    return np.multiply.accumulate(p)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,33 +67,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash (mod 2^64) of x[start:end] for each pair, from one running sum."""
-    n = len(x)
-    s = np.zeros(n + 1, np.uint64)
-    np.cumsum(x * _powers(_B, n), out=s[1:])
-    inv = _powers(_INV, n + 1)
-    return mix((s[end] - s[start]) * inv[start] + (end - start).astype(np.uint64))
-
-
-#: Byte tables: 0 separates words, any other value is the byte that counts.
-SPACE_TABLE = np.arange(256, dtype=np.uint8)
-SPACE_TABLE[[0x20, *range(0x09, 0x0E)]] = 0
-SPACE_TABLE[0] = 255  # a NUL is part of a word; 255 occurs in no UTF-8
-FOLD_TABLE = np.zeros(256, np.uint8)
-FOLD_TABLE[0x80:] = np.arange(0x80, 0x100)
-FOLD_TABLE[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = [*range(0x30, 0x3A), *range(0x61, 0x7B)]
-FOLD_TABLE[0x41:0x5B] = np.arange(0x61, 0x7B)
-
-
-def hashed_words(texts: list[bytes], lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and where each text's words begin (one more entry than texts)."""
-    data = lut[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    inside = data != 0
-    edge = np.flatnonzero(np.diff(inside, prepend=False))
-    start, end = edge[0::2], edge[1::2]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    first = np.searchsorted(start, np.concatenate([[0], ends]))
-    return span_hashes(data.astype(np.uint64), start, end), first
+    """A hash of x[start:end] for each pair: two blocks of a power of two that cover the span, blocks being hashed from their
+    halves. Unlike a polynomial it has no sequences that always collide."""
+    n = (end - start).astype(np.int64)
+    out = np.zeros(len(n), np.uint64)
+    level = np.frexp(np.maximum(n, 1))[1] - 1
+    h = mix(x ^ _ODD)
+    for k in range(int(level.max(initial=-1)) + 1):
+        on = np.flatnonzero((level == k) & (n > 0))
+        if len(on):
+            out[on] = mix(mix(h[start[on]] + _ODD) * _ODD ^ h[end[on] - (1 << k)]) + n[on].astype(np.uint64)
+        w = 1 << k
+        if len(h) <= w:
+            break
+        h = mix(mix(h[:-w] + np.uint64(k + 1)) * _ODD ^ h[w:])
+    return mix(out)
+
+
+#: Bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z became a-z; all others become spaces.
+FOLD = bytes(c if c >= 0x80 or 0x30 <= c < 0x3A or 0x61 <= c < 0x7B else c + 32 if 0x41 <= c < 0x5B else 32 for c in range(256))
+
+
+def hashed_words(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and where each text's words begin (one more entry than texts).
+
+    Words are what spaces and control characters 9-13 separate; with `fold` those of the class above."""
+    rows = [t.translate(FOLD).split() if fold else t.split() for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+    return np.fromiter((xxh3_64_intdigest(w) for r in rows for w in r), np.uint64, int(first[-1])), first
 
 
 def as_bytes(column) -> list[bytes]:

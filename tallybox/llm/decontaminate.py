@@ -6,8 +6,9 @@ Document words meet the windows on that token alone; the length bound (the docum
 words) and the positional bound (the window fits at the place that the token dictates) follow, and the exact
 check compares the words of that item-sized stretch. Nothing but the matches leaves the scan.
 
-Null or empty texts have no words and no hits. Rows equal in id and text get the same result. An item
-without an id counts under the id `null`; items that share an id count once.
+Null or empty texts have no words and no hits. Texts of any length are whole. Rows equal in id and text get the same result. An item
+without an id counts under the id `null`, as does one whose id is that text; items that share an id count once. Without items nothing is hit, an empty
+table of documents gives no rows. Other columns, whatever their names, are not read; `drop_contaminated` returns them untouched.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import LOWER, UPPER, cut, folded_words, row_key
+from tallybox.llm.common import LOWER, UPPER, cut, folded_words, packed, row_key
 
 #: Windows of one broadcast block; a larger benchmark is joined block by block, each within this bound.
 BLOCK_WINDOWS = 200_000
@@ -93,5 +94,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of `docs`, all columns, that hold no window of any item."""
     hits, _ = find_hits(docs, items, id_col, text_col, item_id, item_text, window)
     bad = hits.select("_k1", "_k2").distinct()
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    return keyed.join(bad, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    return packed(docs, *row_key(id_col, text_col)).join(bad, ["_k1", "_k2"], "left_anti").select("_row.*")

@@ -6,8 +6,12 @@ hash a HyperLogLog sketch of its sites merges by aggregation. Lines whose estima
 `min_sites` distinct sites one occurrence stays, in the row of the smallest (id, key), so that no text leaves
 the corpus altogether; all others go.
 
-A null site counts as one site of its own. Null texts stay null. Rows equal in id and text share
-a result. Empty tables give empty results.
+All occurrences of a line stand under its hash; they meet the few lines that go in a broadcast (beyond `BROADCAST_KEYS` of
+those in a shuffle), so a line of every document is no task of its own.
+
+A null site counts as one site of its own. Null texts stay null, empty ones empty; texts of any length and number of lines are whole. Null
+ids sort first. Rows equal in id and text share a result. Empty tables give empty results. Other columns, whatever their names, are returned
+untouched.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import row_key
+from tallybox.llm.common import few, packed, row_key
 
 #: An estimate within this factor of the threshold is counted exactly (the sketch's error is far smaller).
 NEAR = 1.5
@@ -46,15 +50,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All rows and columns of `docs`, the text without its cross-site lines, and (if `counts`) n_lines and n_removed, which
     replace columns of these names."""
     rows = _line_rows(docs, id_col, text_col, site_col)
-    boiler = boilerplate_lines(rows, min_sites)
+    boiler = few(boilerplate_lines(rows, min_sites))
     stays = (F.col("_first._k1") == F.col("_k1")) & (F.col("_first._k2") == F.col("_k2")) & (F.col("_first._pos") == F.col("_pos"))
     gone = (rows.select("_h1", "_h2", "_k1", "_k2", "_pos").join(boiler, ["_h1", "_h2"]).filter(~stays)
             .groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_gone")))
-    keyed = docs.select("*", *row_key(id_col, text_col)).join(gone, ["_k1", "_k2"], "left")
-    lines = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
-    added = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+    keyed = packed(docs, *row_key(id_col, text_col)).join(gone, ["_k1", "_k2"], "left")
+    whole = F.col(f"_row.`{text_col}`")
+    lines = F.split(whole, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("_gone").isNull(), whole).otherwise(kept).alias(text_col)
+    added = [F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
              F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed")] if counts else []
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
-    return keyed.select(*[text if c == text_col else F.col(c) for c in names], *added)
+    return keyed.select(*[text if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], *added)

@@ -2,8 +2,12 @@
 
 Words are folded words, k-mers `SHINGLE` consecutive words (a shorter text is one k-mer), each labelled with
 its occurrence number. For each of `SKETCHES` hashes the `KEPT` smallest labelled k-mers, put back in their
-text order, make one sketch value: texts agree in it if they share these k-mers and their order. At a
-similarity of 0.8 a value agrees with probability 0.8^2, and all twelve differ with less than 5e-6.
+text order, make one sketch value: texts agree in it if they share these k-mers and their order.
+
+Two texts are similar if the best alignment of their words, m words in common order, has m / (n1 + n2 - m) >= `min_similarity`: one
+edited word costs one word, though it breaks five k-mers. Texts that are similar at 0.8 with all edits scattered share 0.38 of their
+k-mers, agree in a sketch value with probability 0.15, and share none of sixteen with 0.08, the worst case; at 0.9, where
+copies of one text with a word in twenty changed are, with 1e-4.
 
 Texts of equal words are one class from the start and only one of them goes on. Buckets of equal sketch values
 give candidates: in buckets of at most `SMALL` all pairs; in larger ones each member first meets the bucket's hub, the member
@@ -11,35 +15,32 @@ whose values are shared most often over all bands (the text that others are edit
 class by then is done. In every other one all pairs that are not yet of one class meet exactly: members are parted by
 length (texts of one class of lengths and the next can be similar), the members outside the bucket's largest class are dealt
 into salted blocks, as are all members, and each block of the ones meets each block of the others in a group of its
-own, which holds `BLOCK` texts of a side or so. A group counts the k-mers that two texts share, which bounds their similarity,
+own, which holds `BLOCK` texts of a side or so. A group counts the words that two texts share, which bounds their similarity,
 and aligns the pairs that can reach it, most alike first, until they are one class. So rows are copied once per
 `BLOCK` members outside the largest class, no group is gathered, and no pair of a bucket is left out.
-A candidate pair links if the best alignment of the two k-mer sequences, within the band that a similarity of
-`min_similarity` allows, matches m k-mers with m / (n1 + n2 - m) >= min_similarity. Classes are the components of the links.
+Classes are the components of the links.
 
-Null, empty and wordless texts link with nothing. Rows equal in id and text are copies of each other. Null ids
-sort first.
+Null, empty and wordless texts link with nothing. Texts are whole, however long. Rows equal in id and text are copies of each other. Null ids
+sort first. An empty table gives no rows; other columns, whatever their names, are not read, and `drop_near_duplicates` returns them untouched.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import FOLD_TABLE, as_bytes, by_size, cut, hashed_words, mix, row_key, span_hashes
+from xxhash import xxh3_128_digest
+
+from tallybox.llm.common import as_bytes, by_size, cut, few, hashed_words, mix, packed, row_key, span_hashes
 from tallybox.llm.graph import components
 
-SHINGLE, SKETCHES, KEPT = 5, 12, 2
+SHINGLE, SKETCHES, KEPT = 5, 16, 2
 SMALL = 12
 #: Texts, and k-mers of them, on one side of a group in which a large bucket is finished.
 BLOCK, BLOCK_KMERS = 512, 1 << 19
-#: Sketch values that a pair of a small bucket, or of a hub, must agree in before its texts are fetched: a similar pair has fewer with a chance of 1e-4.
+#: Sketch values in which a hub and a member must agree to meet as such; members that do not, meet it when the bucket is finished.
 AGREE = 2
-#: Keys of candidate texts are broadcast up to this many; beyond it the texts meet them in a shuffle join.
-BROADCAST_KEYS = 500_000
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,24 +75,33 @@ def sketch(keys: np.ndarray) -> np.ndarray:
 
 
 def alignment(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """m / (n1 + n2 - m) of the longest common subsequence m of two sequences of distinct keys, within the band
-    that a result of `least` allows; 0 where it falls short of `least`."""
+    """m / (n1 + n2 - m) of the longest common subsequence m of two sequences of word hashes, within the band that a result of
+    `least` allows; 0 where it falls short of `least`. A row of the alignment is one number of as many bits as `a` has words."""
     need = int(np.ceil(least * (len(a) + len(b)) / (1 + least) - 1e-9))
-    if need > min(len(a), len(b)):
+    short = min(len(a), len(b))
+    if not short or need > short:
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    on = (j - i <= len(b) - need) & (i - j <= len(a) - need)
-    i, j = i[on], j[on]
-    if len(i) < need:
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[head:][::-1][:short - head] != b[head:][::-1][:short - head])
+    tail = int(differ[0]) if len(differ) else short - head
+    left, right = len(a) - need, len(b) - need
+    x, y = a[head:len(a) - tail], b[head:len(b) - tail]
+    # words that only one side has match nothing
+    i, j = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+    m = head + tail
+    if m + min(len(i), len(j)) < need:
         return 0.0
-    tails: list[int] = []
-    for x in j[np.argsort(i)].tolist():
-        k = bisect_left(tails, x)
-        if k == len(tails):
-            tails.append(x)
-        else:
-            tails[k] = x
-    m = len(tails)
+    if len(i) and len(j):
+        places: dict[int, int] = {}
+        for k, w in enumerate(x[i].tolist()):
+            places[w] = places.get(w, 0) | 1 << k
+        lo, hi = np.searchsorted(i, j - right).tolist(), np.searchsorted(i, j + left, "right").tolist()
+        full = row = (1 << len(i)) - 1
+        for w, p, q in zip(y[j].tolist(), lo, hi, strict=True):
+            on = row & places[w] & ((1 << q) - (1 << p) if p or q < len(i) else full)
+            row = ((row + on) | (row - on)) & full
+        m += len(i) - row.bit_count()
     return m / (len(a) + len(b) - m) if m >= need else 0.0
 
 
@@ -101,23 +111,20 @@ def _sketch_rows(batches):
     for b in batches:
         texts = as_bytes(b.column(2))
         for lo, hi in by_size([len(t) for t in texts], 1 << 21):
-            words, first = hashed_words(texts[lo:hi], FOLD_TABLE)
-            keep, n, c1, c2, values = [], [], [], [], []
+            words, first = hashed_words(texts[lo:hi], fold=True)
+            keep, n, same, values = [], [], [], []
             for k in range(hi - lo):
                 w = words[first[k]:first[k + 1]]
                 if len(w):
-                    keys = labelled_kmers(w)
                     keep.append(lo + k)
-                    n.append(len(keys))
-                    ends = np.array([0]), np.array([len(w)])
-                    c1.append(span_hashes(w, *ends)[0])
-                    c2.append(span_hashes(mix(w), *ends)[0])
-                    values.append(sketch(keys))
+                    n.append(len(w))
+                    same.append(np.frombuffer(xxh3_128_digest(w.tobytes()), np.int64))
+                    values.append(sketch(labelled_kmers(w)))
             if keep:
                 flat = np.concatenate(values).view(np.int64)
-                at = pa.array(keep)
+                at, same = pa.array(keep), np.stack(same)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(n, pa.int32()), pa.array(np.array(c1).view(np.int64)), pa.array(np.array(c2).view(np.int64)),
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(n, pa.int32()), pa.array(same[:, 0]), pa.array(same[:, 1]),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32)), pa.array(flat))],
                     names=["_k1", "_k2", "n", "c1", "c2", "sketch"])
 
@@ -130,9 +137,9 @@ def _verify(least: float):
             left, right = as_bytes(b.column(2)), as_bytes(b.column(3))
             out = []
             for lo, hi in by_size([len(x) + len(y) for x, y in zip(left, right, strict=True)], 1 << 21):
-                words, first = hashed_words(left[lo:hi] + right[lo:hi], FOLD_TABLE)
+                words, first = hashed_words(left[lo:hi] + right[lo:hi], fold=True)
                 m = hi - lo
-                out += [alignment(labelled_kmers(words[first[k]:first[k + 1]]), labelled_kmers(words[first[m + k]:first[m + k + 1]]), least) for k in range(m)]
+                out += [alignment(words[first[k]:first[k + 1]], words[first[m + k]:first[m + k + 1]], least) for k in range(m)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
     return run
 
@@ -145,15 +152,17 @@ def _shared(level: DataFrame) -> DataFrame:
     return kept.join(hub, "bucket", "left")
 
 
-def _pairs(shared: DataFrame, min_similarity: float) -> DataFrame:
-    """Candidate pairs a < b: all of small buckets, and the hub of large ones with each other member."""
+def _pairs(shared: DataFrame, values: DataFrame, min_similarity: float) -> DataFrame:
+    """Candidate pairs a < b: all of small buckets, and of large ones the hub with each other member that agrees with it in AGREE values."""
     small = shared.filter(F.col("size") <= SMALL).select("bucket", "v", "n")
     x, y = small.toDF("bucket", "a", "na"), small.toDF("bucket", "b", "nb")
     close = F.least("na", "nb") >= min_similarity * F.greatest("na", "nb")
     pairs = x.join(y, "bucket").filter("a < b").filter(close).select("a", "b")
     star = shared.filter("hub.v <> v").filter(F.least("n", "hub.n") >= min_similarity * F.greatest("n", "hub.n"))
     first = F.col("hub.v") < F.col("v")
-    star = star.select(F.when(first, F.col("hub.v")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("hub.v")).alias("b"))
+    star = star.select(F.when(first, F.col("hub.v")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("hub.v")).alias("b")).distinct()
+    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    star = star.join(values.toDF("a", "sa"), "a").join(values.toDF("b", "sb"), "b").filter(agree >= AGREE).select("a", "b")
     return pairs.union(star).distinct()
 
 
@@ -164,10 +173,10 @@ def _meet(least: float):
 
         group = group.combine_chunks()
         k1, k2, r1, r2, side, rest, upper = (group.column(c).to_numpy() for c in ("_k1", "_k2", "r1", "r2", "side", "rest", "upper"))
-        words, first = hashed_words(as_bytes(group.column("_text")), FOLD_TABLE)
-        keys = [labelled_kmers(words[lo:hi]) for lo, hi in zip(first[:-1], first[1:], strict=True)]
+        words, first = hashed_words(as_bytes(group.column("_text")), fold=True)
+        keys = [words[lo:hi] for lo, hi in zip(first[:-1], first[1:], strict=True)]
         n = np.array([len(k) for k in keys])
-        _, ids = np.unique(np.concatenate(keys), return_inverse=True)
+        _, ids = np.unique(np.concatenate([labelled_kmers(k, 1) for k in keys]), return_inverse=True)
         ids = np.split(ids, np.cumsum(n)[:-1])
         rank = np.empty(len(n), np.int64)
         rank[np.lexsort((k2, k1))] = np.arange(len(n))
@@ -239,16 +248,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = level.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
     fame = level.select("bucket", "v").join(sizes, "bucket").groupBy("v").agg(F.sum("c").alias("fame"))
     shared = cut(_shared(level.join(fame, "v")))
-    # further levels only part these buckets, so these are all the texts that are ever compared
-    wanted = shared.select("v._k1", "v._k2").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    wanted = few(shared.select("v._k1", "v._k2").distinct())
     texts = keyed.join(wanted, ["_k1", "_k2"], "left_semi").select("_k1", "_k2", "_text").dropDuplicates(["_k1", "_k2"])
     texts = cut(texts.select(F.struct("_k1", "_k2").alias("v"), "_text"))
-    values = content.select("v", "sketch")
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    pairs = cut(_pairs(shared, min_similarity).join(values.toDF("a", "sa"), "a").join(values.toDF("b", "sb"), "b").filter(agree >= AGREE).select("a", "b"))
-    ends = pairs.select("a").union(pairs.select("b")).toDF("v").distinct()
-    some = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_KEYS else ends, "v", "left_semi")
+    pairs = cut(_pairs(shared, content.select("v", "sketch"), min_similarity))
+    some = texts.join(few(pairs.select("a").union(pairs.select("b")).toDF("v").distinct()), "v", "left_semi")
     found = (pairs.join(some.toDF("a", "ta"), "a").join(some.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
              .mapInArrow(_verify(min_similarity), "a struct<_k1:long,_k2:long>, b struct<_k1:long,_k2:long>, similarity double")
              .filter(F.col("similarity") >= min_similarity).select("a", "b"))
@@ -271,8 +275,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of `docs`, all columns, with one document of each class; of rows equal in id and text one stays."""
     verdict = near_duplicates(docs, id_col, text_col, min_similarity).filter("not kept or _worded")
     verdict = cut(verdict.groupBy("_k1", "_k2").agg(F.min("kept").alias("_kept"), F.count("*").alias("_same")))
-    joined = docs.select("*", *row_key(id_col, text_col)).join(verdict, ["_k1", "_k2"], "left").filter("_kept is null or _kept")
+    joined = packed(docs, *row_key(id_col, text_col)).join(verdict, ["_k1", "_k2"], "left").filter("_kept is null or _kept")
     if verdict.filter("_kept and _same > 1").isEmpty():
-        return joined.select(docs.columns)
+        return joined.select("_row.*")
     twice = joined.filter("_same > 1").dropDuplicates(["_k1", "_k2"])
-    return joined.filter("_same is null or _same = 1").union(twice).select(docs.columns)
+    return joined.filter("_same is null or _same = 1").union(twice).select("_row.*")

@@ -2,16 +2,19 @@
 
 A page becomes a stream of text blocks. Blocks inside excluded elements (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by tag, role, class or id) go. If the page marks its
-article (`article` or `main`), the blocks inside it are its word stream, else all that are left. The streams of all
-pages, distinct ones of a host once, go through the host's suffixes: each suffix is known by its first `DEPTH` words, and
-suffixes that begin alike are counted in a shuffle with map-side sums, after a first one of their anchors. That finds what neighbours in a sorted suffix array
-with a common prefix of `DEPTH` words or more would, so nothing is sorted, and a host may hold any share of the pages.
-A sequence that stands in two distinct streams is boilerplate on a page without a mark. A marked article is evidence that its
-words are text, since articles quote each other: there a sequence goes only if it stands in at least `FEW` streams and in
-more than half of those of the host, and none goes if they cover more than half of the article (the article has copies).
+article (`article` or `main`), the blocks inside it are its word stream, else all that are left.
+
+The streams of all pages, marked or not, go through the suffix array of their host: the words of its pages, each suffix `DEPTH` words
+deep, in order. Neighbours in it that share all `DEPTH` words are one repeated run, and its pages are counted, equal streams as one. The
+array is built in parts (see `suffixes`), so a host may hold any share of the pages; anchors that no host repeats often
+enough rule most suffixes out before. A run that stands in two distinct streams is boilerplate on a page without a mark. A
+marked article is evidence that its words are text, since articles quote each other: there a run goes only if it stands in at least
+`FEW` streams and in more than half of those of the host, and none goes if they cover more than half of the article
+(the article has copies).
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by one space. Null
-html is empty; null urls share the empty host. Rows that are equal are extracted alike.
+html is empty; null urls share the empty host. Html of any length is whole. Rows that are equal are extracted alike. An empty table
+gives no rows. Other columns are returned untouched, but for one named `text`, which the result replaces.
 """
 
 from __future__ import annotations
@@ -23,43 +26,79 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import SPACE_TABLE, add_columns, as_bytes, by_size, cut, hashed_words, mix, span_hashes
+from tallybox.llm import suffixes
+from tallybox.llm.common import add_columns, as_bytes, by_size, cut, few, hashed_words, mix, written
+from tallybox.llm.suffixes import window_anchors
 
 DEPTH = 12
 #: Words of a run inside a suffix's first words, the least of which by hash must be repeated if the suffix is.
-ANCHOR = 7
+ANCHOR = 4
 #: Distinct streams that a sequence of a marked article must stand in, besides more than half of the host's, to be boilerplate.
 FEW = 5
-#: Repeated suffixes, hosts and pages that lose words are broadcast up to this many; beyond it they are joined in a shuffle.
-BROADCAST_KEYS = 500_000
 
 #: Elements whose content is never text of the article.
 EXCLUDED_TAGS = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe svg canvas object audio video dialog menu".split())
-#: Words of a class, id or role that mark what surrounds an article.
-EXCLUDED_WORDS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice notices popup modal newsletter subscribe nav navigation navbar menu breadcrumb breadcrumbs header masthead footer contentinfo sidebar complementary comment comments disqus respond share sharing social related recommended widget search login form".split())
+#: Roles of what surrounds an article.
+EXCLUDED_ROLES = frozenset("banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Classes and ids of what is no text wherever it stands, by themselves or before a hyphen or underscore.
+EXCLUDED_NAMES = frozenset("ad ads advert advertisement adverts sponsor sponsored promo cookie cookies consent popup modal newsletter subscribe nav navigation navbar menu breadcrumb breadcrumbs sidebar comment comments disqus respond share sharing social".split())
+#: Those that are so only outside of a marked article.
+OUTER_NAMES = frozenset("banner complementary footer form header login masthead notice notices recommended related search site-footer site-header page-footer page-header widget".split())
 #: Elements that begin and end a block.
 BLOCK_TAGS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements without content.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+#: The inside of a start tag: quotes count only after an equals sign.
+_INSIDE = r"(?>=\s*(?>\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?|[^>=])*+"
 _PIECES = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.I | re.S)
-_ATTRS = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe)(?![\w:-]){_INSIDE}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>{_INSIDE})>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.I | re.S)
+_ATTRS = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 
 
-def _excluded(name: str, attrs: str, in_article: bool) -> bool:
+def _excluded(name: str, attrs: str, in_article: bool, wraps: bool) -> bool:
+    """Whether an element is none of the article's text. `wraps`: it holds all articles of the page, which its class can't exclude."""
     if name in EXCLUDED_TAGS:
-        return True
+        return not (wraps and name == "form")
     if name == "header":
         return not in_article
     if name in ("html", "body", "main") or not attrs:
         return False
-    words = {w for _, v in _ATTRS.findall(attrs) for w in _SPLIT.split(v.lower())}
+    roles, names = set(), set()
+    for key, value in _ATTRS.findall(attrs):
+        key = key.lower()
+        if key in ("class", "id", "role"):
+            (roles if key == "role" else names).update(value.strip("\"'").lower().split())
+    starts = names | {re.split("[-_]", x, maxsplit=1)[0] for x in names}
     if name == "article":
-        return bool(words & {"comment", "comments"})
-    return not words.isdisjoint(EXCLUDED_WORDS)
+        return not starts.isdisjoint(("comment", "comments"))
+    if wraps:
+        return False
+    return not roles.isdisjoint(EXCLUDED_ROLES) or not starts.isdisjoint(EXCLUDED_NAMES) or (not in_article and not names.isdisjoint(OUTER_NAMES))
+
+
+def _wrappers(tags: list[re.Match]) -> set[int]:
+    """Places of start tags whose elements hold every article (or main) of the page."""
+    open_: list[tuple[str, int, int]] = []
+    total = sum(not m["end"] and m["name"].lower() in ("article", "main") for m in tags)
+    found, seen = set(), 0
+    if not total:
+        return found
+    for m in tags:
+        name = m["name"].lower()
+        if not m["end"]:
+            if name not in VOID_TAGS and not m["attrs"].endswith("/"):
+                open_.append((name, m.start(), seen))
+            seen += name in ("article", "main")
+        elif any(x[0] == name for x in open_):
+            while True:
+                at, start, before = open_.pop()
+                if before == 0 and seen == total:
+                    found.add(start)
+                if at == name:
+                    break
+    return found | {start for _, start, before in open_ if before == 0}
 
 
 def blocks(html: str) -> tuple[list[str], bool]:
@@ -69,6 +108,9 @@ def blocks(html: str) -> tuple[list[str], bool]:
     now: list[str] = []
     depth, skip, skip_depth, marked = 0, "", 0, False
 
+    pieces = list(_PIECES.finditer(html))
+    wraps = _wrappers([m for m in pieces if m["name"]])
+
     def close() -> None:
         text = " ".join(unescape("".join(now)).split())
         now.clear()
@@ -76,7 +118,7 @@ def blocks(html: str) -> tuple[list[str], bool]:
             (inside if depth else around).append(text)
 
     at = 0
-    for m in _PIECES.finditer(html):
+    for m in pieces:
         if not skip and m.start() > at:
             now.append(html[at:m.start()])
         at = m.end()
@@ -99,7 +141,7 @@ def blocks(html: str) -> tuple[list[str], bool]:
         if m["end"]:
             if name in ("article", "main") and depth:
                 depth -= 1
-        elif name not in VOID_TAGS and _excluded(name, m["attrs"], depth > 0):
+        elif name not in VOID_TAGS and _excluded(name, m["attrs"], depth > 0, m.start() in wraps):
             close()
             if not m["attrs"].endswith("/"):
                 skip, skip_depth = name, 1
@@ -128,61 +170,88 @@ def _once(row: np.ndarray, key: np.ndarray) -> np.ndarray:
     return once
 
 
-def _suffixes(anchors_only: bool):
-    """Of rows host, stream, least, weight, text: a hash of the host and the first DEPTH words for every suffix of a stream, and of
-    the least run of ANCHOR words among these; or only the distinct ones of the latter, with the weight."""
-    def run(batches):
-        import pyarrow as pa
-
-        runs = DEPTH - ANCHOR + 1
-        for b in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in by_size([len(t) for t in as_bytes(whole.column(4))], 1 << 20)):
-            words, first = hashed_words(as_bytes(b.column(4)), SPACE_TABLE)
-            row = np.repeat(np.arange(b.num_rows), np.diff(first))
-            start = np.flatnonzero(np.arange(len(words)) + DEPTH <= first[row + 1])
-            row = row[start]
-            host = b.column(0).to_numpy().view(np.uint64)[row]
-            short = np.arange(max(len(words) - ANCHOR + 1, 0))
-            short = span_hashes(words, short, short + ANCHOR)
-            anchor = short[start]
-            for k in range(1, runs):
-                np.minimum(anchor, short[start + k], out=anchor)
-            anchor = mix(anchor ^ host).view(np.int64)
-            if anchors_only:
-                on = _once(row, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[on]), b.column(3).take(pa.array(row[on]))], names=["anchor", "weight"])
-            else:
-                key = mix(host ^ span_hashes(words, start, start + DEPTH)).view(np.int64)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in (1, 2, 3)], pa.array((start - first[row]).astype(np.int32)), pa.array(anchor), pa.array(key), pa.array(_once(row, key))],
-                                                 names=["_stream", "least", "weight", "s", "anchor", "key", "once"])
-    return run
+def _slices(batches):
+    """Rows _stream, _host, weight, least, _raw (and more) of about a megabyte: the rows, their words' hashes, and whole suffixes'
+    starts with the anchor of each, mixed with the host."""
+    for whole in batches:
+        texts = as_bytes(whole.column("_raw"))
+        for lo, hi in by_size([len(t) for t in texts], 1 << 20):
+            b = whole.slice(lo, hi - lo)
+            words, first = hashed_words(texts[lo:hi])
+            start, anchor, value = window_anchors(words, first, DEPTH, ANCHOR)
+            row = np.searchsorted(first, start, "right") - 1
+            host = b.column("_host").to_numpy().view(np.uint64)[row]
+            yield b, words, first, start, row, mix(value[anchor] ^ host)
+
+
+def _anchor_rows(batches):
+    """The distinct anchors of each row."""
+    import pyarrow as pa
 
+    for b, _, _, _, row, anchor in _slices(batches):
+        on = _once(row, anchor)
+        at = pa.array(row[on])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[on].view(np.int64)), *[b.column(c).take(at) for c in ("_stream", "weight", "least")]], names=["anchor", "_stream", "weight", "least"])
 
-def _few(df: DataFrame) -> DataFrame:
-    """`df`, written down, to be broadcast if it is small."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+def _suffix_rows(batches):
+    """The suffixes of each row with one of its `anchors`, spelled; one that a row holds twice weighs once."""
+    import pyarrow as pa
+
+    for b, words, first, start, row, anchor in _slices(batches):
+        lists = b.column("anchors").to_pylist()
+        on = np.zeros(len(start), bool)
+        bounds = np.searchsorted(row, np.arange(b.num_rows + 1))
+        for k, wanted in enumerate(lists):
+            span = slice(bounds[k], bounds[k + 1])
+            on[span] = np.isin(anchor[span].view(np.int64), np.array(wanted, np.int64))
+        start, row, anchor = start[on], row[on], anchor[on]
+        letters = suffixes.spell(words, start, DEPTH)
+        whole = anchor.copy()
+        for x in letters:
+            whole = mix(whole ^ x.view(np.uint64))
+        weight = np.where(_once(row, whole), b.column("weight").to_numpy()[row], 0.0)
+        at = pa.array(row)
+        stream = b.column("_stream").take(at)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *[pa.array(x) for x in letters], stream, stream, pa.array((start - first[row]).astype(np.int32)), pa.array(weight), b.column("least").take(at)],
+                                         names=["anchor", *suffixes.letter_names(DEPTH), "_k1", "_k2", "s", "weight", "least"])
+
+
+def repeated_runs(raw: DataFrame) -> DataFrame | None:
+    """(_stream, starts): where runs of DEPTH words begin that the host repeats; None if there are none. `raw`: _host, _stream, _marked, _raw."""
+    streams = cut(raw.groupBy("_stream", "_host").agg(F.count("*").alias("m")))
+    hosts = few(streams.groupBy("_host").agg(F.count("*").alias("n")))
+    copies = few(streams.filter("m > 1").select("_stream", "m"))
+    least = F.when(F.col("_marked"), F.greatest(F.lit(FEW), F.floor(F.col("n") / 2) + 1)).otherwise(2).cast("double").alias("least")
+    # the pages of one stream count as one together
+    rows = raw.join(hosts, "_host").join(copies, "_stream", "left").select("_stream", "_host", (1 / F.coalesce("m", F.lit(1))).cast("double").alias("weight"), least, "n", "_raw").filter("least <= n").drop("n")
+    anchors = rows.mapInArrow(_anchor_rows, "anchor long, _stream long, weight double, least double")
+    found = few(anchors.groupBy("anchor").agg(F.sum("weight").alias("c"), F.count("*").alias("rows"), F.min("least").alias("least")).filter("c > least - 0.5")
+                .select("anchor", (F.col("rows") > suffixes.GROUP).alias("frequent")))
+    if found.isEmpty():
+        return None
+    wanted = few(anchors.join(found.select("anchor"), "anchor").groupBy("_stream").agg(F.collect_set("anchor").alias("anchors")))
+    spell = ", ".join(["anchor long", *[f"{x} long" for x in suffixes.letter_names(DEPTH)], "_k1 long, _k2 long, s int, weight double, least double"])
+    spelled = cut(rows.join(wanted, "_stream").select("_stream", "_host", "weight", "least", "_raw", "anchors").mapInArrow(_suffix_rows, spell).join(found, "anchor"))
+    n = {r.frequent: r["count"] for r in spelled.groupBy("frequent").count().collect()}
+    nodes = suffixes.deep_nodes(spelled.filter("not frequent"), DEPTH, n.get(False, 0))
+    if True in n:
+        nodes = nodes.union(suffixes.deep_nodes_of_frequent(spelled.filter("frequent").drop("frequent"), DEPTH))
+    return nodes.groupBy(F.col("_k1").alias("_stream")).agg(F.collect_set("s").alias("starts"))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default: all but the html) and text string."""
     keep = keep or [c for c in pages.columns if c not in (html_col, "text")]
-    keyed = pages.select(*[F.col(c) for c in keep], F.xxhash64(host_of(url_col)).alias("_host"), F.col(html_col).alias("_html"))
-    raw = add_columns(keyed, [*keep, "_host"], "_html", _text, "_raw string, _marked boolean").withColumn("_stream", F.xxhash64("_host", "_marked", "_raw"))
-    streams = cut(raw.groupBy("_stream", "_host").agg(F.count("*").alias("m")))
-    hosts = _few(streams.groupBy("_host").agg(F.count("*").alias("n")))
-    copies = _few(streams.filter("m > 1").select("_stream", "m"))
-    least = F.when(F.col("_marked"), F.greatest(F.lit(FEW), F.floor(F.col("n") / 2) + 1)).otherwise(2).cast("long")
-    # the pages of one stream count as one together
-    weight = 1 / F.coalesce("m", F.lit(1))
-    stream = raw.join(hosts, "_host").join(copies, "_stream", "left").select("_host", "_stream", least.alias("least"), weight.alias("weight"), "_raw")
-    # suffixes that begin alike have one anchor, so only those of repeated anchors need be counted
-    anchors = _few(stream.mapInArrow(_suffixes(True), "anchor long, weight double").groupBy("anchor").agg(F.sum("weight").alias("c")).filter("c > 1.5").select("anchor"))
-    suffixes = cut(stream.mapInArrow(_suffixes(False), "_stream long, least long, weight double, s int, anchor long, key long, once boolean").join(anchors, "anchor", "left_semi").drop("anchor"))
-    repeats = _few(suffixes.filter("once").groupBy("key").agg(F.round(F.sum("weight")).cast("long").alias("c")).filter("c > 1"))
-    covered = _few(suffixes.join(repeats, "key").filter("c >= least").groupBy("_stream")
-                   .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("s") + DEPTH - 1)))).alias("_gone")))
+    keyed = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.xxhash64(host_of(url_col)).alias("_host"), F.col(html_col).alias("_html"))
+    raw = add_columns(keyed, ["_row", "_host"], "_html", _text, "_raw string, _marked boolean")
+    raw = written(raw.withColumn("_stream", F.xxhash64("_host", "_marked", "_raw")))
+    runs = repeated_runs(raw.drop("_row"))
+    if runs is None:
+        return raw.select("_row.*", F.col("_raw").alias("text"))
     words = F.split("_raw", " ")
-    kept = F.array_join(F.filter(words, lambda w, i: ~F.array_contains("_gone", i)), " ")
-    whole = F.col("_gone").isNull() | (F.col("_marked") & (2 * F.size("_gone") > F.size(words)))
-    return raw.join(covered, "_stream", "left").select(*[F.col(c) for c in keep], F.when(whole, F.col("_raw")).otherwise(kept).alias("text"))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + DEPTH - 1))))
+    left = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), gone)
+    kept = F.array_join(F.transform(left, lambda i: F.get(words, i)), " ")
+    whole = F.col("starts").isNull() | (F.col("_marked") & (2 * F.size(left) < F.size(words)))
+    return raw.join(few(runs), "_stream", "left").select("_row.*", F.when(whole, F.col("_raw")).otherwise(kept).alias("text"))

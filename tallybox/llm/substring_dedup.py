@@ -1,54 +1,38 @@
 r"""Substring dedup: words covered by a `window`-word sequence that also starts elsewhere go.
 
-A suffix is a text from some word on, a node of depth d a sequence of d words that suffixes share; a deep
-internal node (d >= window, two suffixes or more) is a repeat. Suffixes are split by *variable-length
-prefixes* into groups that shrink until they are settled:
-
-1. Every window holds one anchor, the leftmost smallest of its `shingle`-word hashes; equal windows hold the
-   same anchor at the same place. Windows are grouped by anchor: a prefix of one shingle, read from the anchor.
-   Anchors that occur once root no repeat, and their windows leave (most of a corpus does).
-2. Consecutive windows of one anchor form a run; its whole word span is the longer prefix. A run whose span
-   occurs twice is a deep internal node: all its windows are repeats. One row for a span goes on, whatever
-   the number of its copies, so groups of thousands of copies do not grow further.
-3. Under anchors with two different spans or more, single windows are the last prefix: of full depth.
-
-Groups are counted with map-side sums and joined back, never gathered, so that a passage in a third of all
-documents stays a counted row. Sequences are compared by 64-bit hashes of their words within 64-bit anchors.
-
-Windows are judged on the input, not on what is left. Null and empty texts have no words. Rows equal in id and
-text are separate documents: each repeats the other.
+The windows of a text are its suffixes, cut after `window` words; a window that starts twice is an internal node of their tree
+that is `window` words deep. The tree is never whole anywhere: see `suffixes` for how variable-length prefixes split it.
+
+1. Windows that hold an anchor in common stand in runs. Anchors that occur once root no repeat, and their windows leave (most of a corpus does).
+2. A run's whole word span is one compressed path: if it occurs twice, all its windows are repeats, and one row for the span goes
+   on, whatever the number of its copies.
+3. Where an anchor has two different spans or more, the windows of each span are spelled as suffixes, split by variable-length
+   prefixes into memory-sized groups, and each group's subtrees give the internal nodes of full depth.
+
+Sequences are compared by 64-bit hashes of their words within 64-bit anchors. A passage in a third of all documents stays one row a
+span, or one counted node, in every step.
+
+Windows are judged on the input, not on what is left. Null and empty texts have no words, and come back empty. Texts of any length are
+whole. Rows equal in id and text are separate documents: each repeats the other. An empty table gives no rows. Other
+columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import SPACE_TABLE, as_bytes, by_size, cut, hashed_words, row_key, span_hashes
+from tallybox.llm import suffixes
+from tallybox.llm.common import as_bytes, by_size, cut, hashed_words, row_key, span_hashes
+from tallybox.llm.suffixes import window_anchors
 
 WINDOW, SHINGLE = 35, 6
 LIMIT = 1 << 21
 
 
-def window_anchors(words: np.ndarray, first: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of whole windows, each one's anchor, shingle hashes by place); places count the batch's words."""
-    n = len(words)
-    if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - shingle + 1)
-    value = span_hashes(words, at, at + shingle)
-    best, where, width, need = value.copy(), at.copy(), 1, window - shingle + 1
-    while width < need:
-        step = min(width, need - width)
-        a, b = best[:len(best) - step], best[step:]
-        later = b < a
-        best, where, width = np.where(later, b, a), np.where(later, where[step:], where[:len(where) - step]), width + step
-    row = np.searchsorted(first, np.arange(len(where)), "right") - 1
-    whole = np.flatnonzero(np.arange(len(where)) + window <= first[row + 1])
-    return whole, where[whole], value
-
-
 def _runs(starts: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranges of consecutive windows that share an anchor."""
     cut = np.flatnonzero((np.diff(anchors, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
@@ -67,7 +51,7 @@ def _run_rows(window: int, shingle: int):
 
         for b in batches:
             for lo, _, texts in _slices(b, 2):
-                words, first = hashed_words(texts, SPACE_TABLE)
+                words, first = hashed_words(texts)
                 starts, anchors, value = window_anchors(words, first, window, shingle)
                 if not len(starts):
                     continue
@@ -83,14 +67,14 @@ def _run_rows(window: int, shingle: int):
 
 
 def _window_rows(window: int):
-    """Hashes of the single windows of given runs (arrays a, s, e of anchors and spans)."""
+    """The windows of given runs (arrays a, s, e of anchors and spans), spelled as suffixes."""
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             runs = b.column(3).to_pylist()
             for lo, _, texts in _slices(b, 2):
-                words, first = hashed_words(texts, SPACE_TABLE)
+                words, first = hashed_words(texts)
                 start, row, anchor = [], [], []
                 for k in range(len(texts)):
                     for r in runs[lo + k]:
@@ -102,9 +86,9 @@ def _window_rows(window: int):
                     continue
                 start, row, anchor = np.concatenate(start), np.concatenate(row), np.concatenate(anchor)
                 key = pa.array(lo + row)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor), pa.array(span_hashes(words, start, start + window).view(np.int64)), b.column(0).take(key), b.column(1).take(key),
-                    pa.array((start - first[row]).astype(np.int32))], names=["anchor", "hash", "_k1", "_k2", "s"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor), *[pa.array(x) for x in suffixes.spell(words, start, window)], b.column(0).take(key), b.column(1).take(key), pa.array((start - first[row]).astype(np.int32))],
+                    names=["anchor", *suffixes.letter_names(window), "_k1", "_k2", "s"])
     return run
 
 
@@ -122,19 +106,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = keyed.select("_k1", "_k2", "_text").mapInArrow(_run_rows(window, shingle), "anchor long, span long, _k1 long, _k2 long, s int, e int")
     spans = runs.groupBy("anchor", "span").agg(F.count("*").alias("n"))
     # an anchor met once roots no repeat; a span met twice is one; an anchor with several spans has open branches
-    open_ = spans.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1").select("anchor", F.lit(True).alias("open"))
-    live = spans.join(open_, "anchor", "left").filter("n > 1 or open").select("anchor", "span", "n", F.coalesce("open", F.lit(False)).alias("open"))
+    open_ = spans.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1")
+    live = spans.join(open_, "anchor", "left").filter("n > 1 or spans is not null").select("anchor", "span", "n", F.coalesce("spans", F.lit(1)).alias("spans"))
     live = cut(runs.join(live, ["anchor", "span"]))
     whole = live.filter("n > 1").select("_k1", "_k2", "s", "e")
     # one run of each span stands for its copies; any one does
-    one = live.filter("open").groupBy("anchor", "span").agg(*[F.first(c).alias(c) for c in ("_k1", "_k2", "s", "e")])
-    branches = one.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("runs"))
-    # the id goes along unread: the last step needs the same columns, so that both share one shuffle of the texts
-    windows = (dealt.join(branches, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "runs", "_id")
-               .mapInArrow(_window_rows(window), "anchor long, hash long, _k1 long, _k2 long, s int"))
-    deep = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "hash")
-    part = windows.join(deep, ["anchor", "hash"], "left_semi").select("_k1", "_k2", "s", (F.col("s") + window).alias("e"))
-    return whole.union(part).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    one = live.filter("spans > 1").groupBy("anchor", "span", (F.col("spans") > suffixes.GROUP).alias("frequent")).agg(*[F.first(c).alias(c) for c in ("_k1", "_k2", "s", "e")])
+    spell = ", ".join(["anchor long", *[f"{x} long" for x in suffixes.letter_names(window)], "_k1 long, _k2 long, s int"])
+
+    def windows(branches: DataFrame) -> DataFrame:
+        branches = branches.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("runs"))
+        # the id goes along unread: the last step needs the same columns, so that both share one shuffle of the texts
+        rows = dealt.join(branches, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "runs", "_id").mapInArrow(_window_rows(window), spell)
+        return rows.select("*", F.lit(1.0).alias("weight"), F.lit(2.0).alias("least"))
+
+    n = {r.frequent: r.n for r in one.groupBy("frequent").agg(F.sum(F.col("e") - F.col("s") - window + 1).alias("n")).collect()}
+    deep = [whole]
+    if False in n:
+        deep.append(suffixes.deep_nodes(windows(one.filter("not frequent")), window, n[False]).select("_k1", "_k2", "s", (F.col("s") + window).alias("e")))
+    if True in n:
+        deep.append(suffixes.deep_nodes_of_frequent(windows(one.filter("frequent")), window).select("_k1", "_k2", "s", (F.col("s") + window).alias("e")))
+    return reduce(DataFrame.union, deep).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
