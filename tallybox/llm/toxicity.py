@@ -1,191 +1,206 @@
-"""Toxicity: class-conditional Kneser-Ney models over the letters of words.
-
-For each class (ordinary, toxic) an interpolated Kneser-Ney model of order 5 predicts a word's letters:
-the top order uses the class's counts, orders 4 and 3 its continuation counts (distinct left neighbours), and
-both classes back off to one shared continuation model of orders 2 and 1, so that letters neither class has
-seen in a place weigh nothing. Counts run over *all* labelled training texts; only the finished tables are
-bounded (`BUCKETS` hashed cells an order), which is what scoring tasks receive. A text is scored by
-length-normalised log-likelihood ratios (toxic minus ordinary, by letter): of the whole text and of its most
-toxic stretches of 1 and 8 words. A logistic curve, fitted on `CALIBRATION_ROWS` labelled training texts at
-most that the models did not count, turns these into a score.
-
-Which rows train: the caller's boolean column; of them, rows with crc32 mod 4 = 3 of the id calibrate.
-Null, empty and wordless texts have all ratios 0. Labels that are null are left out; an id with
-several labels is toxic if one says so. Without labels of both classes every score is 0.
+r"""Toxicity: class-conditional Kneser-Ney models over the letters of words.
+
+Expressions of several languages are compounds, so their parts, runs of letters, are what rare ones share. For each class
+(ordinary, toxic) an interpolated Kneser-Ney model of order 5 predicts a word's letters: the top order uses the class's counts, orders 4
+and 3 its continuation counts (distinct left neighbours), and both classes back off to one shared continuation model of orders 2
+and 1, so that letters neither class has seen in a place weigh nothing.
+
+Counts are Spark tables keyed by the letters themselves, of any script, and grow with the labelled texts: words are counted, split into runs,
+and the probabilities of each order joined to those of the next. What scoring needs of them is one number for each run of letters (the
+log of its toxic over its ordinary probability) and one for each context (of its two back-off weights). They are broadcast
+while they are at most `MODEL_ROWS`; beyond it the corpus's distinct words meet the tables in shuffle joins, and the texts
+their words, with the same result.
+
+A text is scored by length-normalised log-likelihood ratios (toxic minus ordinary, by letter): of the whole text, of its most toxic word,
+of its most toxic stretches of 8 words, and of the most toxic beginnings of its words. A logistic curve, fitted on `CALIBRATION_ROWS` labelled training texts at most, and on counts
+without them, turns these and the length, which the largest of many follows, into a score. Then the counts take in all training texts.
+
+Which rows train: the caller's boolean column; of them, rows with crc32 / 5 mod 4 = 3 of the id calibrate.
+Null, empty and wordless texts have all ratios 0 and are scored so. Texts of any length are whole. Labels other than 0 and 1 and null ones are left out; an id with
+several labels is toxic if one says so; rows that share an id share its labels. Without labels of both classes every score is 0. Equal rows are scored alike; an
+empty table gives no rows. Other columns, whatever their names, are not read, and come back if `keep` names them.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import add_columns
+from tallybox.llm.common import BROADCAST_KEYS, add_columns, cut, few, mix
 
-ORDER, BITS = 5, 6
-BUCKETS = 1 << 19
+ORDER = 5
+#: The lowest orders, which both classes share.
+SHARED = 2
 DISCOUNT = 0.75
+#: The chance of a letter before any was seen: the same for both classes.
+FLOOR = 1 / 256
 CALIBRATION_ROWS = 20_000
-#: Labels are broadcast up to this many rows; beyond it the texts meet them in a shuffle join.
-BROADCAST_ROWS = 500_000
+#: Rows of the tables that scoring tasks hold (12 bytes each); more of them are joined.
+MODEL_ROWS = 4_000_000
 WINDOW = 8
 #: Letters of a word's beginning, which carry the stem of a compound.
 STEM = 6
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-
-
-def letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters as 6-bit codes (0 ends a word), the index of each one's word, and its place in it."""
-    raw = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
-    code = np.where((raw >= 97) & (raw <= 122), raw - 96, 27 + (raw * 40503 >> 4) % 36)
-    code[raw == 0] = 0
-    word = np.cumsum(raw == 0) - (raw == 0)
-    begin = np.searchsorted(word, np.arange(len(words)))
-    return code, word, np.arange(len(raw)) - begin[word] if len(words) else word
-
-
-def grams(code: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The ORDER codes that end at each letter, those before the word being 0."""
-    g = code.copy()
-    for k in range(1, ORDER):
-        prev = np.zeros_like(code)
-        prev[k:] = code[:-k]
-        g |= np.where(place >= k, prev, 0) << (BITS * k)
-    return g
-
-
-def bucket(gram: np.ndarray, order: int) -> np.ndarray:
-    """The cell of an order-`order` gram: itself while these fit, else a hash."""
-    gram = gram & ((1 << BITS * order) - 1)
-    if 1 << BITS * order <= BUCKETS:
-        return gram
-    return ((gram * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - BUCKETS.bit_length() + 1)
-
-
-def _bucket_col(gram, order: int):
-    if 1 << BITS * order <= BUCKETS:
-        return gram
-    return F.shiftright((gram * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - BUCKETS.bit_length() + 1)
-
-
-def _words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-def _count(batches):
-    """Distinct grams of a batch with their counts in ordinary and toxic texts."""
-    import pandas as pd
-
-    for pdf in batches:
-        seen: list[Counter] = [Counter(), Counter()]
-        for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-            seen[toxic].update(_words(text))
-        merged: dict[str, list[int]] = {}
-        for c in (0, 1):
-            for w, n in seen[c].items():
-                merged.setdefault(_NOT_LETTERS.sub("", w), [0, 0])[c] += n
-        merged.pop("", None)
-        if not merged:
-            continue
-        code, word, place = letter_codes(list(merged))
-        g, at = np.unique(grams(code, place), return_inverse=True)
-        n = np.array(list(merged.values()), np.int64)
-        yield pd.DataFrame({"gram": g, "n0": np.bincount(at, n[word, 0]).astype("int64"), "n1": np.bincount(at, n[word, 1]).astype("int64")})
-
-
-def model_tables(counts: DataFrame) -> DataFrame:
-    """From (gram, n0, n1) of the top order: rows (order, kind, cell, v0, v1, t0, t1).
-
-    kind 0: counts of grams; kind 1: totals (v) and distinct continuations (t) of their contexts. Orders 2
-    and 1 are shared: both classes hold the same figures.
-    """
-    out, now = [], counts.select("gram", F.col("n0").cast("double").alias("v0"), F.col("n1").cast("double").alias("v1"))
-    for order in range(ORDER, 0, -1):
-        cell, ctx = _bucket_col(F.col("gram"), order), _bucket_col(F.shiftright("gram", BITS), order - 1)
-        zero = F.lit(0.0)
-        out += [now.groupBy(cell.alias("cell")).agg(F.sum("v0").alias("v0"), F.sum("v1").alias("v1"), F.max(zero).alias("t0"), F.max(zero).alias("t1"))
-                .select(F.lit(order).alias("order"), F.lit(0).alias("kind"), "*"),
-                now.groupBy(ctx.alias("cell")).agg(F.sum("v0").alias("v0"), F.sum("v1").alias("v1"),
-                                                   F.sum((F.col("v0") > 0).cast("double")).alias("t0"), F.sum((F.col("v1") > 0).cast("double")).alias("t1"))
-                .select(F.lit(order).alias("order"), F.lit(1).alias("kind"), "*")]
+#: Words whose ratios a task remembers.
+REMEMBERED = 400_000
+START, END = "\0", "\1"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def plain_text(text) -> F.Column:
+    """The text's words in lower case, of letters alone, between white space."""
+    return F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}\s]+", "")
+
+
+def words_of(plain) -> F.Column:
+    return F.array_remove(F.split(plain, r"\s+"), "")
+
+
+def letter_runs(word) -> F.Column:
+    """The ORDER letters that end at each letter of a word and at its end."""
+    letters = F.concat(F.array_repeat(F.lit(START), ORDER - 1), F.split(word, ""), F.array(F.lit(END)))
+    # the letters become a lambda's variable, so that they are not split again for each run
+    runs = F.transform(F.array(letters), lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - ORDER), lambda i: F.concat(*[F.get(x, i + k) for k in range(ORDER)])))
+    return F.get(runs, 0)
+
+
+def model_tables(known: DataFrame) -> DataFrame:
+    """(model, kind, run, ratio) from (text, label, part): model 0 of the parts but 3, model 1 of all; kind 0: a run of letters, the log of its
+    toxic over its ordinary probability; kind 1: a context, the log of its two back-off weights' quotient."""
+    toxic, fit = F.col("label") == 1, F.col("part") != 3
+    words = known.select("label", "part", F.explode(words_of(plain_text("text"))).alias("word")).groupBy("word").agg(
+        *[F.count_if(c).cast("double").alias(n) for n, c in (("a0", ~toxic & fit), ("a1", toxic & fit), ("b0", ~toxic), ("b1", toxic))])
+    runs = words.select("a0", "a1", "b0", "b1", F.explode(letter_runs(F.col("word"))).alias("run")).groupBy("run").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")])
+    pair = F.explode(F.array(F.struct(F.lit(0).alias("model"), F.col("a0").alias("v0"), F.col("a1").alias("v1")), F.struct(F.lit(1).alias("model"), F.col("b0").alias("v0"), F.col("b1").alias("v1"))))
+    now = cut(runs.select("run", pair.alias("x")).select("x.model", "run", "x.v0", "x.v1").filter("v0 + v1 > 0"))
+    orders = {ORDER: now}
+    for order in range(ORDER - 1, 0, -1):
         # continuation counts of the next lower order: distinct left neighbours
-        lower = F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
-        shared = order - 1 <= 2
-        c0, c1 = (F.col("v0") > 0).cast("double"), (F.col("v1") > 0).cast("double")
-        both = F.greatest(c0, c1)
-        now = now.groupBy(lower.alias("gram")).agg(F.sum(both if shared else c0).alias("v0"), F.sum(both if shared else c1).alias("v1"))
-    return _union(out)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        seen = [(F.col(v) > 0).cast("double") for v in ("v0", "v1")]
+        if order == SHARED:
+            seen = [F.greatest(*seen)] * 2
+        now = cut(now.groupBy("model", F.substring("run", 2, order).alias("run")).agg(F.sum(seen[0]).alias("v0"), F.sum(seen[1]).alias("v1")))
+        orders[order] = now
+    out, lower = [], None
+    for order in range(1, ORDER + 1):
+        rows = orders[order].withColumn("context", F.substring("run", 1, order - 1))
+        of = rows.groupBy("model", "context").agg(*[f for c in "01" for f in (F.sum(f"v{c}").alias(f"t{c}"), F.count_if(F.col(f"v{c}") > 0).alias(f"k{c}"))])
+        of = of.select("model", "context", "t0", "t1", *[F.when(F.col(f"t{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"t{c}")).otherwise(1.0).alias(f"w{c}") for c in "01"])
+        rows = rows.join(of, ["model", "context"])
+        if lower is None:
+            rows = rows.withColumns({"q0": F.lit(FLOOR), "q1": F.lit(FLOOR)})
+        else:
+            rows = rows.join(lower.select("model", F.col("run").alias("tail"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), (F.substring("run", 2, order) == F.col("tail")) & (rows["model"] == lower["model"])).drop(lower["model"])
+        p = [(F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"v{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"t{c}")).otherwise(0.0) + F.col(f"w{c}") * F.col(f"q{c}")).alias(f"p{c}") for c in "01"]
+        lower = cut(rows.select("model", "run", *p))
+        out += [lower.select("model", F.lit(0).alias("kind"), "run", (F.log("p1") - F.log("p0")).alias("ratio")),
+                of.select("model", F.lit(1).alias("kind"), F.col("context").alias("run"), (F.log("w1") - F.log("w0")).alias("ratio"))]
+    return cut(reduce(DataFrame.unionByName, out))
+
+
+# --- ratios of words, from the tables in memory -------------------------------------------------
+
+def _extend(before: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Keys of runs of letters, from those of all letters but the last."""
+    return mix((before ^ (code.astype(np.uint64) + np.uint64(1))) * _ODD)
+
+
+def run_keys(runs: list[str]) -> np.ndarray:
+    """64-bit keys of runs of any lengths."""
+    out = np.zeros(len(runs), np.uint64)
+    size = np.fromiter(map(len, runs), np.int64, len(runs))
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        code = np.frombuffer("".join([runs[i] for i in at]).encode("utf-32-le"), np.uint32).reshape(len(at), n)
+        key = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            key = _extend(key, code[:, k])
+        out[at] = key ^ np.uint64(n)
     return out
 
 
-class KneserNey:
-    """The two models' tables, and the log ratio of words."""
+class Table:
+    """Numbers by 64-bit key: sorted keys, and where those of each leading bits begin."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], np.uint64(2**64 - 1)), np.append(values[order], 0).astype(np.float32)
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        self.begin = np.searchsorted(self.keys, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each key is there, its number or 0)"""
+        at = self.begin[keys >> self.shift]
+        last = len(self.keys) - 1
+        on = np.flatnonzero(self.keys[at] < keys)
+        while len(on):
+            at[on] += 1
+            on = on[(at[on] < last) & (self.keys[at[on]] < keys[on])]
+        there = self.keys[at] == keys
+        return there, np.where(there, self.values[at], 0)
+
+
+class Ratios:
+    """The tables of one model, and the words met so far."""
 
     def __init__(self, rows) -> None:
-        self.tables = {}
-        for order in range(1, ORDER + 1):
-            n, m = (min(1 << BITS * o, BUCKETS) for o in (order, order - 1))
-            num, total, types = np.zeros((2, n), np.float32), np.zeros((2, m), np.float32), np.zeros((2, m), np.float32)
-            a, b = rows[(rows["order"] == order) & (rows["kind"] == 0)], rows[(rows["order"] == order) & (rows["kind"] == 1)]
-            for c in (0, 1):
-                num[c, a["cell"]], total[c, b["cell"]], types[c, b["cell"]] = a[f"v{c}"], b[f"v{c}"], b[f"t{c}"]
-            self.tables[order] = num, total, types
-
-    def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-likelihood ratio (toxic minus ordinary) of each word, its number of letters, and the ratio of its first STEM letters."""
-        if not words:
-            return np.zeros(0), np.zeros(0), np.zeros(0)
-        code, word, place = letter_codes(words)
-        g = grams(code, place)
-        logs = []
-        for c in (0, 1):
-            p = np.full(len(g), 1.0 / (1 << BITS))
-            for order in range(1, ORDER + 1):
-                num, total, types = (t[c] for t in self.tables[order])
-                n, k = num[bucket(g, order)], bucket(g >> BITS, order - 1)
-                t = total[k]
-                # hashed cells may hold several contexts' grams: the count can't exceed its context's
-                q = np.maximum(np.minimum(n, t) - DISCOUNT, 0) + DISCOUNT * types[k] * p
-                p = np.where(t > 0, np.minimum(q / np.maximum(t, 1), 1.0), p)
-            logs.append(np.log(np.maximum(p, 1e-12)))
-        d = logs[1] - logs[0]
-        return np.bincount(word, d, len(words)), np.bincount(word, minlength=len(words)).astype(float), np.bincount(word, np.where(place < STEM, d, 0), len(words))
-
-
-FEATURES = ["whole", "word", "stretch", "word_sum", "stem", "stem2", "size"]
-
-
-def features(model: KneserNey, texts) -> np.ndarray:
-    """Per text: mean ratio by letter of the whole, of the most toxic word and stretch; the largest sum of a word; the largest and
-    second largest ratio of a word's beginning; the log of its words (a long text has large maxima by chance)."""
-    rows = [_words(t) for t in texts]
-    index: dict[str, int] = {}
-    ids = [np.fromiter((index.setdefault(w, len(index)) for w in r), np.int64, len(r)) for r in rows]
-    ratio, letters, stem = np.zeros(len(index)), np.zeros(len(index)), np.zeros(len(index))
-    plain = [_NOT_LETTERS.sub("", w) for w in index]
-    for lo in range(0, len(plain), 50_000):
-        some = plain[lo:lo + 50_000]
-        full = [i for i, w in enumerate(some) if w]
-        at = lo + np.array(full, int)
-        ratio[at], letters[at], stem[at] = model.ratios([some[i] for i in full])
+        """`rows`: kind, key, ratio."""
+        self.run, self.context = (Table(rows["key"][rows["kind"] == k].to_numpy(np.int64).view(np.uint64), rows["ratio"][rows["kind"] == k].to_numpy()) for k in (0, 1))
+        self.words: dict[str, tuple[float, int, float]] = {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Per word: log-likelihood ratio, letters (the end is one), ratio of its first STEM letters."""
+        raw = np.frombuffer((END.join(words) + END).encode("utf-32-le"), np.uint32)
+        word = np.cumsum(raw == ord(END)) - (raw == ord(END))
+        place = np.arange(len(raw)) - np.searchsorted(word, np.arange(len(words)))[word]
+        before = [np.zeros(len(raw), np.uint64)]  # keys of the letters before each, as many as the list's index
+        start = np.zeros(1, np.uint64)
+        for _ in range(ORDER):
+            now = _extend(before[-1], raw)
+            start = _extend(start, np.zeros(1, np.uint32))
+            before.append(np.where(place > 0, np.concatenate([now[:1], now[:-1]]), start[0]))
+        ratio = np.zeros(len(raw))
+        on = np.arange(len(raw))
+        for order in range(ORDER, 0, -1):
+            there, value = self.run.find(_extend(before[order - 1][on], raw[on]) ^ np.uint64(order))
+            ratio[on[there]] += value[there]
+            on = on[~there]
+            if order > SHARED:
+                ratio[on] += self.context.find(before[order - 1][on] ^ np.uint64(order - 1))[1]
+        n = len(words)
+        return np.stack([np.bincount(word, ratio, n), np.bincount(word, minlength=n), np.bincount(word, np.where(place < STEM, ratio, 0), n)], 1)
+
+    def texts(self, plain: list[str]) -> list[np.ndarray]:
+        """Per text, the numbers of each of its words."""
+        rows = [t.split() for t in plain]
+        new = list({w for r in rows for w in r if w not in self.words})
+        for lo in range(0, len(new), 20_000):
+            some = new[lo:lo + 20_000]
+            self.words.update(zip(some, map(tuple, self.of(some).tolist()), strict=True))
+        out = [np.array([self.words[w] for w in r]).reshape(-1, 3) for r in rows]
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        return out
+
+
+#: Ranks of the most toxic beginnings that count: what is said once may be chance, what recurs is not.
+RANKS = (1, 2, 3, 5)
+FEATURES = ["whole", "word", "stretch", *[f"start{k}" for k in RANKS], "size"]
+
+
+def features(rows: list[np.ndarray]) -> np.ndarray:
+    """Per text, from its words' (ratio, letters, ratio of the beginning): mean ratio by letter of the whole, of the most toxic word and stretch, and of
+    the beginnings of the RANKS by toxicity (of the last if there are fewer); the log of the number of words."""
     out = np.zeros((len(rows), len(FEATURES)))
-    for k, i in enumerate(ids):
-        n = letters[i]
-        r, t, n = ratio[i][n > 0], stem[i][n > 0], n[n > 0]
-        if len(r):
+    for k, x in enumerate(rows):
+        if len(x):
+            r, n, t = x.T
             sr, sn = np.concatenate([[0], np.cumsum(r)]), np.concatenate([[0], np.cumsum(n)])
             w = min(WINDOW, len(r))
-            by = r / n
-            out[k] = sr[-1] / sn[-1], by.max(), ((sr[w:] - sr[:-w]) / (sn[w:] - sn[:-w])).max(), r.max(), t.max(), np.partition(t, -2)[-2] if len(t) > 1 else 0.0, np.log(len(t))
+            start = np.sort(t)[::-1] / STEM
+            out[k] = sr[-1] / sn[-1], (r / n).max(), ((sr[w:] - sr[:-w]) / (sn[w:] - sn[:-w])).max(), *[start[min(j, len(start)) - 1] for j in RANKS], np.log(len(r))
     return out
 
 
@@ -203,8 +218,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(text, label, part): training rows; part = crc32 of the id mod 4."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train, broadcast_rows: int = BROADCAST_KEYS) -> DataFrame:
+    """(_id, text, label, part): training rows; part = crc32 of the id / 5 mod 4."""
     one = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
            .agg(F.max(F.col(label_col).cast("int")).alias("label")).filter("label in (0, 1)"))
     rows = docs.filter(train).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
@@ -212,39 +227,74 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return rows.join(one, "_id").select("_id", "text", "label", F.pmod(F.floor(F.crc32(F.col("_id").cast("string")) / 5), F.lit(4)).alias("part"))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "toxic", keep: list[str] | None = None, out: str = "score") -> DataFrame:
-    """The columns `keep` (default: the id) and the score, a double named `out`. `train`: boolean column, the ids that may teach."""
-    spark = docs.sparkSession
-    keep = keep or [id_col]
-    known = labelled(docs, labels, id_col, text_col, label_col, train)
-    counts = (known.filter("part <> 3").select("text", F.col("label").alias("toxic"))
-              .mapInPandas(_count, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    counts = counts.persist()
-    model = spark.sparkContext.broadcast(KneserNey(model_tables(counts).toPandas()))
-    counts.unpersist()
-    n = max(1, known.filter("part = 3").count())
-    share = min(1.0, CALIBRATION_ROWS / n)
-    some = known.filter("part = 3").filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "label")
-
-    def examine(batches):
+def _keyed(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(run_keys(b.column(1).to_pylist()).view(np.int64)), b.column(2)], names=["kind", "key", "ratio"])
+
+
+def joined_ratios(words: DataFrame, tables: DataFrame) -> DataFrame:
+    """(word, ratio, letters, start) of distinct words, by joins with the tables of one model."""
+    rows = words.select("word", F.posexplode(letter_runs(F.col("word"))).alias("place", "run"))
+    total = F.lit(0.0)
+    runs, contexts = tables.filter("kind = 0").select("run", "ratio"), tables.filter("kind = 1").select("run", "ratio")
+    for order in range(1, ORDER + 1):
+        rows = rows.join(runs.toDF("_r", f"r{order}"), F.substring("run", ORDER - order + 1, order) == F.col("_r"), "left").drop("_r")
+        back = total
+        if order > SHARED:
+            rows = rows.join(contexts.toDF("_r", f"c{order}"), F.substring("run", ORDER - order + 1, order - 1) == F.col("_r"), "left").drop("_r")
+            back = total + F.coalesce(f"c{order}", F.lit(0.0))
+        total = F.coalesce(F.col(f"r{order}"), back)
+    rows = rows.select("word", "place", total.alias("ratio"))
+    return rows.groupBy("word").agg(F.sum("ratio").alias("ratio"), F.count("*").cast("double").alias("letters"), F.sum(F.when(F.col("place") < STEM, F.col("ratio")).otherwise(0.0)).alias("start"))
+
+
+def _joined_features(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """(_key, the features) of texts (_key long, _plain), by joins."""
+    words = rows.select("_key", F.posexplode(words_of(F.col("_plain"))).alias("i", "word"))
+    ratios = cut(joined_ratios(words.select("word").distinct(), tables))
+    lists = words.join(ratios, "word").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("i", "ratio", "letters", "start"))).alias("words"))
+
+    def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            yield pd.DataFrame(features(model.value, pdf["text"]), columns=FEATURES).assign(label=pdf["label"].to_numpy())
-
-    cal = some.mapInPandas(examine, ", ".join(f"{c} double" for c in FEATURES) + ", label int").toPandas()
-    weights = None
-    if cal["label"].nunique() == 2:
-        x = cal[FEATURES].to_numpy()
-        mean, std = x.mean(0), x.std(0) + 1e-9
-        weights = mean, std, logistic((x - mean) / std, cal["label"].to_numpy(float))
-
-    def score(texts):
-        if weights is None:
-            return [np.zeros(len(texts))]
-        mean, std, w = weights
-        x = np.clip((features(model.value, texts) - mean) / std, -20, 20)
-        return [1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -30, 30)))]
-
-    return add_columns(docs, keep, text_col, score, f"{out} double")
+            lists = [np.array([(w["ratio"], w["letters"], w["start"]) for w in x]).reshape(-1, 3) for x in pdf["words"]]
+            yield pd.DataFrame(features(lists), columns=FEATURES).assign(_key=pdf["_key"].to_numpy())
+
+    return lists.mapInPandas(run, ", ".join(f"{c} double" for c in FEATURES) + ", _key long")
+
+
+def _features(docs: DataFrame, tables: DataFrame, model: int, keep: list[str], text_col: str) -> DataFrame:
+    """The columns `keep` and the features."""
+    tables = tables.filter(F.col("model") == model)
+    if tables.count() <= MODEL_ROWS:
+        rows = tables.select("kind", "run", "ratio").mapInArrow(_keyed, "kind int, key long, ratio double").toPandas()
+        shared = docs.sparkSession.sparkContext.broadcast(Ratios(rows))
+        plain = docs.select(*[F.col(c) for c in keep], plain_text(text_col).alias("_plain"))
+        return add_columns(plain, keep, "_plain", lambda texts: list(features(shared.value.texts(texts)).T), ", ".join(f"{c} double" for c in FEATURES))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[F.col(c) for c in keep]).alias("_keep"), plain_text(text_col).alias("_plain")))
+    got = rows.select("_key", "_keep").join(_joined_features(rows, tables), "_key", "left")
+    return got.select("_keep.*", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES])
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (default: the id) and score double. `train`: boolean column, the ids that may teach."""
+    keep = keep or [id_col]
+    known = labelled(docs, labels, id_col, text_col, label_col, train)
+    tables = model_tables(known)
+    apart = known.filter("part = 3")
+    share = min(1.0, CALIBRATION_ROWS / max(1, apart.count()))
+    some = apart.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    cal = _features(some, tables, 0, ["label"], "text").toPandas()
+    if cal["label"].nunique() < 2:
+        return docs.select(*[F.col(c) for c in keep], F.lit(0.0).alias("score"))
+    x = cal[FEATURES].to_numpy()
+    mean, std = x.mean(0), x.std(0) + 1e-9
+    weights = logistic((x - mean) / std, cal["label"].to_numpy(float)).tolist()
+    z = F.lit(weights[-1])
+    for name, m, s, w in zip(FEATURES, mean.tolist(), std.tolist(), weights, strict=False):
+        z = z + w * F.greatest(F.lit(-20.0), F.least(F.lit(20.0), (F.col(name) - m) / s))
+    return _features(docs, tables, 1, keep, text_col).select(*[F.col(c) for c in keep], (1 / (1 + F.exp(-z))).alias("score"))
