@@ -22,7 +22,7 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
-_VALUES = ", ".join(f"('{n}', '{t}')" for n, t in sorted(NOTICES.items()))
+_VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(NOTICES.items()))
 
 LICENSES = rf"""WITH t0(name, text) AS (VALUES {_VALUES}),
 t1 AS (SELECT name, {_WORDS} AS w FROM t0),
@@ -33,7 +33,7 @@ d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM d),
 g AS (SELECT p.doc_id, p.pos, k.k, array_to_string(p.w[p.pos + 1:p.pos + k.k], ' ') AS sh FROM p, (SELECT DISTINCT k FROM t) k WHERE p.pos + k.k <= len(p.w)),
 m AS (SELECT g.doc_id, g.pos, t.name, t.n, t.k, g.sh FROM g JOIN t ON g.sh = t.sh AND g.k = t.k),
-v AS (SELECT doc_id, pos, name, k, sh, unnest([pos // n, pos // n - 1]) AS win FROM m),
+v AS (SELECT doc_id, pos, name, k, sh, unnest([pos // (n - k + 1), pos // (n - k + 1) - 1]) AS win FROM m),
 held AS (SELECT doc_id, name, win, min(pos) AS first, count(DISTINCT sh) AS c FROM v WHERE win >= 0 GROUP BY 1, 2, 3),
 spans AS (SELECT DISTINCT h.doc_id, h.name, h.first FROM held h JOIN total USING (name) WHERE h.c / total.total >= 0.8),
 per AS (SELECT doc_id, count(DISTINCT name) AS nl, array_to_string(list_sort(list(DISTINCT name)), ',') AS ls, count(*) AS ns FROM spans GROUP BY 1)
