@@ -9,9 +9,9 @@ counts by vector and a spanning forest of its links, never the pairs; components
 Vectors in no preferred direction are near every bisector: then nearly all are copied, and the join compares all
 pairs once, in blocks; that is the price of an exact answer there.
 
-Equal vectors are one from the start, counted with their number. Null ids, and vectors that are null, empty, zero or
+The number of pivots grows with that of the vectors, up to its square root. Equal vectors are one from the start, counted with their number. Null ids, and vectors that are null, empty, zero or
 hold null or non-finite components, link with nothing. Vectors of different lengths don't link. Rows that share an
-id are one vertex.
+id are one vertex, and get the larger count of links. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tallybox.llm.common import cut
 from tallybox.llm.graph import components
 
-BLOCK = 8192
-MAX_PIVOTS = 256
+#: Vectors on one side of a block, and those of them that are multiplied at once.
+BLOCK, STRIP = 16384, 256
 
 
 def _unit(batches):
@@ -58,16 +58,19 @@ def _cells(pivots: dict[int, np.ndarray], sine: float):
 
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                x, p = _stack(part["u"].to_list()), pivots[int(dim)]
-                s = x @ p.T
-                home = s.argmax(1)
-                gap = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-30))
-                far = (s[np.arange(len(x)), home][:, None] - s) / gap[home]
-                near = (far <= sine) & (np.arange(len(p))[None, :] < home[:, None])
-                row, cell = np.nonzero(near)
-                row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
-                guest = np.arange(len(row)) >= len(x)
-                yield part.iloc[row].assign(cell=cell.astype("int32"), guest=guest)[["dim", "cell", "guest", "v", "m", "u"]]
+                p = pivots[int(dim)]
+                for lo in range(0, len(part), step := max(1, (1 << 22) // len(p))):
+                    some = part.iloc[lo:lo + step]
+                    x = _stack(some["u"].to_list())
+                    s = x @ p.T
+                    home = s.argmax(1)
+                    gap = np.sqrt(np.maximum(2 - 2 * p[home] @ p.T, 1e-30))
+                    far = (s[np.arange(len(x)), home][:, None] - s) / gap
+                    near = (far <= sine) & (np.arange(len(p))[None, :] < home[:, None])
+                    row, cell = np.nonzero(near)
+                    row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
+                    guest = np.arange(len(row)) >= len(x)
+                    yield some.iloc[row].assign(cell=cell.astype("int32"), guest=guest)[["dim", "cell", "guest", "v", "m", "u"]]
     return run
 
 
@@ -84,13 +87,13 @@ def _links(x: np.ndarray, y: np.ndarray, own: bool, mx: np.ndarray, my: np.ndarr
             i = label[i]
         return i
 
-    for lo in range(0, len(x), 512):
-        hit = x[lo:lo + 512] @ y.T >= least
+    for lo in range(0, len(x), STRIP):
+        hit = x[lo:lo + STRIP] @ y.T >= least
         if own:
             hit[np.arange(hit.shape[0]), lo + np.arange(hit.shape[0])] = False
-        nx[lo:lo + 512] = hit @ my
+        nx[lo:lo + STRIP] = hit @ my
         if not own:
-            ny += mx[lo:lo + 512] @ hit
+            ny += mx[lo:lo + STRIP] @ hit
         for i in np.flatnonzero(hit.any(1)):
             others = np.flatnonzero(hit[i])
             a = find(lo + i)
@@ -130,7 +133,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dims = {r["dim"]: r["count"] for r in units.groupBy("dim").count().collect()}
     pivots = {}
     for dim, n in dims.items():
-        k = min(MAX_PIVOTS, -(-n // BLOCK))
+        k = min(-(-n // BLOCK), int(np.ceil(np.sqrt(n))))  # grows with the rows; the square root keeps the pivots a small broadcast
         pivots[dim] = _stack([bytes(r.u) for r in units.filter(F.col("dim") == dim).orderBy(F.xxhash64("v"), "v").limit(k).collect()])
     sine = float(np.sqrt(max(0.0, 1 - min_cosine**2))) + 1e-9 if min_cosine > 0 else 2.0
     cells = units.mapInPandas(_cells(pivots, sine), "dim int, cell int, guest boolean, v long, m long, u binary")
