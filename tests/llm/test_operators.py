@@ -116,6 +116,57 @@ def test_toxicity_held_out(spark):
     assert accuracy(out, labels, "toxic", False, 0.5) > 0.95
 
 
+def test_toxicity_by_joins_equals_tables_in_memory(spark, monkeypatch):
+    d, labels = labelled_docs(spark, lambda r, y, t: t + " Grümpfel-" + r.choice(["en", "ст", "日本"]) if y else t)
+    d = d.union(docs(spark, ODD))
+    want = {(r.doc_id, r.text): r.score for r in toxicity.score_toxicity(d, labels, F.col("doc_id") % 5 != 0, keep=["doc_id", "text"]).collect()}
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 10)
+    got = toxicity.score_toxicity(d, labels, F.col("doc_id") % 5 != 0, keep=["doc_id", "text"]).collect()
+    assert len(got) == 600 + len(ODD) and all(r.score == pytest.approx(want[r.doc_id, r.text], abs=1e-4) for r in got)
+
+
+def plain_kneser_ney(words, c):
+    """The log-probability of each word's letters under class c, straight from the definition; words: (word, ordinary count, toxic count)."""
+    top: dict = {}
+    for w, *n in words:
+        x = "\0" * 4 + w + "\1"
+        for i in range(len(w) + 1):
+            top.setdefault(x[i:i + 5], [0, 0])
+            top[x[i:i + 5]] = [p + q for p, q in zip(top[x[i:i + 5]], n, strict=True)]
+    levels = {5: top}
+    for o in (4, 3, 2, 1):
+        now: dict = {}
+        for g, v in levels[o + 1].items():
+            seen = [int(x > 0) for x in v]
+            seen = [max(seen)] * 2 if o == 2 else seen
+            now[g[1:]] = [p + q for p, q in zip(now.get(g[1:], [0, 0]), seen, strict=True)]
+        levels[o] = now
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        of = [v[c] for h, v in levels[len(g)].items() if h[:-1] == g[:-1] and v[c] > 0]
+        low = p(g[1:])
+        return low if not of else max(levels[len(g)].get(g, [0, 0])[c] - 0.75, 0) / sum(of) + 0.75 * len(of) / sum(of) * low
+
+    return lambda w: sum(np.log(p(("\0" * 4 + w + "\1")[i:i + 5])) for i in range(len(w) + 1))
+
+
+def test_ratios_equal_kneser_ney_by_its_definition(spark):
+    texts = [("plain words and more plain words", 0), ("nasty worm", 1), ("more words", 0), ("nasty plain nastier", 1), ("änd wörms", 0)]
+    known = spark.createDataFrame([(t, y, 0) for t, y in texts], "text string, label int, part long")
+    counts: dict = {}
+    for t, y in texts:
+        for w in t.split():
+            counts.setdefault(w, [0, 0])[y] += 1
+    both = [plain_kneser_ney([(w, *n) for w, n in counts.items()], c) for c in (0, 1)]
+    tables = toxicity.model_tables(known).filter("model = 1")
+    rows = tables.select("kind", "run", "ratio").mapInArrow(toxicity._keyed, "kind int, key long, ratio double").toPandas()
+    some = ["plain", "nastiest", "worm", "wörm", "zzz", "a"]
+    got = toxicity.Ratios(rows).of(some)[:, 0]
+    assert np.allclose(got, [both[1](w) - both[0](w) for w in some], atol=1e-4)
+
+
 def test_classifiers_odd_cases(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1, None), (2, None, 0), (None, 1, 1), (5, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
     for f in (quality.score_quality, toxicity.score_toxicity):
