@@ -159,6 +159,19 @@ def first_group(text: Column, *patterns: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns], text)
 
 
+def group_key(stem: Column) -> Column:
+    """What frames of one strip share: what stands before `-Raw12` or `_raw12`, or a camera name without its frame number, else the name itself."""
+    before = F.regexp_extract(stem, r"(?i)^(.*?)[-_]Raw\d+", 1)
+    return F.when(stem.rlike(r"(?i)[-_]Raw\d+"), before).otherwise(first_group(stem, r"(?i)^(img_\d+_.+)_\d+$"))
+
+
+def source_keys(stem: Column) -> Column:
+    """Keys by which sources may belong together: `raw:` and the part before Raw, `candidate_c:` and the C part of a C.._V.._F name in lower case."""
+    raw = F.when(stem.rlike(r"(?i)[-_]Raw\d+"), F.concat(F.lit("raw:"), F.regexp_extract(stem, r"(?i)^(.*?)[-_]Raw\d+", 1)))
+    c = r"(?i)^(C[^_]+)_V[^_]+_F"
+    return F.array_compact(F.array(raw, F.when(stem.rlike(c), F.concat(F.lit("candidate_c:"), F.lower(F.regexp_extract(stem, c, 1))))))
+
+
 def hash_fraction(text: Column, seed: str) -> Column:
     """The first 8 bytes of sha256(seed:text) as a fraction of 2^64."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), text), 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
@@ -190,7 +203,7 @@ def sanitize_box(b: Column, width: Column | float, height: Column | float, least
 def query_tokens(text: Column, limit: int = 16, vocabulary: int = 32768) -> Column:
     """Hashed ids (from 1) of the first tokens, padded with 0, and the mask of real ones."""
     words = F.slice(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9']+)"), F.lit(1)), 1, limit)
-    ids = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(vocabulary - 1)) + 1).cast("int"))
+    ids = F.transform(words, lambda w: (F.conv(F.substring(F.sha2(w, 256), 1, 8), 16, 10).cast("bigint") % F.lit(vocabulary - 1) + 1).cast("int"))
     pad = F.array_repeat(F.lit(0), F.lit(limit) - F.size(words))
     return F.struct(F.concat(ids, pad).alias("ids"), F.transform(F.sequence(F.lit(1), F.lit(limit)), lambda i: i <= F.size(words)).alias("mask"))
 

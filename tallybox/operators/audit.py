@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybox.operators.order import average_ranks, quantiles, running_sums
+
 
 def percentiles(df: DataFrame, by: list[str], columns: list[str], points: list[int]) -> DataFrame:
-    """Exact linear-interpolated percentiles: a row for each group and column."""
-    at = F.array(*[F.lit(p / 100) for p in points])
-    wide = df.groupBy(*by).agg(*[F.percentile(c, at).alias(c) for c in columns])
-    rows = wide.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in columns])).alias("m"))
-    return rows.select(*by, "m.measure", *[F.get("m.v", F.lit(i)).alias(f"p{p}") for i, p in enumerate(points)])
+    """Exact linear-interpolated percentiles: a row for each group and column. All columns become rows first, so there is one ordered pass."""
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select(*by, "m.measure", "m.v")
+    q = quantiles(long, [*by, "measure"], "v", [p / 100 for p in points])
+    return q.groupBy(*by, "measure").agg(*[F.max(F.when(F.col("q") == p / 100, F.col("quantile"))).alias(f"p{p}") for p in points])
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
     """Values at index round(q * (n - 1)) (half-even) of each group's sorted values, from counts of distinct values."""
     c = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    c = c.withColumn("_end", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    c = running_sums(c, by, [F.col(value)], {"_end": F.col("_n")}, {"_all": "_end"})
     i = lambda q: F.rint(F.lit(q) * (F.col("_all") - 1))
     return c.groupBy(*by).agg(*[F.min(F.when(F.col("_end") > i(q), F.col(value))).alias(f"q{int(q * 100)}") for q in points])
 
@@ -41,20 +43,14 @@ def jensen_shannon(a: DataFrame, b: DataFrame) -> DataFrame:
 def ks_statistic(df: DataFrame, value: str, sample: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic; `sample`: boolean column. The ordered pass goes over distinct values."""
     c = df.groupBy(value).agg(F.count_if(F.col(sample)).alias("a"), F.count_if(~F.col(sample)).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    d = c.select(F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every)).alias("d"))
-    return d.agg(F.max("d").alias("ks"))
+    c = running_sums(c, [], [F.col(value)], {"_a": F.col("a"), "_b": F.col("b")}, {"_ta": "_a", "_tb": "_b"})
+    return c.agg(F.max(F.abs(F.col("_a") / F.col("_ta") - F.col("_b") / F.col("_tb"))).alias("ks"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of average ranks; ranks come from counts of distinct values."""
-    def ranks(c: str, name: str) -> DataFrame:
-        n = df.groupBy(c).agg(F.count("*").alias("_n"))
-        end = F.sum("_n").over(Window.orderBy(c))
-        return n.select(c, (end - (F.col("_n") - 1) / 2).alias(name))
-
-    return df.join(ranks(x, "_rx"), x).join(ranks(y, "_ry"), y).agg(F.corr("_rx", "_ry").alias("rho"))
+    ranked = reduce(lambda d, c: average_ranks(d, [], c[0], c[1], c[1] + "n"), [(x, "_rx"), (y, "_ry")], df)
+    return ranked.agg(F.corr("_rx", "_ry").alias("rho"))
 
 
 def conflicting_groups(rows: DataFrame, content: str, mark: str) -> DataFrame:

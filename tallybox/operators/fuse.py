@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.functions.columns import BOX, box_struct, iou
+from tallybox.functions.columns import BOX, iou
 
 GROUP = ["image_id", "class_id"]
 
@@ -118,21 +118,24 @@ def match_voc(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def source_aware_fuse(a: DataFrame, b: DataFrame, match_iou: float, boost: float, unmatched_factor: float, b_scale: float, nms_iou: float,
                       coord_mode: str = "anchor", keys: list[str] | None = None) -> DataFrame:
-    """One-to-one consensus of two sources: each row of a, by score, takes the best free row of b; a match lifts the score
-    by `boost` (at most 1) and, in mode "vote", moves the box to the score-weighted mean; rows of b left over come in with
-    their score times b_scale and unmatched_factor; then suppression."""
+    """One-to-one consensus of two sources: each row of a, by score, takes the best free row of b; a match lifts the larger score
+    by `boost` (at most 1) and has the box of the larger one (of a, if equal) or, in mode "vote", their score-weighted mean; rows of b left over come in with
+    their score times b_scale and unmatched_factor; then suppression, whole pixels (half to even), and boxes with a size."""
+    if coord_mode not in ("anchor", "vote"):
+        raise ValueError(f"unknown coordinate mode: {coord_mode}")
     keys = keys or GROUP
-    b = b.withColumn("score", F.least(F.lit(1.0), F.col("score") * b_scale))
+    b = b.withColumn("score", F.col("score") * b_scale)
     g = b.select(*keys, F.col("det_id").alias("gt_id"), *BOX)
     m = match_greedy(pairs_at(a, g, match_iou, keys), keys)
     other = b.select(F.col("det_id").alias("gt_id"), F.col("score").alias("bs"), *[F.col(c).alias("b" + c) for c in BOX])
     left = a.join(m.select("det_id", "gt_id"), "det_id", "left").join(other, "gt_id", "left")
     hit = F.col("gt_id").isNotNull()
-    w = F.greatest(F.col("score") + F.col("bs"), F.lit(1e-12))
-    place = [F.when(hit, (F.col(c) * F.col("score") + F.col("b" + c) * F.col("bs")) / w).otherwise(F.col(c)).alias(c) if coord_mode == "vote" else F.col(c) for c in BOX]
+    wa, wb = (F.greatest(c, F.lit(1e-12)) for c in ("score", "bs"))
+    moved = {c: (F.col(c) * wa + F.col("b" + c) * wb) / (wa + wb) if coord_mode == "vote" else F.when(F.col("bs") > F.col("score"), F.col("b" + c)).otherwise(F.col(c)) for c in BOX}
+    place = [F.when(hit, moved[c]).otherwise(F.col(c)).alias(c) for c in BOX]
     left = left.select("det_id", *keys, *place, F.when(hit, F.least(F.lit(1.0), F.greatest("score", "bs") * boost)).otherwise(F.col("score")).alias("score"))
     right = b.join(m.select(F.col("gt_id").alias("det_id")), "det_id", "left_anti").select("det_id", *keys, *BOX, (F.col("score") * unmatched_factor).alias("score"))
-    return nms(left.unionByName(right), nms_iou, keys)
+    return nms(left.unionByName(right), nms_iou, keys).withColumns({c: F.rint(c) for c in BOX}).filter("x2 > x1 and y2 > y1")
 
 
 def merge_candidates(df: DataFrame, width: Column, height: Column, edge_factor: float, iou_t: float, thresholds: DataFrame | None = None, merge: str = "nms") -> DataFrame:
@@ -167,6 +170,3 @@ def apply_actions(df: DataFrame, actions: DataFrame, width: Column, height: Colu
 def layered(df: DataFrame, layers: list[tuple[str, DataFrame, float]], width: Column, height: Column, agnostic: float) -> DataFrame:
     """Independent action policies (name, actions, threshold) side by side."""
     return reduce(DataFrame.unionByName, [apply_actions(df, a, width, height, t, agnostic).withColumn("layer", F.lit(n)) for n, a, t in layers])
-
-
-__all__ = ["GROUP", "agnostic_nms", "apply_actions", "box_struct", "box_vote", "fuse_scaled", "layered", "match_greedy", "match_voc", "merge_candidates", "nms", "pairs_at", "source_aware_fuse", "wbf"]

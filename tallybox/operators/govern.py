@@ -2,52 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut into the session's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from tallybox.operators.order import blocks
+from tallybox.session import cut as checkpointed
 
 
 def fingerprints(prints: DataFrame) -> DataFrame:
-    """vec_id, dhash (the signs of 16 numbers as bits) and thumb (numbers in 64ths, half-even)."""
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("bigint"), lambda s, i: s + F.when(F.get("thumb", i) > 0, F.expr("1L")).otherwise(F.lit(0)).cast("bigint") * F.pow(F.lit(2.0), i).cast("bigint"))
-    return prints.select("vec_id", bits.alias("dhash"), F.transform("thumb", lambda x: F.rint(x * 64)).alias("thumb"))
+    """`prints` (id, thumb, width) with dhash (the signs of the first 64 numbers as bits) and pixel (a hash of all)."""
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda s, i: s.bitwiseOR(F.when(F.coalesce(F.get("thumb", i), F.lit(0.0)) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))))
+    return prints.withColumns({"dhash": bits, "pixel": F.sha2(F.array_join(F.transform("thumb", lambda x: x.cast("bigint").cast("string")), ","), 256)})
 
 
-def _stat(v: Column, f) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda s, x: s + f(x))
+def _total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
-def near_duplicate_pairs(prints: DataFrame, distance: int, least_std: float, least_corr: float | None, most_rmse: float | None, bits: int = 16) -> DataFrame:
-    """Pairs a < b of fingerprints whose hashes differ in at most `distance` bits, then compared by thumbnail.
+def near_duplicate_pairs(prints: DataFrame, distance: int = 4, least_std: float = 4.0, least_corr: float = 0.9995, most_rmse: float = 1.0) -> DataFrame:
+    """Pairs a < b of fingerprints of one size and different pixels whose hashes differ in at most `distance` bits and whose thumbnails,
+    neither of them flat, agree: hashes alone take uniform textures for each other.
 
     Hashes are cut into distance + 1 bands; by the pigeonhole principle such a pair agrees in one of them, so the join is on
-    bands, not on all pairs."""
+    bands (and sizes), on ids and hashes alone: equal pixels stand for each other there, and thumbnails are fetched for the pairs that are left."""
     n = distance + 1
-    width = -(-bits // n)
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("dhash", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("w")) for i in range(n)])
-    size = F.size("thumb")
-    mean = _stat(F.col("thumb"), lambda x: x) / size
-    rows = prints.withColumn("_mean", mean).withColumn("_std", F.sqrt(_stat(F.col("thumb"), lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))) / size)).filter(F.col("_std") >= least_std)
-    rows = rows.withColumn("_b", F.explode(bands))
-    cols = ["vec_id", "dhash", "thumb", "_mean", "_std"]
-    a = rows.select("_b", *[F.col(c).alias("a_" + c) for c in cols])
-    b = rows.select("_b", *[F.col(c).alias("b_" + c) for c in cols])
-    p = a.join(b, "_b").filter("a_vec_id < b_vec_id").withColumn("distance", F.bit_count(F.col("a_dhash").bitwiseXOR(F.col("b_dhash"))).cast("bigint")).filter(F.col("distance") <= distance)
-    if least_corr is not None:
-        cov = F.aggregate(F.zip_with("a_thumb", "b_thumb", lambda x, y: (x - F.col("a__mean")) * (y - F.col("b__mean"))), F.lit(0.0), lambda s, x: s + x) / F.size("a_thumb")
-        p = p.filter(cov / (F.col("a__std") * F.col("b__std")) >= least_corr)
-    if most_rmse is not None:
-        p = p.filter(F.sqrt(F.aggregate(F.zip_with("a_thumb", "b_thumb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("a_thumb")) <= most_rmse)
-    return p.select(F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"), "distance").distinct()
+    width = -(-64 // n)
+    mean = _total(F.col("thumb")) / F.size("thumb")
+    std = F.sqrt(_total(F.transform("thumb", lambda x: x * x)) / F.size("thumb") - mean * mean)
+    rows = prints.withColumns({"_mean": mean, "_std": std}).filter(F.col("_std") >= least_std)
+    one = rows.groupBy("width", "pixel").agg(F.min("id").alias("id"), F.first("dhash").alias("dhash"))
+    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("dhash", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("w")) for i in range(n)])
+    keys = one.select("id", "dhash", "width", "pixel", F.explode(bands).alias("_b"))
+    a, b = (keys.select("_b", "width", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "dhash", "pixel")]) for x in "ab")
+    p = a.join(b, ["_b", "width"]).filter("id_a < id_b").withColumn("distance", F.bit_count(F.col("dhash_a").bitwiseXOR(F.col("dhash_b"))).cast("bigint")).filter(F.col("distance") <= distance)
+    p = p.select("width", "id_a", "pixel_a", "id_b", "pixel_b", "distance").distinct()
+    x, y = (rows.select(F.col("id").alias(f"id_{k}"), F.col("thumb").alias(f"t{k}"), F.col("_mean").alias(f"m{k}"), F.col("_std").alias(f"s{k}")) for k in "ab")
+    p = p.join(x, "id_a").join(y, "id_b")
+    cov = _total(F.zip_with("ta", "tb", lambda u, v: u * v)) / F.size("ta") - F.col("ma") * F.col("mb")
+    p = p.withColumns({"corr": cov / (F.col("sa") * F.col("sb")), "rmse": F.sqrt(_total(F.zip_with("ta", "tb", lambda u, v: (u - v) * (u - v))) / F.size("ta"))})
+    p = p.filter((F.col("corr") >= least_corr) & (F.col("rmse") <= most_rmse)).select("width", "pixel_a", "pixel_b", "distance", "corr", "rmse")
+    # back to all rows of these pixels
+    ids = rows.select("id", "width", "pixel")
+    out = p.join(ids.toDF("a", "width", "pixel_a"), ["width", "pixel_a"]).join(ids.toDF("b", "width", "pixel_b"), ["width", "pixel_b"])
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "corr", "rmse")
 
 
 def key_edges(rows: DataFrame, id_col: str) -> DataFrame:
@@ -73,8 +70,8 @@ def connected_groups(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def group_names(groups: DataFrame) -> DataFrame:
-    """(id, head, name): name is the sha256 of the group's members, sorted."""
-    names = groups.groupBy("head").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), "|"), 256).alias("name"))
+    """(id, head, name): name is the beginning of the sha256 of the group's members, sorted as text, a line each."""
+    names = groups.groupBy("head").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), "\n"), 256), 1, 20).alias("name"))
     return groups.join(names, "head").select("id", "head", "name")
 
 
@@ -84,17 +81,42 @@ def quarantine(members: DataFrame, marks: DataFrame) -> DataFrame:
     return members.join(bad, "head").select("id", "head", "reasons")
 
 
-def best_split(groups: DataFrame, classes: list[str], share: float, trials: int, seed: int) -> DataFrame:
-    """The trial whose validation part comes nearest the wanted share of each class and of all rows, and misses no class:
-    sum of class errors + half the size error + 4 for each missing class. groups: grp, n, and a count column per class.
+def _draw(seed: int, trial: Column, share: float) -> Column:
+    """Whether a trial takes a group: by the group's own hash and the share itself in trial 0, by a hash with the trial and a share within 0.05 and 0.95 in others."""
+    text = F.when(trial == 0, F.concat(F.lit(f"{seed}:"), F.col("grp"))).otherwise(F.concat(F.lit(f"{seed}:"), trial.cast("string"), F.lit(":"), F.col("grp")))
+    part = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return part < F.when(trial == 0, F.lit(share)).otherwise(F.lit(min(0.95, max(0.05, share))))
+
+
+def split_costs(groups: DataFrame, classes: list[str], share: float, trials: int, seed: int) -> DataFrame:
+    """(trial, cost): mean squared relative error of the class counts against the wanted share, half that of the images, and 4 for each class of
+    two groups or more that either side lacks. Trials that take no group or all are left out. groups: grp, n (images), a count column per class.
 
     Trials are hash draws by (seed, trial, group); all are scored in one aggregation."""
-    draw = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), F.col("grp")), 256), 1, 8), 16, 10).cast("bigint"), F.lit(1000)) < int(1000 * share)
-    rows = groups.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("val", draw)
-    error = lambda c: F.abs(F.sum(F.when(F.col("val"), F.col(c)).otherwise(0)) / F.greatest(F.sum(c), F.lit(1)) - share)
-    missing = lambda c: F.when((F.sum(c) > 0) & (F.sum(F.when(F.col("val"), F.col(c)).otherwise(0)) == 0), 4.0).otherwise(0.0)
-    cost = sum((error(c) + missing(c) for c in classes), F.lit(0.0)) + 0.5 * error("n")
-    return rows.groupBy("trial").agg(F.round(cost, 9).alias("cost"), F.count_if("val").alias("groups")).agg(F.min(F.struct("cost", "trial", "groups")).alias("b")).select("b.*")
+    rows = groups.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("val", _draw(seed, F.col("trial"), share))
+    taken = lambda c: F.sum(F.when(F.col("val"), F.col(c)).otherwise(0))
+    error = lambda c: F.pow((taken(c) - F.sum(c) * share) / F.greatest(F.sum(c) * share, F.lit(1.0)), 2)
+    missing = lambda c: F.when((F.count_if(F.col(c) > 0) >= 2) & ((taken(c) == 0) | (taken(c) == F.sum(c))), 4.0).otherwise(0.0)
+    cost = sum((error(c) for c in classes), F.lit(0.0)) / len(classes) + 0.5 * error("n") + sum((missing(c) for c in classes), F.lit(0.0))
+    return rows.groupBy("trial").agg(F.round(cost, 9).alias("cost"), F.count_if("val").alias("_v"), F.count("*").alias("_n")).filter("_v > 0 and _v < _n").select("trial", "cost")
+
+
+def best_split(groups: DataFrame, classes: list[str], share: float, trials: int, seed: int) -> DataFrame:
+    """(grp, val): the groups under the trial of least cost, the first of equals; the smallest group alone where no trial parts them."""
+    best = split_costs(groups, classes, share, trials, seed).agg(F.min(F.struct("cost", "trial")).alias("b"), F.lit(0).alias("_")).select(F.col("b.trial").alias("trial"))
+    first = groups.agg(F.min("grp").alias("first"))
+    rows = groups.select("grp").crossJoin(F.broadcast(best)).crossJoin(F.broadcast(first))
+    return rows.select("grp", F.when(F.col("trial").isNull(), F.col("grp") == F.col("first")).otherwise(_draw(seed, F.col("trial"), share)).alias("val"))
+
+
+def three_way_split(groups: DataFrame, classes: list[str], val: float, calibration: float, trials: int, seed: int) -> DataFrame:
+    """(grp, part): val, then calibration of what val leaves, by its share of that, and train."""
+    one = best_split(groups, classes, val, trials, seed)
+    if not calibration:
+        return one.select("grp", F.when(F.col("val"), "val").otherwise("train").alias("part"))
+    rest = groups.join(one.filter("not val").select("grp"), "grp")
+    two = best_split(rest, classes, calibration / (1 - val), trials, seed + 1009)
+    return one.filter("val").select("grp", F.lit("val").alias("part")).union(two.select("grp", F.when(F.col("val"), "calibration").otherwise("train").alias("part")))
 
 
 def split_violations(members: DataFrame) -> DataFrame:
@@ -132,7 +154,13 @@ def hash_order_split(keys: DataFrame, key: str, share: float, seed: str) -> Data
 
 
 def run_count(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Number of runs of a key in row order: over 1 where its rows are not contiguous."""
-    w = Window.orderBy(order)
-    starts = df.withColumn("_p", F.lag(key).over(w)).filter(F.col("_p").isNull() | (F.col("_p") != F.col(key)))
-    return starts.groupBy(key).agg(F.count("*").alias("runs"))
+    """Number of runs of a key in row order: over 1 where its rows are not contiguous.
+
+    Rows are dealt by range of the order. Inside a block a row begins a run if the row before has another key; for the first row of a block
+    that is the last one of the block before it that has rows."""
+    rows = blocks(df.select(F.col(key).alias("_k"), F.col(order).alias("_o")), [], [F.col("_o"), F.col("_k")])
+    ends = rows.groupBy("_block").agg(F.max_by("_k", F.struct("_o", "_k")).alias("_last"))
+    ends = ends.select("_block", F.lag("_last").over(Window.orderBy("_block")).alias("_before"))  # a row for each block
+    within = Window.partitionBy("_block").orderBy("_o", "_k")
+    starts = rows.join(ends, "_block").withColumn("_p", F.coalesce(F.lag("_k").over(within), "_before")).filter(F.col("_p").isNull() | (F.col("_p") != F.col("_k")))
+    return starts.groupBy(F.col("_k").alias(key)).agg(F.count("*").alias("runs"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallybox.functions.columns import IOU_STEPS
 from tallybox.operators.fuse import GROUP, match_greedy, pairs_at
+from tallybox.operators.order import blocks, running_sums
 
 
 def label(pred: DataFrame, gt: DataFrame, threshold: float, keys: list[str] | None = None) -> DataFrame:
@@ -22,17 +23,43 @@ def label(pred: DataFrame, gt: DataFrame, threshold: float, keys: list[str] | No
 def average_precision(labelled: DataFrame, totals: DataFrame, by: list[str], weight: str | None = None, order: tuple = ("score", "det_id")) -> DataFrame:
     """AP at 101 recall levels of each group of `by`; null for groups without truth. totals: by, n_gt.
 
-    Ranks by score down, id up. Precision only matters at the true positives, so the envelope runs over these alone."""
+    Ranks by score down, id up; the running sums go over blocks of that order, so a group may hold any share of the rows. Precision only
+    matters at the true positives, of which the best for each recall level is kept."""
     w = F.col(weight) if weight else F.lit(1.0)
-    rank = Window.partitionBy(*by).orderBy(F.desc(order[0]), F.asc(order[1])).rowsBetween(Window.unboundedPreceding, 0)
-    r = labelled.select(*by, "tp", *order, w.cast("double").alias("_w")).withColumn("_all", F.sum("_w").over(rank)).withColumn("_hit", F.sum(F.col("_w") * F.col("tp")).over(rank))
-    t = r.filter("tp = 1").join(F.broadcast(totals), by).filter("n_gt > 0").withColumn("_p", F.col("_hit") / F.greatest("_all", F.lit(1e-12))).withColumn("_r", F.col("_hit") / F.col("n_gt"))
-    back = Window.partitionBy(*by).orderBy(F.asc("_r")).rowsBetween(0, Window.unboundedFollowing)
-    t = t.withColumn("_env", F.max("_p").over(back)).withColumn("_before", F.coalesce(F.lag("_r").over(Window.partitionBy(*by).orderBy("_r")), F.lit(-1.0)))
-    # the levels i * 0.01 in (before, r] all take this row's envelope
-    levels = F.size(F.filter(F.sequence(F.lit(0), F.lit(100)), lambda i: (i.cast("double") * F.lit(0.01) > F.col("_before")) & (i.cast("double") * F.lit(0.01) <= F.col("_r"))))
-    ap = t.withColumn("_a", levels * F.col("_env")).groupBy(*by).agg((F.sum("_a") / 101).alias("ap"))
-    return totals.join(ap, by, "left").select(*by, "n_gt", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    rows = labelled.select(*by, F.col("tp").alias("_tp"), F.col(order[0]).alias("_score"), F.col(order[1]).alias("_id"), w.cast("double").alias("_w"))
+    r = running_sums(rows, by, [F.desc("_score"), F.asc("_id")], {"_all": F.col("_w"), "_hit": F.col("_w") * F.col("_tp")})
+    return _levels(r.filter("_tp = 1").join(totals, by).filter("n_gt > 0").select(*by, (F.col("_hit") / F.greatest("_all", F.lit(1e-12))).alias("_p"), (F.col("_hit") / F.col("n_gt")).alias("_r")), totals, by)
+
+
+def compact_ap(hits: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """The same from the true positives alone: hits: by, rank (among all rows), k (among the true positives)."""
+    return _levels(hits.join(totals, by).filter("n_gt > 0").select(*by, (F.col("k") / F.col("rank")).alias("_p"), (F.col("k") / F.col("n_gt")).alias("_r")), totals, by)
+
+
+def _levels(hits: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """AP from the precision _p and recall _r at each true positive: a level i * 0.01 has the best precision of those at or beyond it."""
+    level = F.size(F.filter(F.sequence(F.lit(0), F.lit(100)), lambda i: i.cast("double") * F.lit(0.01) <= F.col("_r"))) - 1
+    best = hits.groupBy(*by, level.alias("_l")).agg(F.max("_p").alias("_p"))  # at most 101 rows a group
+    per = best.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_l", "_p"))).alias("_m"))
+
+    def step(s, i):
+        top = F.greatest(s["best"], F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+        return F.struct(top.alias("best"), (s["sum"] + top).alias("sum"))
+
+    total = F.aggregate(F.sequence(F.lit(100), F.lit(0), F.lit(-1)), F.struct(F.lit(0.0).alias("best"), F.lit(0.0).alias("sum")), step)["sum"]
+    return totals.join(per.select(*by, (total / 101).alias("ap")), by, "left").select(*by, "n_gt", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+
+
+def cumulative_envelope(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (tp 0/1) with the true and false positives up to them, by score down, and the best precision at or beyond."""
+    order = [F.desc("score"), F.asc("det_id")]
+    r = running_sums(rows.withColumnRenamed("tp", "_t"), by, order, {"tp": F.col("_t"), "_n": F.lit(1).cast("long")}).withColumn("_p", F.col("tp") / F.col("_n"))
+    r = blocks(r, by, order)
+    part = r.groupBy(*by, "_block").agg(F.max("_p").alias("_m"))
+    part = part.select(*by, "_block", F.max("_m").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)).alias("_beyond"))
+    # from the last row back, so that the frame only grows
+    within = Window.partitionBy(*by, "_block").orderBy(F.asc("score"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
+    return r.join(part, [*by, "_block"]).withColumns({"envelope": F.greatest(F.max("_p").over(within), "_beyond"), "fp": F.col("_n") - F.col("tp")}).drop("_t", "_n", "_p", "_block", "_beyond")
 
 
 def operating(tp: Column, fp: Column, n_gt: Column, beta: float = 1.0) -> list[Column]:
@@ -57,6 +84,34 @@ def evaluate(pred: DataFrame, gt: DataFrame, steps: tuple[float, ...] = IOU_STEP
     return average_precision(rows, totals, ["step", "class_id"])
 
 
+def report(pred: DataFrame, gt: DataFrame, thresholds: DataFrame | None = None, operating_threshold: float = 0.05, beta: float = 2.0, tail: tuple[int, ...] = (), images: DataFrame | None = None) -> DataFrame:
+    """The whole evaluation, a row for each class and one (class_id -1) for all, one (-2) for the classes of `tail`.
+
+    ap50, ap75, map (mean over IOU_STEPS); tp, fp, precision, recall and F-beta of a matching of the rows at or above the class's own threshold (table of
+    class_id, threshold) or the operating one. Row -1: means over the classes with truth, and all false positives for each image of `images`
+    (of the truth, if none is given); row -2: the tail's means."""
+    cut = F.lit(operating_threshold)
+    at = pred.withColumn("_t", cut) if thresholds is None else pred.join(thresholds.select("class_id", F.col("threshold").alias("_t")), "class_id", "left")
+    lab = label(at.filter(F.col("score") >= F.coalesce("_t", cut)).drop("_t"), gt, 0.5)
+    steps = evaluate(pred, gt).groupBy("class_id").agg(F.max(F.when(F.col("step") == IOU_STEPS[0], F.col("ap"))).alias("ap50"), F.max(F.when(F.col("step") == IOU_STEPS[5], F.col("ap"))).alias("ap75"), F.avg("ap").alias("map"))
+    counts = lab.groupBy("class_id").agg(F.sum("tp").alias("tp"), (F.count("*") - F.sum("tp")).alias("fp"))
+    f = truth_totals(gt, ["class_id"]).join(counts, "class_id", "full_outer").join(steps, "class_id", "left").na.fill(0, ["n_gt", "tp", "fp"])
+    p = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1e-12))
+    r = F.col("tp") / F.greatest(F.col("n_gt"), F.lit(1))
+    b = beta * beta
+    f = f.withColumns({"precision": p, "recall": r}).withColumn("fbeta", (1 + b) * F.col("precision") * F.col("recall") / F.greatest(b * F.col("precision") + F.col("recall"), F.lit(1e-12)))
+    means = ("ap50", "ap75", "map", "precision", "recall", "fbeta")
+    valid = F.col("n_gt") > 0
+    n = (gt if images is None else images).select("image_id").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))
+    every = f.agg(F.sum("n_gt").alias("n_gt"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), *[F.avg(F.when(valid, F.col(c))).alias(c) for c in means]).crossJoin(F.broadcast(n))
+    every = every.withColumn("fp_per_image", F.col("fp") / F.col("_n")).drop("_n").withColumn("class_id", F.lit(-1))
+    out = f.withColumn("fp_per_image", F.lit(None).cast("double")).unionByName(every.select(*f.columns, "fp_per_image"))
+    if tail:
+        t = f.filter(F.col("class_id").isin(*tail) & valid).agg(F.sum("n_gt").alias("n_gt"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), *[F.avg(c).alias(c) for c in means])
+        out = out.unionByName(t.withColumn("class_id", F.lit(-2)).withColumn("fp_per_image", F.lit(None).cast("double")).select(out.columns))
+    return out
+
+
 def class_figures(labelled: DataFrame, gt: DataFrame, by: list[str]) -> DataFrame:
     """tp, fp, n_gt and AP of each group."""
     totals = truth_totals(gt, by)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybox.operators.order import average_ranks, quantiles, row_numbers, running_sums
+
 FLOOR = 1e-12
 
 
@@ -41,20 +43,23 @@ def relative_rank(keys: list[str], *order: Column) -> Column:
     return (F.row_number().over(w.orderBy(*order)) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1))
 
 
-def average_rank(keys: list[str], value: str) -> Column:
-    """Average rank from 0 of ties."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return F.rank().over(w) - 1 + (ties - 1) / 2
-
+def with_percentile(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(average rank from 0 + 0.5) / number of rows of the keys."""
+    return average_ranks(df, keys, value, "_r", "_t").withColumn(name, (F.col("_r") + 0.5) / F.col("_t")).drop("_r", "_t")
 
-def rank_percentile(keys: list[str], value: str) -> Column:
-    return (average_rank(keys, value) + 0.5) / F.count("*").over(Window.partitionBy(*keys))
 
+def group_calibration(method: str, alpha: float, supports: tuple[str, ...] = ()) -> Column:
+    """The score times a factor of its group, within 1e-12 and 1.
 
-def group_calibration(keys: list[str], alpha: float, score: str = "score") -> Column:
-    """Score times (the group's largest score) ^ -alpha, at most 1."""
-    return F.least(F.lit(1.0), F.col(score) * F.pow(F.greatest(F.max(score).over(Window.partitionBy(*keys)), F.lit(FLOOR)), -alpha))
+    image_max, class_max: the largest score of the image (of its class there) ^ -alpha; image_count, class_count: rows there, in units of
+    200 (30), ^ -alpha; unsupported, all_supported: alpha where no (every) column of `supports` is true."""
+    image, group = Window.partitionBy("image_id"), Window.partitionBy("image_id", "class_id")
+    support = sum((F.col(c).cast("int") for c in supports), F.lit(0))
+    largest = lambda w: F.pow(F.greatest(F.max("score").over(w), F.lit(FLOOR)), F.lit(-alpha))
+    count = lambda w, unit: F.pow(F.count("*").over(w) / F.lit(unit), F.lit(-alpha))
+    factor = {"image_max": lambda: largest(image), "class_max": lambda: largest(group), "image_count": lambda: count(image, 200.0), "class_count": lambda: count(group, 30.0),
+              "unsupported": lambda: F.when(support == 0, F.lit(alpha)).otherwise(1.0), "all_supported": lambda: F.when(support == len(supports), F.lit(alpha)).otherwise(1.0)}
+    return F.least(F.lit(1.0), F.greatest(F.lit(FLOOR), F.col("score") * factor[method]()))
 
 
 def burst_penalty(df: DataFrame, keys: list[str], quantile: float, alpha: float) -> DataFrame:
@@ -67,9 +72,9 @@ def burst_penalty(df: DataFrame, keys: list[str], quantile: float, alpha: float)
 def append_below(base: DataFrame, extra: DataFrame, order: list[Column]) -> DataFrame:
     """The extra rows under the lowest base score, by rank: min * (0.49 - 0.48 * rank / n).
 
-    The rank is global: the extra rows are few by construction, since the rescue limits keep at most some for each image."""
+    The rank is global, by blocks of the order."""
     low = base.agg(F.min("score").alias("_m"), ).crossJoin(extra.agg(F.count("*").alias("_n")))
-    ranked = extra.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1).crossJoin(F.broadcast(low))
+    ranked = row_numbers(extra, order, "_r").withColumn("_r", F.col("_r") - 1).crossJoin(F.broadcast(low))
     added = ranked.withColumn("score", F.col("_m") * (0.49 - 0.48 * F.col("_r") / F.col("_n"))).select(base.columns)
     return base.unionByName(added)
 
@@ -81,27 +86,20 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
 def quantile_floor(df: DataFrame, q: float, keys: list[str] | None = None, where: Column | None = None, of: DataFrame | None = None) -> DataFrame:
     """Rows at or above the (conditional) score quantile of all rows (of another table, if given) or of their group."""
     of = df if of is None else of
-    value = F.col("score") if where is None else F.when(where, F.col("score"))
+    floor = quantiles(of if where is None else of.filter(where), keys or [], "score", [q])
     if keys:
-        floor = of.groupBy(*keys).agg(F.percentile(value, q).alias("_f"))
-        return df.join(F.broadcast(floor), keys).filter("score >= coalesce(_f, score)").drop("_f")
-    return df.crossJoin(F.broadcast(of.agg(F.percentile(value, q).alias("_f")))).filter("score >= coalesce(_f, score)").drop("_f")
+        return df.join(floor.select(*keys, F.col("quantile").alias("_f")), keys, "left").filter("score >= coalesce(_f, score)").drop("_f")
+    return df.crossJoin(F.broadcast(floor.agg(F.max("quantile").alias("_f")))).filter("score >= coalesce(_f, score)").drop("_f")
 
 
 def weighted_quantile(df: DataFrame, q: float, weight: str, score: str = "score") -> DataFrame:
     """The smallest score at which the cumulative weight reaches q of the whole: equal scores are summed first, so the
     ordered pass goes over distinct scores, not rows."""
     by = df.groupBy(score).agg(F.sum(weight).alias("_w"))
-    cum = by.withColumn("_c", F.sum("_w").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("_w").over(Window.partitionBy()))
+    cum = running_sums(by, [], [F.col(score)], {"_c": F.col("_w")}, {"_t": "_c"})
     return cum.filter(F.col("_c") >= q * F.col("_t")).agg(F.min(score).alias("floor"))
 
 
-def balanced_weights(keys: list[str]) -> Column:
-    """n / (groups * the group's size), over (class, label)-like groups: all groups weigh the same, the mean is 1."""
-    w = Window.partitionBy(*keys)
-    return 1 / F.count("*").over(w)
-
-
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: str) -> DataFrame:
     """First value at which the cumulative weight reaches half."""
     w = Window.partitionBy(*keys).orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0)

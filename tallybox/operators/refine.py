@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.functions.columns import BOX, box_struct, from_latent, iou, latent
+from tallybox.functions.columns import BOX, from_latent, iou, latent, sigmoid
 from tallybox.operators.fuse import GROUP
-from tallybox.operators.rank import geometric_blend, linear_sigmoid
+from tallybox.operators.order import average_ranks
+from tallybox.operators.rank import geometric_blend
+
+TINY = 1e-12
+#: The nine numbers that stand for a box's evidence.
+FEATURES = ("log_score", "both_models", "ab_iou", "sources", "coherence", "dispersion", "edge_only", "log_area", "log_aspect")
 
 
 def representatives(anchors: DataFrame, candidates: DataFrame, floor: float = 0.5) -> DataFrame:
@@ -18,56 +23,105 @@ def representatives(anchors: DataFrame, candidates: DataFrame, floor: float = 0.
     return best.select("det_id", "model", "is_global", "r.*")
 
 
-def evidence_features(df: DataFrame) -> DataFrame:
-    """Nine features of each row from its (at most four) representatives."""
-    reps = representatives(df, df)
-    g = reps.groupBy("det_id").agg(F.max(F.when(F.col("model") == "a", F.col("iou")).otherwise(0.0)).alias("a_iou"), F.max(F.when(F.col("model") == "b", F.col("iou")).otherwise(0.0)).alias("b_iou"),
-                                   F.count("*").alias("n"), F.bool_and("touches_edge").alias("edge_only"), F.collect_list(box_struct(*[F.col("p" + k) for k in BOX])).alias("boxes"))
-    pairs = F.flatten(F.transform("boxes", lambda a, i: F.transform(F.filter("boxes", lambda b, j: j > i), lambda b: iou(a, b))))
-    g = g.withColumn("pw", F.array_sort(pairs)).withColumn("k", F.size("pw"))
-    mid = (F.get("pw", ((F.col("k") - 1) / 2).cast("int")) + F.get("pw", (F.col("k") / 2).cast("int"))) / 2
-    mean = F.aggregate("pw", F.lit(0.0), lambda s, x: s + x) / F.greatest(F.col("k"), F.lit(1))
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    one = F.lit(1.0)
-    return df.join(g, "det_id").select(
-        "det_id", F.round(F.ln(F.greatest("score", F.lit(1e-12))), 6).alias("score_log"), (F.col("a_iou") > 0).cast("int").alias("a_present"), (F.col("b_iou") > 0).cast("int").alias("b_present"),
-        F.round("a_iou", 6).alias("a_iou"), F.round("b_iou", 6).alias("b_iou"), "n", F.round(F.when(F.col("k") > 0, mean).otherwise(one), 6).alias("coherence"),
-        F.round(1 - F.when(F.col("k") > 0, mid).otherwise(one), 6).alias("dispersion"), "edge_only", F.round(F.ln(F.greatest(w * h, one)), 6).alias("area_log"),
-        F.round(F.ln(F.greatest(w, one) / F.greatest(h, one)), 6).alias("aspect_log"))
-
-
-def quality_scores(df: DataFrame, features: dict[str, tuple[float, float, float]], intercept: float, weight: float) -> DataFrame:
-    """base^(1-b) quality^b with a linear-sigmoid quality of the evidence. Rows are neither added nor dropped."""
-    reps = representatives(df, df).groupBy("det_id").agg(F.max(F.when(F.col("model") == "a", F.col("iou")).otherwise(0.0)).alias("a_iou"), F.max(F.when(F.col("model") == "b", F.col("iou")).otherwise(0.0)).alias("b_iou"))
-    return df.join(reps, "det_id").select("det_id", F.round(geometric_blend(F.col("score"), linear_sigmoid(features, intercept), weight), 6).alias("score"))
-
-
-def consensus_delta(df: DataFrame, gain: float) -> DataFrame:
-    """Score raised by the number of agreeing representatives, all divided by the largest if that is over 1."""
-    n = representatives(df, df).groupBy("det_id").agg(F.count("*").alias("n"))
-    s = df.join(n, "det_id").select("det_id", (F.col("score") * (1 + gain * (F.col("n") - 1))).alias("s"))
-    top = s.agg(F.greatest(F.lit(1.0), F.max("s")).alias("top"))
-    return s.crossJoin(F.broadcast(top)).select("det_id", F.round(F.col("s") / F.col("top"), 6).alias("score"))
-
-
-def robust_refinement(df: DataFrame, width: Column, height: Column, most_dispersion: float = 0.35, trust: float = 0.6) -> DataFrame:
-    """Boxes moved to the weighted median of their representatives in latent space where both models agree; the reason otherwise."""
-    reps = representatives(df, df)
-    g = reps.groupBy("det_id").agg(F.collect_set("model").alias("models"), F.collect_list(F.struct(*["p" + k for k in BOX], F.col("p_score").alias("w"), "touches_edge", "is_global")).alias("r"))
-    donors = F.filter("r", lambda r: ~r["touches_edge"])
-    lat = F.transform(donors, lambda r: F.struct(latent(F.struct(*[r["p" + k].alias(k) for k in BOX])).alias("l"), F.greatest(r["w"], F.lit(1e-6)).alias("w")))
-    g = g.withColumn("d", lat).withColumn("local", F.exists("r", lambda r: ~r["touches_edge"] & ~r["is_global"])).withColumn("n", F.size("d"))
+def _median(values: Column) -> Column:
+    """The median of an array, null of an empty one."""
+    v, n = F.array_sort(values), F.size(values)
+    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def evidence(anchors: DataFrame, candidates: DataFrame, width: Column | float, height: Column | float, floor: float = 0.5) -> DataFrame:
+    """`anchors` with `reps` (an array, at most four) and FEATURES.
+
+    Models agree by the best IoU of a box of one with a box of the other; a model's views cohere by the IoU of its whole-image with its
+    tile box. Dispersion is the median of 1 - IoU over all pairs, 1 without one."""
+    reps = representatives(anchors, candidates, floor)
+    row = F.struct("model", "is_global", "iou", "p_score", "touches_edge", *[F.col("p" + c).alias(c) for c in BOX])
+    reps = reps.groupBy("det_id").agg(F.array_sort(F.collect_list(row)).alias("reps"))
+    df = anchors.join(reps, "det_id", "left").withColumn("reps", F.coalesce("reps", F.array().cast(reps.schema["reps"].dataType)))
+    pairs = F.flatten(F.transform("reps", lambda a, i: F.transform(F.filter("reps", lambda b, j: j > i), lambda b: F.struct((a["model"] == b["model"]).alias("same"), iou(a, b).alias("iou")))))
+    df = df.withColumn("_pairs", pairs)
+    across = F.transform(F.filter("_pairs", lambda p: ~p["same"]), lambda p: p["iou"])
+    within = F.transform(F.filter("_pairs", lambda p: p["same"]), lambda p: p["iou"])
+    w, h = F.greatest(F.col("x2") - F.col("x1"), F.lit(TINY)), F.greatest(F.col("y2") - F.col("y1"), F.lit(TINY))
+    models = F.size(F.array_distinct(F.transform("reps", lambda r: r["model"])))
+    return df.withColumns({
+        "log_score": F.ln(F.greatest("score", F.lit(TINY))), "both_models": (models == 2).cast("double"), "ab_iou": F.coalesce(F.array_max(across), F.lit(0.0)),
+        "sources": F.size("reps").cast("double"), "coherence": F.coalesce(F.when(F.size(within) > 0, _mean(within)), F.lit(0.0)), "has_views": F.size(within) > 0,
+        "dispersion": F.coalesce(_median(F.transform("_pairs", lambda p: 1 - p["iou"])), F.lit(1.0)),
+        "edge_only": ((F.size("reps") > 0) & F.forall("reps", lambda r: ~r["is_global"] & r["touches_edge"])).cast("double"),
+        "log_area": F.ln(F.greatest(w * h / (width * height), F.lit(TINY))), "log_aspect": F.ln(w / h)}).drop("_pairs")
+
+
+def quality(profile: dict[str, tuple[float, float, float]], intercept: float) -> Column:
+    """Sigmoid of a linear sum of features; profile: feature -> (mean, scale, coefficient)."""
+    z = F.lit(float(intercept))
+    for name, (mean, scale, coefficient) in profile.items():
+        z = z + (F.col(name) - mean) / scale * coefficient
+    return sigmoid(z, 700.0)
+
+
+def rescored(df: DataFrame, profile: dict[str, tuple[float, float, float]], intercept: float, blend: float) -> DataFrame:
+    """The score blended geometrically with the quality of the evidence, within 0 and 1; as it was if `blend` is 0."""
+    mixed = geometric_blend(F.col("score"), quality(profile, intercept), blend) if blend else F.col("score")
+    return df.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), mixed)))
 
-    def median(field: str) -> Column:
-        rows = F.array_sort(F.transform("d", lambda x: F.struct(x["l"][field].alias("v"), x["w"].alias("w"))))
-        total = F.aggregate("d", F.lit(0.0), lambda s, x: s + x["w"])
-        return F.aggregate(rows, F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("v")), lambda s, x: F.struct((s["c"] + x["w"]).alias("c"), F.when(s["v"].isNull() & (s["c"] + x["w"] >= total / 2), x["v"]).otherwise(s["v"]).alias("v")))["v"]
 
-    out = df.join(g, "det_id", "left").withColumn("m", F.struct(*[median(f).alias(f) for f in ("cx", "cy", "lw", "lh")])).withColumn("b", from_latent(F.col("m"), width, height))
-    spread = 1 - F.aggregate(F.transform("r", lambda r: iou("", F.struct(*[r["p" + k].alias(k) for k in BOX]))), F.lit(1.0), lambda s, x: F.least(s, x))
-    out = out.withColumn("reason", F.when(F.size("models") < 2, "one_model").when(spread > most_dispersion, "dispersed").when(~F.col("local"), "no_local_donor").when(F.col("n") < 2, "few_donors").when(iou("", F.col("b")) < trust, "out_of_trust").otherwise("refined"))
+def _over(value: Column, floor: float) -> Column:
+    """How far a value is from `floor` to 1, from 0 to 1."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (value - floor) / (1 - floor)))
+
+
+def divided_by_largest(df: DataFrame) -> DataFrame:
+    """Scores divided by the largest, if that is over 1: the order stays."""
+    top = df.agg(F.greatest(F.lit(1.0), F.max("score")).alias("_top"))
+    return df.crossJoin(F.broadcast(top)).withColumn("score", F.col("score") / F.col("_top")).drop("_top")
+
+
+def consensus_delta(df: DataFrame, floor: float = 0.6, agreement: float = 0.18, views: float = 0.08, sources: float = 0.05, edge: float = 0.10, least: float = -0.10, most: float = 0.25) -> DataFrame:
+    """Scores times exp(delta), delta from the agreement of models, of views, the number of sources and a box seen at tile edges alone;
+    all divided by the largest if that is over 1. `df` holds the evidence."""
+    delta = (agreement * F.col("both_models") * _over(F.col("ab_iou"), floor) + views * F.col("has_views").cast("double") * _over(F.col("coherence"), floor)
+             + sources * F.log2(F.least(F.lit(4.0), F.greatest(F.lit(1.0), F.col("sources")))) / 2 - edge * F.col("edge_only"))
+    return divided_by_largest(df.withColumn("score", F.col("score") * F.exp(F.least(F.lit(most), F.greatest(F.lit(least), delta)))))
+
+
+def view_invariant_delta(df: DataFrame, floor: float = 0.6, amplitude: float = 0.08) -> DataFrame:
+    """Scores times exp(amplitude * strength * (2 percentile - 1)): strength is how far the models' agreement is over `floor`, its percentile that among
+    the supported rows of the class; rows without support stay. All divided by the largest if that is over 1. `df` holds the evidence."""
+    supported = (F.col("both_models") > 0) & (F.col("ab_iou") > floor)
+    df = df.withColumn("_strength", F.when(supported, _over(F.col("ab_iou"), floor)))
+    ranked = average_ranks(df.filter(supported), ["class_id"], "_strength", "_rank", "_all").withColumn("_d", amplitude * F.col("_strength") * (2 * (F.col("_rank") + 0.5) / F.col("_all") - 1))
+    rest = df.filter(~supported).withColumn("_d", F.lit(0.0))
+    out = ranked.drop("_rank", "_all").unionByName(rest)
+    return divided_by_largest(out.withColumn("score", F.col("score") * F.exp("_d")).drop("_d", "_strength"))
+
+
+def robust_refinement(df: DataFrame, width: Column | float, height: Column | float, most_dispersion: float = 0.20, trust: float = 0.85, least_donors: int = 2, score_power: float = 0.5, iou_power: float = 1.0) -> DataFrame:
+    """Boxes moved to the weighted median of their donors in latent space, where the evidence is good; `reason` says why not elsewhere.
+
+    Donors: whole-image boxes, and tile boxes off the tiles' edges; weight: powers of the score and of the IoU with the anchor. `df` holds
+    the evidence."""
+    donors = F.filter("reps", lambda r: r["is_global"] | ~r["touches_edge"])
+    weight = lambda r: F.pow(F.greatest(r["p_score"], F.lit(TINY)), score_power) * F.pow(F.greatest(r["iou"], F.lit(TINY)), iou_power)
+    g = df.withColumn("_d", F.transform(donors, lambda r: F.struct(latent(r).alias("l"), weight(r).alias("w"))))
+    local = F.exists("reps", lambda r: ~r["touches_edge"] & ~r["is_global"])
+
+    def median(field: str) -> Column:
+        rows = F.array_sort(F.transform("_d", lambda x: F.struct(x["l"][field].alias("v"), x["w"].alias("w"))))
+        total = F.aggregate("_d", F.lit(0.0), lambda s, x: s + x["w"])
+        step = lambda s, x: F.struct((s["c"] + x["w"]).alias("c"), F.when(s["v"].isNull() & (s["c"] + x["w"] >= total / 2), x["v"]).otherwise(s["v"]).alias("v"))
+        return F.aggregate(rows, F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("v")), step)["v"]
+
+    g = g.withColumn("_m", F.struct(*[median(f).alias(f) for f in ("cx", "cy", "lw", "lh")])).withColumn("_b", from_latent(F.col("_m"), width, height))
+    reason = (F.when(F.col("both_models") == 0, "missing_model").when(F.col("dispersion") > most_dispersion, "dispersed").when(~local, "no_local_donor").when(F.size("_d") < least_donors, "few_donors")
+              .when((F.col("_b.x2") <= F.col("_b.x1")) | (F.col("_b.y2") <= F.col("_b.y1")), "invalid").when(iou("", F.col("_b")) < trust, "out_of_trust").otherwise("refined"))
+    g = g.withColumn("reason", reason)
     ok = F.col("reason") == "refined"
-    return out.select("det_id", *[F.when(ok, F.col(f"b.{c}")).otherwise(F.col(c)).alias(c) for c in BOX], "score", "reason")
+    return g.withColumns({c: F.when(ok, F.col(f"_b.{c}")).otherwise(F.col(c)) for c in BOX}).drop("_d", "_m", "_b")
 
 
 def seam_statistics(df: DataFrame, xs: list[float], ys: list[float], margin: float) -> DataFrame:

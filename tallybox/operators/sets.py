@@ -36,6 +36,7 @@ def counter_total(log: DataFrame, keys: list[str], counter: str, order: list[str
 
 
 def membership_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row that is equal for equal bags of rows, whatever their order: count, xor and sum of the rows' hashes."""
-    h = F.xxhash64(*columns)
+    """One row that is equal for equal bags of rows, whatever their order: count, xor and sum of 60 bits of the rows' sha256."""
+    text = F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), "|")
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
     return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybox.functions.columns import BOX, iou
-from tallybox.operators.fuse import GROUP, nms, pairs_at
+from tallybox.operators.fuse import GROUP, nms
+from tallybox.operators.rank import relative_rank
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
@@ -85,6 +86,28 @@ def missing_and_unknown(expected: DataFrame, present: DataFrame, key: str) -> Da
     return miss.union(present.select(key).join(expected, key, "left_anti").select(key, F.lit("unknown").alias("problem")))
 
 
+def context_features(df: DataFrame, width: float, height: float, classes: list[int]) -> DataFrame:
+    """`df` with the box's size, shape and place in its image, its relative ranks by score, the logs of the counts, and a column for each class."""
+    w, h = F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0)), F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0))
+    log = lambda v, least: F.ln(F.greatest(v, F.lit(least)))
+    order = [F.desc("score"), F.asc("det_id")]
+    count = lambda keys: F.ln(F.count("*").over(Window.partitionBy(*keys)))
+    df = df.withColumns({"log_w": log(w / width, 1e-8), "log_h": log(h / height, 1e-8), "log_area": log(w / width * (h / height), 1e-12), "log_aspect": log(w / h, 1e-8), "cx": (F.col("x1") + F.col("x2")) / (2 * width), "cy": (F.col("y1") + F.col("y2")) / (2 * height),
+                         "rank_image": relative_rank(["image_id"], *order), "rank_class": relative_rank(GROUP, *order), "log_image": count(["image_id"]), "log_class": count(GROUP), **{f"class_{c}": (F.col("class_id") == c).cast("double") for c in classes}})
+    return df.withColumn("edge", F.least("cx", 1 - F.col("cx"), "cy", 1 - F.col("cy")))
+
+
+def cluster_features(df: DataFrame, floor: float = 0.5) -> DataFrame:
+    """det_id, log_peers (boxes of the group with an IoU of `floor`), max_iou with any other, higher (peers of a higher score), top (none is), rel (rank in the group)."""
+    o = df.select(*GROUP, F.col("det_id").alias("_id"), F.col("score").alias("_s"), *[F.col(c).alias("o" + c) for c in BOX])
+    p = df.join(o, GROUP).filter("det_id <> _id").withColumn("_i", iou("", "o"))
+    peer = F.col("_i") >= floor
+    p = p.groupBy("det_id").agg(F.count_if(peer).alias("_n"), F.max("_i").alias("max_iou"), F.count_if(peer & (F.col("_s") > F.col("score"))).alias("higher"))
+    r = df.select("det_id", relative_rank(GROUP, F.desc("score"), F.asc("det_id")).alias("rel"))
+    zero = F.lit(0)
+    return r.join(p, "det_id", "left").select("det_id", F.log1p(F.coalesce("_n", zero)).alias("log_peers"), F.coalesce("max_iou", F.lit(0.0)).alias("max_iou"), F.coalesce("higher", zero).alias("higher"), (F.coalesce("higher", zero) == 0).alias("top"), "rel")
+
+
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -95,6 +118,3 @@ def nearest_in_prefix(queries: DataFrame, others: DataFrame, prefix: str, key: s
     p = queries.select(prefix, key, vector, F.sqrt(dot(F.col(vector), F.col(vector))).alias("_q")).join(o, prefix)
     p = p.select(key, "near", (dot(F.col(vector), F.col("_o")) / (F.col("_q") * F.col("_n"))).alias("sim"))
     return p.groupBy(key).agg(F.max_by(F.struct("near", "sim"), F.struct("sim", -F.col("near"))).alias("b")).select(key, "b.near", "b.sim")
-
-
-__all__ = ["crossview_rescue", "identity_join", "incremental_rescue", "misaligned", "missing_and_unknown", "mutual_best", "nearest_in_prefix", "pairs_at", "sequence_support", "truth_coverage"]

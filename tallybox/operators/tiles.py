@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybox.operators.order import row_numbers
 from tallybox.functions.columns import BOX, hash_fraction, iou
 
 TILE = ["tx", "ty", "tw", "th"]
@@ -100,8 +101,7 @@ def systematic_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows evenly spaced in key order: the indices of a linear spacing, cut to whole numbers."""
     total = rows.count()
     at = sorted({int(i * (total - 1) / max(1, n - 1)) for i in range(n)}) if total else []
-    indexed = rows.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
-    return indexed.filter(F.col("_i").isin(at)).drop("_i")
+    return row_numbers(rows, [F.col(key)], "_i").filter((F.col("_i") - 1).isin(at)).drop("_i")
 
 
 def jittered_proposals(gt: DataFrame, tries: int, least_iou: float, seed: str) -> DataFrame:

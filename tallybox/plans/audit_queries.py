@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tallybox.functions.columns import BOX
 from tallybox.operators import audit, govern, metrics, sets
 from tallybox.operators.fuse import GROUP
-from tallybox.plans.metric_queries import FIG, L, labelled
+from tallybox.plans.metric_queries import FIG, labelled
+from tallybox.plans.join_queries import PR
 from tallybox.plans.registry import query
+from tallybox.session import cut as checkpointed
 
 
 @query("g1_dataset_audit", """WITH b AS (SELECT class_id, x2-x1 AS w, y2-y1 AS h, (x2-x1)*(y2-y1) AS area FROM det), u AS (SELECT class_id, unnest(['w', 'h', 'area']) AS measure, unnest([w, h, area]) AS v FROM b)
@@ -34,7 +36,7 @@ def g3(v):
 
 @query("g4_split_by_class", "SELECT class_id, count(*) FILTER (view = 'grid') AS grid, count(*) FILTER (view = 'original') AS original FROM det JOIN images USING (image_id) GROUP BY 1")
 def g4(v):
-    return v.det.join(F.broadcast(v.images.select("image_id", "view")), "image_id").groupBy("class_id").pivot("view", ["grid", "original"]).count().fillna(0)
+    return v.det.join(v.images.select("image_id", "view"), "image_id").groupBy("class_id").pivot("view", ["grid", "original"]).count().fillna(0)
 
 
 @query("g5_prediction_distribution", "WITH i AS (SELECT image_id, class_id, count(*) AS n FROM det GROUP BY ALL) SELECT class_id, sum(n)::BIGINT AS total, count(*) AS images, quantile_cont(n, 0.5) AS median, round(quantile_cont(n, 0.99), 6) AS p99 FROM i GROUP BY 1")
@@ -88,9 +90,10 @@ def g12(v):
     return d.agg(F.count_if(F.col("d") != 0).alias("changed"), F.round(F.min("d"), 6).alias("least"), F.round(F.percentile("d", 0.5), 6).alias("median"), F.round(F.max("d"), 6).alias("most"))
 
 
-@query("g13_membership_digest")
+@query("g13_membership_digest", "SELECT count(*) AS n, bit_xor(h) AS xor, CAST(sum(h::HUGEINT) AS VARCHAR) AS sum FROM (SELECT CAST(concat('0x', substr(sha256(concat_ws('|', image_id, class_id, CAST(x1 AS BIGINT), CAST(y1 AS BIGINT), CAST(x2 AS BIGINT), CAST(y2 AS BIGINT))), 1, 15)) AS BIGINT) AS h FROM det)")
 def g13(v):
-    return sets.membership_digest(v.det, [*GROUP, *BOX])
+    whole = v.det.withColumns({c: F.col(c).cast("bigint") for c in BOX})  # coordinates are whole numbers here
+    return sets.membership_digest(whole, [*GROUP, *BOX])
 
 
 @query("g14_membership_equality", "WITH a AS (SELECT image_id, class_id FROM det_a), b AS (SELECT image_id, class_id FROM det_b), x AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), y AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a) SELECT (SELECT count(*) FROM x)+(SELECT count(*) FROM y) AS different")
@@ -118,55 +121,61 @@ def g17(v):
 # --- governance --------------------------------------------------------------------------------
 
 def cc(v):
-    o = v.orders.filter("o_orderkey % 9 = 0")
-    keys = F.array(F.concat(F.lit("o"), (F.col("o_orderkey") % 701).cast("string")))
-    rows = o.select(F.col("o_custkey").alias("id"), keys.alias("keys"))
-    return govern.connected_groups(rows.select("id").distinct(), govern.key_edges(rows, "id"))
+    """Groups of fingerprints: of near duplicates, and of equal pixels."""
+    prints = checkpointed(govern.fingerprints(v.fingers))
+    same = govern.key_edges(prints.select("id", F.array("pixel").alias("keys")), "id")
+    return govern.group_names(govern.connected_groups(prints.select("id"), govern.near_duplicate_pairs(prints).select("a", "b").union(same)))
 
 
-CCS = """e AS (SELECT DISTINCT o_custkey AS id, concat('o', o_orderkey % 701) AS key FROM orders WHERE o_orderkey % 9 = 0), h AS (SELECT key, min(id) AS head FROM e GROUP BY 1),
-ed AS (SELECT DISTINCT head AS a, id AS b FROM e JOIN h USING (key) WHERE head <> id), both_ AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), vs AS (SELECT DISTINCT id FROM e),
-re AS (SELECT id, id AS r FROM vs UNION SELECT b, r FROM re JOIN both_ ON re.id = both_.a), gr AS (SELECT id, min(r) AS head FROM re GROUP BY 1)"""
+CCS = f"""{PR}, h AS (SELECT pixel, min(id) AS head FROM pp GROUP BY 1), ed AS (SELECT a, b FROM nd UNION SELECT head, id FROM pp JOIN h USING (pixel) WHERE head <> id), both_ AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+re AS (SELECT id, id AS r FROM pp UNION SELECT b, r FROM re JOIN both_ ON re.id = both_.a), gr AS (SELECT id, min(r) AS head FROM re GROUP BY 1),
+gn AS (SELECT head, substr(sha256(string_agg(CAST(id AS VARCHAR), chr(10) ORDER BY CAST(id AS VARCHAR))), 1, 20) AS name FROM gr GROUP BY 1)"""
 
 
-@query("d1_connected_groups", f"WITH RECURSIVE {CCS} SELECT id, head FROM gr")
+@query("d1_connected_groups", f"WITH RECURSIVE {CCS} SELECT id, head, name FROM gr JOIN gn USING (head)")
 def d1(v):
-    return cc(v).select("id", "head")
+    return cc(v)
 
 
 @query("d2_quarantine", f"WITH RECURSIVE {CCS}, mk AS (SELECT id, 'test' AS reason FROM gr WHERE id % 211 = 0 UNION ALL SELECT id, 'conflict' FROM gr WHERE id % 97 = 0), bad AS (SELECT head, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM gr JOIN mk USING (id) GROUP BY 1) SELECT id, head, reasons FROM gr JOIN bad USING (head)")
 def d2(v):
-    g = cc(v)
+    g = checkpointed(cc(v))
     marks = g.filter("id % 211 = 0").select("id", F.lit("test").alias("reason")).union(g.filter("id % 97 = 0").select("id", F.lit("conflict").alias("reason")))
     return govern.quarantine(g, marks)
 
 
-CLS = list(range(8))
+CLS = [f"c{c}" for c in range(8)]
 
 
 def per_group(v):
-    g = v.gt.join(F.broadcast(v.images.select("image_id", "grp")), "image_id")
-    return g.groupBy("grp").agg(F.count("*").alias("n"), *[F.count_if(F.col("class_id") == c).alias(f"c{c}") for c in CLS])
+    """Images and boxes of each class in each group."""
+    n = v.images.groupBy("grp").agg(F.count("*").alias("n"))
+    g = v.gt.join(v.images.select("image_id", "grp"), "image_id").groupBy("grp").agg(*[F.count_if(F.col("class_id") == c).alias(f"c{c}") for c in range(8)])
+    return n.join(g, "grp", "left").na.fill(0)
 
 
-def sql_split(seed: int, trials: int, share: float) -> str:
-    err = " + ".join(f"abs(sum(CASE WHEN val THEN c{c} ELSE 0 END)/greatest(sum(c{c}), 1)-{share}) + CASE WHEN sum(c{c}) > 0 AND sum(CASE WHEN val THEN c{c} ELSE 0 END) = 0 THEN 4.0 ELSE 0.0 END" for c in CLS)
-    counts = ", ".join(f"count(*) FILTER (class_id = {c}) AS c{c}" for c in CLS)
-    return f"""pg AS (SELECT grp, count(*) AS n, {counts} FROM gt JOIN images USING (image_id) GROUP BY 1),
-tr AS (SELECT *, CAST(concat('0x', substr(sha256(concat('{seed}:', trial, ':', grp)), 1, 8)) AS BIGINT) % 1000 < {int(1000 * share)} AS val FROM pg, range(0, {trials}) r(trial)),
-co AS (SELECT trial, round({err} + 0.5*abs(sum(CASE WHEN val THEN n ELSE 0 END)/sum(n)-{share}), 9) AS cost, count(*) FILTER (val) AS groups FROM tr GROUP BY 1)"""
+GROUPS = f"""pg AS (SELECT grp, n, {', '.join(f'coalesce({c}, 0) AS {c}' for c in CLS)} FROM (SELECT grp, count(*) AS n FROM images GROUP BY 1) LEFT JOIN (SELECT grp, {', '.join(f'count(*) FILTER (class_id = {c}) AS c{c}' for c in range(8))} FROM gt JOIN images USING (image_id) GROUP BY 1) USING (grp))"""
 
 
-@query("d3_group_stratified_split", f"WITH {sql_split(7, 50, 0.25)} SELECT cost, CAST(trial AS INT) AS trial, groups FROM co ORDER BY cost, trial LIMIT 1")
+def sql_split(groups: str, name: str, seed: int, trials: int, share: float) -> str:
+    """CTE `name` (grp, val) of the best of the trials."""
+    taken = lambda c: f"sum(CASE WHEN val THEN {c} ELSE 0 END)"
+    error = lambda c: f"pow(({taken(c)}-sum({c})*{share}::DOUBLE)/greatest(sum({c})*{share}::DOUBLE, 1.0), 2)"
+    missing = lambda c: f"CASE WHEN count(*) FILTER ({c} > 0) >= 2 AND ({taken(c)} = 0 OR {taken(c)} = sum({c})) THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END"
+    cost = f"({'+'.join(map(error, CLS))})/{len(CLS)}+0.5::DOUBLE*{error('n')}+{'+'.join(map(missing, CLS))}"
+    return f"""{name}t AS (SELECT *, CAST(concat('0x', substr(sha256(CASE WHEN trial = 0 THEN concat('{seed}:', grp) ELSE concat('{seed}:', trial, ':', grp) END), 1, 8)) AS BIGINT)/4294967296.0::DOUBLE < CASE WHEN trial = 0 THEN {share}::DOUBLE ELSE {min(0.95, max(0.05, share))}::DOUBLE END AS val FROM {groups}, range(0, {trials}) r(trial)),
+{name}c AS (SELECT trial, round({cost}, 9) AS cost FROM {name}t GROUP BY 1 HAVING count(*) FILTER (val) > 0 AND count(*) FILTER (NOT val) > 0), {name} AS (SELECT grp, val FROM {name}t WHERE trial = (SELECT trial FROM {name}c ORDER BY cost, trial LIMIT 1))"""
+
+
+@query("d3_group_stratified_split", f"WITH {GROUPS}, {sql_split('pg', 's', 7, 50, 0.25)} SELECT grp, val FROM s")
 def d3(v):
-    return govern.best_split(per_group(v), [f"c{c}" for c in CLS], 0.25, 50, 7)
+    return govern.best_split(per_group(v), CLS, 0.25, 50, 7)
 
 
-@query("d4_three_way_split", f"WITH {sql_split(7, 50, 0.25)}, {sql_split(1016, 50, 0.2).replace('pg AS', 'pg2 AS').replace('FROM pg,', 'FROM pg2,').replace('tr AS', 'tr2 AS').replace('FROM tr ', 'FROM tr2 ').replace('co AS', 'co2 AS')} SELECT 'val' AS part, cost, CAST(trial AS INT) AS trial FROM (SELECT * FROM co ORDER BY cost, trial LIMIT 1) UNION ALL SELECT 'calibration', cost, CAST(trial AS INT) FROM (SELECT * FROM co2 ORDER BY cost, trial LIMIT 1)")
+@query("d4_three_way_split", f"""WITH {GROUPS}, {sql_split('pg', 's', 7, 50, 0.25)}, pr AS (SELECT pg.* FROM pg JOIN s USING (grp) WHERE NOT val), {sql_split('pr', 'u', 1016, 50, 0.2 / 0.75)}
+SELECT grp, 'val' AS part FROM s WHERE val UNION ALL SELECT grp, CASE WHEN val THEN 'calibration' ELSE 'train' END FROM u""")
 def d4(v):
-    g, c = per_group(v), [f"c{c}" for c in CLS]
-    one = lambda part, share, seed: govern.best_split(g, c, share, 50, seed).select(F.lit(part).alias("part"), "cost", "trial")
-    return one("val", 0.25, 7).union(one("calibration", 0.2, 7 + 1009))
+    return govern.three_way_split(checkpointed(per_group(v)), CLS, 0.25, 0.2, 50, 7)
 
 
 MEMBERS = "m AS (SELECT CASE WHEN image_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, concat('im', image_id % 190) AS path, grp FROM images)"
@@ -229,7 +238,7 @@ def d10(v):
     return faulty(v).select("det_id", problem().alias("problem")).filter("problem is not null")
 
 
-@query("d11_dataset_signature")
+@query("d11_dataset_signature", "SELECT count(*) AS n, bit_xor(h) AS xor, CAST(sum(h::HUGEINT) AS VARCHAR) AS sum FROM (SELECT CAST(concat('0x', substr(sha256(concat_ws('|', doc_id, sha256(coalesce(text, '')))), 1, 15)) AS BIGINT) AS h FROM documents)")
 def d11(v):
     files = v.documents.select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     return sets.membership_digest(files, ["path", "sha"])
@@ -252,6 +261,3 @@ def d13(v):
 @query("d14_family_filter", "SELECT doc_id FROM documents WHERE regexp_matches(source, '^src1[0-9]$')")
 def d14(v):
     return v.documents.filter(F.col("source").rlike("^src1[0-9]$")).select("doc_id")
-
-
-__all__ = ["L"]

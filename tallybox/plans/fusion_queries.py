@@ -21,9 +21,9 @@ def a1(v):
     return fuse.nms(v.det, 0.5).select(*IDS, "score")
 
 
-@query("a2_agnostic_nms", f"WITH s AS (SELECT * FROM det WHERE score >= 0.9), k AS ({sql_nms('s', 0.6, 'image_id')}) SELECT det_id FROM k")
+@query("a2_agnostic_nms", f"WITH k AS ({sql_nms('det', 0.6, 'image_id')}) SELECT det_id FROM k")
 def a2(v):
-    return fuse.agnostic_nms(v.det.filter("score >= 0.9"), 0.6).select("det_id")
+    return fuse.agnostic_nms(v.det, 0.6).select("det_id")
 
 
 @query("a3_wbf")
@@ -70,9 +70,29 @@ def a8(v):
     return fuse.layered(v.det, layers, F.lit(4096.0), F.lit(3000.0), 0.0).groupBy("layer", "class_id").agg(F.count("*").alias("n"))
 
 
-@query("a9_robust_refinement")
+REPS = f"""rp AS (SELECT a.det_id, p.det_id AS pid, p.model, p.is_global, p.score, p.touches_edge, {sql_iou('a.', 'p.')} AS i, p.x1, p.y1, p.x2, p.y2 FROM det a JOIN det p ON a.image_id = p.image_id AND a.class_id = p.class_id WHERE {sql_iou('a.', 'p.')} >= 0.5
+ QUALIFY row_number() OVER (PARTITION BY a.det_id, p.model, p.is_global ORDER BY i DESC, p.score DESC, p.det_id) = 1)"""
+EVIDENCE = f"""{REPS}, pw AS (SELECT a.det_id, a.model = b.model AS same, {sql_iou('a.', 'b.')} AS i FROM rp a JOIN rp b ON a.det_id = b.det_id AND (a.model < b.model OR (a.model = b.model AND a.is_global < b.is_global))),
+pq AS (SELECT det_id, max(i) FILTER (NOT same) AS ab, avg(i) FILTER (same) AS views, quantile_cont(1-i, 0.5) AS spread FROM pw GROUP BY 1),
+ag AS (SELECT det_id, count(*) AS n, count(DISTINCT model) AS m, bool_and(NOT is_global AND touches_edge) AS edges, bool_or(NOT is_global AND NOT touches_edge) AS loc, count(*) FILTER (is_global OR NOT touches_edge) AS donors FROM rp GROUP BY 1),
+ev AS (SELECT d.*, ln(greatest(d.score, 1e-12)) AS log_score, CASE WHEN m = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS both_models, coalesce(ab, 0.0::DOUBLE) AS ab_iou, n::DOUBLE AS sources, coalesce(views, 0.0::DOUBLE) AS coherence, views IS NOT NULL AS has_views,
+ coalesce(spread, 1.0::DOUBLE) AS dispersion, CASE WHEN edges THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS edge_only, ln((x2-x1)*(y2-y1)/(4096.0::DOUBLE*3000)) AS log_area, ln((x2-x1)/(y2-y1)) AS log_aspect, loc, donors FROM det d JOIN ag USING (det_id) LEFT JOIN pq USING (det_id))"""
+OVER = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({v}-0.6::DOUBLE)/(1-0.6::DOUBLE)))"
+REFINED = f"""{EVIDENCE}, dn AS (SELECT det_id, pow(greatest(score, 1e-12), 0.5)*greatest(i, 1e-12) AS w, (x1+x2)/2 AS cx, (y1+y2)/2 AS cy, ln(greatest(x2-x1, 1e-9)) AS lw, ln(greatest(y2-y1, 1e-9)) AS lh FROM rp WHERE is_global OR NOT touches_edge),
+up AS (UNPIVOT dn ON cx, cy, lw, lh INTO NAME dim VALUE v), wm AS (SELECT det_id, dim, min(v) AS v FROM (SELECT *, sum(w) OVER (PARTITION BY det_id, dim ORDER BY v, w ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY det_id, dim) AS t FROM up) WHERE c >= t/2 GROUP BY 1, 2),
+md AS (SELECT det_id, max(v) FILTER (dim = 'cx') AS cx, max(v) FILTER (dim = 'cy') AS cy, exp(max(v) FILTER (dim = 'lw')) AS w, exp(max(v) FILTER (dim = 'lh')) AS h FROM wm GROUP BY 1),
+rb AS (SELECT det_id, greatest(0.0::DOUBLE, cx-w/2) AS x1, greatest(0.0::DOUBLE, cy-h/2) AS y1, least(4096.0::DOUBLE, cx+w/2) AS x2, least(3000.0::DOUBLE, cy+h/2) AS y2 FROM md),
+why AS (SELECT e.*, r.x1 AS rx1, r.y1 AS ry1, r.x2 AS rx2, r.y2 AS ry2, CASE WHEN both_models = 0 THEN 'missing_model' WHEN dispersion > 0.20::DOUBLE THEN 'dispersed' WHEN NOT loc THEN 'no_local_donor' WHEN donors < 2 THEN 'few_donors' WHEN r.x2 <= r.x1 OR r.y2 <= r.y1 THEN 'invalid' WHEN {sql_iou('e.', 'r.')} < 0.85::DOUBLE THEN 'out_of_trust' ELSE 'refined' END AS reason FROM ev e LEFT JOIN rb r USING (det_id))"""
+MOVED = ", ".join(f"round(CASE WHEN reason = 'refined' THEN r{c} ELSE {c} END, 4) AS {c}" for c in BOX)
+
+
+def evidence(v):
+    return refine.evidence(v.det, v.det, 4096.0, 3000.0)
+
+
+@query("a9_robust_refinement", f"WITH {REFINED} SELECT det_id, {MOVED}, score, reason FROM why")
 def a9(v):
-    return refine.robust_refinement(v.det, F.lit(4096.0), F.lit(3000.0))
+    return refine.robust_refinement(evidence(v), 4096.0, 3000.0).select("det_id", *[F.round(c, 4).alias(c) for c in BOX], "score", "reason")
 
 
 @query("a10_weighted_median", """WITH c AS (SELECT image_id, class_id, x1, sum(score) OVER (PARTITION BY image_id, class_id ORDER BY x1, det_id ROWS UNBOUNDED PRECEDING) AS c, sum(score) OVER (PARTITION BY image_id, class_id) AS t FROM (SELECT det_id, image_id, class_id, x1, CAST(round(score*1000) AS BIGINT) AS score FROM det))
@@ -82,37 +102,33 @@ def a10(v):
     return rank.weighted_median(d, ["image_id", "class_id"], "x1", "w", "det_id")
 
 
-REPS = f"""rp AS (SELECT a.det_id, p.det_id AS pid, p.model, p.is_global, p.score, p.touches_edge, {sql_iou('a.', 'p.')} AS i, p.x1, p.y1, p.x2, p.y2 FROM det a JOIN det p ON a.image_id = p.image_id AND a.class_id = p.class_id WHERE {sql_iou('a.', 'p.')} >= 0.5
- QUALIFY row_number() OVER (PARTITION BY a.det_id, p.model, p.is_global ORDER BY i DESC, p.score DESC, p.det_id) = 1)"""
+@query("a11_evidence_features", f"WITH {EVIDENCE} SELECT det_id, {', '.join(f'round({c}, 6) AS {c}' for c in refine.FEATURES)} FROM ev")
+def a11(v):
+    return evidence(v).select("det_id", *[F.round(c, 6).alias(c) for c in refine.FEATURES])
 
 
-@query("a11_evidence_features", f"""WITH {REPS}, pw AS (SELECT a.det_id, {sql_iou('a.', 'b.')} AS i FROM rp a JOIN rp b ON a.det_id = b.det_id AND a.pid < b.pid),
-co AS (SELECT det_id, avg(i) AS coherence, quantile_cont(i, 0.5) AS median FROM pw GROUP BY 1),
-ag AS (SELECT det_id, max(CASE WHEN model = 'a' THEN i ELSE 0 END) AS a_iou, max(CASE WHEN model = 'b' THEN i ELSE 0 END) AS b_iou, count(*) AS n, bool_and(touches_edge) AS edge_only FROM rp GROUP BY 1)
-SELECT d.det_id, round(ln(greatest(d.score, 1e-12)), 6) AS score_log, CASE WHEN a_iou > 0 THEN 1 ELSE 0 END AS a_present, CASE WHEN b_iou > 0 THEN 1 ELSE 0 END AS b_present, round(a_iou, 6) AS a_iou, round(b_iou, 6) AS b_iou, ag.n AS n, round(coalesce(coherence, 1.0), 6) AS coherence, round(1-coalesce(median, 1.0), 6) AS dispersion, edge_only,
- round(ln(greatest((d.x2-d.x1)*(d.y2-d.y1), 1)), 6) AS area_log, round(ln(greatest(d.x2-d.x1, 1)/greatest(d.y2-d.y1, 1)), 6) AS aspect_log FROM det d JOIN ag USING (det_id) LEFT JOIN co USING (det_id)""")
-def a11(v):
-    return refine.evidence_features(v.det)
+#: feature -> (mean, scale, coefficient)
+PROFILE = {"log_score": (-1.2, 1.1, 0.8), "both_models": (0.5, 0.5, 0.3), "ab_iou": (0.4, 0.35, 0.5), "sources": (2.0, 1.0, 0.25), "coherence": (0.2, 0.3, 0.2), "dispersion": (0.6, 0.4, -0.4), "edge_only": (0.2, 0.4, -0.3), "log_area": (-5.4, 0.3, 0.1), "log_aspect": (0.0, 0.2, -0.05)}
+QUALITY = "1/(1+exp(-(-0.5::DOUBLE" + "".join(f"+({c}-({m}::DOUBLE))/{s}::DOUBLE*({k}::DOUBLE)" for c, (m, s, k) in PROFILE.items()) + ")))"
 
 
-@query("a12_quality_score", f"""WITH {REPS}, ag AS (SELECT det_id, max(CASE WHEN model = 'a' THEN i ELSE 0 END) AS a_iou, max(CASE WHEN model = 'b' THEN i ELSE 0 END) AS b_iou FROM rp GROUP BY 1),
-q AS (SELECT d.det_id, d.score, 1/(1+exp(-least(greatest(-1+1.5*((a_iou-0.5)/0.3)+0.7*((b_iou-0.5)/0.3), -40), 40))) AS q FROM det d JOIN ag USING (det_id))
-SELECT det_id, round(pow(greatest(score, 1e-12), 0.8)*pow(greatest(q, 1e-12), 0.2), 6) AS score FROM q""")
+@query("a12_quality_score", f"WITH {REFINED} SELECT det_id, {MOVED}, reason, round(least(1.0::DOUBLE, pow(greatest(score, 1e-12), 0.8)*pow(greatest({QUALITY}, 1e-12), 0.2)), 6) AS score FROM why")
 def a12(v):
-    return refine.quality_scores(v.det, {"a_iou": (0.5, 0.3, 1.5), "b_iou": (0.5, 0.3, 0.7)}, -1.0, 0.2)
+    out = refine.robust_refinement(evidence(v), 4096.0, 3000.0)
+    return refine.rescored(out, PROFILE, -0.5, 0.2).select("det_id", *[F.round(c, 4).alias(c) for c in BOX], "reason", F.round("score", 6).alias("score"))
 
 
-@query("a13_global_divisor", f"WITH {REPS}, n AS (SELECT det_id, count(*) AS n FROM rp GROUP BY 1), s AS (SELECT det_id, score*(1+0.25*(n-1)) AS s FROM det JOIN n USING (det_id)) SELECT det_id, round(s/greatest(1.0, max(s) OVER ()), 6) AS score FROM s")
+@query("a13_global_divisor", f"""WITH {EVIDENCE}, s AS (SELECT det_id, score*exp(least(0.25::DOUBLE, greatest(-0.10::DOUBLE, 0.18::DOUBLE*both_models*{OVER.format(v='ab_iou')}+CASE WHEN has_views THEN 0.08::DOUBLE*{OVER.format(v='coherence')} ELSE 0.0::DOUBLE END
+ +0.05::DOUBLE*log2(least(4, greatest(1, sources)))/2-0.10::DOUBLE*edge_only))) AS s FROM ev) SELECT det_id, round(s/greatest(1.0, max(s) OVER ()), 6) AS score FROM s""")
 def a13(v):
-    return refine.consensus_delta(v.det, 0.25)
+    return refine.consensus_delta(evidence(v)).select("det_id", F.round("score", 6).alias("score"))
 
 
-@query("a14_view_invariant_delta", """WITH s AS (SELECT det_id, class_id, score, (x2-x1)*(y2-y1) AS strength FROM det), r AS (SELECT *, rank() OVER (PARTITION BY class_id ORDER BY strength)-1+(count(*) OVER (PARTITION BY class_id, strength)-1)/2 AS r, count(*) OVER (PARTITION BY class_id) AS n FROM s)
-SELECT det_id, round(least(1.0, score*(1+0.2*((r+0.5)/n-0.5))), 6) AS score FROM r""")
+@query("a14_view_invariant_delta", f"""WITH {EVIDENCE}, t AS (SELECT det_id, class_id, score, both_models > 0 AND ab_iou > 0.6::DOUBLE AS on_, {OVER.format(v='ab_iou')} AS strength FROM ev),
+r AS (SELECT *, rank() OVER (PARTITION BY class_id, on_ ORDER BY strength)-1+(count(*) OVER (PARTITION BY class_id, on_, strength)-1)/2 AS r, count(*) OVER (PARTITION BY class_id, on_) AS n FROM t),
+s AS (SELECT det_id, score*CASE WHEN on_ THEN exp(0.08::DOUBLE*strength*(2*(r+0.5)/n-1)) ELSE 1.0::DOUBLE END AS s FROM r) SELECT det_id, round(s/greatest(1.0, max(s) OVER ()), 6) AS score FROM s""")
 def a14(v):
-    d = v.det.withColumn("strength", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
-    d = d.withColumn("p", rank.rank_percentile(["class_id"], "strength"))
-    return d.select("det_id", F.round(F.least(F.lit(1.0), F.col("score") * (1 + 0.2 * (F.col("p") - 0.5))), 6).alias("score"))
+    return refine.view_invariant_delta(evidence(v)).select("det_id", F.round("score", 6).alias("score"))
 
 
 @query("a15_seam_statistics", """WITH l AS (SELECT unnest([1024, 2048, 3072]) AS p), s AS (SELECT det_id, class_id, bool_or(abs(x1-p) <= 12 OR abs(x2-p) <= 12) AS vx, bool_or(abs(y1-p) <= 12 OR abs(y2-p) <= 12) AS hy FROM det, l GROUP BY ALL) SELECT class_id, count(*) AS n, count(*) FILTER (vx) AS vertical, count(*) FILTER (hy) AS horizontal FROM s GROUP BY 1""")

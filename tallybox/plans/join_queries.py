@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallybox.functions.columns import BOX, ioa, iou
@@ -38,12 +37,18 @@ def j4(v):
     return match.fuse_locations(matched(v, 0.5)).select("det_id", F.floor(F.col("x1") * 1000 + 0.137).alias("x1_milli"), F.floor(F.col("y2") * 1000 + 0.137).alias("y2_milli"), "score")
 
 
-@query("j5_source_aware_fuse", f"""WITH bs AS (SELECT det_id AS gt_id, image_id, class_id, x1, y1, x2, y2, least(1.0::DOUBLE, score*0.9::DOUBLE) AS score FROM det_b), m AS ({sql_match('det_a', 'bs', 0.5)}),
-l AS (SELECT a.det_id, a.image_id, a.class_id, a.x1, a.y1, a.x2, a.y2, CASE WHEN m.gt_id IS NULL THEN a.score ELSE least(1.0, greatest(a.score, b.score)*1.2::DOUBLE) END AS score FROM det_a a LEFT JOIN m USING (det_id) LEFT JOIN bs b ON b.gt_id = m.gt_id),
-u AS (SELECT * FROM l UNION ALL SELECT gt_id, image_id, class_id, x1, y1, x2, y2, score*0.5::DOUBLE FROM bs WHERE gt_id NOT IN (SELECT gt_id FROM m)), k AS ({sql_nms('u', 0.6)})
-SELECT u.det_id, u.class_id, round(u.score, 6) AS score FROM u JOIN (SELECT det_id FROM k) USING (det_id)""")
+def sql_consensus(place: str) -> str:
+    """Source-aware fusion with the expression `place` (of {c}) for a matched box."""
+    at = ", ".join(f"CASE WHEN m.gt_id IS NULL THEN a.{c} ELSE {place.format(c=c)} END AS {c}" for c in BOX)
+    return f"""WITH bs AS (SELECT det_id AS gt_id, image_id, class_id, x1, y1, x2, y2, score*0.9::DOUBLE AS score FROM det_b), m AS ({sql_match('det_a', 'bs', 0.5)}),
+l AS (SELECT a.det_id, a.image_id, a.class_id, {at}, CASE WHEN m.gt_id IS NULL THEN a.score ELSE least(1.0, greatest(a.score, b.score)*1.2::DOUBLE) END AS score FROM det_a a LEFT JOIN m USING (det_id) LEFT JOIN bs b ON b.gt_id = m.gt_id),
+u AS (SELECT * FROM l UNION ALL SELECT gt_id, image_id, class_id, x1, y1, x2, y2, score*0.5::DOUBLE FROM bs WHERE gt_id NOT IN (SELECT gt_id FROM m)), k AS ({sql_nms('u', 0.6)}),
+r AS (SELECT u.det_id, u.class_id, {', '.join(f'round_even(u.{c}, 0) AS {c}' for c in BOX)}, round(u.score, 6) AS score FROM u JOIN (SELECT det_id FROM k) USING (det_id)) SELECT * FROM r WHERE x2 > x1 AND y2 > y1"""
+
+
+@query("j5_source_aware_fuse", sql_consensus("CASE WHEN b.score > a.score THEN b.{c} ELSE a.{c} END"))
 def j5(v):
-    return fuse.source_aware_fuse(v.det_a, v.det_b, 0.5, 1.2, 0.5, 0.9, 0.6).select("det_id", "class_id", F.round("score", 6).alias("score"))
+    return fuse.source_aware_fuse(v.det_a, v.det_b, 0.5, 1.2, 0.5, 0.9, 0.6).select("det_id", "class_id", *BOX, F.round("score", 6).alias("score"))
 
 
 @query("j6_representatives", f"""SELECT a.det_id, p.model, p.is_global, p.det_id AS pid, round({sql_iou('a.', 'p.')}, 9) AS iou FROM det a JOIN det p ON a.image_id = p.image_id AND a.class_id = p.class_id WHERE a.model = 'a' AND {sql_iou('a.', 'p.')} >= 0.5
@@ -95,23 +100,25 @@ def j12(v):
     return out.select("det_id", "image_id", F.round("joint", 6).alias("joint"))
 
 
-SEQ = "SELECT det_id, image_id, image_id // 5 AS seq, class_id, (x1+x2)/2 AS cx, score FROM det WHERE score >= 0.8"
+SEQ = "SELECT det_id, image_id, image_id // 5 AS seq, class_id, (x1+x2)/2 AS cx, score FROM det"
 
 
 @query("j13_sequence_support", f"""WITH s AS ({SEQ}), p AS (SELECT a.det_id, b.image_id, max(exp(-pow((a.cx-b.cx)/256, 2)/2)*b.score) AS s FROM s a JOIN s b ON a.seq = b.seq AND a.class_id = b.class_id AND a.image_id <> b.image_id GROUP BY ALL),
 r AS (SELECT det_id, s, row_number() OVER (PARTITION BY det_id ORDER BY s DESC) AS k FROM p) SELECT s.det_id, round(coalesce(sum(r.s) FILTER (k <= 2), 0)/2, 6) AS support FROM s LEFT JOIN r USING (det_id) GROUP BY 1""")
 def j13(v):
-    d = v.det.filter("score >= 0.8").withColumn("seq", F.expr("image_id div 5"))
+    d = v.det.withColumn("seq", F.expr("image_id div 5"))
     return support.sequence_support(d, 256.0).select("det_id", F.round("support", 6).alias("support"))
 
 
-PR = "pp AS (SELECT vec_id, len(thumb) AS d, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN thumb[i] > 0 THEN 1::BIGINT << (i-1)::INT ELSE 0 END))::BIGINT AS dhash, list_transform(thumb, lambda x: round_even(x*64, 0)) AS t FROM prints)"
+PR = """pp AS (SELECT id, width, thumb, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN thumb[i] > 0 THEN (1::HUGEINT << (i-1)::INT) ELSE 0::HUGEINT END))::HUGEINT AS dhash, sha256(array_to_string(list_transform(thumb, lambda x: CAST(x AS BIGINT)), ',')) AS pixel,
+ sqrt(list_aggregate(thumb, 'var_pop')) AS sd, list_aggregate(thumb, 'avg') AS mu FROM fingers),
+nd AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, bit_count(xor(a.dhash, b.dhash))::BIGINT AS distance, (list_dot_product(a.thumb, b.thumb)/64-a.mu*b.mu)/(a.sd*b.sd) AS corr, list_distance(a.thumb, b.thumb)/8 AS rmse FROM pp a JOIN pp b ON a.id < b.id AND a.width = b.width AND a.pixel <> b.pixel
+ WHERE bit_count(xor(a.dhash, b.dhash)) <= 4 AND a.sd >= 4 AND b.sd >= 4) WHERE corr >= 0.9995 AND rmse <= 1.0)"""
 
 
-@query("j14_near_duplicate_pairs", f"""WITH {PR} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.dhash, b.dhash))::BIGINT AS distance FROM pp a JOIN pp b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.dhash, b.dhash)) <= 1
- AND list_aggregate(a.t, 'var_pop') >= 4 AND list_aggregate(b.t, 'var_pop') >= 4""")
+@query("j14_near_duplicate_pairs", f"WITH {PR} SELECT a, b, distance, round(corr, 6) AS corr, round(rmse, 6) AS rmse FROM nd")
 def j14(v):
-    return govern.near_duplicate_pairs(govern.fingerprints(v.prints), 1, 2.0, None, None).select("a", "b", "distance")
+    return govern.near_duplicate_pairs(govern.fingerprints(v.fingers)).select("a", "b", "distance", F.round("corr", 6).alias("corr"), F.round("rmse", 6).alias("rmse"))
 
 
 @query("j15_duplicate_keys", "WITH k AS (SELECT doc_id, concat('t:', sha256(text)) AS key FROM documents UNION ALL SELECT doc_id, concat('n:', lang, ':', n_chars) FROM documents WHERE n_chars > 1000), c AS (SELECT key, min(doc_id) AS head FROM k GROUP BY 1 HAVING count(*) > 1) SELECT DISTINCT c.head AS a, k.doc_id AS b FROM k JOIN c USING (key) WHERE k.doc_id <> c.head")
@@ -168,6 +175,3 @@ def j22(v):
 @query("j23_class_router", "SELECT det.det_id, det.class_id, det.model FROM det JOIN router r ON r.class_id = det.class_id AND r.model = det.model AND det.score >= r.threshold")
 def j23(v):
     return v.det.join(F.broadcast(v.router), ["class_id", "model"]).filter("score >= threshold").select("det_id", "class_id", "model")
-
-
-__all__ = ["Window"]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallybox.functions.columns import BOX, giou_loss, iou
+from tallybox.functions.columns import BOX, IOU_STEPS, iou
 from tallybox.operators import fuse, match, metrics
+from tallybox.operators.order import running_sums
 from tallybox.plans.registry import query, sql_iou, sql_match, sql_nms
 
 G = ["class_id"]
@@ -69,13 +70,9 @@ lev AS (SELECT t.class_id, i, max(CASE WHEN h.k/t.n_gt >= i::DOUBLE*0.01::DOUBLE
 SELECT class_id, round(sum(coalesce(p, 0))/101, 6) AS ap FROM lev GROUP BY 1""")
 def m4(v):
     # from the ranks of the positives alone
-    w = Window.partitionBy("class_id")
-    hits = labelled(v).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "det_id"))).filter("tp = 1").withColumn("k", F.row_number().over(w.orderBy("rank")))
-    t = hits.join(F.broadcast(metrics.truth_totals(v.gt, G)), "class_id")
-    env = t.withColumn("p", F.max(F.col("k") / F.col("rank")).over(w.orderBy("k").rowsBetween(0, Window.unboundedFollowing)))
-    n = F.size(F.filter(F.sequence(F.lit(0), F.lit(100)), lambda i: (i.cast("double") * F.lit(0.01) > F.when(F.col("k") == 1, F.lit(-1.0)).otherwise((F.col("k") - 1) / F.col("n_gt"))) & (i.cast("double") * F.lit(0.01) <= F.col("k") / F.col("n_gt"))))
-    ap = env.groupBy("class_id").agg(F.sum(n * F.col("p")).alias("s"))
-    return metrics.truth_totals(v.gt, G).join(ap, "class_id", "left").select("class_id", F.round(F.coalesce("s", F.lit(0.0)) / 101, 6).alias("ap"))
+    order = [F.desc("score"), F.asc("det_id")]
+    r = running_sums(labelled(v).select("class_id", "score", "det_id", "tp"), G, order, {"rank": F.lit(1).cast("long"), "k": F.col("tp")}).filter("tp = 1")
+    return metrics.compact_ap(r, metrics.truth_totals(v.gt, G), G).select("class_id", F.round("ap", 6).alias("ap"))
 
 
 @query("m5_weighted_ap", f"WITH {L}, lw AS (SELECT *, CASE WHEN image_id % 3 = 0 THEN 0.5::DOUBLE ELSE 0.75::DOUBLE END AS wt FROM lab), {sql_ap('lw', 'SELECT class_id, sum(CASE WHEN image_id % 3 = 0 THEN 0.5::DOUBLE ELSE 0.75::DOUBLE END) AS n_gt FROM gt GROUP BY 1', 'class_id', 'wt')} SELECT class_id, round(ap, 6) AS ap FROM ap")
@@ -92,7 +89,7 @@ def m6(v):
     return f.select("class_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fbeta")])
 
 
-STEPS = "(VALUES (0.5::DOUBLE), (0.75::DOUBLE), (0.9500000000000004::DOUBLE)) AS s(step)"
+STEPS = "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in IOU_STEPS) + ") AS s(step)"
 
 
 @query("m7_evaluate", f"""WITH ds AS (SELECT step, det.* FROM det, {STEPS}), pp AS (SELECT p.step, p.image_id, p.class_id, p.det_id, any_value(p.score) AS score, list(g.gt_id ORDER BY {sql_iou('p.', 'g.')} DESC, g.gt_id) AS c
@@ -100,9 +97,18 @@ STEPS = "(VALUES (0.5::DOUBLE), (0.75::DOUBLE), (0.9500000000000004::DOUBLE)) AS
 mm AS (SELECT step, list_reduce(list_prepend([{{'d': -1::BIGINT, 'c': [-1::BIGINT], 'g': NULL::BIGINT}}], list_transform(list({{'d': det_id, 'c': c, 'g': NULL::BIGINT}} ORDER BY score DESC, det_id), lambda x: [x])), lambda acc, x: list_concat(acc, [{{'d': x[1].d, 'c': x[1].c, 'g': list_filter(x[1].c, lambda c: NOT list_contains(list_transform(acc, lambda a: coalesce(a.g, -1)), c))[1]}}])) AS m FROM pp GROUP BY step, image_id, class_id),
 m AS (SELECT step, unnest(list_transform(list_filter(m, lambda q: q.g IS NOT NULL), lambda q: q.d)) AS det_id FROM mm),
 lab AS (SELECT ds.step, ds.class_id, ds.det_id, ds.score, CASE WHEN m.det_id IS NULL THEN 0 ELSE 1 END AS tp FROM ds LEFT JOIN m ON ds.step = m.step AND ds.det_id = m.det_id),
-{sql_ap('lab', f'SELECT step, class_id, count(*) AS n_gt FROM gt, {STEPS} GROUP BY ALL', 'step, class_id')} SELECT step, class_id, n_gt, round(ap, 6) AS ap FROM ap""")
+{sql_ap('lab', f'SELECT step, class_id, count(*) AS n_gt FROM gt, {STEPS} GROUP BY ALL', 'step, class_id')},
+st AS (SELECT class_id, max(ap) FILTER (step < 0.51) AS ap50, max(ap) FILTER (step > 0.74 AND step < 0.76) AS ap75, avg(ap) AS map FROM ap GROUP BY 1),
+op AS (SELECT det.* FROM det JOIN router USING (class_id) WHERE score >= threshold), om AS ({sql_match('op', 'gt', 0.5)}),
+oc AS (SELECT class_id, count(om.gt_id) AS tp, count(*)-count(om.gt_id) AS fp FROM op LEFT JOIN om USING (det_id) GROUP BY 1),
+f0 AS (SELECT class_id, n_gt, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, ap50, ap75, map FROM (SELECT class_id, count(*) AS n_gt FROM gt GROUP BY 1) LEFT JOIN oc USING (class_id) LEFT JOIN st USING (class_id)),
+f1 AS (SELECT *, tp/greatest(tp+fp, 1e-12) AS precision, tp/n_gt AS recall FROM f0), f AS (SELECT *, 5*precision*recall/greatest(4*precision+recall, 1e-12) AS fbeta FROM f1),
+al AS (SELECT class_id, n_gt, tp, fp, ap50, ap75, map, precision, recall, fbeta, NULL AS fp_per_image FROM f UNION ALL SELECT -1, sum(n_gt), sum(tp), sum(fp), avg(ap50), avg(ap75), avg(map), avg(precision), avg(recall), avg(fbeta), sum(fp)/(SELECT count(*) FROM images) FROM f
+ UNION ALL SELECT -2, sum(n_gt), sum(tp), sum(fp), avg(ap50), avg(ap75), avg(map), avg(precision), avg(recall), avg(fbeta), NULL FROM f WHERE class_id IN (2, 5))
+SELECT class_id, CAST(n_gt AS BIGINT) AS n_gt, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, {', '.join(f'round({c}, 6) AS {c}' for c in ('ap50', 'ap75', 'map', 'precision', 'recall', 'fbeta', 'fp_per_image'))} FROM al""")
 def m7(v):
-    return metrics.evaluate(v.det, v.gt, (0.5, 0.75, 0.9500000000000004)).withColumn("ap", F.round("ap", 6))
+    r = metrics.report(v.det, v.gt, v.router, tail=(2, 5), images=v.images)
+    return r.select("class_id", "n_gt", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("ap50", "ap75", "map", "precision", "recall", "fbeta", "fp_per_image")])
 
 
 @query("m8_composite", f"""WITH kept AS ({sql_nms('det', 0.5)}), pred AS (SELECT det.* FROM det JOIN kept USING (det_id)), m AS ({sql_match('pred', 'gt', 0.5)}),
@@ -124,8 +130,8 @@ sc AS (SELECT view, tp, fp, n_gt, ap50, 20*{PR}+60*{RE}+20*ap50 AS score FROM vs
 
 
 def by_view(v):
-    lab = labelled(v).join(F.broadcast(v.images.select("image_id", "view")), "image_id")
-    gt = v.gt.join(F.broadcast(v.images.select("image_id", "view")), "image_id")
+    lab = labelled(v).join(v.images.select("image_id", "view"), "image_id")
+    gt = v.gt.join(v.images.select("image_id", "view"), "image_id")
     return metrics.composite(metrics.class_figures(lab, gt, ["view", "class_id"]), ["view"])
 
 
@@ -262,6 +268,3 @@ def m25(v):
 def m26(v):
     f = metrics.composite(metrics.class_figures(labelled(v), v.gt, G), G)
     return match.best_candidate(f, "class_id").select("class_id", "tp", "fp")
-
-
-__all__ = ["giou_loss"]

@@ -136,19 +136,20 @@ def p16(v):
     return v.det.select("det_id", C.parse_tile_id(name).alias("t")).select("det_id", "t.*")
 
 
-NAMES = "CASE o_orderkey % 3 WHEN 0 THEN concat('raw_', o_custkey, '_frame', o_orderkey) WHEN 1 THEN concat('img_', o_custkey, '_s', o_orderkey) ELSE concat('z', o_orderkey) END"
+NAMES = """CASE o_orderkey % 6 WHEN 0 THEN concat('coil', o_custkey, '-Raw', o_orderkey % 100, '_x') WHEN 1 THEN concat('img_', o_custkey % 9, '_b', o_custkey, '_', o_orderkey) WHEN 2 THEN concat('C', o_custkey, 'X_V1_F', o_orderkey)
+ WHEN 3 THEN concat('C', o_custkey, '_V2_F3_rAW', o_orderkey) WHEN 4 THEN concat('img_x_', o_orderkey) ELSE concat('z', o_orderkey) END"""
 
 
-@query("p17_group_key", f"""WITH n AS (SELECT o_orderkey, {NAMES} AS name FROM orders) SELECT o_orderkey, coalesce(nullif(regexp_extract(name, '^(raw_[0-9]+)_frame', 1), ''), nullif(regexp_extract(name, '^(img_[0-9]+)_s', 1), ''), name) AS grp FROM n""")
+@query("p17_group_key", f"""WITH n AS (SELECT o_orderkey, {NAMES} AS name FROM orders) SELECT o_orderkey, CASE WHEN regexp_matches(name, '[-_][Rr][Aa][Ww][0-9]') THEN regexp_replace(name, '[-_][Rr][Aa][Ww][0-9].*$', '')
+ WHEN regexp_matches(name, '^img_[0-9]+_.+_[0-9]+$') THEN regexp_replace(name, '_[0-9]+$', '') ELSE name END AS grp FROM n""")
 def p17(v):
-    return v.orders.withColumn("name", F.expr(NAMES)).select("o_orderkey", C.first_group(F.col("name"), r"^(raw_[0-9]+)_frame", r"^(img_[0-9]+)_s").alias("grp"))
+    return v.orders.withColumn("name", F.expr(NAMES)).select("o_orderkey", C.group_key(F.col("name")).alias("grp"))
 
 
-@query("p18_source_keys", f"""WITH n AS (SELECT o_orderkey, {NAMES} AS name FROM orders) SELECT o_orderkey, array_to_string(list_filter([CASE WHEN name LIKE 'raw_%' THEN concat('raw:', regexp_extract(name, '^raw_([0-9]+)', 1)) END, CASE WHEN name LIKE 'img_%' THEN concat('img:', regexp_extract(name, '^img_([0-9]+)', 1)) END], lambda x: x IS NOT NULL), '|') AS keys,
- regexp_extract(name, '^([a-z]+)', 1) AS family FROM n""")
+@query("p18_source_keys", f"""WITH n AS (SELECT o_orderkey, {NAMES} AS name FROM orders) SELECT o_orderkey, array_to_string(list_filter([CASE WHEN regexp_matches(name, '[-_][Rr][Aa][Ww][0-9]') THEN concat('raw:', regexp_replace(name, '[-_][Rr][Aa][Ww][0-9].*$', '')) END,
+ CASE WHEN regexp_matches(name, '^C[^_]+_V[^_]+_F') THEN concat('candidate_c:', lower(split_part(name, '_', 1))) END], lambda x: x IS NOT NULL), '|') AS keys FROM n""")
 def p18(v):
-    part = lambda k: F.when(F.col("name").startswith(k + "_"), F.concat(F.lit(k + ":"), F.regexp_extract("name", f"^{k}_([0-9]+)", 1)))
-    return v.orders.withColumn("name", F.expr(NAMES)).select("o_orderkey", F.array_join(F.array_compact(F.array(part("raw"), part("img"))), "|").alias("keys"), F.regexp_extract("name", "^([a-z]+)", 1).alias("family"))
+    return v.orders.withColumn("name", F.expr(NAMES)).select("o_orderkey", F.array_join(C.source_keys(F.col("name")), "|").alias("keys"))
 
 
 ALIASES = {"promoanodizedtin": "anodised", "mediumpolishedbrass": "polished", "standardburnishedsteel": "burnished"}
@@ -195,9 +196,11 @@ def p25(v):
     return v.det.select("det_id", C.sanitize_box(b, W, H).alias("b")).select("det_id", "b.*")
 
 
-@query("p26_query_tokens")
+@query("p26_query_tokens", """WITH w AS (SELECT conv_id, turn, list_slice(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9'']+)', 1), 1, 16) AS w FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(range(1, 17), lambda i: CASE WHEN i <= len(w) THEN CAST(concat('0x', substr(sha256(w[i]), 1, 8)) AS BIGINT) % 32767 + 1 ELSE 0 END), ',') AS ids, CAST(len(w) AS INT) AS real_tokens FROM w""")
 def p26(v):
-    return v.conversations.select("conv_id", "turn", C.query_tokens(F.col("text")).alias("t")).select("conv_id", "turn", "t.ids", "t.mask")
+    t = v.conversations.select("conv_id", "turn", C.query_tokens(F.col("text")).alias("t"))
+    return t.select("conv_id", "turn", F.array_join(F.col("t.ids").cast("array<string>"), ",").alias("ids"), F.size(F.filter("t.mask", lambda m: m)).alias("real_tokens"))
 
 
 @query("p27_replace_category_scores", """SELECT a.det_id, CASE WHEN a.class_id IN (1, 3) AND b.score IS NOT NULL THEN b.score ELSE a.score END AS score FROM det a LEFT JOIN (SELECT det_id, score/2 AS score FROM det WHERE image_id % 2 = 0) b USING (det_id)""")

@@ -5,38 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallybox.functions.columns import BOX, iou
-from tallybox.operators import crossfit, match, rank, sets, support
+from tallybox.operators import crossfit, match, metrics, rank, sets, support
 from tallybox.operators.fuse import GROUP
 from tallybox.plans.registry import query, sql_iou
 
 
 
-@query("w1_context_features", """SELECT det_id, round((row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id)-1)/greatest(count(*) OVER (PARTITION BY image_id)-1, 1), 6) AS rank_image,
- round((row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_id)-1)/greatest(count(*) OVER (PARTITION BY image_id, class_id)-1, 1), 6) AS rank_class, round(ln(1+count(*) OVER (PARTITION BY image_id)), 6) AS log_image, round(ln(1+count(*) OVER (PARTITION BY image_id, class_id)), 6) AS log_class,
- round((x2-x1)/4096, 9) AS w_ratio, round((y2-y1)/3000, 9) AS h_ratio, round(least(x1, y1, 4096-x2, 3000-y2)/3000, 9) AS edge FROM det""")
+CLASSES = [f"class_{c}" for c in range(8)]
+CONTEXT = {"log_w": "ln(greatest(bw/4096, 1e-8))", "log_h": "ln(greatest(bh/3000, 1e-8))", "log_area": "ln(greatest(bw/4096*(bh/3000), 1e-12))", "log_aspect": "ln(greatest(bw/bh, 1e-8))",
+           "cx": "(x1+x2)/8192", "cy": "(y1+y2)/6000", "edge": "least((x1+x2)/8192, 1-(x1+x2)/8192, (y1+y2)/6000, 1-(y1+y2)/6000)"}
+
+
+@query("w1_context_features", f"""WITH s AS (SELECT *, greatest(x2-x1, 1.0::DOUBLE) AS bw, greatest(y2-y1, 1.0::DOUBLE) AS bh FROM det) SELECT det_id, {', '.join(f'round({e}, 6) AS {n}' for n, e in CONTEXT.items())},
+ round((row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id)-1)/greatest(count(*) OVER (PARTITION BY image_id)-1, 1), 6) AS rank_image,
+ round((row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_id)-1)/greatest(count(*) OVER (PARTITION BY image_id, class_id)-1, 1), 6) AS rank_class,
+ round(ln(count(*) OVER (PARTITION BY image_id)), 6) AS log_image, round(ln(count(*) OVER (PARTITION BY image_id, class_id)), 6) AS log_class, {', '.join(f'CASE WHEN class_id = {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS class_{c}' for c in range(8))} FROM s""")
 def w1(v):
-    o = [F.desc("score"), F.asc("det_id")]
-    n = lambda *k: F.log1p(F.count("*").over(Window.partitionBy(*k)))
-    return v.det.select("det_id", F.round(rank.relative_rank(["image_id"], *o), 6).alias("rank_image"), F.round(rank.relative_rank(GROUP, *o), 6).alias("rank_class"), F.round(n("image_id"), 6).alias("log_image"), F.round(n(*GROUP), 6).alias("log_class"),
-                        F.round((F.col("x2") - F.col("x1")) / 4096, 9).alias("w_ratio"), F.round((F.col("y2") - F.col("y1")) / 3000, 9).alias("h_ratio"), F.round(F.least(F.col("x1"), F.col("y1"), 4096 - F.col("x2"), 3000 - F.col("y2")) / 3000, 9).alias("edge"))
+    f = support.context_features(v.det, 4096.0, 3000.0, list(range(8)))
+    return f.select("det_id", *[F.round(c, 6).alias(c) for c in [*CONTEXT, "rank_image", "rank_class", "log_image", "log_class"]], *CLASSES)
 
 
-@query("w2_cluster_features", f"""WITH p AS (SELECT a.det_id, count(*) AS peers, max({sql_iou('a.', 'b.')}) AS max_iou, count(*) FILTER (b.score > a.score OR (b.score = a.score AND b.det_id < a.det_id)) AS higher FROM det a JOIN det b ON a.image_id = b.image_id AND a.class_id = b.class_id AND a.det_id <> b.det_id WHERE {sql_iou('a.', 'b.')} >= 0.5 GROUP BY 1)
-SELECT det.det_id, coalesce(peers, 0) AS peers, round(coalesce(max_iou, 0), 6) AS max_iou, coalesce(higher, 0) AS higher, coalesce(higher, 0) = 0 AS top, round(coalesce(higher, 0)/greatest(coalesce(peers, 0), 1), 6) AS rel FROM det LEFT JOIN p USING (det_id)""")
+@query("w2_cluster_features", f"""WITH p AS (SELECT a.det_id, count(*) FILTER ({sql_iou('a.', 'b.')} >= 0.5) AS peers, max({sql_iou('a.', 'b.')}) AS max_iou, count(*) FILTER ({sql_iou('a.', 'b.')} >= 0.5 AND b.score > a.score) AS higher FROM det a JOIN det b ON a.image_id = b.image_id AND a.class_id = b.class_id AND a.det_id <> b.det_id GROUP BY 1),
+r AS (SELECT det_id, (row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_id)-1)/greatest(count(*) OVER (PARTITION BY image_id, class_id)-1, 1) AS rel FROM det)
+SELECT r.det_id, round(ln(1+coalesce(peers, 0)), 6) AS log_peers, round(coalesce(max_iou, 0), 6) AS max_iou, coalesce(higher, 0) AS higher, coalesce(higher, 0) = 0 AS top, round(rel, 6) AS rel FROM r LEFT JOIN p USING (det_id)""")
 def w2(v):
-    o = v.det.select(*GROUP, F.col("det_id").alias("oid"), F.col("score").alias("os"), *[F.col(c).alias("o" + c) for c in BOX])
-    p = v.det.join(o, GROUP).filter("det_id <> oid").withColumn("i", iou("", "o")).filter("i >= 0.5")
-    p = p.groupBy("det_id").agg(F.count("*").alias("peers"), F.max("i").alias("max_iou"), F.count_if((F.col("os") > F.col("score")) | ((F.col("os") == F.col("score")) & (F.col("oid") < F.col("det_id")))).alias("higher"))
-    z = F.lit(0)
-    peers, higher = F.coalesce("peers", z), F.coalesce("higher", z)
-    return v.det.select("det_id").join(p, "det_id", "left").select("det_id", peers.alias("peers"), F.round(F.coalesce("max_iou", F.lit(0.0)), 6).alias("max_iou"), higher.alias("higher"), (higher == 0).alias("top"), F.round(higher / F.greatest(peers, F.lit(1)), 6).alias("rel"))
+    f = support.cluster_features(v.det)
+    return f.select("det_id", *[F.round(c, 6).alias(c) for c in ("log_peers", "max_iou", "rel")], "higher", "top")
+
 
+METHODS = {"image_max": 0.3, "class_max": 0.3, "image_count": 0.2, "class_count": 0.2, "unsupported": 0.5, "all_supported": 0.8}
+FACTORS = {"image_max": "pow(greatest(max(score) OVER (PARTITION BY image_id), 1e-12), -0.3)", "class_max": "pow(greatest(max(score) OVER (PARTITION BY image_id, class_id), 1e-12), -0.3)",
+           "image_count": "pow(count(*) OVER (PARTITION BY image_id)/200.0::DOUBLE, -0.2)", "class_count": "pow(count(*) OVER (PARTITION BY image_id, class_id)/30.0::DOUBLE, -0.2)",
+           "unsupported": "CASE WHEN NOT is_global AND NOT touches_edge AND model <> 'a' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END", "all_supported": "CASE WHEN is_global AND touches_edge AND model = 'a' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END"}
 
-@query("w3_group_calibration", "SELECT det_id, round(least(1.0, score*pow(greatest(max(score) OVER (PARTITION BY image_id, class_id), 1e-12), -0.3)), 6) AS by_max, round(least(1.0, score*pow(count(*) OVER (PARTITION BY image_id), -0.2)), 6) AS by_count FROM det")
+
+@query("w3_group_calibration", f"SELECT det_id, {', '.join(f'round(least(1.0::DOUBLE, greatest(1e-12, score*{e})), 6) AS {n}' for n, e in FACTORS.items())} FROM det")
 def w3(v):
-    n = F.count("*").over(Window.partitionBy("image_id"))
-    return v.det.select("det_id", F.round(rank.group_calibration(GROUP, 0.3), 6).alias("by_max"), F.round(F.least(F.lit(1.0), F.col("score") * F.pow(n, F.lit(-0.2))), 6).alias("by_count"))
+    d = v.det.withColumn("first_model", F.col("model") == "a")
+    return d.select("det_id", *[F.round(rank.group_calibration(m, a, ("is_global", "touches_edge", "first_model")), 6).alias(m) for m, a in METHODS.items()])
 
 
 @query("w4_burst_penalty", "WITH n AS (SELECT image_id, class_id, count(*) AS n FROM det GROUP BY ALL), q AS (SELECT quantile_cont(n, 0.9) AS q FROM n) SELECT det_id, round(score*pow(least(1.0, q/n), 0.7), 6) AS score FROM det JOIN n USING (image_id, class_id), q")
@@ -49,9 +55,7 @@ def w5(v):
     from tallybox.operators.fuse import pairs_at
 
     hit = pairs_at(v.det, v.gt, 0.5).select("det_id").distinct().withColumn("tp", F.lit(1))
-    w = Window.partitionBy("class_id").orderBy(F.desc("score"), "det_id")
-    c = v.det.join(hit, "det_id", "left").withColumn("t", F.sum(F.coalesce("tp", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(w))
-    return c.select("det_id", F.col("t").alias("tp"), (F.col("n") - F.col("t")).alias("fp"), F.round(F.max(F.col("t") / F.col("n")).over(w.rowsBetween(0, Window.unboundedFollowing)), 6).alias("envelope"))
+    return metrics.cumulative_envelope(v.det.join(hit, "det_id", "left").withColumn("tp", F.coalesce("tp", F.lit(0))), ["class_id"]).select("det_id", "tp", "fp", F.round("envelope", 6).alias("envelope"))
 
 
 @query("w6_append_below", "WITH b AS (SELECT * FROM det WHERE score >= 0.5), e AS (SELECT * FROM det WHERE score < 0.02), r AS (SELECT det_id, row_number() OVER (ORDER BY score DESC, det_id)-1 AS k, count(*) OVER () AS n FROM e) SELECT det_id, round(score, 9) AS score FROM b UNION ALL SELECT det_id, round((SELECT min(score) FROM b)*(0.49-0.48*k/n), 9) FROM r")
@@ -61,7 +65,7 @@ def w6(v):
 
 @query("w7_rank_percentile", "SELECT det_id, round((rank() OVER (PARTITION BY class_id ORDER BY score)-1+(count(*) OVER (PARTITION BY class_id, score)-1)/2+0.5)/count(*) OVER (PARTITION BY class_id), 9) AS p FROM det")
 def w7(v):
-    return v.det.select("det_id", F.round(rank.rank_percentile(["class_id"], "score"), 9).alias("p"))
+    return rank.with_percentile(v.det.select("det_id", "class_id", "score"), ["class_id"], "score", "p").select("det_id", F.round("p", 9).alias("p"))
 
 
 @query("w8_counter_across_resumes", "WITH l AS (SELECT user_id, CAST(floor(value) AS BIGINT) % 100 AS c, lag(CAST(floor(value) AS BIGINT) % 100) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, CAST(sum(CASE WHEN p IS NULL THEN c WHEN c >= p THEN c-p ELSE c END) AS BIGINT) AS total, count(*) FILTER (c < p) AS resets FROM l GROUP BY 1")
@@ -87,7 +91,7 @@ def k2(v):
 
 @query("k3_weighted_floor", "WITH w AS (SELECT score, sum(CASE WHEN view = 'original' THEN 488 ELSE 300 END) AS w FROM det JOIN images USING (image_id) GROUP BY 1), c AS (SELECT score, sum(w) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER () AS t FROM w) SELECT min(score) AS floor FROM c WHERE c >= 0.1*t")
 def k3(v):
-    d = v.det.join(F.broadcast(v.images), "image_id").withColumn("w", F.when(F.col("view") == "original", 488).otherwise(300))
+    d = v.det.join(v.images.select("image_id", "view"), "image_id").withColumn("w", F.when(F.col("view") == "original", 488).otherwise(300))
     return rank.weighted_quantile(d, 0.1, "w")
 
 
@@ -150,7 +154,7 @@ def l2(v):
 @query("l3_context_rescore", "SELECT det_id, round(score*pow(greatest(1e-4, (image_id % 10)/10), CASE WHEN view = 'grid' THEN 0.5 ELSE 0.2 END), 6) AS score FROM det JOIN images USING (image_id)")
 def l3(v):
     c = v.images.select("image_id", ((F.col("image_id") % 10) / 10).alias("p"), F.when(F.col("view") == "grid", 0.5).otherwise(0.2).alias("w"))
-    return v.det.join(F.broadcast(c), "image_id").select("det_id", F.round(F.col("score") * F.pow(F.greatest(F.lit(1e-4), F.col("p")), F.col("w")), 6).alias("score"))
+    return v.det.join(c, "image_id").select("det_id", F.round(F.col("score") * F.pow(F.greatest(F.lit(1e-4), F.col("p")), F.col("w")), 6).alias("score"))
 
 
 @query("l4_linear_sigmoid", "SELECT det_id, round(1/(1+exp(-least(greatest(-0.5+(score-0.5)/0.3*2.0+(class_id-3.5)/2.3*(-0.4), -40), 40))), 6) AS score FROM det")
@@ -165,7 +169,7 @@ def l5(v):
 
 @query("l6_group_robust_weights", "WITH d AS (SELECT det.det_id, class_id, grp FROM det JOIN images USING (image_id)), n AS (SELECT class_id, grp, count(*) AS n FROM d GROUP BY ALL), k AS (SELECT class_id, count(*) AS k FROM n GROUP BY 1) SELECT det_id, round(1.0/k/n, 9) AS weight FROM d JOIN n USING (class_id, grp) JOIN k USING (class_id)")
 def l6(v):
-    d = v.det.join(F.broadcast(v.images.select("image_id", "grp")), "image_id")
+    d = v.det.join(v.images.select("image_id", "grp"), "image_id")
     return crossfit.group_robust(d, "class_id", "grp").select("det_id", F.round("weight", 9).alias("weight"))
 
 
@@ -214,6 +218,3 @@ def features(v):
     d = v.det.join(m, "det_id", "left").withColumn("label", (F.coalesce("i", F.lit(0.0)) >= 0.5).cast("double")).withColumn("target", F.greatest(F.lit(0.0), (F.coalesce("i", F.lit(0.0)) - 0.25) / 0.75))
     d = d.withColumn("n_peers", F.count("*").over(Window.partitionBy(*GROUP)).cast("double")).withColumn("log_area", F.ln(F.greatest((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.lit(1.0))))
     return d.withColumn("weight", F.lit(1.0)).withColumn("grp_no", F.col("image_id") % 37).select("det_id", "image_id", "class_id", "score", "n_peers", "log_area", "label", "target", "weight", "grp_no")
-
-
-__all__ = ["support"]

@@ -27,9 +27,16 @@ VIEWS = {
        (3, 3, 3, 1.0D, 1.0D, 0.5D, -0.5D), (4, 4, 5, 1.5D, 0.5D, 0.0D, 0.0D), (5, 5, 0, 1.0D, 1.0D, 0.0D, 0.0D)) AS t(action, source_class, target_class, sx, sy, dx, dy)""",
     "router": "SELECT * FROM (VALUES (0, 'a', 0.1D), (1, 'b', 0.2D), (2, 'a', 0.3D), (3, 'b', 0.05D), (4, 'a', 0.5D), (5, 'b', 0.4D), (6, 'a', 0.0D), (7, 'b', 0.25D)) AS t(class_id, model, threshold)",
     "prints": """SELECT vec_id, CAST(embedding AS DOUBLE[]) AS thumb, label FROM embeddings""",
+    # fingerprints of images: each vector, and a copy of it that is the same, brighter by a little or by more, differs in places, or has another size
+    "fingers": """SELECT vec_id*2 AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round_even(x*512, 0)) AS thumb, 64 AS width FROM embeddings UNION ALL
+       SELECT vec_id*2+1, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE vec_id % 6 WHEN 1 THEN round_even(x*512, 0) + CASE WHEN i = 1 THEN 1 ELSE 0 END WHEN 2 THEN round_even(x*512, 0)+1 WHEN 3 THEN round_even(x*512, 0)+3
+       WHEN 4 THEN CASE WHEN i <= 5 THEN -round_even(x*512, 0) ELSE round_even(x*512, 0) END ELSE round_even(x*512, 0) END), CASE WHEN vec_id % 6 = 5 THEN 63 ELSE 64 END FROM embeddings""",
 }
 #: What a view's text becomes in Spark.
-_SPARK = {"prints": "SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS thumb, label FROM embeddings"}
+_SPARK = {"fingers": """SELECT vec_id*2 AS id, transform(CAST(embedding AS ARRAY<DOUBLE>), x -> rint(x*512)) AS thumb, 64 AS width FROM embeddings UNION ALL
+       SELECT vec_id*2+1, transform(CAST(embedding AS ARRAY<DOUBLE>), (x, i) -> CASE vec_id % 6 WHEN 1 THEN rint(x*512) + CASE WHEN i = 0 THEN 1 ELSE 0 END WHEN 2 THEN rint(x*512)+1 WHEN 3 THEN rint(x*512)+3
+       WHEN 4 THEN CASE WHEN i < 5 THEN -rint(x*512) ELSE rint(x*512) END ELSE rint(x*512) END), CASE WHEN vec_id % 6 = 5 THEN 63 ELSE 64 END FROM embeddings""",
+          "prints": "SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS thumb, label FROM embeddings"}
 _NEEDS = {"images": ["det"], "det_a": ["det"], "det_b": ["det"]}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -10,14 +9,14 @@ from pyspark.sql import functions as F
 from tallybox.functions.columns import BOX, to_yolo
 from tallybox.operators import govern
 from tallybox.plans.registry import query, sql_nms
+from tallybox.session import shared_folder
 from tallybox.sources import formats as S
 from tallybox.streaming import caches as R
 
 
 def scratch(v) -> str:
     """A new folder that all executors share."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/files-{uuid4().hex}"
+    return f"{shared_folder(v.spark)}/files-{uuid4().hex}"
 
 
 def records(df):
@@ -36,7 +35,8 @@ def cache_lines(v, df):
 def s1(v):
     path = scratch(v)
     d = v.gt.groupBy("image_id").agg(F.collect_list(F.struct(F.concat(F.lit("c"), F.col("class_id").cast("string")).alias("name"), *BOX)).alias("objects"))
-    S.write_voc(d.select(F.concat(F.lit("im"), F.col("image_id").cast("string")).alias("filename"), F.lit(4096).alias("width"), F.lit(3000).alias("height"), "objects"), path)
+    d = d.select(F.concat(F.lit("im"), F.col("image_id").cast("string")).alias("filename"), F.lit(4096).alias("width"), F.lit(3000).alias("height"), "objects")
+    S.write_voc(d, path, files=-(-d.count() // 500) or 1)  # some hundred annotations in a file, however many files
     out = S.read_voc(v.spark, path, [f"c{i}" for i in range(6)])
     return out.groupBy("filename", "class_name").agg(F.count("*").alias("n"), F.sum(F.col("x2") - F.col("x1")).alias("width"))
 
@@ -60,38 +60,41 @@ def s4(v):
     return S.read_candidates(v.spark, path)
 
 
-@query("s5_read_legacy_cache", "SELECT CAST(image_id AS VARCHAR) AS image_id, count(*) AS n FROM det WHERE image_id < 20 GROUP BY 1")
+@query("s5_read_legacy_cache", "SELECT CAST(image_id AS VARCHAR) AS image_id, count(*) AS n FROM det GROUP BY 1")
 def s5(v):
     path = scratch(v)
-    r = records(v.det.filter("image_id < 20"))  # the legacy form is one object in one file
-    one = r.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("image_id", F.struct("image_size", "candidates"))))).alias("images"))
-    one.select(F.to_json(F.struct("images")).alias("value")).coalesce(1).write.text(path)
+    r = records(v.det)  # the legacy form is one object in a file: some forty images in each, however many files
+    bucket = F.pmod(F.xxhash64("image_id"), F.lit(-(-v.images.count() // 40) or 1)).alias("bucket")
+    one = r.groupBy(bucket).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("image_id", F.struct("image_size", "candidates"))))).alias("images"))
+    one.select("bucket", F.to_json(F.struct("images")).alias("value")).write.partitionBy("bucket").text(path)
     return S.flat_candidates(S.read_legacy_cache(v.spark, path)).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
-@query("s6_header_policy", "SELECT unnest(['schema', 'classes']) AS field FROM (SELECT count(*) FROM det WHERE image_id < 3)")
+@query("s6_header_policy", "SELECT unnest(['schema', 'classes']) AS field FROM (SELECT count(*) FROM det)")
 def s6(v):
     path = scratch(v)
-    cache_lines(v, v.det.filter("image_id < 3")).write.text(path)
+    cache_lines(v, v.det).write.text(path)
     want = v.spark.range(1).select(F.lit(4).alias("schema"), F.lit("ab12").alias("weights_sha256"), F.array(F.lit("c1"), F.lit("c0")).alias("classes"))
     return S.header_problems(S.read_header(v.spark, path), want)
 
 
 def predictions(v):
-    return v.det.select(F.col("image_id").cast("string").alias("image_id"), F.concat(F.lit("c"), F.col("class_id").cast("string")).alias("category_name"), F.transform(F.array(*BOX), lambda x: F.rint(x).cast("int")).alias("bbox"), "score")
+    return v.det.select(F.col("image_id").cast("string").alias("image_id"), F.concat(F.lit("c"), F.col("class_id").cast("string")).alias("category_name"), F.transform(F.array(*BOX), lambda x: F.rint(x).cast("int")).alias("bbox"), "score", "class_id")
 
 
 @query("s7_read_predictions", "SELECT CAST(image_id AS VARCHAR) AS image_id, count(*) AS n, round(sum(score), 3) AS score FROM det GROUP BY 1")
 def s7(v):
     path = scratch(v)
-    predictions(v).groupBy("image_id").agg(F.to_json(F.collect_list(F.struct("image_id", "category_name", "bbox", "score"))).alias("value")).select("image_id", "value").repartition(4, "image_id").drop("image_id").write.option("lineSep", "\n").text(path)
-    return v.spark.read.text(path).select(F.explode(F.from_json("value", f"array<{S.PREDICTION.simpleString()}>")).alias("p")).select("p.*").groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("score"))
+    p = predictions(v)
+    arrays = p.filter("class_id < 4").groupBy("image_id").agg(F.to_json(F.collect_list(F.struct("image_id", "category_name", "bbox", "score"))).alias("value")).select("value")
+    arrays.union(p.filter("class_id >= 4").select(F.to_json(F.struct("image_id", "category_name", "bbox", "score")))).write.text(path)
+    return S.read_predictions(v.spark, path).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("score"))
 
 
 @query("s8_write_predictions", "SELECT concat('c', class_id) AS category_name, count(*) AS n FROM det GROUP BY 1")
 def s8(v):
     path = scratch(v)
-    S.write_predictions(predictions(v), path)
+    S.write_predictions(predictions(v).drop("class_id"), path)
     return v.spark.read.schema(S.PREDICTION).json(path).groupBy("category_name").agg(F.count("*").alias("n"))
 
 
@@ -110,19 +113,19 @@ def s10(v):
     s = F.struct(F.lit("v.png").alias("visible"), F.when(F.col("turn") % 5 != 4, F.col("role")).alias("query"), box.alias("bbox"))
     key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     v.conversations.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, s)))).alias("value")).select("value").write.text(path)
-    d = v.spark.read.text(path).select(F.explode(F.from_json("value", S.GROUNDING)).alias("sample_id", "s")).select("sample_id", "s.*")
-    problem = F.when(F.col("query").isNull(), "query").when(F.size("bbox") != 4, "bbox").otherwise("ok")
-    return d.groupBy(problem.alias("problem")).agg(F.count("*").alias("n"))
+    return S.read_grounding(v.spark, path, whole_files=False).groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
 
 
-@query("s11_read_manifest", "SELECT view AS split, count(*) AS n FROM images GROUP BY 1")
+@query("s11_read_manifest", "SELECT view AS split, count(*) AS n, count(DISTINCT grp) AS groups, 'eval' AS role FROM images GROUP BY 1")
 def s11(v):
     path = scratch(v)
-    m = v.images.groupBy("view").agg(F.collect_list(F.concat(F.lit("im"), F.col("image_id").cast("string"))).alias("p"), F.collect_set("grp").alias("g"))
-    one = m.agg(F.map_from_entries(F.collect_list(F.struct("view", "p"))).alias("splits"), F.map_from_entries(F.collect_list(F.struct("view", "g"))).alias("groups"), F.map_from_entries(F.collect_list(F.struct("view", F.lit("eval")))).alias("roles"))
-    one.select(F.to_json(F.struct("splits", "groups", "roles")).alias("value")).coalesce(1).write.text(path)
-    members, _, _ = S.read_manifest(v.spark, path)
-    return members.groupBy("split").agg(F.count("*").alias("n"))
+    # a part for each split and some hundred images, however many parts
+    bucket = F.pmod(F.xxhash64("image_id"), F.lit(-(-v.images.count() // 300) or 1)).alias("bucket")
+    m = v.images.groupBy("view", bucket).agg(F.collect_list(F.concat(F.lit("im"), F.col("image_id").cast("string"))).alias("p"), F.collect_set("grp").alias("g"))
+    m.select(F.to_json(F.struct(F.create_map("view", "p").alias("splits"), F.create_map("view", "g").alias("groups"), F.create_map("view", F.lit("eval")).alias("roles"))).alias("value")).write.text(path)
+    members, groups, roles = S.read_manifest(v.spark, path, whole_files=False)
+    counts = members.groupBy("split").agg(F.count("*").alias("n")).join(groups.groupBy("split").agg(F.count("*").alias("groups")), "split")
+    return counts.join(roles, "split")
 
 
 @query("s12_file_manifest")
@@ -168,16 +171,12 @@ def cache_folder(v, df, files=4):
     return path
 
 
-def some(v):
-    return v.det.filter("score >= 0.5")
+KEPT = f"WITH k AS ({sql_nms('det', 0.5)}), s AS (SELECT * FROM det)"
 
 
-KEPT = f"WITH s AS (SELECT * FROM det WHERE score >= 0.5), k AS ({sql_nms('s', 0.5)})"
-
-
-@query("r1_stream_json_reader", "SELECT CAST(image_id AS VARCHAR) AS image_id, count(*) AS n FROM det WHERE score >= 0.5 GROUP BY 1")
+@query("r1_stream_json_reader", "SELECT CAST(image_id AS VARCHAR) AS image_id, count(*) AS n FROM det GROUP BY 1")
 def r1(v):
-    path = cache_folder(v, some(v))
+    path = cache_folder(v, v.det)
     s = R.read_cache_stream(v.spark, path).select("image_id", F.size("candidates").cast("bigint").alias("n"))
     out = scratch(v)
     R.run_to_parquet(s, out, out + "-ck")
@@ -186,41 +185,43 @@ def r1(v):
 
 @query("r2_stream_merge", f"{KEPT} SELECT CAST(image_id AS VARCHAR) AS image_id, class_id, det_id, score FROM s JOIN (SELECT det_id FROM k) USING (det_id)")
 def r2(v):
-    path, out = cache_folder(v, some(v)), scratch(v)
+    path, out = cache_folder(v, v.det), scratch(v)
     R.run_to_parquet(R.merged_records(R.read_cache_stream(v.spark, path), 0.5), out, out + "-ck")
     return v.spark.read.parquet(out)
 
 
-@query("r3_stream_counts", f"{KEPT} SELECT class_id, count(*) AS n FROM s JOIN (SELECT det_id FROM k) USING (det_id) GROUP BY 1")
+@query("r3_stream_counts", f"{KEPT} SELECT class_id, count(*) AS n FROM s JOIN (SELECT det_id FROM k) USING (det_id) GROUP BY 1 UNION ALL SELECT -1, count(DISTINCT image_id) FROM det")
 def r3(v):
-    path = cache_folder(v, some(v))
+    path = cache_folder(v, v.det)
     # every image arrives twice; the second record is a duplicate
-    records(some(v)).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).repartition(2).write.mode("append").text(path)
+    records(v.det).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).repartition(2).write.mode("append").text(path)
     first = R.first_arrivals(R.read_cache_stream(v.spark, path))
     out = scratch(v)
     R.run_to_parquet(R.merged_records(first, 0.5), out, out + "-ck")
-    return R.class_counts(v.spark.read.parquet(out))
+    R.run_violations(R.read_cache_stream(v.spark, path), out + "-twice", out + "-twice-ck")
+    twice = v.spark.read.parquet(out + "-twice").agg(F.lit(-1).alias("class_id"), F.count("*").alias("n"))
+    return R.class_counts(v.spark.read.parquet(out)).union(twice)
 
 
-@query("r4_contiguity", "WITH l AS (SELECT l_orderkey, CASE WHEN lag(l_orderkey // 3) OVER (ORDER BY l_orderkey % 1000, l_orderkey, l_linenumber, l_partkey, l_suppkey) = l_orderkey // 3 THEN 0 ELSE 1 END AS s, l_orderkey // 3 AS k FROM lineitem WHERE l_orderkey < 3000) SELECT k, sum(s)::BIGINT AS runs FROM l GROUP BY 1")
+@query("r4_contiguity", "WITH l AS (SELECT l_orderkey, CASE WHEN lag(l_orderkey // 3) OVER (ORDER BY l_orderkey % 1000, l_orderkey, l_linenumber, l_partkey, l_suppkey) = l_orderkey // 3 THEN 0 ELSE 1 END AS s, l_orderkey // 3 AS k FROM lineitem) SELECT k, sum(s)::BIGINT AS runs FROM l GROUP BY 1")
 def r4(v):
-    d = v.lineitem.filter("l_orderkey < 3000").select(F.expr("l_orderkey div 3").alias("k"), F.struct(F.col("l_orderkey") % 1000, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("o"))
+    d = v.lineitem.select(F.expr("l_orderkey div 3").alias("k"), F.struct(F.col("l_orderkey") % 1000, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("o"))
     return govern.run_count(d, "k", "o")
 
 
 @query("r5_resume_by_signature", f"{KEPT} SELECT class_id, count(*) AS n FROM s JOIN (SELECT det_id FROM k) USING (det_id) GROUP BY 1")
 def r5(v):
-    path, out = cache_folder(v, some(v).filter("image_id % 2 = 0")), scratch(v)
-    run = lambda: R.run_to_parquet(R.merged_records(R.read_cache_stream(v.spark, path), 0.5), out, out + "-ck-sig1")
+    path, out = cache_folder(v, v.det.filter("image_id % 2 = 0")), scratch(v)
+    run = lambda: R.run_to_parquet(R.merged_records(R.read_cache_stream(v.spark, path), 0.5), out, f"{out}-{R.signature(threshold=0.5, source=path)}")
     run()
-    records(some(v).filter("image_id % 2 = 1")).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).write.mode("append").text(path)
+    records(v.det.filter("image_id % 2 = 1")).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).write.mode("append").text(path)
     run()  # the same signature: only what is new
     return R.class_counts(v.spark.read.parquet(out))
 
 
-@query("r6_paired_sources", "WITH a AS (SELECT image_id, count(*) AS na FROM det WHERE model = 'a' AND score >= 0.5 GROUP BY 1), b AS (SELECT image_id, count(*) AS nb FROM det WHERE model = 'b' AND score >= 0.5 GROUP BY 1) SELECT CAST(image_id AS VARCHAR) AS image_id, na, nb FROM a JOIN b USING (image_id)")
+@query("r6_paired_sources", "WITH a AS (SELECT image_id, count(*) AS na FROM det WHERE model = 'a' GROUP BY 1), b AS (SELECT image_id, count(*) AS nb FROM det WHERE model = 'b' GROUP BY 1) SELECT CAST(image_id AS VARCHAR) AS image_id, na, nb FROM a JOIN b USING (image_id)")
 def r6(v):
-    a, b = cache_folder(v, some(v).filter("model = 'a'"), 2), cache_folder(v, some(v).filter("model = 'b'"), 2)
+    a, b = cache_folder(v, v.det.filter("model = 'a'"), 2), cache_folder(v, v.det.filter("model = 'b'"), 2)
     out = scratch(v)
     j = R.paired_sources(R.read_cache_stream(v.spark, a), R.read_cache_stream(v.spark, b))
     R.run_to_parquet(j.select("image_id", F.size("a_candidates").cast("bigint").alias("na"), F.size("b_candidates").cast("bigint").alias("nb")), out, out + "-ck")

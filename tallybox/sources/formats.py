@@ -88,9 +88,13 @@ def header_problems(header: DataFrame, expected: DataFrame) -> DataFrame:
     return header.crossJoin(F.broadcast(e)).select(F.explode(F.array_compact(bad)).alias("field"))  # one row each
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines or one JSON array in a file."""
-    return spark.read.schema(PREDICTION).option("multiLine", True).json(path)
+def read_predictions(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Predictions in files whose lines are objects or arrays of objects; `whole_files`: one array, over several lines, in each file."""
+    if whole_files:
+        return spark.read.schema(PREDICTION).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    line = F.trim("value")
+    rows = F.from_json(F.when(line.startswith("["), line).otherwise(F.concat(F.lit("["), line, F.lit("]"))), f"array<{PREDICTION.simpleString()}>", {"mode": "FAILFAST"})
+    return spark.read.text(path).filter(line != "").select(F.explode(rows).alias("p")).select("p.*")
 
 
 def write_predictions(df: DataFrame, path: str) -> DataFrame:
@@ -113,9 +117,9 @@ def yolo_line(class_id: Column, yolo: Column) -> Column:
 GROUNDING = "map<string,struct<visible:string,infrared:string,depth:string,query:string,bbox:array<double>>>"
 
 
-def read_grounding(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of a query-keyed JSON object; samples without a required field come with `problem`."""
-    d = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", GROUNDING)).alias("sample_id", "s")).select("sample_id", "s.*")
+def read_grounding(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Samples of query-keyed JSON objects, one in a file, or in a line if not `whole_files`; samples without a required field come with `problem`."""
+    d = spark.read.option("wholetext", whole_files).text(path).select(F.explode(F.from_json("value", GROUNDING)).alias("sample_id", "s")).select("sample_id", "s.*")
     problem = F.when(F.col("query").isNull(), "query").when(F.col("visible").isNull(), "visible").when(F.col("bbox").isNotNull() & (F.size("bbox") != 4), "bbox")
     return d.withColumn("problem", problem)
 
@@ -123,12 +127,12 @@ def read_grounding(spark: SparkSession, path: str) -> DataFrame:
 MANIFEST = "struct<splits:map<string,array<string>>,groups:map<string,array<string>>,roles:map<string,string>>"
 
 
-def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(split members, split groups, split roles) of a JSON manifest."""
-    m = spark.read.option("wholetext", True).text(path).select(F.from_json("value", MANIFEST).alias("m"))
+def read_manifest(spark: SparkSession, path: str, whole_files: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(split members, split groups, split roles) of a JSON manifest in one file; or of its parts, one in a line, if not `whole_files`."""
+    m = spark.read.option("wholetext", whole_files).text(path).select(F.from_json("value", MANIFEST).alias("m"))
     members = m.select(F.explode("m.splits").alias("split", "p")).select("split", F.explode("p").alias("path"))
-    groups = m.select(F.explode("m.groups").alias("split", "g")).select("split", F.explode("g").alias("grp"))
-    return members, groups, m.select(F.explode("m.roles").alias("split", "role"))
+    groups = m.select(F.explode("m.groups").alias("split", "g")).select("split", F.explode("g").alias("grp")).distinct()
+    return members, groups, m.select(F.explode("m.roles").alias("split", "role")).distinct()
 
 
 def file_manifest(spark: SparkSession, path: str, suffix: str, least_bytes: int = 0) -> DataFrame:
