@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybox.operators.order import row_numbers
 from tallybox.functions.columns import BOX, hash_fraction, iou
+from tallybox.operators.order import row_numbers
 
 TILE = ["tx", "ty", "tw", "th"]
 
@@ -104,15 +104,62 @@ def systematic_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return row_numbers(rows, [F.col(key)], "_i").filter((F.col("_i") - 1).isin(at)).drop("_i")
 
 
+def _uniform(seed: str, *key: Column):
+    """letter -> (low, high) -> a draw by the hash of the key and the letter."""
+    text = F.concat_ws(":", *[k.cast("string") for k in key])
+    return lambda letter, low=0.0, high=1.0: low + (high - low) * hash_fraction(F.concat(text, F.lit(letter)), seed)
+
+
+def _around(cx: Column, cy: Column, w: Column, h: Column) -> list[Column]:
+    return [c.alias("p" + n) for c, n in zip((cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2), BOX, strict=True)]
+
+
+def _drawn() -> Column:
+    return F.struct(*[F.col("p" + c).alias(c) for c in BOX])
+
+
 def jittered_proposals(gt: DataFrame, tries: int, least_iou: float, seed: str) -> DataFrame:
-    """One jittered copy of each truth: the first hash-drawn try that keeps an IoU of at least `least_iou`."""
+    """(gt_id, try, px1 .. py2): a copy of each truth, moved and scaled a little: the first hash-drawn try with an IoU of at least `least_iou`, else the truth itself (try -1)."""
     t = gt.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    key = F.concat_ws(":", F.col("gt_id").cast("string"), F.col("try").cast("string"))
-    off = lambda k: (hash_fraction(F.concat(key, F.lit(k)), seed) - 0.5) * 0.5
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = t.select("*", (F.col("x1") + w * off("a")).alias("px1"), (F.col("y1") + h * off("b")).alias("py1"), (F.col("x2") + w * off("c")).alias("px2"), (F.col("y2") + h * off("d")).alias("py2"))
-    ok = t.withColumn("iou", iou("", "p")).filter(F.col("iou") >= least_iou)
-    return ok.groupBy("gt_id").agg(F.min_by(F.struct("try", "px1", "py1", "px2", "py2", "iou"), "try").alias("b")).select("gt_id", "b.*")
+    u = _uniform(seed, F.col("gt_id"), F.col("try"))
+    w, h = F.greatest(F.col("x2") - F.col("x1"), F.lit(2.0)), F.greatest(F.col("y2") - F.col("y1"), F.lit(2.0))
+    cx, cy = (F.col("x1") + F.col("x2")) / 2 + u("c", -0.07, 0.07) * w, (F.col("y1") + F.col("y2")) / 2 + u("d", -0.07, 0.07) * h
+    t = t.select("gt_id", "try", *BOX, *_around(cx, cy, w * u("a", 0.9, 1.12), h * u("b", 0.9, 1.12)))
+    truth = F.struct(*BOX)
+    best = t.filter(F.exists(F.array(_drawn()), lambda p: iou(truth, p) >= least_iou)).groupBy("gt_id").agg(F.min_by(F.struct("try", *["p" + c for c in BOX]), "try").alias("b"))
+    out = gt.join(best, "gt_id", "left")
+    return out.select("gt_id", F.coalesce("b.try", F.lit(-1)).alias("try"), *[F.coalesce(F.col(f"b.p{c}"), F.col(c)).alias("p" + c) for c in BOX])
+
+
+def scaled_proposals(gt: DataFrame, count: int, width: float, height: float, seed: str) -> DataFrame:
+    """(gt_id, try, px1 .. py2): copies of each truth scaled by exp(-1 .. 0.7) and shifted by up to 0.55 of its size, the first of them cut to 0.35 of its height
+    instead; clipped to the image, two pixels each way at least."""
+    t = gt.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    u = _uniform(seed, F.col("gt_id"), F.col("try"))
+    w, h, first = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("try") == 0
+    cx, cy = (F.col("x1") + F.col("x2")) / 2 + u("c", -0.55, 0.55) * w, (F.col("y1") + F.col("y2")) / 2 + u("d", -0.55, 0.55) * h
+    t = t.select("gt_id", "try", *_around(cx, cy, F.when(first, w).otherwise(w * F.exp(u("a", -1.0, 0.7))), F.when(first, h * 0.35).otherwise(h * F.exp(u("b", -1.0, 0.7)))))
+    on = {"x1": width, "x2": width, "y1": height, "y2": height}
+    t = t.withColumns({"p" + c: F.greatest(F.lit(0.0), F.least(F.col("p" + c), F.lit(on[c]))) for c in BOX})
+    return t.filter("px2 - px1 >= 2 and py2 - py1 >= 2")
+
+
+def negative_proposals(images: DataFrame, gt: DataFrame, count: int, tries: int, most_iou: float, seed: str) -> DataFrame:
+    """(image_id, no, try, px1 .. py2): boxes of each image that hold no truth: the first hash-drawn try with an IoU under `most_iou` to every truth. One in five has a size of
+    20 to 240, the others that of a truth of the image within a quarter (the former, if it has none); 12 pixels to 0.7 of the image."""
+    truths = gt.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("gt_id", *BOX))).alias("g"))
+    t = images.select("image_id", "width", "height").join(truths, "image_id", "left").withColumn("g", F.coalesce("g", F.array().cast(truths.schema["g"].dataType)))
+    t = t.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    u = _uniform(seed, F.col("image_id"), F.col("no"), F.col("try"))
+    pick = F.get("g", F.floor(u("p") * F.size("g")).cast("int"))
+    free = (u("k") < 0.2) | (F.size("g") == 0)
+    size = lambda low, high, a, b, top: F.least(F.greatest(F.when(free, u(a, 20.0, 240.0)).otherwise((pick[high] - pick[low]) * u(b, 0.75, 1.25)), F.lit(12.0)), F.col(top) * 0.7)
+    t = t.withColumns({"_w": size("x1", "x2", "a", "b", "width"), "_h": size("y1", "y2", "c", "d", "height"), "_x": u("x"), "_y": u("y")})
+    x, y = (F.col("width") - F.col("_w")) * F.col("_x"), (F.col("height") - F.col("_h")) * F.col("_y")
+    t = t.select("image_id", "no", "try", "g", x.alias("px1"), y.alias("py1"), (x + F.col("_w")).alias("px2"), (y + F.col("_h")).alias("py2"))
+    # the drawn box becomes a lambda's variable, so that it is drawn once and not for each truth
+    t = t.filter(F.exists(F.array(_drawn()), lambda p: F.forall("g", lambda k: iou(p, k) < most_iou)))
+    return t.groupBy("image_id", "no").agg(F.min_by(F.struct("try", *["p" + c for c in BOX]), "try").alias("b")).select("image_id", "no", "b.*")
 
 
 def stitch_fragments(df: DataFrame, top: int = 40, overlap: float = 0.45, gap: float = 60.0, growth: float = 1.35, factor: float = 0.9, per_image: int = 15) -> DataFrame:

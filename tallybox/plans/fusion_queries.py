@@ -26,9 +26,16 @@ def a2(v):
     return fuse.agnostic_nms(v.det, 0.6).select("det_id")
 
 
-@query("a3_wbf")
+_FITS = f"list_transform(acc, lambda k: {sql_iou('k.', 'x[1].')})"
+_JOINED = ", ".join(f"'{c}': (k.{c}*k.w+x[1].{c}*x[1].w)/greatest(k.w+x[1].w, 1e-12)" for c in BOX)
+
+
+@query("a3_wbf", f"""WITH g AS (SELECT image_id, class_id, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'w': score, 'score': score, 'n': 1}} ORDER BY score DESC, det_id) AS b FROM det GROUP BY ALL),
+f AS (SELECT image_id, class_id, list_reduce(list_transform(b, lambda x: [x]), lambda acc, x: CASE WHEN list_max({_FITS}) > 0.5 THEN list_transform(acc, lambda k, i: CASE WHEN i = list_position({_FITS}, list_max({_FITS})) THEN {{{_JOINED}, 'w': k.w+x[1].w, 'score': greatest(k.score, x[1].w), 'n': k.n+1}} ELSE k END) ELSE list_concat(acc, x) END) AS c FROM g),
+u AS (SELECT image_id, class_id, unnest(c) AS k, unnest(range(0, len(c))) AS cluster FROM f)
+SELECT image_id, class_id, CAST(cluster AS INT) AS cluster, {', '.join(f'floor(k.{c}*1000+0.137::DOUBLE)::BIGINT AS {c}_milli' for c in BOX)}, k.score AS score, k.n AS n FROM u""")
 def a3(v):
-    return fuse.wbf(v.det, 0.5)
+    return fuse.wbf(v.det, 0.5).select("image_id", "class_id", "cluster", *[F.floor(F.col(c) * 1000 + 0.137).alias(f"{c}_milli") for c in BOX], "score", "n")
 
 
 @query("a4_box_vote", f"""WITH g AS (SELECT image_id, class_id, list({{'id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'w': greatest(score, 1e-12), 's': score, 'a': det_id}} ORDER BY score DESC, det_id) AS b FROM det GROUP BY ALL),

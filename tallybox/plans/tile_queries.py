@@ -114,9 +114,40 @@ def t13(v):
     return tiles.systematic_sample(v.orders, "o_orderkey", 50).select("o_orderkey")
 
 
-@query("t14_box_proposals")
+def sql_draw(key: str, letter: str, low: float = 0.0, high: float = 1.0) -> str:
+    return f"({low}::DOUBLE+{high - low}::DOUBLE*(CAST(concat('0x', substr(sha256(concat('p:', {key}, '{letter}')), 1, 16)) AS UHUGEINT)::DOUBLE/18446744073709551616.0::DOUBLE))"
+
+
+def sql_around(cx: str, cy: str, w: str, h: str) -> str:
+    return f"{cx}-{w}/2 AS px1, {cy}-{h}/2 AS py1, {cx}+{w}/2 AS px2, {cy}+{h}/2 AS py2"
+
+
+GT_KEY, NEG_KEY = "gt_id, ':', t", "image_id, ':', no, ':', t"
+_D, _N = (lambda k, *a: sql_draw(GT_KEY, k, *a)), (lambda k, *a: sql_draw(NEG_KEY, k, *a))
+_P = "{'x1': px1, 'y1': py1, 'x2': px2, 'y2': py2}"
+
+
+def sql_size(low: str, high: str, a: str, b: str, top: int) -> str:
+    return f"least(greatest(CASE WHEN {_N('k')} < 0.2 OR len(g) = 0 THEN {_N(a, 20.0, 240.0)} ELSE (g[pick].{high}-g[pick].{low})*{_N(b, 0.75, 1.25)} END, 12.0::DOUBLE), {top}*0.7::DOUBLE)"
+
+
+@query("t14_box_proposals", f"""WITH j0 AS (SELECT gt.*, t, greatest(x2-x1, 2) AS w, greatest(y2-y1, 2) AS h FROM gt, range(0, 20) r(t)),
+j1 AS (SELECT gt_id, t, x1, y1, x2, y2, {sql_around(f'((x1+x2)/2+{_D("c", -0.07, 0.07)}*w)', f'((y1+y2)/2+{_D("d", -0.07, 0.07)}*h)', f'(w*{_D("a", 0.9, 1.12)})', f'(h*{_D("b", 0.9, 1.12)})')} FROM j0),
+j2 AS (SELECT * FROM j1 WHERE {sql_iou('j1.', 'j1.p')} >= 0.6::DOUBLE QUALIFY row_number() OVER (PARTITION BY gt_id ORDER BY t) = 1),
+j AS (SELECT 'jitter' AS kind, gt.gt_id AS id, 0 AS no, coalesce(t, -1) AS t, coalesce(px1, gt.x1) AS px1, coalesce(py1, gt.y1) AS py1, coalesce(px2, gt.x2) AS px2, coalesce(py2, gt.y2) AS py2 FROM gt LEFT JOIN j2 USING (gt_id)),
+s0 AS (SELECT gt.*, t, x2-x1 AS w, y2-y1 AS h FROM gt, range(0, 7) r(t)),
+s1 AS (SELECT gt_id, t, {sql_around(f'((x1+x2)/2+{_D("c", -0.55, 0.55)}*w)', f'((y1+y2)/2+{_D("d", -0.55, 0.55)}*h)', f'(CASE WHEN t = 0 THEN w ELSE w*exp({_D("a", -1.0, 0.7)}) END)', f'(CASE WHEN t = 0 THEN h*0.35::DOUBLE ELSE h*exp({_D("b", -1.0, 0.7)}) END)')} FROM s0),
+s2 AS (SELECT gt_id, t, greatest(0.0::DOUBLE, least(px1, 4096)) AS px1, greatest(0.0::DOUBLE, least(py1, 3000)) AS py1, greatest(0.0::DOUBLE, least(px2, 4096)) AS px2, greatest(0.0::DOUBLE, least(py2, 3000)) AS py2 FROM s1),
+s AS (SELECT 'scaled' AS kind, gt_id AS id, 0 AS no, t, px1, py1, px2, py2 FROM s2 WHERE px2-px1 >= 2 AND py2-py1 >= 2),
+n0 AS (SELECT image_id, no, t, coalesce(g, []) AS g FROM images LEFT JOIN (SELECT image_id, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY gt_id) AS g FROM gt GROUP BY 1) USING (image_id), range(0, 3) q(no), range(0, 50) r(t)),
+n1 AS (SELECT *, CAST(floor({_N('p')}*len(g)) AS INT)+1 AS pick FROM n0), n2 AS (SELECT *, {sql_size('x1', 'x2', 'a', 'b', 4096)} AS w, {sql_size('y1', 'y2', 'c', 'd', 3000)} AS h FROM n1),
+n3 AS (SELECT image_id, no, t, g, (4096-w)*{_N('x')} AS px1, (3000-h)*{_N('y')} AS py1, w, h FROM n2), n4 AS (SELECT *, px1+w AS px2, py1+h AS py2 FROM n3),
+n5 AS (SELECT * FROM n4 WHERE len(list_filter(list_transform(g, lambda k: {sql_iou('k.', 'n4.p')}), lambda i: i >= 0.04::DOUBLE)) = 0 QUALIFY row_number() OVER (PARTITION BY image_id, no ORDER BY t) = 1)
+SELECT kind, id, CAST(no AS INT) AS no, CAST(t AS INT) AS try, {', '.join(f'round(p{c}, 4) AS {c}' for c in BOX)} FROM (SELECT * FROM j UNION ALL SELECT * FROM s UNION ALL SELECT 'negative', image_id, no, t, px1, py1, px2, py2 FROM n5)""")
 def t14(v):
-    return tiles.jittered_proposals(v.gt, 8, 0.6, "p")
+    j, s, n = tiles.jittered_proposals(v.gt, 20, 0.6, "p"), tiles.scaled_proposals(v.gt, 7, 4096.0, 3000.0, "p"), tiles.negative_proposals(v.images, v.gt, 3, 50, 0.04, "p")
+    row = lambda d, kind, key, no: d.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), no.alias("no"), "try", *[F.round("p" + c, 4).alias(c) for c in BOX])
+    return row(j, "jitter", "gt_id", F.lit(0)).union(row(s, "scaled", "gt_id", F.lit(0))).union(row(n, "negative", "image_id", F.col("no")))
 
 
 @query("t15_stitch_fragments", """WITH d AS (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_id) <= 40),

@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables, and the streams against their batch form."""
+"""Queries with SQL against DuckDB on the smallest tables: columns, row counts and values."""
 
 from __future__ import annotations
 
@@ -22,23 +22,33 @@ def rows(df):
 
 
 @pytest.fixture(scope="module")
-def duck():
-    c = duckdb.connect()
+def folder(tmp_path_factory):
+    """The smallest tables, with line items made unique: two of them share a box id, which breaks ties at random."""
+    path = tmp_path_factory.mktemp("tables")
     for f in os.listdir(SF):
-        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+        if f != "lineitem.parquet":
+            os.symlink(f"{SF}/{f}", path / f)
+    duckdb.connect().execute(f"COPY (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) * FROM '{SF}/lineitem.parquet') TO '{path}/lineitem.parquet' (FORMAT parquet)")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def duck(folder):
+    c = duckdb.connect()
+    for f in os.listdir(folder):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{folder}/{f}'")
     return c
 
 
-SOME = [n for n in sorted(REG.SQL) if n.split("_")[0] in {"p1", "p16", "p25", "a1", "a4", "a6", "m1", "m3", "m8", "m10", "j1", "j5", "j13", "j15", "t1", "t5", "t9", "w1", "w7", "k2", "u2", "u5", "l5", "g7", "g15", "d1", "d3", "d9", "s1", "s4", "r2", "r3", "r5"}]
+SOME = [n for n in sorted(REG.SQL) if n.split("_")[0] in {"p1", "p16", "p17", "p18", "p25", "p26", "a1", "a2", "a4", "a6", "a9", "a11", "a12", "a13", "a14", "m1", "m3", "m4", "m5", "m7", "m8", "m10", "j1", "j5", "j13", "j14", "j15",
+                                                          "t1", "t5", "t9", "t13", "w1", "w2", "w3", "w5", "w6", "w7", "k2", "k3", "u2", "u5", "l5", "g1", "g6", "g7", "g13", "g15", "d1", "d3", "d4", "d9", "d11", "s1", "s4", "s7", "s10", "s11", "r2", "r3", "r4", "r5"}]
 
 
 @pytest.mark.parametrize("name", SOME)
-def test_query_equals_sql(spark, duck, name):
-    got, want = REG.QUERIES[name](spark, SF).toPandas(), duck.execute(REG.SQL[name]).df()
+def test_query_equals_sql(spark, folder, duck, name):
+    got, want = REG.QUERIES[name](spark, folder).toPandas(), duck.execute(REG.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    assert len(got) == len(want)
-    if not name.startswith(("a", "m", "j", "p", "w", "r")):  # the tables of this size hold a box id twice
-        assert rows(got) == rows(want)
+    assert rows(got) == rows(want)
 
 
 def test_entry_has_rows(spark):
