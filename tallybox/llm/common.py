@@ -39,7 +39,7 @@ def few(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: smaller than a checkpoint where rows hold texts."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
