@@ -7,7 +7,11 @@ the place where they end, are relaxed from left to right: of the edges that reac
 piece may follow the piece before it, that is, whose pair merges to just that pair. That is the BPE result of
 each prefix, hence of the chunk. A character that no piece holds becomes its bytes' pieces.
 
-Null texts give null, empty texts empty ids. As in the library itself, a text's own U+2581 is read as a
+Chunks that begin with two spaces or more hold pieces of equal score, which pairs can't order: these alone are merged by BPE's
+definition, beside the suffix array.
+
+Null texts give null, empty texts empty ids; texts and words of any length are whole; repeated rows are coded alike, once for a batch; an empty table gives no
+rows. Other columns come back untouched, but for one named `ids`, which the result replaces. As in the library itself, a text's own U+2581 is read as a
 space, so decoding returns a space for it; all other texts come back as they were.
 """
 

@@ -7,7 +7,8 @@ regression over training rows that the fit has not seen turns the fit into a sco
 
 Which rows train: the caller's boolean column. Of them at most `FIT_ROWS` labelled rows (a hash sample of the
 ids) are read: a documented bound. Rows with crc32 mod 4 = 3 of the id calibrate. Null and empty texts have
-statistics 0 and are scored like any other. Null labels are left out; an id with several labels counts as
+statistics 0 and are scored like any other; texts of any length are whole; equal rows are scored alike; an empty table gives no rows. Other columns, whatever their names, are not read,
+and come back if `keep` names them. Null labels and labels other than 0 and 1 are left out; an id with several labels counts as
 good if one says so. Without labels of both classes every score is 0.5.
 """
 
