@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallybox.llm import graph, pages, pieces, quality, stages, toxicity, vectors
+from tallybox.llm import graph, pages, pieces, quality, stages, suffixes, toxicity, vectors
 from tallybox.llm.common import hashed_words
 from tallybox.llm.decontaminate import decontaminate, drop_contaminated
 from tallybox.llm.licenses import notices, scan_licenses
@@ -404,6 +404,109 @@ def test_pages_lose_what_stands_on_most_articles_of_a_host(spark):
     assert got[200] == f"{own[1]} {share}" and got[201] == f"{own[2]} {share}"
 
 
+ARTICLES = {
+    "<article><p data-id='share-2'>kept</p></article>": "kept",
+    "<article><p class='news-header'>a</p><p id='form-of-life'>b</p><section id='related-work'>c</section><span class='search-term'>d</span></article>": "a b c d",
+    "<article><div class='entry-header'><h1>head</h1></div><p>text</p></article>": "head text",
+    "<div class='layout no-sidebar'><article>inside</article></div><p>after</p>": "inside",
+    "<div class='widget'><main><p>wrapped</p></main></div>": "wrapped",
+    "<form action=x><article>in a form</article><input></form>": "in a form",
+    "<article><p title=it's>one</p><p>isn't two</p></article>": "one isn't two",
+    "<article><div class='share'>s</div><div class='ad-slot'>x</div><p>t</p><ol class='comments-list'><li>c</li></ol></article>": "t",
+    "<div class='sidebar'><article>card</article></div><main>real</main>": "real",
+    "<body><div class='search'>s</div><div role='banner'>b</div><p>plain</p></body>": "plain",
+    "<article>a &lt;b&gt; &eacute;&#x20;&#8364;<!-- <p>no</p> --> c</article>": "a <b> é € c",
+    "<article><p>open <b>bold<p>next</article>": "open bold next",
+    "<p x='unclosed>text": "",
+}
+
+
+@pytest.mark.parametrize("html", ARTICLES)
+def test_page_blocks(html):
+    assert " ".join(pages.blocks(html)[0]) == ARTICLES[html]
+
+
+def plain_pages(rows):
+    """Texts of (host, marked, words) by the definition: counts of all runs of DEPTH words over the host's distinct streams."""
+    streams = {(h, m, tuple(w)) for h, m, w in rows}
+    n, seen = {}, {}
+    for h, m, w in streams:
+        n[h] = n.get(h, 0) + 1
+        for g in {w[i:i + pages.DEPTH] for i in range(len(w) - pages.DEPTH + 1)}:
+            seen[h, g] = seen.get((h, g), 0) + 1
+    out = []
+    for h, m, w in rows:
+        least, gone = max(pages.FEW, n[h] // 2 + 1) if m else 2, set()
+        for i in range(len(w) - pages.DEPTH + 1):
+            if seen[h, tuple(w[i:i + pages.DEPTH])] >= least:
+                gone.update(range(i, i + pages.DEPTH))
+        left = [x for i, x in enumerate(w) if i not in gone]
+        out.append(" ".join(w if m and 2 * len(left) < len(w) else left))
+    return out
+
+
+@pytest.mark.parametrize("group", [5000, 2])
+def test_pages_equal_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    monkeypatch.setattr(suffixes, "PACK", 50 if group == 2 else 200_000)
+    r = random.Random(3)
+    shared = [words(20, 500 + i) for i in range(4)]
+    rows = []
+    for i in range(70):
+        own = words(r.randrange(5, 60), 600 + i)
+        for _ in range(r.randrange(3)):
+            at = r.randrange(len(own))
+            own[at:at] = r.choice(shared)[r.randrange(6):]
+        rows.append((f"h{i % 3}.x", r.random() < 0.6, own))
+    rows += [("h0.x", True, words(30, 900 + i) + shared[0]) for i in range(60)] + [("h1.x", False, rows[1][2])] * 3
+    html = [(i, f"http://{h}/p", (f"<article>{' '.join(w)}</article>" if m else f"<div>{' '.join(w)}</div>")) for i, (h, m, w) in enumerate(rows)]
+    got = {x.page_id: x.text for x in pages.extract_pages(spark.createDataFrame(html, "page_id long, url string, html string").repartition(5)).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_pages(rows)
+
+
+def test_substring_dedup_of_frequent_prefixes_equals_brute_force(spark, monkeypatch):
+    """Anchors and prefixes with more branches than a group may hold, down to suffixes that are equal."""
+    monkeypatch.setattr(suffixes, "GROUP", 3)
+    monkeypatch.setattr(suffixes, "PACK", 40)
+    passage = words(50, 1)
+    texts = [" ".join(words(r % 7 + 1, 100 + r) + passage[r % 5:50 - r % 4] + words(r % 9, 200 + r)) for r in range(60)] + [" ".join(words(20, 9) + words(30, 300 + r % 20)) for r in range(40)]
+    got = {x.doc_id: x.kept_text for x in remove_repeats(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_repeats(texts)
+
+
+def test_licenses_near_the_threshold_and_templates_that_share_a_name(spark):
+    text = words(44, 50)  # 40 shingles
+    almost, less = text[:41] + ["x"] + text[42:], text[:30] + ["x"] + text[31:36] + ["y"] + text[37:]  # 37 and 30 of them
+    templates = spark.createDataFrame([("L", " ".join(text)), ("L", " ".join(words(30, 51))), ("L", " ".join(text)), ("tiny", "two words"), (None, "x y z"), ("empty", " "), ("long", " ".join(words(900, 52)))], "name string, text string")
+    far = words(5000, 53)
+    rows = [(1, " ".join(almost), "a"), (2, " ".join(less), "a"), (3, " ".join(far[:3000] + words(30, 51) + far[3000:]), "a"), (4, "these two words", "a"), (5, " ".join(far[:100] + words(900, 52) + far[100:]), "a"), (6, " ".join(text + far[:90] + text), "a")]
+    got = {r.doc_id: r for r in scan_licenses(docs(spark, rows), templates).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {1: ["L"], 2: [], 3: ["L"], 4: ["tiny"], 5: ["long"], 6: ["L"]}
+    assert got[3].spans[0].first == 3000 and got[1].spans[0].containment == pytest.approx(37 / 40)
+    assert {s.first for s in got[6].spans} >= {0, 134}
+
+
+def test_pipeline_runs_over_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    item, copy = words(15, 70), words(80, 71)
+    rows = [*ODD, (20, " ".join(copy), "a"), (21, " ".join(copy[:40] + ["edit"] + copy[41:]), "b"), (22, " ".join(words(20, 72) + item), "a")]
+    rows += [(100 + i, f"seen on all sites\n{' '.join(words(30, 100 + i))}", f"s{i}") for i in range(12)]
+    clash = docs(spark, rows).selectExpr("*", "1 as _k1", "2 as _kept", "3 as _row", "4 as _gone", "5 as _text", "'d' as decoded", "6 as round_trip")
+    clash.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted(k for k in got if k is not None) == [1, 2, 3, 4, 5, 6, 7, 20, *range(100, 112)] and None in got
+    assert all(r.round_trip for r in got.values()) and got[1].ids is None and got[20]._kept == 2 and got[20].decoded == "d"
+    assert sum("seen on all sites" in got[100 + i].text for i in range(12)) == 1
+    (tmp_path / "none").mkdir()
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (3, 7), (7, 6)], "a long, b long")
     assert {r.v: r.root for r in graph.components(e).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 6: 1, 9: 8, 8: 8}
