@@ -56,3 +56,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 def conflicting_groups(rows: DataFrame, content: str, mark: str) -> DataFrame:
     """Contents that carry different annotation sets: content, members, marks. Marks are counted, not gathered."""
     return rows.groupBy(content).agg(F.count("*").alias("members"), F.countDistinct(mark).alias("marks")).filter("marks > 1")
+
+
+def repeated_boxes(boxes: DataFrame, image: str, *same: str) -> DataFrame:
+    """image, boxes: images that hold a box more than once, with the number of such boxes."""
+    twice = boxes.groupBy(image, *same).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return twice.groupBy(image).agg(F.count("*").alias("boxes"))

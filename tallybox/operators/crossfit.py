@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybox.session import cut
+
 
 def balanced(df: DataFrame, keys: list[str]) -> DataFrame:
     """weight = rows / (groups * the group's rows): every group weighs the same and the mean is 1."""
@@ -52,7 +54,7 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, weight: str, fold
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor
 
-    d = _vector(df, columns).persist()
+    d = _vector(cut(df), columns)
     parts = []
     for k in range(folds):
         make = GBTClassifier if kind == "classifier" else GBTRegressor
@@ -63,40 +65,58 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, weight: str, fold
     return reduce(DataFrame.union, parts)
 
 
-def beta_sweep(df: DataFrame, betas: list[float]) -> DataFrame:
-    """AP of base^(1-b) q^b for each b, q the mean score of the row's class and image; the best b that loses nowhere."""
+def beta_sweep(df: DataFrame, totals: DataFrame, betas: list[float], weights: dict[str, float]) -> DataFrame:
+    """class_id, beta, weighted_ap, worst_delta, chosen: the blends score^(1-b) prediction^b of each class, by their AP in each view.
+
+    Of the blends that lose in no view against the plain score (of all, if each loses somewhere) the one of the largest weighted AP is chosen, then of the largest
+    worst delta, then the smallest. df: det_id, class_id, view, tp, score, prediction; totals: view, class_id, n_gt."""
+    from tallybox.operators.metrics import average_precision
     from tallybox.operators.rank import geometric_blend
 
-    q = F.avg("score").over(Window.partitionBy("image_id", "class_id"))
-    d = df.withColumn("q", q).withColumn("view", F.when(F.col("image_id") % 3 == 0, "grid").otherwise("original")).withColumn("beta", F.explode(F.array(*[F.lit(b) for b in betas])))
-    d = d.withColumn("s", geometric_blend(F.col("score"), F.col("q"), F.col("beta")))
-    w = Window.partitionBy("beta", "view").orderBy(F.desc("s"), "det_id")
-    r = d.withColumn("k", F.row_number().over(w)).withColumn("hit", F.sum("label").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ap = r.filter("label = 1").groupBy("beta", "view").agg(F.avg(F.col("hit") / F.col("k")).alias("ap"))
-    base = ap.filter(F.col("beta") == betas[0]).select("view", F.col("ap").alias("base"))
-    s = ap.join(base, "view").groupBy("beta").agg(F.min(F.col("ap") - F.col("base")).alias("worst"), F.avg("ap").alias("mean_ap"))
-    ok = s.withColumn("safe", F.col("worst") >= 0)
-    return ok.withColumn("chosen", F.row_number().over(Window.orderBy(F.desc("safe"), F.desc("mean_ap"), "beta")) == 1)
+    grid = lambda d: d.withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in betas])))
+    by = ["class_id", "view", "beta"]
+    d = grid(df.select("det_id", "class_id", "view", "tp", "score", "prediction"))
+    ap = average_precision(d.withColumn("score", geometric_blend(F.col("score"), F.col("prediction"), F.col("beta"))), grid(totals), by).filter("ap is not null")
+    base = average_precision(df, totals, ["class_id", "view"]).select("class_id", "view", F.col("ap").alias("base"))
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("view")]
+    s = ap.join(base, ["class_id", "view"]).groupBy("class_id", "beta").agg(F.sum(weight * F.col("ap")).alias("weighted_ap"), F.min(F.col("ap") - F.col("base")).alias("worst_delta"))
+    order = Window.partitionBy("class_id").orderBy(F.desc(F.col("worst_delta") >= 0), F.desc("weighted_ap"), F.desc("worst_delta"), "beta")  # a row for each blend of a class
+    return s.withColumn("chosen", F.row_number().over(order) == 1)
 
 
-def matched_subset(targets: DataFrame, pool: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(target, partner, distance): partners distinct, by rounds of mutual nearest among those still free.
+def matched_subset(targets: DataFrame, pool: DataFrame, key: str, columns: list[str], most_rounds: int = 40) -> DataFrame:
+    """(target, partner, distance): partners distinct, pairs taken by distance, the nearest first, until targets or pool are used up.
 
-    Features are robust-scaled; the targets are few (one row for each image of a test set) and are broadcast to the pool."""
-    spark = targets.sparkSession
+    Features are robust-scaled. Pairs within a radius meet by the cells of a grid of that width; among them mutual nearest neighbours match, round by round, until
+    none is left; then the radius doubles for those still free. Matches are a table, and leave by anti-joins."""
     both = targets.select(*columns).union(pool.select(*columns))
-    q = both.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-    z = lambda df, name: df.select(F.col(key).alias(name), *[((F.col(c) - q[c][1]) / max(q[c][2] - q[c][0], 1e-9)).alias(f"{name}_{c}") for c in columns])
+    q = both.agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100_000).alias(c) for c in columns], F.count("*").alias("_n"), *[F.min(c).alias(f"_low_{c}") for c in columns], *[F.max(c).alias(f"_high_{c}") for c in columns]).first()
+    spread = {c: max(q[c][2] - q[c][0], 1e-9) for c in columns} if q["_n"] else dict.fromkeys(columns, 1.0)
+    z = lambda df, name: cut(df.select(F.col(key).alias(name), *[((F.col(c) - F.lit(q[c][1] if q["_n"] else 0.0)) / spread[c]).alias(f"{name}_{c}") for c in columns]))
     t, p = z(targets, "target"), z(pool, "partner")
-    d = sum((F.pow(F.col(f"target_{c}") - F.col(f"partner_{c}"), 2) for c in columns), F.lit(0.0))
-    pairs = p.crossJoin(F.broadcast(t)).select("target", "partner", F.sqrt(d).alias("distance")).persist()
-    found: list[tuple] = []
-    while True:
-        used_t, used_p = [f[0] for f in found], [f[1] for f in found]
-        open_ = pairs.filter(~F.col("target").isin(used_t) & ~F.col("partner").isin(used_p)) if found else pairs
-        a = open_.groupBy("target").agg(F.min(F.struct("distance", "partner")).alias("b")).select("target", "b.partner", "b.distance")
-        b = open_.groupBy("partner").agg(F.min(F.struct("distance", "target")).alias("b")).select("partner", "b.target")
-        new = [tuple(r) for r in a.join(b, ["target", "partner"]).select("target", "partner", "distance").collect()]
-        if not new:
-            return spark.createDataFrame(found, "target long, partner long, distance double")
-        found += new
+    found = cut(t.sparkSession.createDataFrame([], "target long, partner long, distance double"))
+    if not q["_n"]:
+        return found
+    widest = max((q[f"_high_{c}"] - q[f"_low_{c}"]) / spread[c] for c in columns) * len(columns) ** 0.5 + 1e-9
+    radius = widest / max(2.0, q["_n"] ** (1 / len(columns)))
+    for _ in range(most_rounds):
+        cell = lambda name, r=radius: [F.floor(F.col(f"{name}_{c}") / r) for c in columns]
+        near = t.withColumn("_c", F.array(*cell("target")))
+        for i in range(len(columns)):
+            near = near.withColumn("_o", F.explode(F.array(*[F.lit(o) for o in (-1, 0, 1)]))).withColumn("_c", F.transform("_c", lambda x, k, i=i: F.when(k == i, x + F.col("_o")).otherwise(x))).drop("_o")
+        d = F.sqrt(sum((F.pow(F.col(f"target_{c}") - F.col(f"partner_{c}"), 2) for c in columns), F.lit(0.0)))
+        pairs = cut(near.join(p.withColumn("_c", F.array(*cell("partner"))), "_c").select("target", "partner", d.alias("distance")).filter(F.col("distance") <= radius))
+        while True:
+            a = pairs.groupBy("target").agg(F.min(F.struct("distance", "partner")).alias("b")).select("target", "b.partner", "b.distance")
+            b = pairs.groupBy("partner").agg(F.min(F.struct("distance", "target")).alias("b")).select("partner", "b.target")
+            new = cut(a.join(b, ["target", "partner"]).select("target", "partner", "distance"))
+            if new.isEmpty():
+                break
+            found = found.union(new)
+            pairs = cut(pairs.join(new.select("target"), "target", "left_anti").join(new.select("partner"), "partner", "left_anti"))
+        found = cut(found)
+        t, p = cut(t.join(found.select("target"), "target", "left_anti")), cut(p.join(found.select("partner"), "partner", "left_anti"))
+        if radius > widest or t.isEmpty() or p.isEmpty():
+            break
+        radius *= 2
+    return found

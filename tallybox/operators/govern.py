@@ -134,6 +134,21 @@ def frozen_violations(frozen: DataFrame, now: DataFrame) -> DataFrame:
     return frozen.join(n, "path", "left").select("path", problem.alias("problem")).filter("problem is not null")
 
 
+def scope_violations(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, problem): rows of the split that were not evaluated, rows out of it, and rows evaluated twice."""
+    missing = expected.select(key).join(found, key, "left_anti").select(key, F.lit("not_evaluated").alias("problem"))
+    outside = found.select(key).distinct().join(expected, key, "left_anti").select(key, F.lit("out_of_scope").alias("problem"))
+    return missing.union(outside).union(found.groupBy(key).count().filter("count > 1").select(key, F.lit("twice").alias("problem")))
+
+
+def scope_problem() -> Column:
+    """What an evaluation run (role, tune, row_limit, frozen, signature) must not do, or null: the final holdout is whole, untuned and of a frozen
+    signature; thresholds are tuned on dev and calibration alone."""
+    holdout, tune, limit = F.col("role") == "final_holdout", F.col("tune"), F.col("row_limit")
+    return (F.when(limit < 0, "negative_limit").when(holdout & (tune | (limit > 0)), "holdout_not_whole")
+            .when(holdout & ~F.coalesce(F.col("frozen") == F.col("signature"), F.lit(False)), "not_frozen").when(tune & ~F.col("role").isin("dev", "calibration"), "tuned"))
+
+
 def box_problem(width: Column, height: Column, known_image: Column, known_class: Column) -> Column:
     """The first thing wrong with a prediction, or null."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))

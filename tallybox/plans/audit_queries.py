@@ -72,10 +72,19 @@ def g9(v):
     return audit.histogram(v.events, ["event_type"], "value", 0.0, 1000.0, 256).withColumn("share", F.round("share", 9))
 
 
-@query("g10_conflicting_duplicates", "WITH a AS (SELECT sha256(text) AS sha, concat(quality, '/', toxic) AS mark FROM documents JOIN labels USING (doc_id)) SELECT sha, count(*) AS members, count(DISTINCT mark) AS marks FROM a GROUP BY 1 HAVING count(DISTINCT mark) > 1")
+REPEATED = "rb AS (SELECT image_id, count(*) AS boxes FROM (SELECT image_id FROM gt GROUP BY image_id, class_id, x1, y1, x2, y2 HAVING count(*) > 1) GROUP BY 1)"
+
+
+def repeated(v):
+    return audit.repeated_boxes(v.gt, "image_id", "class_id", *BOX)
+
+
+@query("g10_conflicting_duplicates", f"""WITH a AS (SELECT sha256(text) AS sha, concat(quality, '/', toxic) AS mark FROM documents JOIN labels USING (doc_id)), {REPEATED}
+SELECT 'conflict' AS kind, sha AS key, count(*) AS members, count(DISTINCT mark) AS marks FROM a GROUP BY sha HAVING count(DISTINCT mark) > 1 UNION ALL SELECT 'repeated_box', CAST(image_id AS VARCHAR), boxes, 0 FROM rb""")
 def g10(v):
     a = v.documents.join(v.labels, "doc_id").select(F.sha2("text", 256).alias("sha"), F.concat_ws("/", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("mark"))
-    return audit.conflicting_groups(a, "sha", "mark")
+    conflicts = audit.conflicting_groups(a, "sha", "mark").select(F.lit("conflict").alias("kind"), F.col("sha").alias("key"), "members", "marks")
+    return conflicts.union(repeated(v).select(F.lit("repeated_box"), F.col("image_id").cast("string"), "boxes", F.lit(0).cast("bigint")))
 
 
 @query("g11_grounding_audit", "WITH i AS (SELECT conv_id, count(*) AS q FROM conversations GROUP BY 1) SELECT sum(q)::BIGINT AS samples, count(*) AS image_groups, min(q) AS least, max(q) AS most, round(avg(q), 6) AS mean, quantile_cont(q, 0.5) AS median FROM i")
@@ -137,11 +146,11 @@ def d1(v):
     return cc(v)
 
 
-@query("d2_quarantine", f"WITH RECURSIVE {CCS}, mk AS (SELECT id, 'test' AS reason FROM gr WHERE id % 211 = 0 UNION ALL SELECT id, 'conflict' FROM gr WHERE id % 97 = 0), bad AS (SELECT head, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM gr JOIN mk USING (id) GROUP BY 1) SELECT id, head, reasons FROM gr JOIN bad USING (head)")
+@query("d2_quarantine", f"WITH RECURSIVE {CCS}, {REPEATED}, mk AS (SELECT id, 'test' AS reason FROM gr WHERE id % 211 = 0 UNION ALL SELECT id, 'conflict' FROM gr WHERE id % 97 = 0 UNION ALL SELECT image_id, 'duplicate_box' FROM rb), bad AS (SELECT head, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM gr JOIN mk USING (id) GROUP BY 1) SELECT id, head, reasons FROM gr JOIN bad USING (head)")
 def d2(v):
     g = checkpointed(cc(v))
     marks = g.filter("id % 211 = 0").select("id", F.lit("test").alias("reason")).union(g.filter("id % 97 = 0").select("id", F.lit("conflict").alias("reason")))
-    return govern.quarantine(g, marks)
+    return govern.quarantine(g, marks.union(repeated(v).select(F.col("image_id").alias("id"), F.lit("duplicate_box"))))
 
 
 CLS = [f"c{c}" for c in range(8)]
@@ -196,14 +205,22 @@ def d6(v):
     return govern.frozen_violations(frozen, now)
 
 
-@query("d7_evaluation_scope", "WITH e AS (SELECT image_id FROM images WHERE view = 'grid'), u AS (SELECT DISTINCT image_id FROM det WHERE score > 0.5 AND image_id % 3 = 0 AND image_id % 21 <> 0 UNION SELECT 1) SELECT image_id, 'not_evaluated' AS problem FROM e WHERE image_id NOT IN (SELECT image_id FROM u) UNION ALL SELECT image_id, 'out_of_scope' FROM u WHERE image_id NOT IN (SELECT image_id FROM e)")
-def d7(v):
-    from tallybox.operators.support import missing_and_unknown
+SCOPE_RULES = [("dev", True, 0, "w1", "w1"), ("final_holdout", True, 0, "w1", "w1"), ("final_holdout", False, 5, "w1", "w1"), ("final_holdout", False, 0, "w1", "w2"), ("final_holdout", False, 0, "w1", "w1"), ("train", True, 0, None, None), ("dev", False, -1, None, None)]
+RUNS = ", ".join(f"({i}, '{r}', {t}, {n}, {repr(a) if a else 'NULL'}, {repr(b) if b else 'NULL'})" for i, (r, t, n, a, b) in enumerate(SCOPE_RULES))
+
 
+@query("d7_evaluation_scope", f"""WITH e AS (SELECT image_id FROM images WHERE view = 'grid'), u AS (SELECT image_id FROM (SELECT DISTINCT image_id FROM det WHERE score > 0.5 AND image_id % 3 = 0 AND image_id % 21 <> 0) UNION ALL SELECT 1 UNION ALL SELECT min(image_id) FROM det WHERE score > 0.5 AND image_id % 3 = 0 AND image_id % 21 <> 0),
+r(run, role, tune, row_limit, frozen, signature) AS (VALUES {RUNS})
+SELECT CAST(image_id AS VARCHAR) AS key, 'not_evaluated' AS problem FROM e WHERE image_id NOT IN (SELECT image_id FROM u) UNION ALL SELECT DISTINCT CAST(image_id AS VARCHAR), 'out_of_scope' FROM u WHERE image_id NOT IN (SELECT image_id FROM e)
+UNION ALL SELECT CAST(image_id AS VARCHAR), 'twice' FROM u GROUP BY image_id HAVING count(*) > 1 UNION ALL SELECT concat('run', run), CASE WHEN row_limit < 0 THEN 'negative_limit' WHEN role = 'final_holdout' AND (tune OR row_limit > 0) THEN 'holdout_not_whole'
+ WHEN role = 'final_holdout' AND (frozen IS NULL OR signature IS NULL OR frozen <> signature) THEN 'not_frozen' WHEN tune AND role NOT IN ('dev', 'calibration') THEN 'tuned' END FROM r WHERE row_limit < 0 OR role = 'final_holdout' AND (tune OR row_limit > 0 OR frozen IS NULL OR frozen <> signature) OR tune AND role NOT IN ('dev', 'calibration')""")
+def d7(v):
     e = v.images.filter("view = 'grid'").select("image_id")
-    u = v.det.filter("score > 0.5 and image_id % 3 = 0 and image_id % 21 <> 0").select("image_id").distinct().union(v.spark.range(1, 2).toDF("image_id"))
-    names = F.when(F.col("problem") == "missing", "not_evaluated").otherwise("out_of_scope")
-    return missing_and_unknown(e, u, "image_id").select("image_id", names.alias("problem"))
+    u = v.det.filter("score > 0.5 and image_id % 3 = 0 and image_id % 21 <> 0").select("image_id").distinct()
+    u = u.union(v.spark.range(1, 2).toDF("image_id")).union(u.agg(F.min("image_id")))
+    runs = v.spark.createDataFrame([(i, *r) for i, r in enumerate(SCOPE_RULES)], "run int, role string, tune boolean, row_limit int, frozen string, signature string")
+    named = runs.select(F.concat(F.lit("run"), F.col("run").cast("string")).alias("key"), govern.scope_problem().alias("problem")).filter("problem is not null")
+    return govern.scope_violations(e, u, "image_id").select(F.col("image_id").cast("string").alias("key"), "problem").union(named)
 
 
 @query("d8_split_by_key", "SELECT DISTINCT grp, CAST(concat('0x', substr(sha256(concat('v', grp)), 1, 12)) AS BIGINT)/281474976710656.0::DOUBLE < 0.2 AS val FROM images")

@@ -197,7 +197,11 @@ def l10(v):
 
 @query("l11_beta_policy")
 def l11(v):
-    return crossfit.beta_sweep(features(v), [0.0, 0.2, 0.4, 0.6])
+    d = features(v).withColumn("fold", (F.col("grp_no") % 3).cast("int"))
+    oof = crossfit.out_of_fold(d, ["score", "n_peers", "log_area"], "target", "weight", 3, "regressor")
+    view = v.images.select("image_id", "view")
+    lab = metrics.label(v.det, v.gt, 0.5).select("det_id", "tp").join(oof, "det_id").join(view, "image_id")
+    return crossfit.beta_sweep(lab, metrics.truth_totals(v.gt.join(view, "image_id"), ["view", "class_id"]), [0.0, 0.2, 0.4, 0.6], {"original": 488 / 788, "grid": 300 / 788})
 
 
 @query("l12_family_weights", "SELECT det_id, CASE WHEN image_id % 37 < 10 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM det")

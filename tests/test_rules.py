@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybox.functions import columns as C
-from tallybox.operators import audit, fuse, govern, metrics, order, rank, refine
+from tallybox.operators import audit, crossfit, fuse, govern, metrics, order, rank, refine
 from tallybox.sources import formats
 from tallybox.streaming import caches
 
@@ -182,3 +182,52 @@ def test_strict_annotations_fail_and_signatures_differ(spark, tmp_path):
     with pytest.raises(Exception, match="bad object in i1"):
         formats.read_voc(spark, str(tmp_path / "voc"), ["c0"], strict=True).collect()
     assert caches.signature(a=1, b=2) == caches.signature(b=2, a=1) != caches.signature(a=1, b=3)
+
+
+def test_matched_subset_equals_greedy_by_distance(spark):
+    r = np.random.default_rng(3)
+    t, p = r.normal(size=(25, 2)), np.concatenate([r.normal(size=(60, 2)), r.normal(size=(3, 2)) + 40])
+    rows = lambda x, first: spark.createDataFrame([(first + i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, f1 double, f2 double")
+    got = {x.target: x.partner for x in crossfit.matched_subset(rows(t, 0), rows(p, 1000), "id", ["f1", "f2"]).collect()}
+    both = np.concatenate([t, p])
+    q = np.quantile(both, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    z = (both - q[1]) / (q[2] - q[0])
+    d = np.linalg.norm(z[:25, None] - z[None, 25:], axis=2)
+    want, used = {}, set()
+    for at in np.argsort(d, axis=None):
+        i, j = divmod(int(at), d.shape[1])
+        if i not in want and j not in used:
+            want[i] = 1000 + j
+            used.add(j)
+    assert got == want
+    assert crossfit.matched_subset(rows(t[:0], 0), rows(p, 1000), "id", ["f1", "f2"]).count() == 0
+
+
+def test_beta_policy_keeps_blends_that_lose_nowhere(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(300):
+        tp = int(r.random() < 0.5)
+        good = 0.5 + 0.4 * tp + 0.05 * r.random()
+        rows.append((i, i % 2, "ab"[i // 2 % 2], tp, r.random(), good if i % 2 == 0 else 1 - good))
+    d = spark.createDataFrame(rows, "det_id long, class_id int, view string, tp int, score double, prediction double")
+    totals = d.filter("tp = 1").groupBy("view", "class_id").agg(F.count("*").alias("n_gt"))
+    out = crossfit.beta_sweep(d, totals, [0.0, 0.5, 1.0], {"a": 0.6, "b": 0.4}).collect()
+    best = {x.class_id: x for x in out if x.chosen}
+    assert best[0].beta == 1.0 and best[0].weighted_ap == pytest.approx(1.0) and best[1].beta == 0.0 and best[1].worst_delta == 0
+    assert len(out) == 6
+
+
+def test_constrained_fit_and_folds(spark):
+    r = random.Random(2)
+    rows = [(i, i % 3, float(x), float(r.random()), float(x + r.gauss(0, 0.2) > 0.5), 1.0) for i in range(240) for x in [r.random()]]
+    d = spark.createDataFrame(rows, "det_id long, fold int, x double, noise double, label double, weight double")
+    fit = {x.name: x.value for x in crossfit.constrained_logistic(d.withColumn("minus", -F.col("x")), ["minus", "noise"], "label", "weight", [0.0, None]).collect()}
+    assert fit["minus"] == 0.0 and set(fit) == {"minus", "noise", "intercept"}
+    out = crossfit.out_of_fold(d, ["x", "noise"], "label", "weight", 3, "classifier").collect()
+    assert len(out) == 240 and np.mean([(x.prediction > 0.5) == bool(x.label) for x in out]) > 0.75
+
+
+def test_scope_rules(spark):
+    runs = spark.createDataFrame([(1, "final_holdout", False, 0, "a", None), (2, "final_holdout", False, 0, "a", "a"), (3, "dev", True, 0, None, None), (4, "val", True, 0, None, None), (5, "final_holdout", True, -1, "a", "a")], "run int, role string, tune boolean, row_limit int, frozen string, signature string")
+    assert [x.p for x in runs.orderBy("run").select(govern.scope_problem().alias("p")).collect()] == ["not_frozen", None, None, "tuned", "negative_limit"]
