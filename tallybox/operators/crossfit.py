@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybox.session import cut
@@ -84,6 +84,15 @@ def beta_sweep(df: DataFrame, totals: DataFrame, betas: list[float], weights: di
     return s.withColumn("chosen", F.row_number().over(order) == 1)
 
 
+def _cell(columns: list[str], name: str, width: float) -> Column:
+    return F.array(*[F.floor(F.col(f"{name}_{c}") / width) for c in columns])
+
+
+def _moved(cell: str, at: int, by: Column) -> Column:
+    """An array with `by` added to its number at `at`."""
+    return F.transform(cell, lambda x, k: F.when(k == at, x + by).otherwise(x))
+
+
 def matched_subset(targets: DataFrame, pool: DataFrame, key: str, columns: list[str], most_rounds: int = 40) -> DataFrame:
     """(target, partner, distance): partners distinct, pairs taken by distance, the nearest first, until targets or pool are used up.
 
@@ -100,12 +109,11 @@ def matched_subset(targets: DataFrame, pool: DataFrame, key: str, columns: list[
     widest = max((q[f"_high_{c}"] - q[f"_low_{c}"]) / spread[c] for c in columns) * len(columns) ** 0.5 + 1e-9
     radius = widest / max(2.0, q["_n"] ** (1 / len(columns)))
     for _ in range(most_rounds):
-        cell = lambda name, r=radius: [F.floor(F.col(f"{name}_{c}") / r) for c in columns]
-        near = t.withColumn("_c", F.array(*cell("target")))
+        near = t.withColumn("_c", _cell(columns, "target", radius))
         for i in range(len(columns)):
-            near = near.withColumn("_o", F.explode(F.array(*[F.lit(o) for o in (-1, 0, 1)]))).withColumn("_c", F.transform("_c", lambda x, k, i=i: F.when(k == i, x + F.col("_o")).otherwise(x))).drop("_o")
+            near = near.withColumn("_o", F.explode(F.array(*[F.lit(o) for o in (-1, 0, 1)]))).withColumn("_c", _moved("_c", i, F.col("_o"))).drop("_o")
         d = F.sqrt(sum((F.pow(F.col(f"target_{c}") - F.col(f"partner_{c}"), 2) for c in columns), F.lit(0.0)))
-        pairs = cut(near.join(p.withColumn("_c", F.array(*cell("partner"))), "_c").select("target", "partner", d.alias("distance")).filter(F.col("distance") <= radius))
+        pairs = cut(near.join(p.withColumn("_c", _cell(columns, "partner", radius)), "_c").select("target", "partner", d.alias("distance")).filter(F.col("distance") <= radius))
         while True:
             a = pairs.groupBy("target").agg(F.min(F.struct("distance", "partner")).alias("b")).select("target", "b.partner", "b.distance")
             b = pairs.groupBy("partner").agg(F.min(F.struct("distance", "target")).alias("b")).select("partner", "b.target")
