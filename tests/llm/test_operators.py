@@ -417,7 +417,7 @@ ARTICLES = {
     "<body><div class='search'>s</div><div role='banner'>b</div><p>plain</p></body>": "plain",
     "<article>a &lt;b&gt; &eacute;&#x20;&#8364;<!-- <p>no</p> --> c</article>": "a <b> é € c",
     "<article><p>open <b>bold<p>next</article>": "open bold next",
-    "<p x='unclosed>text": "",
+    "<p x='unclosed>text": "text",
 }
 
 
