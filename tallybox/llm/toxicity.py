@@ -88,11 +88,12 @@ def model_tables(known: DataFrame) -> DataFrame:
         rows = orders[order].withColumn("context", F.substring("run", 1, order - 1))
         of = rows.groupBy("model", "context").agg(*[f for c in "01" for f in (F.sum(f"v{c}").alias(f"t{c}"), F.count_if(F.col(f"v{c}") > 0).alias(f"k{c}"))])
         of = of.select("model", "context", "t0", "t1", *[F.when(F.col(f"t{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"t{c}")).otherwise(1.0).alias(f"w{c}") for c in "01"])
-        rows = rows.join(of, ["model", "context"])
+        rows = rows.join(of.hint("merge"), ["model", "context"])  # the tables grow with the corpus: no broadcasts through the driver
         if lower is None:
             rows = rows.withColumns({"q0": F.lit(FLOOR), "q1": F.lit(FLOOR)})
         else:
-            rows = rows.join(lower.select("model", F.col("run").alias("tail"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), (F.substring("run", 2, order) == F.col("tail")) & (rows["model"] == lower["model"])).drop(lower["model"])
+            tails = lower.select(F.col("model").alias("_m"), F.col("run").alias("_tail"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+            rows = rows.join(tails.hint("merge"), (F.substring("run", 2, order) == F.col("_tail")) & (F.col("model") == F.col("_m"))).drop("_m", "_tail")
         p = [(F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"v{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"t{c}")).otherwise(0.0) + F.col(f"w{c}") * F.col(f"q{c}")).alias(f"p{c}") for c in "01"]
         lower = cut(rows.select("model", "run", *p))
         out += [lower.select("model", F.lit(0).alias("kind"), "run", (F.log("p1") - F.log("p0")).alias("ratio")),
@@ -218,13 +219,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
+def _part(id_col: str) -> F.Column:
+    """crc32 of the id / 5 mod 4."""
+    return F.pmod(F.floor(F.crc32(F.col(id_col).cast("string")) / 5), F.lit(4))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train, broadcast_rows: int = BROADCAST_KEYS) -> DataFrame:
     """(_id, text, label, part): training rows; part = crc32 of the id / 5 mod 4."""
     one = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
            .agg(F.max(F.col(label_col).cast("int")).alias("label")).filter("label in (0, 1)"))
     rows = docs.filter(train).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     one = F.broadcast(one) if one.count() <= broadcast_rows else one
-    return rows.join(one, "_id").select("_id", "text", "label", F.pmod(F.floor(F.crc32(F.col("_id").cast("string")) / 5), F.lit(4)).alias("part"))
+    return rows.join(one, "_id").select("_id", "text", "label", _part("_id").alias("part"))
 
 
 def _keyed(batches):
@@ -283,12 +289,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc
                    label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default: the id) and score double. `train`: boolean column, the ids that may teach."""
     keep = keep or [id_col]
-    known = labelled(docs, labels, id_col, text_col, label_col, train)
-    tables = model_tables(known)
-    apart = known.filter("part = 3")
-    share = min(1.0, CALIBRATION_ROWS / max(1, apart.count()))
-    some = apart.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    cal = _features(some, tables, 0, ["label"], "text").toPandas()
+    tables = model_tables(labelled(docs, labels, id_col, text_col, label_col, train))
+    apart = labels.filter(F.col(label_col).isNotNull() & (_part(id_col) == 3))
+    share = min(1.0, CALIBRATION_ROWS / max(1, apart.select(id_col).distinct().count()))
+    some = apart.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    cal = _features(labelled(docs, some, id_col, text_col, label_col, train), tables, 0, ["label"], "text").toPandas()
     if cal["label"].nunique() < 2:
         return docs.select(*[F.col(c) for c in keep], F.lit(0.0).alias("score"))
     x = cal[FEATURES].to_numpy()
