@@ -143,12 +143,15 @@ class Table:
         return there, np.where(there, self.values[at], 0)
 
 
+#: What the key of a context differs in from that of the same letters as a run.
+_CONTEXT = np.uint64(0xA5A5A5A5A5A5A5A5)
+
+
 class Ratios:
-    """The tables of one model, and the words met so far."""
+    """The table of one model, and the words met so far."""
 
-    def __init__(self, rows) -> None:
-        """`rows`: kind, key, ratio."""
-        self.run, self.context = (Table(rows["key"][rows["kind"] == k].to_numpy(np.int64).view(np.uint64), rows["ratio"][rows["kind"] == k].to_numpy()) for k in (0, 1))
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray) -> None:
+        self.table = Table(keys.view(np.uint64), ratios)
         self.words: dict[str, tuple[float, int, float]] = {}
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -165,11 +168,11 @@ class Ratios:
         ratio = np.zeros(len(raw))
         on = np.arange(len(raw))
         for order in range(ORDER, 0, -1):
-            there, value = self.run.find(_extend(before[order - 1][on], raw[on]) ^ np.uint64(order))
+            there, value = self.table.find(_extend(before[order - 1][on], raw[on]) ^ np.uint64(order))
             ratio[on[there]] += value[there]
             on = on[~there]
             if order > SHARED:
-                ratio[on] += self.context.find(before[order - 1][on] ^ np.uint64(order - 1))[1]
+                ratio[on] += self.table.find(before[order - 1][on] ^ np.uint64(order - 1) ^ _CONTEXT)[1]
         n = len(words)
         return np.stack([np.bincount(word, ratio, n), np.bincount(word, minlength=n), np.bincount(word, np.where(place < STEM, ratio, 0), n)], 1)
 
@@ -233,11 +236,24 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return rows.join(one, "_id").select("_id", "text", "label", _part("_id").alias("part"))
 
 
+_models: dict[int, tuple] = {}
+
+
+def _model(arrays: tuple[np.ndarray, np.ndarray]) -> Ratios:
+    """The model of a broadcast's arrays, built once in each worker process and not on the driver."""
+    if id(arrays) not in _models:
+        _models.clear()
+        _models[id(arrays)] = arrays, Ratios(*arrays)
+    return _models[id(arrays)][1]
+
+
 def _keyed(batches):
+    """Keys and ratios of rows (kind, run, ratio)."""
     import pyarrow as pa
 
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(run_keys(b.column(1).to_pylist()).view(np.int64)), b.column(2)], names=["kind", "key", "ratio"])
+        keys = run_keys(b.column(1).to_pylist()) ^ np.where(b.column(0).to_numpy() == 1, _CONTEXT, np.uint64(0))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(2).cast(pa.float32())], names=["key", "ratio"])
 
 
 def joined_ratios(words: DataFrame, tables: DataFrame) -> DataFrame:
@@ -276,10 +292,11 @@ def _features(docs: DataFrame, tables: DataFrame, model: int, keep: list[str], t
     """The columns `keep` and the features."""
     tables = tables.filter(F.col("model") == model)
     if tables.count() <= MODEL_ROWS:
-        rows = tables.select("kind", "run", "ratio").mapInArrow(_keyed, "kind int, key long, ratio double").toPandas()
-        shared = docs.sparkSession.sparkContext.broadcast(Ratios(rows))
+        rows = tables.select("kind", "run", "ratio").mapInArrow(_keyed, "key long, ratio float").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(), rows["ratio"].to_numpy()))
+        del rows
         plain = docs.select(*[F.col(c) for c in keep], plain_text(text_col).alias("_plain"))
-        return add_columns(plain, keep, "_plain", lambda texts: list(features(shared.value.texts(texts)).T), ", ".join(f"{c} double" for c in FEATURES))
+        return add_columns(plain, keep, "_plain", lambda texts: list(features(_model(shared.value).texts(texts)).T), ", ".join(f"{c} double" for c in FEATURES))
     rows = cut(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[F.col(c) for c in keep]).alias("_keep"), plain_text(text_col).alias("_plain")))
     got = rows.select("_key", "_keep").join(_joined_features(rows, tables), "_key", "left")
     return got.select("_keep.*", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES])

@@ -161,9 +161,9 @@ def test_ratios_equal_kneser_ney_by_its_definition(spark):
             counts.setdefault(w, [0, 0])[y] += 1
     both = [plain_kneser_ney([(w, *n) for w, n in counts.items()], c) for c in (0, 1)]
     tables = toxicity.model_tables(known).filter("model = 1")
-    rows = tables.select("kind", "run", "ratio").mapInArrow(toxicity._keyed, "kind int, key long, ratio double").toPandas()
+    rows = tables.select("kind", "run", "ratio").mapInArrow(toxicity._keyed, "key long, ratio float").toPandas()
     some = ["plain", "nastiest", "worm", "wörm", "zzz", "a"]
-    got = toxicity.Ratios(rows).of(some)[:, 0]
+    got = toxicity.Ratios(rows["key"].to_numpy(), rows["ratio"].to_numpy()).of(some)[:, 0]
     assert np.allclose(got, [both[1](w) - both[0](w) for w in some], atol=1e-4)
 
 
