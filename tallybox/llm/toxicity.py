@@ -236,17 +236,6 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return rows.join(one, "_id").select("_id", "text", "label", _part("_id").alias("part"))
 
 
-_models: dict[int, tuple] = {}
-
-
-def _model(arrays: tuple[np.ndarray, np.ndarray]) -> Ratios:
-    """The model of a broadcast's arrays, built once in each worker process and not on the driver."""
-    if id(arrays) not in _models:
-        _models.clear()
-        _models[id(arrays)] = arrays, Ratios(*arrays)
-    return _models[id(arrays)][1]
-
-
 def _keyed(batches):
     """Keys and ratios of rows (kind, run, ratio)."""
     import pyarrow as pa
@@ -296,7 +285,14 @@ def _features(docs: DataFrame, tables: DataFrame, model: int, keep: list[str], t
         shared = docs.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(), rows["ratio"].to_numpy()))
         del rows
         plain = docs.select(*[F.col(c) for c in keep], plain_text(text_col).alias("_plain"))
-        return add_columns(plain, keep, "_plain", lambda texts: list(features(_model(shared.value).texts(texts)).T), ", ".join(f"{c} double" for c in FEATURES))
+        model: list[Ratios] = []  # built once in each task, and gone with it
+
+        def run(texts):
+            if not model:
+                model.append(Ratios(*shared.value))
+            return list(features(model[0].texts(texts)).T)
+
+        return add_columns(plain, keep, "_plain", run, ", ".join(f"{c} double" for c in FEATURES))
     rows = cut(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[F.col(c) for c in keep]).alias("_keep"), plain_text(text_col).alias("_plain")))
     got = rows.select("_key", "_keep").join(_joined_features(rows, tables), "_key", "left")
     return got.select("_keep.*", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES])
