@@ -126,13 +126,6 @@ def test_duplicate_chain_is_one_group(spark):
     assert {r.id: r.head for r in g.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
 
 
-def test_near_duplicates_need_texture(spark):
-    thumb = [float(i % 7) * 8 for i in range(16)]
-    rows = [(1, 0b1011, thumb), (2, 0b1010, thumb), (3, 0b1011, [1.0] * 16)]
-    p = govern.near_duplicate_pairs(spark.createDataFrame(rows, "vec_id long, dhash long, thumb array<double>"), 1, 4.0, 0.9995, 1.0)
-    assert [(r.a, r.b, r.distance) for r in p.collect()] == [(1, 2, 1)]
-
-
 def test_shared_group_is_leakage(spark):
     m = spark.createDataFrame([("train", "p1", "g1"), ("val", "p2", "g1")], "split string, path string, grp string")
     assert [(r.kind, r.key) for r in govern.split_violations(m).collect()] == [("shared_group", "g1")]

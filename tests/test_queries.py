@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tallybox.plans import load
@@ -17,7 +18,7 @@ def rows(df):
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") or type(v).__name__ == "Decimal" else str(v) for v in r))
+        out.append(tuple(None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") or type(v).__name__ == "Decimal" else str(v) for v in r))
     return sorted(out, key=repr)
 
 
