@@ -1,4 +1,4 @@
-"""The ten registered queries: each applies its operator, with production parameters, to its whole table."""
+"""The registered queries: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybox.llm.common import table
 from tallybox.llm.decontaminate import decontaminate
+from tallybox.llm.filter_audit import audit_filters
 from tallybox.llm.licenses import notices, scan_licenses
 from tallybox.llm.line_dedup import dedup_lines
 from tallybox.llm.near_dedup import near_duplicates
@@ -84,5 +85,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(out, 0.5)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_quality, op4_substring_dedup, op5_license_scan,
-                                   op6_embedding_near_dedup, op7_near_dedup, op8_line_dedup, op9_html_extraction, op10_toxicity)}
+                                   op6_embedding_near_dedup, op7_near_dedup, op8_line_dedup, op9_html_extraction, op10_toxicity, op13_filter_audit)}
