@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallybox.llm.common import LOWER, UPPER
 from tallybox.llm.licenses import NOTICES
+from tallybox.llm.weak_rules import ROUNDS, RULES, START
 
 _WORDS = rf"""regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -63,4 +64,29 @@ r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND N
              coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS toxic_lost FROM j GROUP BY ALL)
 SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f) AS shapley FROM r"""
 
-SQL = {"op13_filter_audit": FILTER_AUDIT, "op1_decontaminate": DECONTAMINATE, "op5_license_scan": LICENSES, "op8_line_dedup": LINES}
+def _rules_sql() -> str:
+    """Figures, votes, the rounds of expectation-maximisation as a recursion over the pattern counts, and the verdict."""
+    r = range(1, len(RULES) + 1)
+    case = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{j}" for j, (_, good, bad) in zip(r, RULES, strict=True))
+    vs = ", ".join(f"v{j}" for j in r)
+    ll = " + ".join(f"CASE v{j} WHEN 1 THEN ln(1 - b{j}) - ln(a{j}) WHEN -1 THEN ln(b{j}) - ln(1 - a{j}) ELSE 0 END" for j in r)
+    post = f"1 / (1 + exp(ln(1 - pi) - ln(pi) + {ll}))"
+    start = ", ".join([f"{START[0]}::DOUBLE AS pi", *[f"{START[1]}::DOUBLE AS a{j}, {START[2]}::DOUBLE AS b{j}" for j in r]])
+    a = ", ".join(f"(1 + coalesce(sum(g) FILTER (v{j} = 1), 0)) / (2 + coalesce(sum(g) FILTER (v{j} <> 0), 0)), (1 + coalesce(sum(n - g) FILTER (v{j} = -1), 0)) / (2 + coalesce(sum(n - g) FILTER (v{j} <> 0), 0))" for j in r)
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+s AS (SELECT doc_id, s, list_slice(w, s, s + 7) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS s FROM w)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM s) WHERE k > 1) GROUP BY 1),
+f AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals,
+             len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter, len(list_filter(w, lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]\z'))) AS n_plain_ends FROM w LEFT JOIN c USING (doc_id)),
+v AS (SELECT *, {case} FROM f),
+p AS (SELECT {vs}, count(*) AS n FROM v GROUP BY ALL),
+em AS (SELECT 0 AS it, {start} UNION ALL
+       SELECT it + 1, (1 + sum(g)) / (2 + sum(n)), {a} FROM (SELECT it, p.*, n * {post} AS g FROM em, p WHERE it < {ROUNDS}) GROUP BY it),
+k AS (SELECT p.*, {post} AS post FROM em, p WHERE it = {ROUNDS}),
+j AS (SELECT v.*, post, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v JOIN k USING ({vs}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND post >= 0.5 AS kept FROM j"""
+
+
+SQL = {"op12_quality_rules": _rules_sql(), "op13_filter_audit": FILTER_AUDIT, "op1_decontaminate": DECONTAMINATE, "op5_license_scan": LICENSES, "op8_line_dedup": LINES}

@@ -17,6 +17,7 @@ from tallybox.llm.quality import score_quality
 from tallybox.llm.substring_dedup import remove_repeats
 from tallybox.llm.toxicity import score_toxicity
 from tallybox.llm.vectors import near_vectors
+from tallybox.llm.weak_rules import judge
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +86,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(out, 0.5)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_quality, op4_substring_dedup, op5_license_scan,
-                                   op6_embedding_near_dedup, op7_near_dedup, op8_line_dedup, op9_html_extraction, op10_toxicity, op13_filter_audit)}
+                                   op6_embedding_near_dedup, op7_near_dedup, op8_line_dedup, op9_html_extraction, op10_toxicity, op12_quality_rules, op13_filter_audit)}
