@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallybox.llm.common import LOWER, UPPER
 from tallybox.llm.licenses import NOTICES
-from tallybox.llm.weak_rules import ROUNDS, RULES, START
+from tallybox.llm.weak_rules import ROUNDS, RULES, SHARES, start
 
 _WORDS = rf"""regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -66,27 +66,42 @@ SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant,
 
 def _rules_sql() -> str:
     """Figures, votes, the rounds of expectation-maximisation as a recursion over the pattern counts, and the verdict."""
-    r = range(1, len(RULES) + 1)
-    case = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{j}" for j, (_, good, bad) in zip(r, RULES, strict=True))
+    r, classes = range(1, len(RULES) + 1), range(len(SHARES))
+    case = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{j}" for j, (_, _, good, bad) in zip(r, RULES, strict=True))
     vs = ", ".join(f"v{j}" for j in r)
-    ll = " + ".join(f"CASE v{j} WHEN 1 THEN ln(1 - b{j}) - ln(a{j}) WHEN -1 THEN ln(b{j}) - ln(1 - a{j}) ELSE 0 END" for j in r)
-    post = f"1 / (1 + exp(ln(1 - pi) - ln(pi) + {ll}))"
-    start = ", ".join([f"{START[0]}::DOUBLE AS pi", *[f"{START[1]}::DOUBLE AS a{j}, {START[2]}::DOUBLE AS b{j}" for j in r]])
-    a = ", ".join(f"(1 + coalesce(sum(g) FILTER (v{j} = 1), 0)) / (2 + coalesce(sum(g) FILTER (v{j} <> 0), 0)), (1 + coalesce(sum(n - g) FILTER (v{j} = -1), 0)) / (2 + coalesce(sum(n - g) FILTER (v{j} <> 0), 0))" for j in r)
+    odds = [" * ".join([f"pi{c}", *[f"CASE v{j} WHEN 1 THEN a{c}_{j} WHEN -1 THEN 1 - a{c}_{j} ELSE 1 END" for j in r]]) for c in classes]
+    begin = ", ".join(f"{x}::DOUBLE AS pi{c}, " + ", ".join(f"{y}::DOUBLE AS a{c}_{j}" for j, y in zip(r, row, strict=True)) for c, x, row in zip(classes, SHARES, start([k for _, k, _, _ in RULES]), strict=True))
+    a = ", ".join(f"(1 + sum(n * w{c})) / ({len(SHARES)} + sum(n)), " + ", ".join(f"(1 + coalesce(sum(n * w{c}) FILTER (v{j} = 1), 0)) / (2 + coalesce(sum(n * w{c}) FILTER (v{j} <> 0), 0))" for j in r) for c in classes)
+    w = ", ".join(f"o{c} / ({' + '.join(f'o{k}' for k in classes)}) AS w{c}" for c in classes)
+    o = ", ".join(f"{x} AS o{c}" for c, x in zip(classes, odds, strict=True))
     return rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 s AS (SELECT doc_id, s, list_slice(w, s, s + 7) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS s FROM w)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM s) WHERE k > 1) GROUP BY 1),
 f AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
              coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals,
-             len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter, len(list_filter(w, lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]\z'))) AS n_plain_ends FROM w LEFT JOIN c USING (doc_id)),
+             len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]\z'))) AS n_plain_ends FROM w LEFT JOIN c USING (doc_id)),
 v AS (SELECT *, {case} FROM f),
 p AS (SELECT {vs}, count(*) AS n FROM v GROUP BY ALL),
-em AS (SELECT 0 AS it, {start} UNION ALL
-       SELECT it + 1, (1 + sum(g)) / (2 + sum(n)), {a} FROM (SELECT it, p.*, n * {post} AS g FROM em, p WHERE it < {ROUNDS}) GROUP BY it),
-k AS (SELECT p.*, {post} AS post FROM em, p WHERE it = {ROUNDS}),
+em AS (SELECT 0 AS it, {begin} UNION ALL
+       SELECT it + 1, {a} FROM (SELECT it, n, {vs}, {w} FROM (SELECT it, p.*, {o} FROM em, p WHERE it < {ROUNDS})) GROUP BY it),
+k AS (SELECT {vs}, o0 / ({' + '.join(f'o{k}' for k in classes)}) AS post FROM (SELECT p.*, {o} FROM em, p WHERE it = {ROUNDS})),
 j AS (SELECT v.*, post, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v JOIN k USING ({vs}))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND post >= 0.5 AS kept FROM j"""
 
 
-SQL = {"op12_quality_rules": _rules_sql(), "op13_filter_audit": FILTER_AUDIT, "op1_decontaminate": DECONTAMINATE, "op5_license_scan": LICENSES, "op8_line_dedup": LINES}
+DIVERGENCE = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, lang, source, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+t AS (SELECT lang, term, sum(n)::BIGINT AS n FROM x GROUP BY 1, 2 HAVING sum(df) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS whole FROM t GROUP BY 1),
+k AS (SELECT x.* FROM x JOIN t USING (lang, term)),
+g AS (SELECT o.lang, o.source, coalesce(sum(n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN k USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, t.term, coalesce(k.n, 0) AS n, 1 + 1000000000 * (coalesce(k.n, 0) + 2) // (g.total + 2 * l.v) AS p, 1 + 1000000000 * (t.n + 2) // (l.whole + 2 * l.v) AS q
+      FROM g JOIN t USING (lang) JOIN l USING (lang) LEFT JOIN k ON k.lang = g.lang AND k.source = g.source AND k.term = t.term),
+c AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(c.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN c ON c.lang = a.lang AND c.source = a.source AND c.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 10"""
+
+SQL = {"op11_source_divergence": DIVERGENCE, "op12_quality_rules": _rules_sql(), "op13_filter_audit": FILTER_AUDIT, "op1_decontaminate": DECONTAMINATE, "op5_license_scan": LICENSES, "op8_line_dedup": LINES}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybox.llm.common import table
 from tallybox.llm.decontaminate import decontaminate
+from tallybox.llm.divergence import audit_sources
 from tallybox.llm.filter_audit import audit_filters
 from tallybox.llm.licenses import notices, scan_licenses
 from tallybox.llm.line_dedup import dedup_lines
@@ -86,6 +87,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(out, 0.5)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -96,4 +101,4 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op3_quality, op4_substring_dedup, op5_license_scan,
-                                   op6_embedding_near_dedup, op7_near_dedup, op8_line_dedup, op9_html_extraction, op10_toxicity, op12_quality_rules, op13_filter_audit)}
+                                   op6_embedding_near_dedup, op7_near_dedup, op8_line_dedup, op9_html_extraction, op10_toxicity, op11_source_divergence, op12_quality_rules, op13_filter_audit)}
