@@ -12,18 +12,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybox.functions.columns import BOX, iou
+from tallybox.operators import cells
 
 GROUP = ["image_id", "class_id"]
 
 
+def _by_cells(method: str) -> bool:
+    if method not in ("fold", "cells"):
+        raise ValueError(f"unknown method: {method}")
+    return method == "cells"
+
+
 def _ordered(df: DataFrame, keys: list[str], score: str, id_col: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("_o"), F.col(id_col).alias("_i"), *BOX, F.struct(*rest).alias("_p")))).alias("_b"))
 
 
-def nms(df: DataFrame, threshold: float, keys: list[str] | None = None, score: str = "score", id_col: str = "det_id", limit: int | None = None) -> DataFrame:
-    """Rows kept by greedy suppression within `keys`: a box goes if it overlaps a kept one by more than `threshold`."""
+def nms(df: DataFrame, threshold: float, keys: list[str] | None = None, score: str = "score", id_col: str = "det_id", limit: int | None = None, method: str = "fold") -> DataFrame:
+    """Rows kept by greedy suppression within `keys`: a box goes if it overlaps a kept one by more than `threshold`.
+
+    method: "fold", or "cells" for groups of thousands of boxes, with the same rows."""
     keys = keys or GROUP
+    if _by_cells(method):
+        return cells.nms(df, threshold, keys, score, id_col, limit)
     g = _ordered(df, keys, score, id_col)
     kind = g.schema["_b"].dataType.simpleString()
     kept = F.aggregate("_b", F.array().cast(kind), lambda acc, c: F.when(F.exists(acc, lambda k: iou(k, c) > threshold), acc).otherwise(F.array_append(acc, c)))
@@ -36,10 +47,12 @@ def agnostic_nms(df: DataFrame, threshold: float, **kw) -> DataFrame:
     return df if threshold <= 0 else nms(df, threshold, ["image_id"], **kw)
 
 
-def wbf(df: DataFrame, threshold: float, keys: list[str] | None = None, score: str = "score", id_col: str = "det_id") -> DataFrame:
+def wbf(df: DataFrame, threshold: float, keys: list[str] | None = None, score: str = "score", id_col: str = "det_id", method: str = "fold") -> DataFrame:
     """Weighted box fusion: each box joins the cluster that it overlaps most (by more than `threshold`), whose box is the
-    running score-weighted mean. Columns: keys, cluster, box, score (the highest), n."""
+    running score-weighted mean. Columns: keys, cluster, box, score (the highest), n. method: as for `nms`."""
     keys = keys or GROUP
+    if _by_cells(method):
+        return cells.wbf(df, threshold, keys, score, id_col)
     g = _ordered(df, keys, score, id_col)
     zero = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double,w:double,score:double,n:int>>")
 
@@ -93,11 +106,13 @@ def pairs_at(pred: DataFrame, gt: DataFrame, threshold: float, keys: list[str] |
             .filter(F.col("iou") >= threshold).select(*keys, "det_id", "gt_id", "score", "iou"))
 
 
-def match_greedy(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def match_greedy(pairs: DataFrame, keys: list[str] | None = None, method: str = "fold") -> DataFrame:
     """(keys, det_id, gt_id) from overlaps: in score order each prediction takes the best truth still free.
 
-    Only predictions with an overlap enter, so the fold is as long as they are; all others match nothing."""
+    Only predictions with an overlap enter, so the fold is as long as they are; all others match nothing. method: as for `nms`."""
     keys = keys or GROUP
+    if _by_cells(method):
+        return cells.match_greedy(pairs, keys)
     cand = pairs.groupBy(*keys, "det_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col("gt_id").alias("g")))).alias("c"))
     g = cand.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_id", "c"))).alias("p"))
     empty = F.array().cast("array<struct<d:bigint,m:bigint>>")

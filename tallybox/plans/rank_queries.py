@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallybox.operators import crossfit, match, metrics, rank, sets, support
+from tallybox.operators import boost, crossfit, match, metrics, rank, sets, support
 from tallybox.operators.fuse import GROUP
 from tallybox.plans.registry import query, sql_iou
 
@@ -185,7 +185,8 @@ def l8(v):
 
 @query("l9_crossfit_scores")
 def l9(v):
-    return crossfit.out_of_fold(features(v).withColumn("fold", (F.col("grp_no") % 3).cast("int")), ["score", "n_peers", "log_area"], "label", "weight", 3, "classifier")
+    d = features(v).withColumn("fold", (F.col("grp_no") % 3).cast("int"))
+    return boost.crossfit_by_class(d, ["score", "n_peers", "log_area"], "label", "class_id", "fold", "grp_no", 3, boost.Settings(rounds=8))
 
 
 @query("l10_iou_ranker")

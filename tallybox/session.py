@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +41,10 @@ def cut(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df):
+    """`df` as a Parquet table in the shared folder: like `cut`, where later passes read few of its columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

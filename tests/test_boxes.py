@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallybox.functions import columns as C
+from tallybox.functions.columns import BOX
 from tallybox.operators import fuse, govern, metrics, tiles
 
 BOXES = "det_id long, image_id long, class_id int, x1 double, y1 double, x2 double, y2 double, score double"
@@ -131,28 +134,33 @@ def test_shared_group_is_leakage(spark):
     assert [(r.kind, r.key) for r in govern.split_violations(m).collect()] == [("shared_group", "g1")]
 
 
-def test_fold_equals_an_arrow_twin(spark):
-    """The fold and a plain loop over each group keep the same rows."""
-    import random
-
-    random.seed(3)
-    rows = []
-    for i in range(300):
-        x, y = random.randrange(60), random.randrange(60)
-        rows.append((i, i % 5, i % 2, float(x), float(y), float(x + 20), float(y + 20), random.randrange(100) / 100))
-    d = spark.createDataFrame(rows, BOXES)
-
-    def loop(pdf):
-        pdf = pdf.sort_values(["score", "det_id"], ascending=[False, True])
-        kept = []
-        for r in pdf.itertuples():
-            def over(k, r=r):
-                w, h = min(k.x2, r.x2) - max(k.x1, r.x1), min(k.y2, r.y2) - max(k.y1, r.y1)
-                i = max(0, w) * max(0, h)
-                return i / (800 - i)
-            if all(over(k) <= 0.4 for k in kept):
-                kept.append(r)
-        return pdf[pdf.det_id.isin([k.det_id for k in kept])]
-
-    twin = d.groupBy("image_id", "class_id").applyInPandas(loop, d.schema)
-    assert {r.det_id for r in fuse.nms(d, 0.4).collect()} == {r.det_id for r in twin.collect()}
+def crowd(n, seed, images=1, spread=3000):
+    """Boxes of several sizes in few images, with ties in score."""
+    r = np.random.default_rng(seed)
+    x, y = r.integers(0, spread, (2, n)).astype(float)
+    w, h = (np.exp(r.normal(4, 0.5, (2, n)))).round() + 1
+    boxes = np.stack([x, y, x + w, y + h], 1).tolist()
+    return [(i, i % images, 0, *boxes[i], s) for i, s in enumerate((r.integers(1, 500, n) / 500).tolist())]
+
+
+def rows(df, *columns):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
+
+
+def test_cells_keep_the_folds_rows_of_a_large_group(spark):
+    d = spark.createDataFrame(crowd(15_000, 3, spread=500), BOXES).cache()
+    got = rows(fuse.agnostic_nms(d, 0.4, method="cells"), "det_id", "score")
+    assert got == rows(fuse.agnostic_nms(d, 0.4), "det_id", "score") and 300 < len(got) < 5_000
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.2, 0.7])
+def test_cells_equal_the_folds(spark, threshold):
+    d = spark.createDataFrame([*crowd(1_500, 4, 3, 500), (9001, 0, 0, 0.0, 0.0, 5000.0, 5000.0, 0.3), (9002, 0, 0, 7.0, 7.0, 7.0, 7.0, 0.9), (9003, 2, 1, -50.0, -20.0, 30.0, 40.0, 0.4)], BOXES).cache()
+    assert rows(fuse.nms(d, threshold, method="cells"), "det_id") == rows(fuse.nms(d, threshold), "det_id")
+    assert rows(fuse.nms(d, threshold, ["image_id"], limit=7, method="cells"), "det_id") == rows(fuse.nms(d, threshold, ["image_id"], limit=7), "det_id")
+    assert rows(fuse.wbf(d, threshold, method="cells"), "image_id", "class_id", "cluster", *BOX, "score", "n") == rows(fuse.wbf(d, threshold), "image_id", "class_id", "cluster", *BOX, "score", "n")
+    g = d.filter("det_id % 3 = 0").select(F.col("det_id").alias("gt_id"), "image_id", "class_id", *BOX)
+    pairs = fuse.pairs_at(d.filter("det_id % 3 <> 0"), g, max(threshold, 0.05))
+    assert rows(fuse.match_greedy(pairs, method="cells"), "det_id", "gt_id") == rows(fuse.match_greedy(pairs), "det_id", "gt_id")
+    with pytest.raises(ValueError):
+        fuse.nms(d, threshold, method="other")
