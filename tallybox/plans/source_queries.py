@@ -192,15 +192,12 @@ def r2(v):
 
 @query("r3_stream_counts", f"{KEPT} SELECT class_id, count(*) AS n FROM s JOIN (SELECT det_id FROM k) USING (det_id) GROUP BY 1 UNION ALL SELECT -1, count(DISTINCT image_id) FROM det")
 def r3(v):
-    path = cache_folder(v, v.det)
+    path, out = cache_folder(v, v.det), scratch(v)
     # every image arrives twice; the second record is a duplicate
     records(v.det).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).repartition(2).write.mode("append").text(path)
-    first = R.first_arrivals(R.read_cache_stream(v.spark, path))
-    out = scratch(v)
-    R.run_to_parquet(R.merged_records(first, 0.5), out, out + "-ck")
-    R.run_violations(R.read_cache_stream(v.spark, path), out + "-twice", out + "-twice-ck")
-    twice = v.spark.read.parquet(out + "-twice").agg(F.lit(-1).alias("class_id"), F.count("*").alias("n"))
-    return R.class_counts(v.spark.read.parquet(out)).union(twice)
+    R.run_counts(R.read_cache_stream(v.spark, path), out, out + "-ck", 0.5)
+    twice = v.spark.read.parquet(f"{out}/violations").agg(F.lit(-1).alias("class_id"), F.count("*").alias("n"))
+    return R.running_counts(v.spark, out).filter("class_id >= 0").union(twice)
 
 
 @query("r4_contiguity", "WITH l AS (SELECT l_orderkey, CASE WHEN lag(l_orderkey // 3) OVER (ORDER BY l_orderkey % 1000, l_orderkey, l_linenumber, l_partkey, l_suppkey) = l_orderkey // 3 THEN 0 ELSE 1 END AS s, l_orderkey // 3 AS k FROM lineitem) SELECT k, sum(s)::BIGINT AS runs FROM l GROUP BY 1")
