@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallybox.sources.arrays import read_json_array
+
 _BOX = T.ArrayType(T.DoubleType())
 CANDIDATE = T.StructType([T.StructField("bbox", _BOX), T.StructField("score", T.DoubleType()), T.StructField("class_id", T.IntegerType()), T.StructField("touches_internal_edge", T.BooleanType()), T.StructField("is_global", T.BooleanType()), T.StructField("det_id", T.LongType())])
 RECORD = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("image_size", T.ArrayType(T.IntegerType())), T.StructField("candidates", T.ArrayType(CANDIDATE))])
@@ -89,9 +91,10 @@ def header_problems(header: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """Predictions in files whose lines are objects or arrays of objects; `whole_files`: one array, over several lines, in each file."""
+    """Predictions in files whose lines are objects or arrays of objects; `whole_files`: one array, over any lines, in each file,
+    read by as many tasks as its size asks for."""
     if whole_files:
-        return spark.read.schema(PREDICTION).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        return read_json_array(spark, path, PREDICTION.simpleString())
     line = F.trim("value")
     rows = F.from_json(F.when(line.startswith("["), line).otherwise(F.concat(F.lit("["), line, F.lit("]"))), f"array<{PREDICTION.simpleString()}>", {"mode": "FAILFAST"})
     return spark.read.text(path).filter(line != "").select(F.explode(rows).alias("p")).select("p.*")
