@@ -73,15 +73,35 @@ def truth_totals(gt: DataFrame, by: list[str]) -> DataFrame:
     return gt.groupBy(*by).agg(F.count("*").alias("n_gt"))
 
 
-def evaluate(pred: DataFrame, gt: DataFrame, steps: tuple[float, ...] = IOU_STEPS) -> DataFrame:
-    """Per class AP at each IoU step from one pair table at the lowest step: class_id, iou_step, n_gt, ap."""
-    pairs = pairs_at(pred, gt, steps[0])
+def evaluate(pred: DataFrame, gt: DataFrame, steps: tuple[float, ...] = IOU_STEPS, by: list[str] | None = None) -> DataFrame:
+    """Per group of `by` (classes, unless given) AP at each IoU step from one pair table at the lowest step: by, step, n_gt, ap.
+
+    A row's rank is the same at every step, so rows are numbered once; the steps then handle only their matches. Keys beyond the class must be functions of
+    the image, in both tables."""
+    by = by or ["class_id"]
+    keys = [*by, *[k for k in GROUP if k not in by]]
+    pairs = pairs_at(pred, gt, steps[0], keys)
     grid = pairs.withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps]))).filter("iou >= step")
-    m = match_greedy(grid, ["step", *GROUP]).select("step", "det_id", "gt_id")
-    steps_df = F.explode(F.array(*[F.lit(s) for s in steps]))
-    rows = pred.select("det_id", "class_id", "score").withColumn("step", steps_df).join(m, ["step", "det_id"], "left").withColumn("tp", F.col("gt_id").isNotNull().cast("int"))
-    totals = truth_totals(gt, ["class_id"]).withColumn("step", steps_df).select("step", "class_id", "n_gt")
-    return average_precision(rows, totals, ["step", "class_id"])
+    m = match_greedy(grid, ["step", *keys]).select("step", "det_id")
+    ranks = running_sums(pred.select(*by, "det_id", "score"), by, [F.desc("score"), F.asc("det_id")], {"rank": F.lit(1).cast("long")})
+    hits = m.join(ranks.select(*by, "det_id", "rank"), "det_id")
+    hits = running_sums(hits, ["step", *by], [F.col("rank")], {"k": F.lit(1).cast("long")})
+    totals = truth_totals(gt, by).withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps]))).select("step", *by, "n_gt")
+    return compact_ap(hits.select("step", *by, "rank", "k"), totals, ["step", *by])
+
+
+def prefix_figures(labelled: DataFrame, gt: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
+    """by, threshold, n_gt, tp, fp, ap of the rows at or above each threshold, from one labelling: rows are numbered once, and only true positives meet the thresholds."""
+    order = [F.desc("score"), F.asc("det_id")]
+    t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
+    r = running_sums(labelled.select(*by, "det_id", "score", "tp"), by, order, {"rank": F.lit(1).cast("long"), "k": F.col("tp")})
+    hits = r.filter("tp = 1").select(*by, "score", "rank", "k", t).filter("score >= threshold")
+    totals = truth_totals(gt, by).select(*by, "n_gt", t)
+    levels = F.array(*[F.lit(float(x)) for x in sorted(thresholds)])
+    passed = labelled.select(*by, "tp", F.size(F.filter(levels, lambda x: x <= F.col("score"))).alias("_n")).groupBy(*by, "_n").agg(F.count("*").alias("c"), F.sum("tp").alias("t"))
+    counts = passed.select(*by, "c", "t", F.explode(F.slice(levels, F.lit(1), F.col("_n"))).alias("threshold")).groupBy(*by, "threshold").agg(F.sum("t").alias("tp"), F.sum("c").alias("n"))
+    out = compact_ap(hits, totals, [*by, "threshold"]).join(counts, [*by, "threshold"], "left").na.fill(0, ["tp", "n"])
+    return out.select(*by, "threshold", "n_gt", "tp", (F.col("n") - F.col("tp")).alias("fp"), "ap")
 
 
 def report(pred: DataFrame, gt: DataFrame, thresholds: DataFrame | None = None, operating_threshold: float = 0.05, beta: float = 2.0, tail: tuple[int, ...] = (), images: DataFrame | None = None) -> DataFrame:

@@ -65,7 +65,7 @@ def group_calibration(method: str, alpha: float, supports: tuple[str, ...] = ())
 def burst_penalty(df: DataFrame, keys: list[str], quantile: float, alpha: float) -> DataFrame:
     """Score times min(1, q / count) ^ alpha, q the quantile of the groups' counts."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    q = counts.agg(F.percentile("_n", quantile).alias("_q"))
+    q = quantiles(counts, [], "_n", [quantile]).select(F.col("quantile").alias("_q"))
     return df.join(counts, keys).crossJoin(F.broadcast(q)).withColumn("score", F.col("score") * F.pow(F.least(F.lit(1.0), F.col("_q") / F.col("_n")), alpha)).drop("_n", "_q")
 
 

@@ -40,3 +40,30 @@ def membership_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     text = F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), "|")
     h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
     return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum"))
+
+
+#: Rows, or digests, under one node of the hash tree.
+FAN = 1024
+
+
+def ordered_digest(df: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
+    """One row (n, digest) that is equal only for the same rows in the same order, however they are partitioned.
+
+    A hash tree over the places of the rows: FAN neighbours make a node by the sha256 of their digests in order, FAN nodes one above, up to the root, so no task reads more than FAN
+    digests at once. An empty table has the digest of the empty text."""
+    from tallybox.operators.order import row_numbers
+
+    text = F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), "|")
+    d = row_numbers(df, order, "_i").select((F.col("_i") - 1).alias("i"), F.sha2(text, 256).alias("h"))
+    n, left = (total := df.count()), 0
+    while n > 1 or left == 0:
+        d = d.groupBy(F.expr(f"i div {FAN}").alias("i")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
+        n, left = -(-n // FAN), left + 1
+    return d.agg(F.lit(total).cast("long").alias("n"), F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("digest"))
+
+
+def runtime_estimate(log: DataFrame, run: str, epoch: str, elapsed: str, total_epochs: int, safety: float = 1.15) -> DataFrame:
+    """run, epochs, elapsed, hours: what `total_epochs` take at the pace of a run's last logged epoch (elapsed seconds up to it), times a safety factor."""
+    last = log.groupBy(run).agg(F.max_by(F.struct(F.col(epoch).alias("e"), F.col(elapsed).alias("s")), F.col(epoch)).alias("l"))
+    hours = F.col("l.s") / F.greatest(F.col("l.e"), F.lit(1)) * total_epochs * safety / 3600
+    return last.select(run, F.col("l.e").alias("epochs"), F.col("l.s").alias("elapsed"), hours.alias("hours"))

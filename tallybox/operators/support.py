@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybox.functions.columns import BOX, iou
 from tallybox.operators.fuse import GROUP, nms
+from tallybox.operators.match import best_match
 from tallybox.operators.rank import relative_rank
 
 
@@ -41,10 +42,17 @@ def joint_support(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     return a.join(j, "det_id")
 
 
-def crossview_rescue(original: DataFrame, grid: DataFrame, base: DataFrame, match_iou: float, novelty: float, per_image: int) -> DataFrame:
-    """Boxes that two views agree on and the base does not have: the best of each image."""
-    rows = novel(joint_support(original, grid, match_iou), base, novelty)
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("joint"), "det_id"))).filter(F.col("_k") <= per_image)
+def crossview_rescue(original: DataFrame, grid: DataFrame, base_original: DataFrame, base_grid: DataFrame, match_iou: float, novelty: float, per_image: int) -> DataFrame:
+    """Boxes of the original view with their best partner in the grid view (by IoU, of at least `match_iou`), where neither has an overlap of `novelty` in the
+    base of its own view: of each image the best by `rank` = IoU * sqrt(score * partner's score)."""
+    floor = lambda c: F.greatest(F.col(c), F.lit(1e-12))
+    rows = best_match(original, grid, match_iou).filter("match_id is not null")
+    rows = novel(rows, base_original, novelty)
+    partner = rows.select("det_id", *GROUP, *[F.col("m_" + c).alias(c) for c in BOX])
+    rows = rows.join(novel(partner, base_grid, novelty).select("det_id"), "det_id")
+    rows = rows.withColumn("rank", F.col("match_iou") * F.sqrt(floor("score") * floor("match_score")))
+    order = Window.partitionBy("image_id").orderBy(F.desc("rank"), F.desc("match_iou"), "det_id")
+    return rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_image).drop("_k")
 
 
 def incremental_rescue(base: DataFrame, first: DataFrame, second: DataFrame, match_iou: float, novelty: float, least: float, nms_iou: float, k: int) -> DataFrame:
@@ -54,11 +62,12 @@ def incremental_rescue(base: DataFrame, first: DataFrame, second: DataFrame, mat
     return nms(rows, nms_iou, limit=k)
 
 
-def sequence_support(df: DataFrame, sigma: float) -> DataFrame:
+def sequence_support(df: DataFrame, sigma: float, shortlist: int = 20, least: float = 0.1) -> DataFrame:
     """Support of other images of the sequence: the best of each (Gaussian in the distance of x centres, times score), the sum
-    of the top two halved."""
+    of the top two halved. Of an image's class only the `shortlist` best boxes that score `least` lend support, which bounds the join."""
     d = df.select("det_id", "image_id", "seq", "class_id", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), "score")
-    o = d.select("seq", "class_id", F.col("image_id").alias("oi"), F.col("cx").alias("ox"), F.col("score").alias("os"))
+    o = d.filter(F.col("score") >= least).withColumn("_k", F.row_number().over(Window.partitionBy("image_id", "class_id").orderBy(F.desc("score"), "det_id"))).filter(F.col("_k") <= shortlist)
+    o = o.select("seq", "class_id", F.col("image_id").alias("oi"), F.col("cx").alias("ox"), F.col("score").alias("os"))
     p = d.join(o, ["seq", "class_id"]).filter("image_id <> oi").groupBy("det_id", "oi").agg(F.max(F.exp(-F.pow((F.col("cx") - F.col("ox")) / sigma, 2) / 2) * F.col("os")).alias("s"))
     top = p.groupBy("det_id").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 2).alias("t"))
     s = F.aggregate("t", F.lit(0.0), lambda a, x: a + x) / 2

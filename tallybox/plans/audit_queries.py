@@ -5,50 +5,73 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallybox.functions.columns import BOX
-from tallybox.operators import audit, govern, metrics, sets
+from tallybox.operators import audit, govern, metrics, sets, tiles
 from tallybox.operators.fuse import GROUP
 from tallybox.plans.metric_queries import FIG, labelled
 from tallybox.plans.join_queries import PR
 from tallybox.plans.registry import query
+from tallybox.plans.tile_queries import GRID, sql_assign
 from tallybox.session import cut as checkpointed
 
 
-@query("g1_dataset_audit", """WITH b AS (SELECT class_id, x2-x1 AS w, y2-y1 AS h, (x2-x1)*(y2-y1) AS area FROM det), u AS (SELECT class_id, unnest(['w', 'h', 'area']) AS measure, unnest([w, h, area]) AS v FROM b)
-SELECT class_id, measure, round(quantile_cont(v, 0.0), 6) AS p0, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 1.0), 6) AS p100 FROM u GROUP BY ALL""")
+POINTS = (0, 10, 25, 50, 75, 90, 100)
+WRONG = "CASE WHEN class_id > 6 THEN 'unknown_class' WHEN score < 0 OR score > 1 THEN 'score' WHEN x2 <= x1 OR y2 <= y1 THEN 'box_empty' WHEN x1 < 0 OR y1 < 0 OR x2 > 2800 OR y2 > 2300 THEN 'box_outside' END"
+
+
+@query("g1_dataset_audit", f"""WITH d AS (SELECT *, {WRONG} AS problem FROM det), g AS (SELECT unnest([class_id, -1]) AS class_id, x2-x1 AS w, y2-y1 AS h FROM d WHERE problem IS NULL),
+u AS (SELECT class_id, unnest(['width', 'height', 'area_share']) AS measure, unnest([w, h, w*h/(2800.0::DOUBLE*2300.0::DOUBLE)]) AS v FROM g)
+SELECT class_id, measure, count(*) AS n, {', '.join(f'round(quantile_cont(v, {x / 100}), 9) AS p{x}' for x in POINTS)} FROM u GROUP BY ALL UNION ALL SELECT -2, problem, count(*), {', '.join(['NULL'] * len(POINTS))} FROM d WHERE problem IS NOT NULL GROUP BY problem""")
 def g1(v):
-    d = v.det.withColumns({"w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}).withColumn("area", F.col("w") * F.col("h"))
-    p = audit.percentiles(d, ["class_id"], ["w", "h", "area"], [0, 25, 50, 95, 100])
-    return p.select("class_id", "measure", *[F.round(c, 6).alias(c) for c in ("p0", "p25", "p50", "p95", "p100")])
+    width, height = F.lit(2800.0), F.lit(2300.0)
+    p = audit.dataset_report(v.det, govern.box_problem(width, height, F.lit(True), F.col("class_id") <= 6), width, height, POINTS)
+    return p.select("class_id", "measure", "n", *[F.round(f"p{x}", 9).alias(f"p{x}") for x in POINTS])
 
 
 @query("g2_class_distribution", "SELECT class_id, count(DISTINCT image_id) AS images, count(*) AS boxes, quantile_cont((x2-x1)*(y2-y1), 0.5) AS median_area, round(avg(CASE WHEN (x2-x1) < 210 THEN 1.0 ELSE 0.0 END), 6) AS tiny, round(avg(CASE WHEN (y2-y1)/(x2-x1) > 1.2 THEN 1.0 ELSE 0.0 END), 6) AS elongated, round(avg(CASE WHEN touches_edge THEN 1.0 ELSE 0.0 END), 6) AS edge FROM det GROUP BY 1")
 def g2(v):
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    d = v.det.withColumns({"w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}).withColumn("area", F.col("w") * F.col("h"))
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return v.det.groupBy("class_id").agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("boxes"), F.percentile(w * h, 0.5).alias("median_area"), share(w < 210).alias("tiny"), share(h / w > 1.2).alias("elongated"), share(F.col("touches_edge")).alias("edge"))
+    s = d.groupBy("class_id").agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("boxes"), share(F.col("w") < 210).alias("tiny"), share(F.col("h") / F.col("w") > 1.2).alias("elongated"), share(F.col("touches_edge")).alias("edge"))
+    return s.join(audit.percentiles(d, ["class_id"], ["area"], [50]).select("class_id", F.col("p50").alias("median_area")), "class_id")
 
 
 @query("g3_geometry_by_family", "SELECT model, class_id, count(*) AS n, round(avg(CASE WHEN least(x2-x1, y2-y1)*1024/4096 < 55 THEN 1.0 ELSE 0.0 END), 6) AS thin, quantile_cont(x2-x1, 0.5) AS median_w FROM det GROUP BY ALL")
 def g3(v):
     side = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * 1024 / 4096
-    return v.det.groupBy("model", "class_id").agg(F.count("*").alias("n"), F.round(F.avg((side < 55).cast("double")), 6).alias("thin"), F.percentile(F.col("x2") - F.col("x1"), 0.5).alias("median_w"))
+    s = v.det.groupBy("model", "class_id").agg(F.count("*").alias("n"), F.round(F.avg((side < 55).cast("double")), 6).alias("thin"))
+    m = audit.percentiles(v.det.withColumn("w", F.col("x2") - F.col("x1")), ["model", "class_id"], ["w"], [50])
+    return s.join(m.select("model", "class_id", F.col("p50").alias("median_w")), ["model", "class_id"])
 
 
-@query("g4_split_by_class", "SELECT class_id, count(*) FILTER (view = 'grid') AS grid, count(*) FILTER (view = 'original') AS original FROM det JOIN images USING (image_id) GROUP BY 1")
+@query("g4_split_by_class", """WITH t AS (SELECT view AS split, image_id, unnest(range(0, 6)) AS k, false AS is_global, false AS is_strip FROM images UNION ALL SELECT view, image_id, unnest(range(0, 5)), false, true FROM images UNION ALL SELECT view, image_id, 0, true, false FROM images),
+r AS (SELECT *, unnest(CASE WHEN split = 'original' AND image_id % 5 = 0 AND NOT is_strip THEN [false, true] ELSE [false] END) AS is_repeat FROM t)
+SELECT 'objects' AS part, view AS split, CAST(class_id AS VARCHAR) AS key, count(*) AS n FROM gt JOIN images USING (image_id) GROUP BY ALL UNION ALL
+SELECT 'tiles', split, unnest(['tiles', 'repeat', 'global', 'strip', 'crop']), unnest([count(*), count(*) FILTER (is_repeat), count(*) FILTER (is_global), count(*) FILTER (is_strip), count(*) FILTER (NOT is_global AND NOT is_strip)]) FROM r GROUP BY split""")
 def g4(v):
-    return v.det.join(v.images.select("image_id", "view"), "image_id").groupBy("class_id").pivot("view", ["grid", "original"]).count().fillna(0)
+    kind = lambda t, g, s: t.select(F.col("view").alias("split"), "image_id", F.lit(g).alias("is_global"), F.lit(s).alias("is_strip"))
+    views = v.images.select("image_id", "view")
+    crops, strips = tiles.grid_tiles(v.images, 1387, 1516, 2, 3).select("image_id").join(views, "image_id"), tiles.strip_tiles(v.images, 1024, 0.25).select("image_id").join(views, "image_id")
+    t = kind(crops, False, False).union(kind(strips, False, True)).union(kind(views, True, False))
+    again = (F.col("split") == "original") & (F.col("image_id") % 5 == 0) & ~F.col("is_strip")
+    t = t.withColumn("is_repeat", F.explode(F.when(again, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return audit.split_summary(v.gt.join(views, "image_id").withColumnRenamed("view", "split"), t)
 
 
-@query("g5_prediction_distribution", "WITH i AS (SELECT image_id, class_id, count(*) AS n FROM det GROUP BY ALL) SELECT class_id, sum(n)::BIGINT AS total, count(*) AS images, quantile_cont(n, 0.5) AS median, round(quantile_cont(n, 0.99), 6) AS p99 FROM i GROUP BY 1")
+@query("g5_prediction_distribution", """WITH c AS (SELECT CAST(unnest(range(0, 9)) AS INT) AS class_id), i AS (SELECT image_id, count(*) AS n FROM det GROUP BY 1), s AS (SELECT class_id, count(*) AS n, quantile_cont(score, 0.5) AS m, quantile_cont(score, 0.99) AS p FROM det GROUP BY 1)
+SELECT class_id, coalesce(n, 0) AS n, NULL AS images, NULL AS images_median, round(m, 9) AS score_median, round(p, 9) AS score_p99 FROM c LEFT JOIN s USING (class_id) UNION ALL SELECT -1, sum(n)::BIGINT, count(*), quantile_cont(n, 0.5), NULL, NULL FROM i""")
 def g5(v):
-    i = v.det.groupBy(*GROUP).agg(F.count("*").alias("n"))
-    return i.groupBy("class_id").agg(F.sum("n").alias("total"), F.count("*").alias("images"), F.percentile("n", 0.5).alias("median"), F.round(F.percentile("n", 0.99), 6).alias("p99"))
+    p = audit.prediction_distribution(v.det, list(range(9)))
+    return p.select("class_id", "n", "images", "images_median", F.round("score_median", 9).alias("score_median"), F.round("score_p99", 9).alias("score_p99"))
 
 
-@query("g6_spearman", "WITH i AS (SELECT image_id, count(*) AS n, CAST(sum(floor(score*1000)) AS BIGINT) % 50 AS c FROM det GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY n)+(count(*) OVER (PARTITION BY n)-1)/2 AS rx, rank() OVER (ORDER BY c)+(count(*) OVER (PARTITION BY c)-1)/2 AS ry FROM i) SELECT round(corr(rx, ry), 6) AS rho FROM r")
+@query("g6_spearman", """WITH c AS (SELECT image_id, CAST(sum(floor(score*1000)) AS BIGINT) % 50 AS contrast FROM det GROUP BY 1), n AS (SELECT image_id, count(*) AS n, max(score) AS top FROM det WHERE score >= 0.995 GROUP BY 1),
+d AS (SELECT view, contrast, coalesce(n, 0) AS n, coalesce(top, 0) AS top FROM images JOIN c USING (image_id) LEFT JOIN n USING (image_id)),
+r AS (SELECT *, rank() OVER (PARTITION BY view ORDER BY contrast)+(count(*) OVER (PARTITION BY view, contrast)-1)/2 AS rx, rank() OVER (PARTITION BY view ORDER BY n)+(count(*) OVER (PARTITION BY view, n)-1)/2 AS ry FROM d)
+SELECT view, count(*) AS images, quantile_cont(n, 0.5) AS count_median, round(quantile_cont(n, 0.9), 6) AS count_p90, round(quantile_cont(top, 0.5), 6) AS highest_median, round(corr(rx, ry), 6) AS rho, count(*) FILTER (n = 0) AS zero, count(*) FILTER (contrast < 5) AS low FROM r GROUP BY 1""")
 def g6(v):
-    i = v.det.groupBy("image_id").agg(F.count("*").alias("n"), (F.sum(F.floor(F.col("score") * 1000)) % 50).alias("c"))
-    return audit.spearman(i, "n", "c").select(F.round("rho", 6).alias("rho"))
+    c = v.det.groupBy("image_id").agg((F.sum(F.floor(F.col("score") * 1000)) % 50).alias("contrast"))
+    r = audit.contrast_report(v.images.select("image_id", "view").join(c, "image_id"), v.det.filter("score >= 0.995"), 5)
+    return r.select("view", "images", "count_median", *[F.round(x, 6).alias(x) for x in ("count_p90", "highest_median", "rho")], "zero", "low")
 
 
 @query("g7_ks_statistic", "WITH c AS (SELECT n_chars, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (lang <> 'en') AS b FROM documents GROUP BY 1), s AS (SELECT abs(sum(a) OVER w/sum(a) OVER ()-sum(b) OVER w/sum(b) OVER ()) AS d FROM c WINDOW w AS (ORDER BY n_chars ROWS UNBOUNDED PRECEDING)) SELECT round(max(d), 6) AS ks FROM s")
@@ -87,22 +110,29 @@ def g10(v):
     return conflicts.union(repeated(v).select(F.lit("repeated_box"), F.col("image_id").cast("string"), "boxes", F.lit(0).cast("bigint")))
 
 
-@query("g11_grounding_audit", "WITH i AS (SELECT conv_id, count(*) AS q FROM conversations GROUP BY 1) SELECT sum(q)::BIGINT AS samples, count(*) AS image_groups, min(q) AS least, max(q) AS most, round(avg(q), 6) AS mean, quantile_cont(q, 0.5) AS median FROM i")
+@query("g11_grounding_audit", """WITH s AS (SELECT conv_id, CASE WHEN turn % 3 <> 2 THEN (turn % 7+1)/20 END AS w, (conv_id % 5+1)/20 AS h FROM conversations), i AS (SELECT conv_id, count(*) AS q, count(w) AS b FROM s GROUP BY 1), b AS (SELECT w, h, w*h AS a FROM s WHERE w IS NOT NULL)
+SELECT measure, round(value, 6) AS value FROM (SELECT unnest(['samples', 'image_groups', 'least', 'most', 'labelled']) AS measure, unnest([sum(q)::DOUBLE, count(*)::DOUBLE, min(q)::DOUBLE, max(q)::DOUBLE, sum(b)::DOUBLE]) AS value FROM i
+UNION ALL SELECT unnest(['width_mean', 'height_mean', 'area_mean', 'width_median', 'height_median', 'area_median']), unnest([avg(w), avg(h), avg(a), quantile_cont(w, 0.5), quantile_cont(h, 0.5), quantile_cont(a, 0.5)]) FROM b)""")
 def g11(v):
-    i = v.conversations.groupBy("conv_id").agg(F.count("*").alias("q"))
-    return i.agg(F.sum("q").alias("samples"), F.count("*").alias("image_groups"), F.min("q").alias("least"), F.max("q").alias("most"), F.round(F.avg("q"), 6).alias("mean"), F.percentile("q", 0.5).alias("median"))
+    w, h = (F.col("turn") % 7 + 1) / 20, (F.col("conv_id") % 5 + 1) / 20
+    s = v.conversations.select("conv_id", F.when(F.col("turn") % 3 != 2, F.array(F.lit(0.0), F.lit(0.0), w, h)).alias("bbox"))
+    return audit.grounding_report(s, "conv_id").select("measure", F.round("value", 6).alias("value"))
 
 
 @query("g12_change_summary", "WITH d AS (SELECT score-CASE WHEN class_id < 3 THEN score/2 ELSE score END AS d FROM det) SELECT count(*) FILTER (d <> 0) AS changed, round(min(d), 6) AS least, round(quantile_cont(d, 0.5), 6) AS median, round(max(d), 6) AS most FROM d")
 def g12(v):
     d = v.det.select((F.col("score") - F.when(F.col("class_id") < 3, F.col("score") / 2).otherwise(F.col("score"))).alias("d"))
-    return d.agg(F.count_if(F.col("d") != 0).alias("changed"), F.round(F.min("d"), 6).alias("least"), F.round(F.percentile("d", 0.5), 6).alias("median"), F.round(F.max("d"), 6).alias("most"))
+    m = audit.percentiles(d, [], ["d"], [0, 50, 100]).select(F.round("p0", 6).alias("least"), F.round("p50", 6).alias("median"), F.round("p100", 6).alias("most"))
+    return d.agg(F.count_if(F.col("d") != 0).alias("changed")).crossJoin(F.broadcast(m))  # one row each
 
 
-@query("g13_membership_digest", "SELECT count(*) AS n, bit_xor(h) AS xor, CAST(sum(h::HUGEINT) AS VARCHAR) AS sum FROM (SELECT CAST(concat('0x', substr(sha256(concat_ws('|', image_id, class_id, CAST(x1 AS BIGINT), CAST(y1 AS BIGINT), CAST(x2 AS BIGINT), CAST(y2 AS BIGINT))), 1, 15)) AS BIGINT) AS h FROM det)")
+@query("g13_membership_digest", """WITH t AS (SELECT det_id, score, concat_ws('|', image_id, class_id, CAST(x1 AS BIGINT), CAST(y1 AS BIGINT), CAST(x2 AS BIGINT), CAST(y2 AS BIGINT)) AS t FROM det), o AS (SELECT row_number() OVER (ORDER BY score DESC, det_id)-1 AS i, sha256(t) AS h FROM t),
+l1 AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM o GROUP BY 1), l2 AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l1 GROUP BY 1)
+SELECT count(*) AS n, bit_xor(h) AS xor, CAST(sum(h::HUGEINT) AS VARCHAR) AS sum, (SELECT max(h) FROM l2) AS ordered FROM (SELECT CAST(concat('0x', substr(sha256(t), 1, 15)) AS BIGINT) AS h FROM t)""")
 def g13(v):
     whole = v.det.withColumns({c: F.col(c).cast("bigint") for c in BOX})  # coordinates are whole numbers here
-    return sets.membership_digest(whole, [*GROUP, *BOX])
+    ordered = sets.ordered_digest(whole, [*GROUP, *BOX], [F.desc("score"), F.asc("det_id")])
+    return sets.membership_digest(whole, [*GROUP, *BOX]).crossJoin(F.broadcast(ordered.select(F.col("digest").alias("ordered"))))  # one row each
 
 
 @query("g14_membership_equality", "WITH a AS (SELECT image_id, class_id FROM det_a), b AS (SELECT image_id, class_id FROM det_b), x AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), y AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a) SELECT (SELECT count(*) FROM x)+(SELECT count(*) FROM y) AS different")
@@ -121,10 +151,14 @@ def g16(v):
     return v.documents.groupBy("lang", "source", F.expr("n_chars div 1000").alias("kilo")).agg(F.count("*").alias("n"))
 
 
-@query("g17_tile_label_counts", "WITH t AS (SELECT image_id, floor(x1/1024)::INT AS tx, class_id FROM gt) SELECT class_id, count(DISTINCT (image_id, tx)) AS tiles, count(DISTINCT image_id) AS sources, count(*) AS boxes FROM t GROUP BY 1")
+KEPT_LABELS = f"WITH {GRID}, {sql_assign('gr', 0.5)}, k AS (SELECT g.image_id, g.tx, g.ty, gt.class_id FROM gr g JOIN asg a ON a.image_id = g.image_id AND a.tx = g.tx AND a.ty = g.ty JOIN gt USING (gt_id) WHERE kept)"
+
+
+@query("g17_tile_label_counts", f"""{KEPT_LABELS}, g AS (SELECT count(*)*6 AS tiles, count(*) AS sources FROM images)
+SELECT class_id, count(DISTINCT (image_id, tx, ty)) AS tiles, count(DISTINCT image_id) AS sources, count(*) AS boxes FROM k GROUP BY 1 UNION ALL SELECT -1, tiles, sources, (SELECT count(*) FROM k) FROM g UNION ALL SELECT -2, count(DISTINCT (image_id, tx, ty)), count(DISTINCT image_id), count(*) FROM k""")
 def g17(v):
-    t = v.gt.withColumn("tx", F.floor(F.col("x1") / 1024))
-    return t.groupBy("class_id").agg(F.countDistinct("image_id", "tx").alias("tiles"), F.countDistinct("image_id").alias("sources"), F.count("*").alias("boxes"))
+    g = tiles.grid_tiles(v.images, 1387, 1516, 2, 3)
+    return audit.tile_label_counts(g, tiles.assign_boxes(g, v.gt, 0.5).filter("kept"), ["image_id", "tx", "ty"], "image_id")
 
 
 # --- governance --------------------------------------------------------------------------------
@@ -209,15 +243,15 @@ SCOPE_RULES = [("dev", True, 0, "w1", "w1"), ("final_holdout", True, 0, "w1", "w
 RUNS = ", ".join(f"({i}, '{r}', {t}, {n}, {repr(a) if a else 'NULL'}, {repr(b) if b else 'NULL'})" for i, (r, t, n, a, b) in enumerate(SCOPE_RULES))
 
 
-@query("d7_evaluation_scope", f"""WITH e AS (SELECT image_id FROM images WHERE view = 'grid'), u AS (SELECT image_id FROM (SELECT DISTINCT image_id FROM det WHERE score > 0.5 AND image_id % 3 = 0 AND image_id % 21 <> 0) UNION ALL SELECT 1 UNION ALL SELECT min(image_id) FROM det WHERE score > 0.5 AND image_id % 3 = 0 AND image_id % 21 <> 0),
+@query("d7_evaluation_scope", f"""WITH e AS (SELECT image_id FROM images WHERE view = 'grid'), u AS (SELECT image_id FROM (SELECT DISTINCT image_id FROM det WHERE score >= 0.99) UNION ALL SELECT min(image_id) FROM det WHERE score >= 0.99),
 r(run, role, tune, row_limit, frozen, signature) AS (VALUES {RUNS})
 SELECT CAST(image_id AS VARCHAR) AS key, 'not_evaluated' AS problem FROM e WHERE image_id NOT IN (SELECT image_id FROM u) UNION ALL SELECT DISTINCT CAST(image_id AS VARCHAR), 'out_of_scope' FROM u WHERE image_id NOT IN (SELECT image_id FROM e)
 UNION ALL SELECT CAST(image_id AS VARCHAR), 'twice' FROM u GROUP BY image_id HAVING count(*) > 1 UNION ALL SELECT concat('run', run), CASE WHEN row_limit < 0 THEN 'negative_limit' WHEN role = 'final_holdout' AND (tune OR row_limit > 0) THEN 'holdout_not_whole'
  WHEN role = 'final_holdout' AND (frozen IS NULL OR signature IS NULL OR frozen <> signature) THEN 'not_frozen' WHEN tune AND role NOT IN ('dev', 'calibration') THEN 'tuned' END FROM r WHERE row_limit < 0 OR role = 'final_holdout' AND (tune OR row_limit > 0 OR frozen IS NULL OR frozen <> signature) OR tune AND role NOT IN ('dev', 'calibration')""")
 def d7(v):
     e = v.images.filter("view = 'grid'").select("image_id")
-    u = v.det.filter("score > 0.5 and image_id % 3 = 0 and image_id % 21 <> 0").select("image_id").distinct()
-    u = u.union(v.spark.range(1, 2).toDF("image_id")).union(u.agg(F.min("image_id")))
+    u = v.det.filter("score >= 0.99").select("image_id").distinct()
+    u = u.union(u.agg(F.min("image_id")))
     runs = v.spark.createDataFrame([(i, *r) for i, r in enumerate(SCOPE_RULES)], "run int, role string, tune boolean, row_limit int, frozen string, signature string")
     named = runs.select(F.concat(F.lit("run"), F.col("run").cast("string")).alias("key"), govern.scope_problem().alias("problem")).filter("problem is not null")
     return govern.scope_violations(e, u, "image_id").select(F.col("image_id").cast("string").alias("key"), "problem").union(named)

@@ -92,18 +92,23 @@ def j11(v):
     return v.det.filter("not touches_edge").select("det_id").union(seam.join(bad, "det_id", "left_anti").select("det_id"))
 
 
-@query("j12_crossview_rescue", f"""WITH o AS (SELECT * FROM det_a), g AS (SELECT * FROM det_b), m AS (SELECT o.det_id, o.image_id, o.class_id, o.x1, o.y1, o.x2, o.y2, max(sqrt(o.score*g.score)) AS joint FROM o JOIN g ON o.image_id = g.image_id AND o.class_id = g.class_id WHERE {sql_iou('o.', 'g.')} >= 0.6 GROUP BY ALL),
-f AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM gt b WHERE b.image_id = m.image_id AND b.class_id = m.class_id AND {sql_iou('m.', 'b.')} >= 0.3))
-SELECT det_id, image_id, round(joint, 6) AS joint FROM f QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY joint DESC, det_id) = 1""")
+@query("j12_crossview_rescue", f"""WITH bg AS (SELECT gt_id, image_id, class_id, x1+150 AS x1, y1, x2+150 AS x2, y2 FROM gt), m AS (SELECT o.*, g.x1 AS gx1, g.y1 AS gy1, g.x2 AS gx2, g.y2 AS gy2, g.score AS gs, {sql_iou('o.', 'g.')} AS i, row_number() OVER (PARTITION BY o.det_id ORDER BY {sql_iou('o.', 'g.')} DESC, g.det_id) AS k
+ FROM det_a o JOIN det_b g ON o.image_id = g.image_id AND o.class_id = g.class_id WHERE {sql_iou('o.', 'g.')} >= 0.6),
+f AS (SELECT m.*, i*sqrt(greatest(score, 1e-12)*greatest(gs, 1e-12)) AS rank FROM m WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM gt b WHERE b.image_id = m.image_id AND b.class_id = m.class_id AND {sql_iou('m.', 'b.')} >= 0.3)
+ AND NOT EXISTS (SELECT 1 FROM bg b WHERE b.image_id = m.image_id AND b.class_id = m.class_id AND {sql_iou('m.g', 'b.')} >= 0.3))
+SELECT det_id, image_id, round(rank, 6) AS rank, round(i, 6) AS support FROM f QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY rank DESC, i DESC, det_id) = 1""")
 def j12(v):
-    out = support.crossview_rescue(v.det_a, v.det_b, v.gt, 0.6, 0.3, 1)
-    return out.select("det_id", "image_id", F.round("joint", 6).alias("joint"))
+    # each view has a base of its own
+    shifted = v.gt.withColumns({"x1": F.col("x1") + 150, "x2": F.col("x2") + 150})
+    out = support.crossview_rescue(v.det_a, v.det_b, v.gt, shifted, 0.6, 0.3, 1)
+    return out.select("det_id", "image_id", F.round("rank", 6).alias("rank"), F.round("match_iou", 6).alias("support"))
 
 
 SEQ = "SELECT det_id, image_id, image_id // 5 AS seq, class_id, (x1+x2)/2 AS cx, score FROM det"
 
 
-@query("j13_sequence_support", f"""WITH s AS ({SEQ}), p AS (SELECT a.det_id, b.image_id, max(exp(-pow((a.cx-b.cx)/256, 2)/2)*b.score) AS s FROM s a JOIN s b ON a.seq = b.seq AND a.class_id = b.class_id AND a.image_id <> b.image_id GROUP BY ALL),
+@query("j13_sequence_support", f"""WITH s AS ({SEQ}), o AS (SELECT * FROM s WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_id) <= 20),
+p AS (SELECT a.det_id, b.image_id, max(exp(-pow((a.cx-b.cx)/256, 2)/2)*b.score) AS s FROM s a JOIN o b ON a.seq = b.seq AND a.class_id = b.class_id AND a.image_id <> b.image_id GROUP BY ALL),
 r AS (SELECT det_id, s, row_number() OVER (PARTITION BY det_id ORDER BY s DESC) AS k FROM p) SELECT s.det_id, round(coalesce(sum(r.s) FILTER (k <= 2), 0)/2, 6) AS support FROM s LEFT JOIN r USING (det_id) GROUP BY 1""")
 def j13(v):
     d = v.det.withColumn("seq", F.expr("image_id div 5"))
@@ -140,9 +145,11 @@ def j17(v):
     return j.agg(F.count("*").alias("n"), F.round(F.sum(F.col("score") - F.col("new_score")), 3).alias("diff"))
 
 
-@query("j18_missing_images", "WITH e AS (SELECT unnest(range(0, 210)) AS image_id), p AS (SELECT DISTINCT image_id FROM det WHERE image_id % 9 <> 0) SELECT image_id, 'missing' AS problem FROM e WHERE image_id NOT IN (SELECT image_id FROM p) UNION ALL SELECT image_id, 'unknown' FROM p WHERE image_id NOT IN (SELECT image_id FROM e)")
+@query("j18_missing_images", "WITH e AS (SELECT unnest(range(0, (SELECT count(*)+10 FROM images))) AS image_id), p AS (SELECT DISTINCT image_id FROM det WHERE score >= 0.99 UNION SELECT -1) SELECT image_id, 'missing' AS problem FROM e WHERE image_id NOT IN (SELECT image_id FROM p) UNION ALL SELECT image_id, 'unknown' FROM p WHERE image_id NOT IN (SELECT image_id FROM e)")
 def j18(v):
-    return support.missing_and_unknown(v.spark.range(210).toDF("image_id"), v.det.filter("image_id % 9 <> 0").select("image_id").distinct(), "image_id")
+    expected = v.spark.range(v.images.count() + 10).toDF("image_id")
+    present = v.det.filter("score >= 0.99").select("image_id").union(v.spark.range(-1, 0).toDF("image_id")).distinct()
+    return support.missing_and_unknown(expected, present, "image_id")
 
 
 @query("j19_coverage_difference", f"WITH c AS (SELECT g.gt_id, bool_or(d.model = 'a') AS a, bool_or(d.model = 'b') AS b FROM gt g JOIN det d ON d.image_id = g.image_id AND d.class_id = g.class_id WHERE {sql_iou('d.', 'g.')} >= 0.5 GROUP BY 1) SELECT gt_id, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' ELSE 'only_b' END AS side FROM c")
@@ -158,11 +165,11 @@ def j20(v):
     return out.select("vec_id", "near", F.round("sim", 6).alias("sim"))
 
 
-@query("j21_incremental_rescue", f"""WITH b AS (SELECT * FROM det_a WHERE score >= 0.7), p1 AS (SELECT * FROM det_a WHERE score < 0.7 AND score >= 0.5), j AS (SELECT p1.det_id, p1.image_id, p1.class_id, p1.x1, p1.y1, p1.x2, p1.y2, max(sqrt(p1.score*d.score)) AS score FROM p1 JOIN det_b d ON p1.image_id = d.image_id AND p1.class_id = d.class_id WHERE {sql_iou('p1.', 'd.')} >= 0.5 GROUP BY ALL),
+@query("j21_incremental_rescue", f"""WITH b AS (SELECT * FROM det_a WHERE score >= 0.7), p1 AS (SELECT * FROM det_a WHERE score < 0.7), j AS (SELECT p1.det_id, p1.image_id, p1.class_id, p1.x1, p1.y1, p1.x2, p1.y2, max(sqrt(p1.score*d.score)) AS score FROM p1 JOIN det_b d ON p1.image_id = d.image_id AND p1.class_id = d.class_id WHERE {sql_iou('p1.', 'd.')} >= 0.5 GROUP BY ALL),
 f AS (SELECT * FROM j WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.image_id = j.image_id AND b.class_id = j.class_id AND {sql_iou('j.', 'b.')} >= 0.3) AND score >= 0.5), k AS ({sql_nms('f', 0.5, 'image_id, class_id')})
 SELECT det_id, image_id, class_id, round(score, 6) AS score FROM f JOIN (SELECT det_id FROM k) USING (det_id) QUALIFY row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_id) <= 2""")
 def j21(v):
-    out = support.incremental_rescue(v.det_a.filter("score >= 0.7"), v.det_a.filter("score < 0.7 and score >= 0.5"), v.det_b, 0.5, 0.3, 0.5, 0.5, 2)
+    out = support.incremental_rescue(v.det_a.filter("score >= 0.7"), v.det_a.filter("score < 0.7"), v.det_b, 0.5, 0.3, 0.5, 0.5, 2)
     return out.select("det_id", "image_id", "class_id", F.round("score", 6).alias("score"))
 
 

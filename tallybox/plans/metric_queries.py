@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybox.functions.columns import BOX, IOU_STEPS, iou
 from tallybox.operators import fuse, match, metrics
 from tallybox.operators.order import running_sums
 from tallybox.plans.registry import query, sql_iou, sql_match, sql_nms
+from tallybox.session import cut as checkpointed
 
 G = ["class_id"]
 
@@ -25,14 +28,14 @@ M = f"m AS ({sql_match('det', 'gt', 0.5)})"
 L = f"{M}, lab AS (SELECT det.*, m.gt_id, CASE WHEN m.gt_id IS NULL THEN 0 ELSE 1 END AS tp FROM det LEFT JOIN m USING (det_id))"
 
 
-def sql_ap(lab: str, totals: str, by: str, weight: str = "1.0::DOUBLE") -> str:
-    """CTEs ap(by, n_gt, ap) by the definition: the best precision at or beyond each of 101 recall levels."""
+def sql_ap(lab: str, totals: str, by: str, weight: str = "1.0::DOUBLE", tag: str = "") -> str:
+    """CTEs ap(by, n_gt, ap) by the definition: the best precision at or beyond each of 101 recall levels. `tag` ends the CTEs' names."""
     on = " AND ".join(f"c.{k.strip()} = t.{k.strip()}" for k in by.split(","))
     tby = ", ".join("t." + k.strip() for k in by.split(","))
-    return f"""cum AS (SELECT {by}, tp, sum({weight}) OVER w AS alln, sum({weight}*tp) OVER w AS hit FROM {lab} WINDOW w AS (PARTITION BY {by} ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING)),
-tot AS ({totals}),
-lev AS (SELECT {tby}, t.n_gt, i, max(CASE WHEN c.hit/t.n_gt >= i::DOUBLE*0.01::DOUBLE THEN c.hit/greatest(c.alln, 1e-12) END) AS p FROM tot t CROSS JOIN range(0, 101) r(i) LEFT JOIN cum c ON {on} AND c.tp = 1 GROUP BY ALL),
-ap AS (SELECT {by}, n_gt, sum(coalesce(p, 0))/101 AS ap FROM lev GROUP BY ALL)"""
+    return f"""cum{tag} AS (SELECT {by}, tp, sum({weight}) OVER w AS alln, sum({weight}*tp) OVER w AS hit FROM {lab} WINDOW w AS (PARTITION BY {by} ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING)),
+tot{tag} AS ({totals}),
+lev{tag} AS (SELECT {tby}, t.n_gt, i, max(CASE WHEN c.hit/t.n_gt >= i::DOUBLE*0.01::DOUBLE THEN c.hit/greatest(c.alln, 1e-12) END) AS p FROM tot{tag} t CROSS JOIN range(0, 101) r(i) LEFT JOIN cum{tag} c ON {on} AND c.tp = 1 GROUP BY ALL),
+ap{tag} AS (SELECT {by}, n_gt, sum(coalesce(p, 0))/101 AS ap FROM lev{tag} GROUP BY ALL)"""
 
 
 TOT = "SELECT class_id, count(*) AS n_gt FROM gt GROUP BY 1"
@@ -172,7 +175,8 @@ def m12(v):
 
 @query("m13_threshold_ascent")
 def m13(v):
-    return match.threshold_ascent(metrics.sweep(labelled(v), v.gt, TH, G))
+    options = [metrics.prefix_figures(metrics.label(p, v.gt, 0.5), v.gt, TH, G).withColumn("variant", F.lit(n)) for n, p in (("all", v.det), ("a", v.det_a), ("kept", kept(v)))]
+    return match.route_search(reduce(DataFrame.unionByName, options))
 
 
 @query("m14_heldout_thresholds", f"""WITH {L}, f AS (SELECT lab.*, (lab.image_id % 37) % 5 AS fold FROM lab), gf AS (SELECT class_id, (image_id % 37) % 5 AS fold, count(*) AS n FROM gt GROUP BY ALL), fo AS (SELECT unnest(range(0, 5)) AS held), tv AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in TH)}]) AS threshold),
@@ -197,10 +201,13 @@ def m15(v):
 
 
 @query("m16_top_errors", f"""WITH {L}, top AS (SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY score DESC, det_id) <= 200),
-o AS (SELECT t.det_id, max({sql_iou('t.', 'g.')}) FILTER (t.class_id = g.class_id) AS same, max({sql_iou('t.', 'g.')}) FILTER (t.class_id <> g.class_id) AS other FROM top t JOIN gt g ON t.image_id = g.image_id GROUP BY 1)
-SELECT class_id, CASE WHEN tp = 1 THEN 'tp' WHEN same >= 0.5 THEN 'duplicate' WHEN other >= 0.5 THEN 'wrong_class' WHEN same >= 0.1 THEN 'localization' ELSE 'background' END AS kind, count(*) AS n FROM top LEFT JOIN o USING (det_id) GROUP BY ALL""")
+g AS (SELECT t.det_id, {sql_iou('t.', 'g.')} AS i, t.class_id = g.class_id AS own, (t.x2-t.x1)/(g.x2-g.x1) AS w, (t.y2-t.y1)/(g.y2-g.y1) AS h, g.gt_id FROM top t JOIN gt g ON t.image_id = g.image_id),
+o AS (SELECT det_id, max(i) FILTER (own) AS same, max(i) FILTER (NOT own) AS other FROM g GROUP BY 1), n AS (SELECT det_id, w, h FROM g WHERE own QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY i DESC, gt_id) = 1),
+k AS (SELECT class_id, CASE WHEN tp = 1 THEN 'tp' WHEN same >= 0.5 THEN 'duplicate' WHEN other >= 0.5 THEN 'wrong_class' WHEN same >= 0.1 THEN 'localization' ELSE 'background' END AS kind, w, h FROM top LEFT JOIN o USING (det_id) LEFT JOIN n USING (det_id))
+SELECT class_id, kind, count(*) AS n, CASE WHEN kind = 'localization' THEN round(quantile_cont(w, 0.5), 6) END AS width_ratio, CASE WHEN kind = 'localization' THEN round(quantile_cont(h, 0.5), 6) END AS height_ratio FROM k GROUP BY ALL""")
 def m16(v):
-    return match.top_errors(labelled(v), v.gt, 200).groupBy("class_id", "kind").agg(F.count("*").alias("n"))
+    e = match.error_summary(match.top_errors(labelled(v), v.gt, 200))
+    return e.select("class_id", "kind", "n", F.round("width_ratio", 6).alias("width_ratio"), F.round("height_ratio", 6).alias("height_ratio"))
 
 
 @query("m17_crossclass_recovery", f"""WITH {MISS} SELECT class_id, count(*) FILTER (coalesce(s.same, 0) < 0.5) AS missed, count(*) FILTER (coalesce(s.same, 0) < 0.5 AND s.other >= 0.5) AS recoverable FROM gt LEFT JOIN s USING (gt_id) GROUP BY 1""")
@@ -227,11 +234,21 @@ def m19(v):
     return c.groupBy("class_id").agg(F.count("*").alias("n_gt"), F.count_if(a & b).alias("both_"), F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b"), F.count_if(~a & ~b).alias("none_"))
 
 
-@query("m20_recall_bound", f"""WITH k AS (SELECT unnest([0.8::DOUBLE, 1.0::DOUBLE, 1.25::DOUBLE]) AS sc), t AS (SELECT sc, image_id, class_id, (x1+x2)/2-(x2-x1)*sc/2 AS x1, (y1+y2)/2-(y2-y1)*sc/2 AS y1, (x1+x2)/2+(x2-x1)*sc/2 AS x2, (y1+y2)/2+(y2-y1)*sc/2 AS y2 FROM det, k),
-b AS (SELECT t.sc, g.gt_id, max({sql_iou('t.', 'g.')}) AS i FROM gt g JOIN t ON t.image_id = g.image_id AND t.class_id = g.class_id GROUP BY ALL)
-SELECT sc AS scale, count(*) FILTER (i >= 0.5) AS hit, round(quantile_cont(i, 0.5), 6) AS median_iou FROM b GROUP BY 1""")
+POLICIES = "('plain', 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('scaled', 0.8::DOUBLE, 0.8::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('scaled', 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('scaled', 1.25::DOUBLE, 1.25::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('shifted', 1.0::DOUBLE, 1.0::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE), ('shifted', 1.0::DOUBLE, 1.0::DOUBLE, -0.1::DOUBLE, 0.0::DOUBLE)"
+Q8 = (0, 1, 2, 5, 10, 25, 50, 100)
+
+
+@query("m20_recall_bound", f"""WITH k(policy, sx, sy, dx, dy) AS (VALUES {POLICIES}), w AS (SELECT policy, image_id, class_id, (x2-x1)*sx AS w, (y2-y1)*sy AS h, (x1+x2)/2+(x2-x1)*sx*dx AS cx, (y1+y2)/2+(y2-y1)*sy*dy AS cy FROM det, k),
+t AS (SELECT policy, image_id, class_id, cx-w/2 AS x1, cy-h/2 AS y1, cx+w/2 AS x2, cy+h/2 AS y2 FROM w),
+e AS (SELECT t.policy, g.gt_id, g.class_id, t.class_id AS c, max({sql_iou('g.', 't.')}) AS i FROM gt g JOIN t USING (image_id) GROUP BY ALL),
+b AS (SELECT policy, gt_id, max(i) FILTER (c = class_id) AS own, arg_max(c, i) AS c0, max(i) AS top FROM e GROUP BY ALL), bc AS (SELECT e.policy, e.gt_id, min(e.c) AS c FROM e JOIN b ON e.policy = b.policy AND e.gt_id = b.gt_id AND e.i = b.top GROUP BY ALL),
+a AS (SELECT p.policy, g.class_id, coalesce(b.own, 0) AS own, b.top, bc.c FROM gt g CROSS JOIN (SELECT DISTINCT policy FROM k) p LEFT JOIN b ON b.policy = p.policy AND b.gt_id = g.gt_id LEFT JOIN bc ON bc.policy = p.policy AND bc.gt_id = g.gt_id)
+SELECT policy, 'recall' AS part, '' AS key, count(*) FILTER (own >= 0.5) AS n, count(*) AS total, NULL AS value FROM a GROUP BY 1 UNION ALL SELECT policy, 'class', CAST(class_id AS VARCHAR), count(*) FILTER (own >= 0.5), count(*), NULL FROM a GROUP BY 1, class_id
+UNION ALL SELECT policy, 'confusion', concat(c, '->', class_id), count(*), NULL, NULL FROM a WHERE own < 0.5 AND top >= 0.5 GROUP BY 1, c, class_id
+UNION ALL SELECT policy, 'quantile', unnest([{', '.join(f"'q{x:02d}'" for x in Q8)}]), NULL, NULL, unnest([{', '.join(f'round(quantile_cont(own, {x / 100}), 6)' for x in Q8)}]) FROM a GROUP BY 1""")
 def m20(v):
-    return match.recall_bound(v.gt, v.det, [0.8, 1.0, 1.25], 0.5)
+    policies = v.spark.sql(f"SELECT * FROM (VALUES {POLICIES.replace('::DOUBLE', 'D')}) AS t(policy, sx, sy, dx, dy)")
+    return match.recall_bound(v.gt, v.det, policies, 0.5, list(Q8)).withColumn("value", F.round("value", 6))
 
 
 @query("m21_greedy_cover")
@@ -257,14 +274,66 @@ def m24(v):
     return by_view(v).select("view", "tp", "fp", "n_gt", F.round("score", 4).alias("score"))
 
 
-@query("m25_release_gates", f"WITH {VIEWED}, b AS (SELECT view, score, tp, fp, n_gt FROM sc), c AS (SELECT view, score-0.2 AS score, tp-tp%7 AS tp, CASE WHEN view = 'grid' THEN fp*2 ELSE fp END AS fp FROM sc) SELECT view, gate FROM (SELECT b.view, unnest(list_filter([CASE WHEN c.score-b.score < 0 THEN 'score' END, CASE WHEN (b.tp-c.tp)/b.n_gt > 0.001 THEN 'recall' END, CASE WHEN c.fp/greatest(b.fp, 1) > 1.5 THEN 'fp_ratio' END], lambda x: x IS NOT NULL)) AS gate FROM b JOIN c USING (view))")
+VIEW_WEIGHTS = {"original": 488 / 788, "grid": 300 / 788}
+GATE_STEPS = (IOU_STEPS[0], IOU_STEPS[5])
+
+
+def view_figures(v, pred):
+    """(figures by view, AP50 by view and class) of a prediction table; the mean AP is over GATE_STEPS."""
+    on = v.images.select("image_id", "view")
+    p, g = pred.join(on, "image_id"), v.gt.join(on, "image_id")
+    ap = metrics.evaluate(p, g, GATE_STEPS, ["view", "class_id"])
+    classes = ap.filter(F.col("step") == GATE_STEPS[0]).select("view", "class_id", F.col("ap").alias("ap50"))
+    means = ap.groupBy("view").agg(F.avg(F.when(F.col("step") == GATE_STEPS[0], F.col("ap"))).alias("map50"), F.avg(F.when(F.col("step") == GATE_STEPS[1], F.col("ap"))).alias("map75"), F.avg("ap").alias("map"))
+    lab = metrics.label(p, g, 0.5, ["view", "image_id", "class_id"])
+    counts = lab.groupBy("view").agg(F.sum("tp").alias("tp"), (F.count("*") - F.sum("tp")).alias("fp"))
+    n = on.groupBy("view").agg(F.count("*").alias("images"))
+    f = means.join(counts, "view").join(metrics.truth_totals(g, ["view"]), "view").join(n, "view")
+    pr, re, _ = metrics.operating(F.col("tp"), F.col("fp"), F.col("n_gt"))
+    f = f.select("view", "map50", "map75", "map", pr, re, (F.col("fp") / F.col("images")).alias("fp_per_image"), (F.col("tp") + F.col("fp")).alias("rows"))
+    return f.withColumn("score", 20 * F.col("precision") + 60 * F.col("recall") + 20 * F.col("map50")), classes
+
+
+def sql_view_figures(n: str, pred: str) -> str:
+    """CTEs f{n} (figures by view) and c{n} (AP50 by view and class) of a prediction table."""
+    steps = []
+    for k, t in enumerate(GATE_STEPS):
+        steps.append(f"m{n}{k} AS ({sql_match(pred, 'gt', t)}), lab{n}{k} AS (SELECT i.view, p.class_id, p.det_id, p.score, CASE WHEN m.gt_id IS NULL THEN 0 ELSE 1 END AS tp FROM {pred} p JOIN images i USING (image_id) LEFT JOIN m{n}{k} m USING (det_id))")
+        steps.append(sql_ap(f"lab{n}{k}", "SELECT i.view, g.class_id, count(*) AS n_gt FROM gt g JOIN images i USING (image_id) GROUP BY ALL", "view, class_id", tag=f"{n}{k}"))
+    return ", ".join(steps) + f""", c{n} AS (SELECT view, class_id, ap AS ap50 FROM ap{n}0),
+x{n} AS (SELECT view, sum(tp) AS tp, count(*)-sum(tp) AS fp FROM lab{n}0 GROUP BY 1), g{n} AS (SELECT view, count(*) AS n_gt FROM gt JOIN images USING (image_id) GROUP BY 1), i{n} AS (SELECT view, count(*) AS images FROM images GROUP BY 1),
+y{n} AS (SELECT view, map50, map75, (map50+map75)/2 AS map, {PR} AS precision, {RE} AS recall, fp/images AS fp_per_image, tp+fp AS rows FROM (SELECT view, avg(ap) AS map50 FROM ap{n}0 GROUP BY 1) JOIN (SELECT view, avg(ap) AS map75 FROM ap{n}1 GROUP BY 1) USING (view) JOIN x{n} USING (view) JOIN g{n} USING (view) JOIN i{n} USING (view)),
+f{n} AS (SELECT *, 20*precision+60*recall+20*map50 AS score FROM y{n})"""
+
+
+@query("m25_release_gates", f"""WITH kept AS ({sql_nms('det', 0.5)}), pred AS (SELECT det.* FROM det JOIN kept USING (det_id)), {sql_view_figures('A', 'det')}, {sql_view_figures('B', 'pred')},
+w AS (SELECT b.view, min(b.ap50-a.ap50) AS worst FROM cB b JOIN cA a USING (view, class_id) GROUP BY 1), d AS (SELECT b.view, b.score-a.score AS s, b.map50-a.map50 AS m, b.map75-a.map75 AS m75, b.map-a.map AS mm, b.recall-a.recall AS r, b.fp_per_image/a.fp_per_image AS q, worst FROM fB b JOIN fA a USING (view) JOIN w USING (view)),
+t AS (SELECT view, unnest(['score', 'map50', 'map75', 'map', 'recall', 'fp_ratio', 'class_ap50']) AS gate, unnest([s, m, m75, mm, r, q, worst]) AS figure, unnest([s < 0.1, m < 0.005, m75 < 0.005, mm < 0, r < -0.002, q > 1.05, worst < -0.02]) AS bad FROM d),
+x AS (SELECT count(*) AS n FROM (SELECT image_id, class_id, x1, y1, x2, y2 FROM det EXCEPT ALL SELECT image_id, class_id, x1, y1, x2, y2 FROM pred)), z AS (SELECT sum(s*CASE view WHEN 'grid' THEN 300/788 ELSE 488/788 END) AS figure FROM d)
+SELECT view, gate, round(figure, 6) AS figure FROM t WHERE bad UNION ALL SELECT 'all', 'weighted_score', round(figure, 6) FROM z WHERE figure < 0.2 UNION ALL SELECT 'all', 'membership', n FROM x WHERE n <> 0""")
 def m25(v):
-    base = by_view(v)
-    new = base.select("view", (F.col("score") - 0.2).alias("score"), (F.col("tp") - F.col("tp") % 7).alias("tp"), F.when(F.col("view") == "grid", F.col("fp") * 2).otherwise(F.col("fp")).alias("fp"))
-    return match.release_gates(base, new, ["view"], 0.0, 0.001, 1.5)
+    new = kept(v)
+    (control, classes), (better, better_classes) = view_figures(v, v.det), view_figures(v, new)
+    box = ["image_id", "class_id", *BOX]
+    different = v.det.select(*box).exceptAll(new.select(*box)).agg(F.count("*").alias("n"))
+    return match.release_gates(control, better, classes, better_classes, VIEW_WEIGHTS, different=different).withColumn("figure", F.round("figure", 6))
+
+
+CUTS = (0.0, 0.3, 0.6, 0.9)
 
 
-@query("m26_best_candidate", f"WITH {FIG} SELECT class_id, tp, fp FROM (SELECT class_id, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, 20*{PR}+60*{RE}+20*ap AS score, {PR} AS precision FROM fig) ORDER BY score DESC, precision DESC, tp+fp, class_id LIMIT 1")
+@query("m26_best_candidate", f"""WITH {L}, v AS (SELECT lab.*, i.view FROM lab JOIN images i USING (image_id)), tv AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in CUTS)}]) AS cut), lc AS (SELECT cut, view, class_id, det_id, score, tp FROM v, tv WHERE score >= cut),
+{sql_ap('lc', 'SELECT cut, i.view, g.class_id, count(*) AS n_gt FROM gt g JOIN images i USING (image_id), tv GROUP BY ALL', 'cut, view, class_id')},
+m1 AS (SELECT cut, view, avg(ap) AS map50, sum(n_gt) AS n_gt FROM ap GROUP BY ALL), m2 AS (SELECT cut, view, sum(tp) AS tp, count(*)-sum(tp) AS fp FROM lc GROUP BY ALL),
+f AS (SELECT cut, view, map50, {PR} AS precision, {RE} AS recall, tp+fp AS rows FROM m1 JOIN m2 USING (cut, view)), s AS (SELECT *, 20*precision+60*recall+20*map50 AS score FROM f),
+e AS (SELECT s.cut FROM s JOIN (SELECT view, map50 AS bm, recall AS br FROM s WHERE cut = 0.3) b USING (view) GROUP BY 1 HAVING bool_and(map50 >= bm-0.2 AND recall >= br-0.25)),
+w AS (SELECT cut, round(sum(wt*score), 9) AS score, round(min(score), 9) AS worst, round(sum(wt*precision), 9) AS precision, round(sum(wt*recall), 9) AS recall, round(sum(wt*map50), 9) AS map50, sum(rows)::BIGINT AS rows FROM (SELECT *, CASE view WHEN 'grid' THEN 300/788 ELSE 488/788 END AS wt FROM s) JOIN e USING (cut) GROUP BY 1)
+SELECT * FROM (SELECT 'score' AS rule, * FROM w ORDER BY score DESC, worst DESC, precision DESC, rows, cut LIMIT 1) UNION ALL SELECT * FROM (SELECT 'recall', * FROM w ORDER BY recall DESC, map50 DESC, score DESC, worst DESC, precision DESC, rows, cut LIMIT 1)""")
 def m26(v):
-    f = metrics.composite(metrics.class_figures(labelled(v), v.gt, G), G)
-    return match.best_candidate(f, "class_id").select("class_id", "tp", "fp")
+    on = v.images.select("image_id", "view")
+    f = metrics.prefix_figures(labelled(v).join(on, "image_id"), v.gt.join(on, "image_id"), list(CUTS), ["view", "class_id"])
+    f = f.groupBy(F.col("threshold").alias("cut"), "view").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("n_gt").alias("n_gt"), F.avg("ap").alias("map50"))
+    pr, re_, _ = metrics.operating(F.col("tp"), F.col("fp"), F.col("n_gt"))
+    f = checkpointed(f.select("cut", "view", "map50", pr, re_, (F.col("tp") + F.col("fp")).alias("rows")).withColumn("score", 20 * F.col("precision") + 60 * F.col("recall") + 20 * F.col("map50")))
+    pick = lambda name, first: match.best_candidate(f, "cut", VIEW_WEIGHTS, 0.3, -0.2, 0.25, first).select(F.lit(name).alias("rule"), "*")
+    return pick("score", False).union(pick("recall", True))

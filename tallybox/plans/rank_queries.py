@@ -58,9 +58,9 @@ def w5(v):
     return metrics.cumulative_envelope(v.det.join(hit, "det_id", "left").withColumn("tp", F.coalesce("tp", F.lit(0))), ["class_id"]).select("det_id", "tp", "fp", F.round("envelope", 6).alias("envelope"))
 
 
-@query("w6_append_below", "WITH b AS (SELECT * FROM det WHERE score >= 0.5), e AS (SELECT * FROM det WHERE score < 0.02), r AS (SELECT det_id, row_number() OVER (ORDER BY score DESC, det_id)-1 AS k, count(*) OVER () AS n FROM e) SELECT det_id, round(score, 9) AS score FROM b UNION ALL SELECT det_id, round((SELECT min(score) FROM b)*(0.49-0.48*k/n), 9) FROM r")
+@query("w6_append_below", "WITH b AS (SELECT * FROM det WHERE score >= 0.5), e AS (SELECT * FROM det WHERE score < 0.5), r AS (SELECT det_id, row_number() OVER (ORDER BY score DESC, det_id)-1 AS k, count(*) OVER () AS n FROM e) SELECT det_id, round(score, 9) AS score FROM b UNION ALL SELECT det_id, round((SELECT min(score) FROM b)*(0.49-0.48*k/n), 9) FROM r")
 def w6(v):
-    return rank.append_below(v.det.filter("score >= 0.5"), v.det.filter("score < 0.02"), [F.desc("score"), F.asc("det_id")]).select("det_id", F.round("score", 9).alias("score"))
+    return rank.append_below(v.det.filter("score >= 0.5"), v.det.filter("score < 0.5"), [F.desc("score"), F.asc("det_id")]).select("det_id", F.round("score", 9).alias("score"))
 
 
 @query("w7_rank_percentile", "SELECT det_id, round((rank() OVER (PARTITION BY class_id ORDER BY score)-1+(count(*) OVER (PARTITION BY class_id, score)-1)/2+0.5)/count(*) OVER (PARTITION BY class_id), 9) AS p FROM det")
@@ -74,9 +74,14 @@ def w8(v):
     return sets.counter_total(e, ["user_id"], "c", ["ts", "event_id"])
 
 
-@query("w9_runtime_extrapolation", "WITH d AS (SELECT user_id, arg_max(event_id, event_id) AS last, count(*) AS n FROM events GROUP BY 1) SELECT user_id, round(last/n*300, 3) AS projected FROM d")
+@query("w9_runtime_extrapolation", "WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, epoch(ts)-epoch(min(ts) OVER (PARTITION BY user_id)) AS elapsed FROM events) SELECT user_id, epoch AS epochs, round(elapsed, 3) AS elapsed, round(elapsed/greatest(epoch, 1)*300*1.15/3600, 6) AS hours FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch DESC) = 1")
 def w9(v):
-    return v.events.groupBy("user_id").agg(F.max_by("event_id", "event_id").alias("last"), F.count("*").alias("n")).select("user_id", F.round(F.col("last") / F.col("n") * 300, 3).alias("projected"))
+    # each user's events stand for the epochs of a run
+    w = Window.partitionBy("user_id")
+    e = v.events.withColumn("epoch", F.row_number().over(w.orderBy("ts", "event_id")).cast("long"))
+    e = e.withColumn("elapsed", F.col("ts").cast("timestamp").cast("double") - F.min(F.col("ts").cast("timestamp").cast("double")).over(w))
+    out = sets.runtime_estimate(e, "user_id", "epoch", "elapsed", 300)
+    return out.select("user_id", "epochs", F.round("elapsed", 3).alias("elapsed"), F.round("hours", 6).alias("hours"))
 
 
 @query("k1_top_k", "SELECT det_id FROM det QUALIFY row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_id) <= 5")
@@ -123,9 +128,9 @@ def u2(v):
     return sets.bag_difference(v.det.filter("score >= 0.3").select(c), v.det.filter("score < 0.6").select(c))
 
 
-@query("u3_split_leakage", "SELECT DISTINCT image_id FROM det WHERE model = 'a' AND class_id = 0 INTERSECT SELECT image_id FROM det WHERE model = 'b' AND class_id = 7")
+@query("u3_split_leakage", "SELECT image_id, class_id FROM det WHERE model = 'a' INTERSECT SELECT image_id, class_id FROM det WHERE model = 'b'")
 def u3(v):
-    return v.det.filter("model = 'a' and class_id = 0").select("image_id").intersect(v.det.filter("model = 'b' and class_id = 7").select("image_id"))
+    return v.det_a.select(*GROUP).intersect(v.det_b.select(*GROUP))
 
 
 @query("u4_missing_ids", "SELECT image_id FROM images EXCEPT SELECT image_id FROM det WHERE score > 0.995")
