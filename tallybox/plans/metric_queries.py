@@ -204,7 +204,7 @@ def m15(v):
 g AS (SELECT t.det_id, {sql_iou('t.', 'g.')} AS i, t.class_id = g.class_id AS own, (t.x2-t.x1)/(g.x2-g.x1) AS w, (t.y2-t.y1)/(g.y2-g.y1) AS h, g.gt_id FROM top t JOIN gt g ON t.image_id = g.image_id),
 o AS (SELECT det_id, max(i) FILTER (own) AS same, max(i) FILTER (NOT own) AS other FROM g GROUP BY 1), n AS (SELECT det_id, w, h FROM g WHERE own QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY i DESC, gt_id) = 1),
 k AS (SELECT class_id, CASE WHEN tp = 1 THEN 'tp' WHEN same >= 0.5 THEN 'duplicate' WHEN other >= 0.5 THEN 'wrong_class' WHEN same >= 0.1 THEN 'localization' ELSE 'background' END AS kind, w, h FROM top LEFT JOIN o USING (det_id) LEFT JOIN n USING (det_id))
-SELECT class_id, kind, count(*) AS n, CASE WHEN kind = 'localization' THEN round(quantile_cont(w, 0.5), 6) END AS width_ratio, CASE WHEN kind = 'localization' THEN round(quantile_cont(h, 0.5), 6) END AS height_ratio FROM k GROUP BY ALL""")
+SELECT class_id, kind, count(*) AS n, round(quantile_cont(w, 0.5) FILTER (kind = 'localization'), 6) AS width_ratio, round(quantile_cont(h, 0.5) FILTER (kind = 'localization'), 6) AS height_ratio FROM k GROUP BY class_id, kind""")
 def m16(v):
     e = match.error_summary(match.top_errors(labelled(v), v.gt, 200))
     return e.select("class_id", "kind", "n", F.round("width_ratio", 6).alias("width_ratio"), F.round("height_ratio", 6).alias("height_ratio"))
@@ -253,7 +253,9 @@ def m20(v):
 
 @query("m21_greedy_cover")
 def m21(v):
-    return match.greedy_cover(v.gt, fuse.apply_actions(v.det, v.actions, F.lit(4096.0), F.lit(3000.0), 0.1, 0.0), 0.5)
+    # each class's boxes as they are, smaller and larger
+    actions = v.spark.sql("SELECT CAST(3 * c + k AS INT) AS action, CAST(c AS INT) AS source_class, CAST(c AS INT) AS target_class, s AS sx, s AS sy, 0D AS dx, 0D AS dy FROM (SELECT explode(sequence(0, 7)) AS c) LATERAL VIEW posexplode(array(1D, 0.8D, 1.25D)) AS k, s")
+    return match.greedy_cover(v.gt, fuse.apply_actions(v.det, actions, F.lit(4096.0), F.lit(3000.0), 0.1, 0.0), 0.5)
 
 
 @query("m22_unmatched_truth", f"WITH {M} SELECT gt_id, class_id FROM gt WHERE gt_id NOT IN (SELECT gt_id FROM m)")
