@@ -105,22 +105,24 @@ def as_bytes(column) -> list[bytes]:
 
 
 def add_columns(docs: DataFrame, keep: list[str], text_col: str, fn, fields: str, limit: int = 1 << 23) -> DataFrame:
-    """`keep` of each row, and the columns that `fn(list of texts)` gives for a batch, by Arrow: kept columns pass untouched."""
+    """`keep` of each row, and the columns that `fn(list of texts)` gives for texts of about `limit` characters, by Arrow: kept columns pass untouched. The
+    texts are sent once, also if `keep` names them."""
     names = [f.split()[0] for f in fields.split(", ")]
-    source = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    source = docs.select(*[F.col(c) for c in keep], *[F.col(text_col).alias("_text")][:at == len(keep)])
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            at = b.schema.get_field_index("_text")
-            texts = b.column(at).to_pylist()
-            sizes = [len(t or "") for t in texts]
+            texts = b.column(at)
+            sizes = pc.utf8_length(texts).fill_null(0).to_pylist()
             for lo, hi in by_size(sizes, limit):
-                some = fn(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([b.column(i).slice(lo, hi - lo) for i in range(at)] + [x if isinstance(x, pa.Array) else pa.array(x) for x in some], names=[*keep, *names])
+                some = fn(texts.slice(lo, hi - lo).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(i).slice(lo, hi - lo) for i in range(len(keep))] + [x if isinstance(x, pa.Array) else pa.array(x) for x in some], names=[*keep, *names])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:len(keep)]]
     return source.mapInArrow(run, ", ".join([*kept, fields]))
 
 

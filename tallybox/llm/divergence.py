@@ -42,6 +42,7 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
     """(lang, source, term, n occurrences, df documents that hold it), a row for each."""
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from collections import Counter
 
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -55,7 +56,7 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
         for b in batches:
             texts = b.column(0).cast(pa.binary())
             keys = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-            sizes = pa.compute.binary_length(texts).to_pylist()
+            sizes = pc.binary_length(texts).to_pylist()
             for lo, hi in by_size([x or 0 for x in sizes], 1 << 22):
                 for key, text in zip(keys[lo:hi], texts.slice(lo, hi - lo).to_pylist(), strict=True):
                     words = (text or b"").translate(FOLD).split()

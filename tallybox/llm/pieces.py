@@ -27,7 +27,7 @@ SPACE = "▁"
 #: Bytes of distinct chunk text under one suffix array, so that memory does not follow the batch.
 SLICE = 1 << 18
 #: Characters of text whose distinct chunks are matched together.
-BATCH = 12_000_000
+BATCH = 6_000_000
 END = 0xFF
 
 

@@ -40,6 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns, `ids`, and `round_trip`: whether they decode to the text. Columns of these two names are replaced. A null text has null ids."""
-    coded = decode(encode(packed(docs), model_file(), text_col="_row.text", keep=["_row"]), model_file())
-    names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("ids", "round_trip")]
-    return coded.select(*names, "ids", F.col("decoded").eqNullSafe(F.col("_row.text")).alias("round_trip"))
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])  # no name clashes, and the text passes once
+    text = f"_c{docs.columns.index('text')}"
+    coded = decode(encode(plain, model_file(), text_col=text, keep=plain.columns), model_file())
+    names = [F.col(c).alias(name) for c, name in zip(plain.columns, docs.columns, strict=True) if name not in ("ids", "round_trip")]
+    return coded.select(*names, "ids", F.col("decoded").eqNullSafe(F.col(text)).alias("round_trip"))
