@@ -9,7 +9,7 @@ counts by vector and a spanning forest of its links, never the pairs; components
 Vectors in no preferred direction are near every bisector: then nearly all are copied, and the join compares all
 pairs once, in blocks; that is the price of an exact answer there.
 
-The number of pivots grows with that of the vectors, up to its square root. Equal vectors are one from the start, counted with their number. Null ids, and vectors that are null, empty, zero or
+The number of pivots grows with that of the vectors: its cube root at least, and as many as leave `BLOCK` vectors to a cell, up to its square root. Ids are whole numbers or cast to them; one that is no number is an error. Equal vectors are one from the start, counted with their number. Null ids, and vectors that are null, empty, zero or
 hold null or non-finite components, link with nothing. Vectors of different lengths don't link. Rows that share an
 id are one vertex, and get the larger count of links. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
@@ -51,14 +51,14 @@ def _stack(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), float).reshape(len(column), -1)
 
 
-def _cells(pivots: dict[int, np.ndarray], sine: float):
+def _cells(pivots, sine: float):
     """Rows (dim, cell, guest, v, m, u): a vector in its own cell and, as a guest, in lower cells that it is near."""
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                p = pivots[int(dim)]
+                p = pivots.value[int(dim)]
                 for lo in range(0, len(part), step := max(1, (1 << 22) // len(p))):
                     some = part.iloc[lo:lo + step]
                     x = _stack(some["u"].to_list())
@@ -133,9 +133,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dims = {r["dim"]: r["count"] for r in units.groupBy("dim").count().collect()}
     pivots = {}
     for dim, n in dims.items():
-        k = min(-(-n // BLOCK), int(np.ceil(np.sqrt(n))))  # grows with the rows; the square root keeps the pivots a small broadcast
+        k = max(int(np.ceil(np.cbrt(n))), min(-(-n // BLOCK), int(np.ceil(np.sqrt(n)))))  # the square root keeps the pivots a small broadcast
         pivots[dim] = _stack([bytes(r.u) for r in units.filter(F.col("dim") == dim).orderBy(F.xxhash64("v"), "v").limit(k).collect()])
     sine = float(np.sqrt(max(0.0, 1 - min_cosine**2))) + 1e-9 if min_cosine > 0 else 2.0
+    pivots = vectors.sparkSession.sparkContext.broadcast(pivots)
     cells = units.mapInPandas(_cells(pivots, sine), "dim int, cell int, guest boolean, v long, m long, u binary")
     cells = cells.withColumn("salt", F.xxhash64("v"))
     sizes = cells.groupBy("dim", "cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if(F.col("guest")).alias("guests"))
