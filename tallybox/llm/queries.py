@@ -79,7 +79,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_pages(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated", "n_around", "n_around_repeated")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

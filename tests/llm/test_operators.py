@@ -418,6 +418,12 @@ ARTICLES = {
     "<article>a &lt;b&gt; &eacute;&#x20;&#8364;<!-- <p>no</p> --> c</article>": "a <b> é € c",
     "<article><p>open <b>bold<p>next</article>": "open bold next",
     "<p x='unclosed>text": "text",
+    "<article><section id='social-impact'>a</section><h2 id='share-prices'>b</h2><p class='menu-planning'>c</p><div id='comment-on-results'>d</div><h2 id='how-to-share'>e</h2></article>": "a b c d e",
+    "<article><p>t</p><div class='post-comments'>1</div><div class='user-comments'>2</div><div class='site-nav'>3</div><div class='post-share'>4</div><div class='wp-sidebar'>5</div><div class='comment-list'>6</div></article>": "t",
+    "<body><div class='main-menu'>m</div><div id='top-nav'>n</div><div class='cookieNotice'>c</div><p>plain</p></body>": "plain",
+    "<body><div class='content'>the real text</div><article class='teaser'>card</article><article class='post-card'>card</article></body>": "the real text",
+    "<article class='post preview-mode'>own</article>": "own",
+    "<article><div class='ad'>x<p>y</p></div>z</article>": "z",
 }
 
 
@@ -426,14 +432,15 @@ def test_page_blocks(html):
     assert " ".join(pages.blocks(html)[0]) == ARTICLES[html]
 
 
-def plain_pages(rows):
-    """Texts of (host, marked, words) by the definition: counts of all runs of DEPTH words over the host's distinct streams."""
+def plain_pages(rows, around=()):
+    """Texts of (host, marked, words) by the definition: counts of all runs of DEPTH words over the host's distinct streams. around: (host, words, number of streams) of surroundings."""
     streams = {(h, m, tuple(w)) for h, m, w in rows}
     n, seen = {}, {}
-    for h, m, w in streams:
+    for h, _, _ in streams:
         n[h] = n.get(h, 0) + 1
-        for g in {w[i:i + pages.DEPTH] for i in range(len(w) - pages.DEPTH + 1)}:
-            seen[h, g] = seen.get((h, g), 0) + 1
+    for h, w, k in [*[(h, w, 1) for h, _, w in streams], *around]:
+        for g in {tuple(w[i:i + pages.DEPTH]) for i in range(len(w) - pages.DEPTH + 1)}:
+            seen[h, g] = seen.get((h, g), 0) + k
     out = []
     for h, m, w in rows:
         least, gone = max(pages.FEW, n[h] // 2 + 1) if m else 2, set()
@@ -464,6 +471,26 @@ def test_pages_equal_brute_force(spark, monkeypatch, group):
     assert [got[i] for i in range(len(rows))] == plain_pages(rows)
 
 
+def test_the_host_array_finds_surroundings_and_what_they_mark(spark):
+    menu, once = words(25, 40), words(15, 41)
+    own = [words(40, 700 + i) for i in range(7)]
+    html = [f"<body><nav>{' '.join(menu)}</nav><div class='ad'>{' '.join(words(14, 50 + i))}</div><article>{' '.join(own[i])}</article></body>" for i in range(5)]
+    html += [f"<body><div>{' '.join(menu)}</div><div>{' '.join(own[5])}</div></body>", f"<body><div>{' '.join(own[6])} {' '.join(once)}</div><footer>{' '.join(once[:11])}</footer></body>"]
+    d = spark.createDataFrame([(i, "http://h.x/a", x, 1) for i, x in enumerate(html)] + [(9, "http://h.x/a", html[0], 1)], "page_id long, url string, html string, n_around int").repartition(3)
+    got = {r.page_id: r for r in pages.extract_pages(d).collect()}
+    assert [got[i].text for i in range(7)] == [*[" ".join(w) for w in own[:6]], " ".join(own[6] + once)]
+    assert [(got[i].n_repeated, got[i].n_around, got[i].n_around_repeated) for i in (0, 4, 5, 6, 9)] == [(0, 39, 25), (0, 39, 25), (25, 0, 0), (0, 11, 0), (0, 39, 25)]
+
+
+def test_a_megabyte_of_unclosed_tags_takes_seconds():
+    import time
+
+    begin = time.perf_counter()
+    html = "<article>" + "<p>x" * 120_000 + "</i></b>" * 120_000 + "</article>"
+    text = " ".join(pages.blocks(html)[0])
+    assert text == " ".join("x" * 120_000) and time.perf_counter() - begin < 20
+
+
 def test_substring_dedup_of_frequent_prefixes_equals_brute_force(spark, monkeypatch):
     """Anchors and prefixes with more branches than a group may hold, down to suffixes that are equal."""
     monkeypatch.setattr(suffixes, "GROUP", 3)
