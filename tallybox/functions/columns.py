@@ -185,6 +185,8 @@ def hash_fold(text: Column, folds: int = 5, digits: int = 16) -> Column:
 def canonical_class(name: Column, aliases: dict[str, str]) -> Column:
     """Trimmed, lower-cased, without spaces, then by the alias table; an unknown name stays, never merged silently."""
     key = F.regexp_replace(F.lower(F.trim(name)), " ", "")
+    if not aliases:
+        return key
     table = F.create_map(*[F.lit(v) for pair in aliases.items() for v in pair])
     return F.coalesce(table[key], key)
 

@@ -60,22 +60,34 @@ def s4(v):
     return S.read_candidates(v.spark, path)
 
 
-@query("s5_read_legacy_cache", "SELECT CAST(image_id AS VARCHAR) AS image_id, count(*) AS n FROM det GROUP BY 1")
+@query("s5_read_legacy_cache", """WITH n AS (SELECT CAST(ceil(count(*)/40) AS BIGINT) AS k FROM images), i AS (SELECT image_id, image_id % k AS b, count(*) AS n FROM det, n GROUP BY ALL), f AS (SELECT b, count(*) AS images, sum(n)::BIGINT AS boxes FROM i GROUP BY 1)
+SELECT problem, sum(images)::BIGINT AS images, sum(CASE WHEN problem = 'ok' THEN boxes ELSE 0 END)::BIGINT AS boxes FROM (SELECT *, CASE WHEN b % 3 = 1 AND images > 1 THEN 'not_sorted' WHEN b % 3 = 2 THEN 'signature' ELSE 'ok' END AS problem FROM f) GROUP BY 1""")
 def s5(v):
     path = scratch(v)
-    r = records(v.det)  # the legacy form is one object in a file: some forty images in each, however many files
-    bucket = F.pmod(F.xxhash64("image_id"), F.lit(-(-v.images.count() // 40) or 1)).alias("bucket")
-    one = r.groupBy(bucket).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("image_id", F.struct("image_size", "candidates"))))).alias("images"))
-    one.select("bucket", F.to_json(F.struct("images")).alias("value")).write.partitionBy("bucket").text(path)
-    return S.flat_candidates(S.read_legacy_cache(v.spark, path)).groupBy("image_id").agg(F.count("*").alias("n"))
-
-
-@query("s6_header_policy", "SELECT unnest(['schema', 'classes']) AS field FROM (SELECT count(*) FROM det)")
+    # the legacy form is one object in a file: some forty images in each, however many files; of three files one is out of order, and one comes from other settings
+    bucket = F.pmod(F.col("image_id").cast("long"), F.lit(-(-v.images.count() // 40) or 1))
+    rows = F.sort_array(F.collect_list(F.struct("image_id", F.struct("image_size", "candidates"))))
+    one = records(v.det).groupBy(bucket.alias("bucket")).agg(rows.alias("r"))
+    one = one.select("bucket", F.create_map(F.lit("conf"), F.when(F.col("bucket") % 3 == 2, "0.1").otherwise("0.05")).alias("signature"), F.map_from_entries(F.when(F.col("bucket") % 3 == 1, F.reverse("r")).otherwise(F.col("r"))).alias("images"))
+    one.select("bucket", F.to_json(F.struct("signature", "images")).alias("value")).write.partitionBy("bucket").text(path)
+    found = S.legacy_problems(v.spark, path, {"conf": "0.05"}).groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.sum("images").cast("long").alias("images"))
+    boxes = S.flat_candidates(S.read_legacy_cache(v.spark, path, {"conf": "0.05"}, strict=False)).agg(F.count("*").alias("_n"))
+    return found.crossJoin(F.broadcast(boxes)).select("problem", "images", F.when(F.col("problem") == "ok", F.col("_n")).otherwise(0).alias("boxes"))  # one row
+
+
+@query("s6_header_policy", """WITH h AS (SELECT concat('c', class_id) AS source, count(*) AS n, CAST(floor(min(score)*1000) AS BIGINT) AS conf, CAST(max(class_id) % 3 AS INT) AS k FROM det GROUP BY class_id),
+p AS (SELECT source, unnest(['schema', 'classes', 'options.conf', 'options.max_det', 'options.tta']) AS field, unnest([CASE WHEN k = 1 THEN '2' END, CASE WHEN k = 2 THEN '["c1","c0"]' END, CASE WHEN conf <> 0 THEN CAST(conf AS VARCHAR) END, CASE WHEN n <> 7500 THEN CAST(n AS VARCHAR) END, CASE WHEN k = 0 THEN 'true' END]) AS actual FROM h)
+SELECT source, field, actual FROM p WHERE actual IS NOT NULL""")
 def s6(v):
+    # a cache of each class, with what its run says of itself
     path = scratch(v)
-    cache_lines(v, v.det).write.text(path)
-    want = v.spark.range(1).select(F.lit(4).alias("schema"), F.lit("ab12").alias("weights_sha256"), F.array(F.lit("c1"), F.lit("c0")).alias("classes"))
-    return S.header_problems(S.read_header(v.spark, path), want)
+    k = F.col("class_id") % 3
+    h = v.det.groupBy("class_id").agg(F.count("*").alias("max_det"), F.floor(F.min("score") * 1000).alias("conf"))
+    options = F.struct("conf", "max_det", (k == 0).alias("tta"))
+    head = F.struct(F.lit("candidate_cache_header").alias("type"), F.when(k == 1, 2).otherwise(3).alias("schema"), F.lit("ab12").alias("weights_sha256"), F.when(k == 2, F.array(F.lit("c1"), F.lit("c0"))).otherwise(F.array(F.lit("c0"), F.lit("c1"))).alias("classes"), F.concat(F.lit("c"), F.col("class_id").cast("string")).alias("source"), options.alias("options"))
+    h.select(F.to_json(head).alias("value")).union(records(v.det).select(F.to_json(F.struct("image_id", "image_size", "candidates")))).write.text(path)
+    bad = S.header_problems(S.read_header(v.spark, path), {"schema": 3, "weights_sha256": "ab12", "classes": ["c0", "c1"]}, {"conf": 0, "max_det": 7500, "tta": False})
+    return bad.select("source", "field", "actual")
 
 
 def predictions(v):
@@ -112,40 +124,62 @@ def s9(v):
     return out.groupBy("stem", "class_id").agg(F.count("*").alias("n"), F.round(F.sum("x1"), 0).alias("x1"), F.round(F.sum("y2"), 0).alias("y2"))
 
 
-@query("s10_read_grounding", "SELECT CASE WHEN turn % 5 = 4 THEN 'query' WHEN turn % 3 = 2 THEN 'bbox' ELSE 'ok' END AS problem, count(*) AS n FROM conversations GROUP BY 1")
+@query("s10_read_grounding", "SELECT CASE WHEN turn % 7 = 6 THEN 'depth' WHEN turn % 5 = 4 THEN 'query' WHEN turn % 3 = 2 THEN 'bbox' ELSE 'ok' END AS problem, count(*) AS n, count(DISTINCT CASE WHEN conv_id % 2 = 0 THEN concat(conv_id, '/', turn) ELSE concat('q', conv_id, '/', turn) END) AS ids FROM conversations GROUP BY 1")
 def s10(v):
+    # objects by sample for even conversations, lists of records for odd ones
     path = scratch(v)
     box = F.when(F.col("turn") % 3 == 2, F.array(F.lit(0.1), F.lit(0.2))).otherwise(F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3), F.lit(0.4)))
-    s = F.struct(F.lit("v.png").alias("visible"), F.when(F.col("turn") % 5 != 4, F.col("role")).alias("query"), box.alias("bbox"))
     key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    v.conversations.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, s)))).alias("value")).select("value").write.text(path)
-    return S.read_grounding(v.spark, path, whole_files=False).groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
+    fields = [F.lit("v.png").alias("visible"), F.lit("i.png").alias("infrared"), F.when(F.col("turn") % 7 != 6, "d.png").alias("depth"), F.when(F.col("turn") % 5 != 4, F.col("role")).alias("query"), box.alias("bbox")]
+    keyed = v.conversations.filter("conv_id % 2 = 0").groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, F.struct(*fields))))).alias("value"))
+    listed = v.conversations.filter("conv_id % 2 = 1").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("q"), key).alias("query_id"), *fields))).alias("value"))
+    keyed.select("value").union(listed.select("value")).write.text(path)
+    return S.read_grounding(v.spark, path, whole_files=False, require_bbox=True).groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("ids"))
 
 
-@query("s11_read_manifest", "SELECT view AS split, count(*) AS n, count(DISTINCT grp) AS groups, 'eval' AS role FROM images GROUP BY 1")
+@query("s11_read_manifest", """WITH m AS (SELECT view AS split, grp, image_id, CASE WHEN image_id % 23 = 0 THEN 'missing' WHEN image_id % 31 = 3 THEN 'group' WHEN image_id % 19 = 5 OR image_id % 29 = 7 THEN 'changed' END AS problem FROM images)
+SELECT split, count(*) AS n, count(DISTINCT grp) AS groups, 'eval' AS role, count(*) FILTER (problem = 'missing') AS missing, count(*) FILTER (problem = 'group') AS other_group, count(*) FILTER (problem = 'changed') AS changed FROM m GROUP BY 1""")
 def s11(v):
-    path = scratch(v)
+    path, i = scratch(v), F.col("image_id")
+    name = F.concat(F.lit("im"), i.cast("string"))
+    sha = lambda c: F.sha2(c.cast("string"), 256)
     # a part for each split and some hundred images, however many parts
     bucket = F.pmod(F.xxhash64("image_id"), F.lit(-(-v.images.count() // 300) or 1)).alias("bucket")
-    m = v.images.groupBy("view", bucket).agg(F.collect_list(F.concat(F.lit("im"), F.col("image_id").cast("string"))).alias("p"), F.collect_set("grp").alias("g"))
-    m.select(F.to_json(F.struct(F.create_map("view", "p").alias("splits"), F.create_map("view", "g").alias("groups"), F.create_map("view", F.lit("eval")).alias("roles"))).alias("value")).write.text(path)
-    members, groups, roles = S.read_manifest(v.spark, path, whole_files=False)
-    counts = members.groupBy("split").agg(F.count("*").alias("n")).join(groups.groupBy("split").agg(F.count("*").alias("groups")), "split")
-    return counts.join(roles, "split")
+    record = F.struct(sha(i).alias("sha256"), sha(-i).alias("xml_sha256"), F.when(i % 31 == 3, "other").otherwise(F.col("grp")).alias("group"))
+    m = v.images.groupBy("view", bucket).agg(F.collect_list(name).alias("p"), F.collect_set("grp").alias("g"), F.map_from_entries(F.collect_list(F.struct(name, record))).alias("records"))
+    m.select(F.to_json(F.struct(F.create_map("view", "p").alias("splits"), F.create_map("view", "g").alias("groups"), F.create_map("view", F.lit("eval")).alias("roles"), "records")).alias("value")).write.text(path)
+    members, groups, roles, found = S.read_manifest(v.spark, path, whole_files=False)
+    now = v.images.filter("image_id % 23 <> 0").select(name.alias("path"), sha(F.when(i % 19 == 5, -7).otherwise(i)).alias("sha"), sha(F.when(i % 29 == 7, 9).otherwise(-i)).alias("xml_sha"))
+    p = S.frozen_members(members, groups, found, now).groupBy("split").agg(F.count("*").alias("n"), *[F.count_if(F.col("problem") == k).alias(c) for k, c in (("missing", "missing"), ("group", "other_group"), ("changed", "changed"))])
+    return p.join(groups.groupBy("split").agg(F.count("*").alias("groups")), "split").join(roles, "split")
 
 
-@query("s12_file_manifest")
+@query("s12_file_manifest", "SELECT count(DISTINCT source) AS folders, sum(length(CAST(doc_id AS VARCHAR))+1)::BIGINT AS bytes FROM documents")
 def s12(v):
     path = scratch(v)
     v.documents.select("doc_id", "source").write.partitionBy("source").csv(path)
-    return S.file_manifest(v.spark, path, ".csv").groupBy().agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.countDistinct("sha256").alias("contents"))
+    m = S.file_manifest(v.spark, path, ".csv")
+    return m.agg(F.countDistinct("folder").alias("folders"), F.sum("bytes").alias("bytes"))
 
 
-@query("s13_label_repairs", "WITH r AS (SELECT gt_id % 13 = 0 AS s, class_id = 3 AS c, x1-50 AS x1, y1, CASE WHEN gt_id % 29 = 0 THEN x1-60 ELSE x2 END AS x2, y2 FROM gt) SELECT count(*) FILTER (s) AS size, count(*) FILTER (c) AS class_name, count(*) FILTER (x1 < 0 OR x2 > 4096 OR y2 > 3000) AS clipped, count(*) FILTER (x2 <= x1 OR y2 <= y1) AS degenerate FROM r")
+@query("s13_label_repairs", """WITH o AS (SELECT image_id, class_id, gt_id, CASE WHEN gt_id % 401 = 7 THEN NULL ELSE x1-50 END AS x1, y1, CASE WHEN gt_id % 397 = 5 THEN x1-60 ELSE x2 END AS x2, y2, gt_id % 409 = 3 AS nan, gt_id % 419 = 2 AS unknown FROM gt),
+b AS (SELECT *, CASE WHEN unknown THEN 2 WHEN x1 IS NULL THEN 3 WHEN nan THEN 4 WHEN x2 <= greatest(x1, 0) THEN 5 END AS bad FROM o), w AS (SELECT image_id, min(bad) AS bad FROM b GROUP BY 1),
+f AS (SELECT i.image_id, CASE WHEN i.image_id % 41 = 6 THEN 'mode' ELSE (['mode', 'unknown_class', 'no_box', 'not_finite', 'degenerate'])[bad] END AS fatal FROM images i LEFT JOIN w USING (image_id)),
+r AS (SELECT unnest([CASE image_id % 4 WHEN 1 THEN 'filename_inserted' WHEN 2 THEN 'filename_normalized' WHEN 3 THEN 'filename_stem_corrected' END, CASE WHEN image_id % 13 = 0 THEN 'size_inserted' END, CASE WHEN image_id % 13 = 0 THEN 'width_inserted' WHEN image_id % 7 = 1 THEN 'width_corrected' END,
+ CASE WHEN image_id % 13 = 0 THEN 'height_inserted' END, CASE WHEN image_id % 13 = 0 THEN 'depth_inserted' WHEN image_id % 5 = 2 THEN 'depth_corrected' END]) AS name FROM f WHERE fatal IS NULL
+ UNION ALL SELECT unnest([CASE WHEN class_id = 3 THEN 'class_normalized' END, CASE WHEN x1 < 0 THEN 'box_clipped' END]) FROM b JOIN f USING (image_id) WHERE fatal IS NULL)
+SELECT 'fatal' AS kind, fatal AS name, count(*) AS n FROM f WHERE fatal IS NOT NULL GROUP BY fatal UNION ALL SELECT 'repair', name, count(*) FROM r WHERE name IS NOT NULL GROUP BY name UNION ALL SELECT 'class', concat('c', class_id), count(*) FROM b JOIN f USING (image_id) WHERE fatal IS NULL GROUP BY class_id""")
 def s13(v):
-    r = v.gt.select(F.lit(4096).alias("width"), F.lit(3000).alias("height"), F.when(F.col("gt_id") % 13 == 0, 1).otherwise(4096).alias("declared_width"), F.lit(3000).alias("declared_height"), F.when(F.col("class_id") == 3, " C3").otherwise("c").alias("class_name"),
-                    (F.col("x1") - 50).alias("x1"), "y1", F.when(F.col("gt_id") % 29 == 0, F.col("x1") - 60).otherwise(F.col("x2")).alias("x2"), "y2")
-    return S.repair_counts(r)
+    i, g = F.col("image_id"), F.col("gt_id")
+    name = F.concat(F.lit("im"), i.cast("string"), F.lit(".png"))
+    said = F.when(i % 4 == 0, name).when(i % 4 == 2, F.concat(F.lit("D:\\set\\IM"), i.cast("string"), F.lit(".JPG"))).when(i % 4 == 3, "frame.png")
+    whole = i % 13 != 0
+    files = v.images.select(name.alias("image_name"), F.lit(4096).alias("width"), F.lit(3000).alias("height"), F.when(i % 41 == 6, "RGB").otherwise("L").alias("mode"), said.alias("filename"), whole.alias("has_size"),
+                            F.when(whole, F.when(i % 7 == 1, "x1").otherwise("4096.0")).alias("declared_width"), F.when(whole, "3000").alias("declared_height"), F.when(whole, F.when(i % 5 == 2, "3").otherwise("1")).alias("declared_depth"))
+    text = lambda c: c.cast("string")
+    label = F.when(g % 419 == 2, "scratch").when(F.col("class_id") == 3, " C 3").otherwise(F.concat(F.lit("c"), text(F.col("class_id"))))
+    objects = v.gt.select(name.alias("image_name"), label.alias("name"), F.when(g % 401 != 7, text(F.col("x1") - 50)).alias("xmin"), F.when(g % 409 == 3, "nan").otherwise(text(F.col("y1"))).alias("ymin"), text(F.when(g % 397 == 5, F.col("x1") - 60).otherwise(F.col("x2"))).alias("xmax"), text(F.col("y2")).alias("ymax"))
+    return S.label_repairs(files, objects, [f"c{k}" for k in range(8)], {})
 
 
 @query("s14_rewrite_labels", "WITH r AS (SELECT gt_id, image_id, CASE class_id WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE concat('c', class_id) END AS class_name FROM gt WHERE class_id NOT IN (4, 5)) SELECT gt_id, class_name FROM r QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY gt_id) = 1")

@@ -231,3 +231,30 @@ def test_constrained_fit_and_folds(spark):
 def test_scope_rules(spark):
     runs = spark.createDataFrame([(1, "final_holdout", False, 0, "a", None), (2, "final_holdout", False, 0, "a", "a"), (3, "dev", True, 0, None, None), (4, "val", True, 0, None, None), (5, "final_holdout", True, -1, "a", "a")], "run int, role string, tune boolean, row_limit int, frozen string, signature string")
     assert [x.p for x in runs.orderBy("run").select(govern.scope_problem().alias("p")).collect()] == ["not_frozen", None, None, "tuned", "negative_limit"]
+
+
+def test_caches_of_one_object_and_their_problems(spark, tmp_path):
+    box = {"bbox": [0.0, 0.0, 1.0, 1.0], "score": 0.5, "class_id": 0, "touches_internal_edge": False, "is_global": False, "det_id": 1}
+    images = lambda *ids: {i: {"image_size": [9, 9], "candidates": [box]} for i in ids}
+    for name, j in (("good", {"signature": {"conf": 0.1}, "images": images("a", "b")}), ("turned", {"signature": {"conf": 0.1}, "images": images("d", "c")}), ("other", {"signature": {"conf": 0.2}, "images": images("e")}), ("none", {"signature": {}})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(j))
+    got = {r.file.rsplit("/", 1)[1]: r.problem for r in formats.legacy_problems(spark, str(tmp_path), {"conf": 0.1}).collect()}
+    assert got == {"good.json": None, "turned.json": "not_sorted", "other.json": "signature", "none.json": "no_images"}
+    assert sorted(r.image_id for r in formats.read_legacy_cache(spark, str(tmp_path), {"conf": 0.1}, strict=False).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="not_sorted|signature|no_images"):
+        formats.read_legacy_cache(spark, str(tmp_path), {"conf": 0.1}).collect()
+
+
+def test_header_options_and_grounding_lists(spark, tmp_path):
+    head = {"type": "candidate_cache_header", "schema": 3, "weights_sha256": "w", "classes": ["a", "b"], "source": "s", "options": {"conf": 0.00001, "tta": True, "tile_layout": "grid"}}
+    (tmp_path / "c.jsonl").write_text(json.dumps(head) + "\n" + json.dumps({"image_id": "i", "image_size": [1, 1], "candidates": []}))
+    want = {"schema": 3, "weights_sha256": "w", "classes": ["b", "a"]}
+    got = {r.field: r.actual for r in formats.header_problems(formats.read_header(spark, str(tmp_path)), want, {"conf": 1e-5, "tta": False, "tile_layout": "grid", "batch": 1}).collect()}
+    assert got == {"classes": '["a","b"]', "options.tta": "true", "options.batch": None}
+    full = {"visible": "v", "infrared": "i", "depth": "d", "query": "q"}
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a.json").write_text(json.dumps([{**full, "id": "x", "bbox": [0.1, 0.1, 0.2, 0.2]}, {**full, "query_id": "y"}, {**full, "depth": None}, {**full, "bbox": [0.5, 0, 0.4, 1]}]))
+    (tmp_path / "g" / "b.json").write_text(json.dumps({"k": {**full, "bbox": [0, 0, 1, 1]}}))
+    ids = {r.sample_id: r.problem for r in formats.read_grounding(spark, str(tmp_path / "g")).collect()}
+    assert ids == {"x": None, "y": None, "2": "depth", "3": "bbox", "k": None}
+    assert {r.sample_id for r in formats.read_grounding(spark, str(tmp_path / "g"), require_bbox=True).filter("problem = 'bbox'").collect()} == {"y", "3"}
