@@ -14,20 +14,20 @@ def balanced(df: DataFrame, keys: list[str]) -> DataFrame:
     """weight = rows / (groups * the group's rows): every group weighs the same and the mean is 1."""
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     t = n.agg(F.sum("_n").alias("_t"), F.count("*").alias("_k"))
-    return df.join(F.broadcast(n.crossJoin(F.broadcast(t))), keys).withColumn("weight", F.col("_t") / (F.col("_n") * F.col("_k"))).drop("_n", "_t", "_k")
+    return df.join(n.crossJoin(F.broadcast(t)), keys).withColumn("weight", F.col("_t") / (F.col("_n") * F.col("_k"))).drop("_n", "_t", "_k")
 
 
 def group_robust(df: DataFrame, stratum: str, group: str) -> DataFrame:
     """Each stratum weighs 1, its groups share that evenly, their rows share it again: copies of a group add nothing."""
     n = df.groupBy(stratum, group).agg(F.count("*").alias("_n"))
     k = n.groupBy(stratum).agg(F.count("*").alias("_k"))
-    return df.join(n, [stratum, group]).join(F.broadcast(k), stratum).withColumn("weight", 1 / F.col("_k") / F.col("_n")).drop("_n", "_k")
+    return df.join(n, [stratum, group]).join(k, stratum).withColumn("weight", 1 / F.col("_k") / F.col("_n")).drop("_n", "_k")
 
 
 def scaled(df: DataFrame, keys: list[str], columns: list[str], floor: float = 1e-6) -> DataFrame:
     """<column>_z: by the group's mean and population standard deviation."""
     s = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.greatest(F.stddev_pop(c), F.lit(floor)).alias(f"_s_{c}") for c in columns])
-    out = df.join(F.broadcast(s), keys)
+    out = df.join(s, keys)
     return out.withColumns({f"{c}_z": (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in columns}).select(*df.columns, *[f"{c}_z" for c in columns])
 
 
@@ -98,16 +98,19 @@ def matched_subset(targets: DataFrame, pool: DataFrame, key: str, columns: list[
 
     Features are robust-scaled. Pairs within a radius meet by the cells of a grid of that width; among them mutual nearest neighbours match, round by round, until
     none is left; then the radius doubles for those still free. Matches are a table, and leave by anti-joins."""
+    from tallybox.operators.audit import percentiles
+
     both = targets.select(*columns).union(pool.select(*columns))
-    q = both.agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100_000).alias(c) for c in columns], F.count("*").alias("_n"), *[F.min(c).alias(f"_low_{c}") for c in columns], *[F.max(c).alias(f"_high_{c}") for c in columns]).first()
-    spread = {c: max(q[c][2] - q[c][0], 1e-9) for c in columns} if q["_n"] else dict.fromkeys(columns, 1.0)
-    z = lambda df, name: cut(df.select(F.col(key).alias(name), *[((F.col(c) - F.lit(q[c][1] if q["_n"] else 0.0)) / spread[c]).alias(f"{name}_{c}") for c in columns]))
+    n = both.count()
+    q = {r["measure"]: r for r in percentiles(both, [], columns, [0, 25, 50, 75, 100]).collect()}  # a row for each column
+    spread = {c: max(q[c]["p75"] - q[c]["p25"], 1e-9) if n else 1.0 for c in columns}
+    z = lambda df, name: cut(df.select(F.col(key).alias(name), *[((F.col(c) - F.lit(q[c]["p50"] if n else 0.0)) / spread[c]).alias(f"{name}_{c}") for c in columns]))
     t, p = z(targets, "target"), z(pool, "partner")
     found = cut(t.sparkSession.createDataFrame([], "target long, partner long, distance double"))
-    if not q["_n"]:
+    if not n:
         return found
-    widest = max((q[f"_high_{c}"] - q[f"_low_{c}"]) / spread[c] for c in columns) * len(columns) ** 0.5 + 1e-9
-    radius = widest / max(2.0, q["_n"] ** (1 / len(columns)))
+    widest = max((q[c]["p100"] - q[c]["p0"]) / spread[c] for c in columns) * len(columns) ** 0.5 + 1e-9
+    radius = widest / max(2.0, n ** (1 / len(columns)))
     for _ in range(most_rounds):
         near = t.withColumn("_c", _cell(columns, "target", radius))
         for i in range(len(columns)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,13 +118,47 @@ def cluster_features(df: DataFrame, floor: float = 0.5) -> DataFrame:
     return r.join(p, "det_id", "left").select("det_id", F.log1p(F.coalesce("_n", zero)).alias("log_peers"), F.coalesce("max_iou", F.lit(0.0)).alias("max_iou"), F.coalesce("higher", zero).alias("higher"), (F.coalesce("higher", zero) == 0).alias("top"), "rel")
 
 
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+#: Vectors on a side of a block.
+BLOCK = 4096
+
+
+def _nearest():
+    """Each query's best of a block of others: (_q, near, sim)."""
+    def run(group):
+        import pyarrow as pa
+
+        group = group.combine_chunks()
+        side, keys = group.column("side").to_numpy(zero_copy_only=False), group.column("_k").to_numpy()
+        x = np.array(group.column("_v").to_pylist(), float).reshape(len(keys), -1)
+        q, o = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        o = o[np.argsort(keys[o])]
+        best, near = np.full(len(q), -np.inf), np.zeros(len(q), np.int64)
+        if len(o):
+            for lo in range(0, len(q), 256):
+                some = x[q[lo:lo + 256]]
+                s = some @ x[o].T
+                top = s.max(1)
+                for i, j in zip(*np.nonzero(s >= top[:, None] - 1e-9), strict=True):  # those that rounding could order either way, summed in one fixed way
+                    v = float((some[i] * x[o[j]]).sum())
+                    if v > best[lo + i]:
+                        best[lo + i], near[lo + i] = v, keys[o[j]]
+        on = np.isfinite(best)
+        return pa.table({"_q": pa.array(keys[q][on]), "near": pa.array(near[on]), "sim": pa.array(best[on])})
+    return run
 
 
 def nearest_in_prefix(queries: DataFrame, others: DataFrame, prefix: str, key: str, vector: str) -> DataFrame:
-    """The neighbour of largest cosine among rows that share the prefix."""
-    o = others.select(prefix, F.col(key).alias("near"), F.col(vector).alias("_o"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_n"))
-    p = queries.select(prefix, key, vector, F.sqrt(dot(F.col(vector), F.col(vector))).alias("_q")).join(o, prefix)
-    p = p.select(key, "near", (dot(F.col(vector), F.col("_o")) / (F.col("_q") * F.col("_n"))).alias("sim"))
-    return p.groupBy(key).agg(F.max_by(F.struct("near", "sim"), F.struct("sim", -F.col("near"))).alias("b")).select(key, "b.near", "b.sim")
+    """(key, near, sim): the neighbour of largest cosine among rows that share the prefix (of equal ones the smallest key). Keys are whole numbers.
+
+    Queries and others of a prefix meet block against block, in matrix products that keep the best of each row; the blocks' bests are then compared. A prefix may hold any share of the rows:
+    it then has more blocks. Null and zero vectors have no neighbours."""
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda d: d.select(F.col(prefix).alias("_p"), F.col(key).cast("long").alias("_k"), F.col(vector).cast("array<double>").alias("_v")).withColumn("_n", norm).filter("_n > 0").withColumn("_v", F.transform("_v", lambda x: x / F.col("_n"))).drop("_n")
+    q, o = unit(queries), unit(others)
+    count = lambda d, n: d.groupBy("_p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    blocks = count(q, "nq").join(count(o, "no"), "_p")
+    deal = lambda d, side, mine, theirs: d.join(blocks, "_p").select("_p", F.pmod(F.xxhash64("_k"), F.col(mine)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias("theirs"), F.lit(side).alias("side"), "_k", "_v")
+    a = deal(q, 0, "nq", "no").select("_p", F.col("mine").alias("i"), F.col("theirs").alias("j"), "side", "_k", "_v")
+    b = deal(o, 1, "no", "nq").select("_p", F.col("theirs").alias("i"), F.col("mine").alias("j"), "side", "_k", "_v")
+    best = a.union(b).groupBy("_p", "i", "j").applyInArrow(_nearest(), "_q long, near long, sim double")
+    return best.groupBy(F.col("_q").alias(key)).agg(F.max_by(F.struct("near", "sim"), F.struct("sim", -F.col("near"))).alias("b")).select(key, "b.near", "b.sim")

@@ -190,7 +190,7 @@ def test_matched_subset_equals_greedy_by_distance(spark):
     rows = lambda x, first: spark.createDataFrame([(first + i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, f1 double, f2 double")
     got = {x.target: x.partner for x in crossfit.matched_subset(rows(t, 0), rows(p, 1000), "id", ["f1", "f2"]).collect()}
     both = np.concatenate([t, p])
-    q = np.quantile(both, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    q = np.quantile(both, [0.25, 0.5, 0.75], axis=0)
     z = (both - q[1]) / (q[2] - q[0])
     d = np.linalg.norm(z[:25, None] - z[None, 25:], axis=2)
     want, used = {}, set()
@@ -258,3 +258,25 @@ def test_header_options_and_grounding_lists(spark, tmp_path):
     ids = {r.sample_id: r.problem for r in formats.read_grounding(spark, str(tmp_path / "g")).collect()}
     assert ids == {"x": None, "y": None, "2": "depth", "3": "bbox", "k": None}
     assert {r.sample_id for r in formats.read_grounding(spark, str(tmp_path / "g"), require_bbox=True).filter("problem = 'bbox'").collect()} == {"y", "3"}
+
+
+def test_nearest_in_prefix_equals_plain_search(spark, monkeypatch):
+    from tallybox.operators import support
+
+    r = np.random.default_rng(8)
+    v = r.normal(size=(120, 5))
+    v[50:60], v[3] = v[40:50], 0  # equal neighbours, and one without a direction
+    rows = [(i, "ab"[i % 7 == 0], x.tolist()) for i, x in enumerate(v)]
+    d = spark.createDataFrame(rows, "id long, p string, v array<double>")
+    u = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    want = {}
+    for i, p, _ in rows[:60]:
+        near = [j for j, o, _ in rows[30:] if o == p]
+        if i != 3 and near:
+            s = np.array([(u[i] * u[j]).sum() for j in near])
+            want[i] = near[int(np.argmax(s))]
+    for block in (4096, 7):
+        monkeypatch.setattr(support, "BLOCK", block)
+        got = {x.id: x.near for x in support.nearest_in_prefix(d.filter("id < 60"), d.filter("id >= 30"), "p", "id", "v").collect()}
+        assert got == want
+    assert support.nearest_in_prefix(d.limit(0), d, "p", "id", "v").count() == 0
