@@ -98,6 +98,15 @@ def box_vote(df: DataFrame, threshold: float, keys: list[str] | None = None, sco
     return out.select(*keys, F.col("a.id").alias(id_col), "a.score", *mean, F.size("a.members").alias("n"))
 
 
+def postprocess(df: DataFrame, method: str, threshold: float, keys: list[str] | None = None) -> DataFrame:
+    """keys, box and score of what a method leaves: `none`, `nms`, `vote` or `wbf`."""
+    keys = keys or GROUP
+    ways = {"none": lambda: df, "nms": lambda: nms(df, threshold, keys), "vote": lambda: box_vote(df, threshold, keys), "wbf": lambda: wbf(df, threshold, keys)}
+    if method not in ways:
+        raise ValueError(f"unknown method: {method}")
+    return ways[method]().select(*keys, *BOX, "score")
+
+
 def pairs_at(pred: DataFrame, gt: DataFrame, threshold: float, keys: list[str] | None = None, pred_id: str = "det_id", gt_id: str = "gt_id") -> DataFrame:
     """(keys, det_id, gt_id, score, iou) of all overlaps of at least `threshold` within the keys."""
     keys = keys or GROUP

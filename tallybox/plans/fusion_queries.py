@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tallybox.functions.columns import BOX
-from tallybox.operators import fuse, rank, refine
+from tallybox.operators import fuse, profiles, rank, refine
 from tallybox.plans.registry import query, sql_iou, sql_nms
 
 CLIP4 = "greatest(least({v}, {t}::DOUBLE), 0.0::DOUBLE)"
@@ -119,10 +121,16 @@ PROFILE = {"log_score": (-1.2, 1.1, 0.8), "both_models": (0.5, 0.5, 0.3), "ab_io
 QUALITY = "1/(1+exp(-(-0.5::DOUBLE" + "".join(f"+({c}-({m}::DOUBLE))/{s}::DOUBLE*({k}::DOUBLE)" for c, (m, s, k) in PROFILE.items()) + ")))"
 
 
-@query("a12_quality_score", f"WITH {REFINED} SELECT det_id, {MOVED}, reason, round(least(1.0::DOUBLE, pow(greatest(score, 1e-12), 0.8)*pow(greatest({QUALITY}, 1e-12), 0.2)), 6) AS score FROM why")
+#: The same as a document, and one that changes nothing.
+DOCUMENTS = {"fitted": {"score_blend": 0.2, "scaler": {"mean": {c: m for c, (m, _, _) in PROFILE.items()}, "scale": {c: x for c, (_, x, _) in PROFILE.items()}}, "linear": {"intercept": -0.5, "coefficients": {c: k for c, (_, _, k) in PROFILE.items()}}}, "plain": {}}
+
+
+@query("a12_quality_score", f"""WITH {REFINED} SELECT 'fitted' AS profile, det_id, {MOVED}, reason, round(least(1.0::DOUBLE, pow(greatest(score, 1e-12), 0.8)*pow(greatest({QUALITY}, 1e-12), 0.2)), 6) AS score FROM why
+UNION ALL SELECT 'plain', det_id, {MOVED}, reason, round(score, 6) FROM why""")
 def a12(v):
-    out = refine.robust_refinement(evidence(v), 4096.0, 3000.0)
-    return refine.rescored(out, PROFILE, -0.5, 0.2).select("det_id", *[F.round(c, 4).alias(c) for c in BOX], "reason", F.round("score", 6).alias("score"))
+    documents = v.spark.createDataFrame([(n, json.dumps(d)) for n, d in DOCUMENTS.items()], "profile string, json string")
+    out = profiles.scored(refine.robust_refinement(evidence(v), 4096.0, 3000.0), profiles.parsed(documents))
+    return out.select("profile", "det_id", *[F.round(c, 4).alias(c) for c in BOX], "reason", F.round("score", 6).alias("score"))
 
 
 @query("a13_global_divisor", f"""WITH {EVIDENCE}, s AS (SELECT det_id, score*exp(least(0.25::DOUBLE, greatest(-0.10::DOUBLE, 0.18::DOUBLE*both_models*{OVER.format(v='ab_iou')}+CASE WHEN has_views THEN 0.08::DOUBLE*{OVER.format(v='coherence')} ELSE 0.0::DOUBLE END
