@@ -42,7 +42,7 @@ def duck(folder):
 
 
 SOME = [n for n in sorted(REG.SQL) if n.split("_")[0] in {"p1", "p16", "p17", "p18", "p25", "p26", "a1", "a2", "a4", "a6", "a9", "a11", "a12", "a13", "a14", "m1", "m3", "m4", "m5", "m7", "m8", "m10", "j1", "j5", "j13", "j14", "j15",
-                                                          "t1", "t5", "t9", "t13", "w1", "w2", "w3", "w5", "w6", "w7", "k2", "k3", "u2", "u5", "l5", "g1", "g6", "g7", "g13", "g15", "d1", "d3", "d4", "d9", "d11", "s1", "s4", "s7", "s10", "s11", "r2", "r3", "r4", "r5"}]
+                                                          "t1", "t5", "t9", "t13", "w1", "w2", "w3", "w5", "w6", "w7", "k2", "k3", "u2", "u5", "l5", "g1", "g6", "g7", "g13", "g15", "g4", "g5", "g11", "g17", "j12", "j20", "m16", "m20", "m25", "m26", "s5", "s6", "s12", "s13", "w9", "d1", "d3", "d4", "d9", "d11", "s1", "s4", "s7", "s10", "s11", "r2", "r3", "r4", "r5"}]
 
 
 @pytest.mark.parametrize("name", SOME)
