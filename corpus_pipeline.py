@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from tallybox.llm import stages
-from tallybox.session import shared_folder
+from tallybox.session import remove, shared_folder
 
 STAGES = [
     ("toxicity", stages.toxicity),
@@ -22,10 +22,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; each result is written as Parquet in the shared folder and read again."""
+    """The stages over `documents`; each result is written as Parquet in the shared folder and read again, and goes when the next one is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return docs

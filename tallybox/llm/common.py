@@ -26,14 +26,15 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("_k2")]
 
 
-#: Rows of a table that is broadcast at most; a longer one is joined in a shuffle, with the same result.
-BROADCAST_KEYS = 500_000
+#: Rows of a table that is broadcast at most, and entries of its lists together; a longer one is joined in a shuffle, with the same result.
+BROADCAST_KEYS, BROADCAST_ENTRIES = 500_000, 4_000_000
 
 
-def few(df: DataFrame) -> DataFrame:
-    """`df`, written down, and marked for a broadcast if it is short."""
+def few(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """`df`, written down, and marked for a broadcast if it is short, the arrays of the column `lists` included."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    size = df.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0)).alias("e")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_KEYS and size["e"] <= BROADCAST_ENTRIES else df
 
 
 def written(df: DataFrame) -> DataFrame:

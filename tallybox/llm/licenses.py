@@ -91,7 +91,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
         per = base.select("_k1", "_k2", F.array().cast(kind).alias("spans")).limit(0)
     else:
         windows = reduce(DataFrame.union, marked).select("_k1", "_k2", "k", "step", F.explode(F.array("at", F.col("at") - 1)).alias("win")).filter("win >= 0")
-        per_text = few(windows.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("k", "step", F.col("win").cast("int").alias("win"))).alias("windows")))
+        per_text = few(windows.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("k", "step", F.col("win").cast("int").alias("win"))).alias("windows")), "windows")
         signs = words.join(per_text, ["_k1", "_k2"]).select("_k1", "_k2", "w", F.explode("windows").alias("_w")).select("_k1", "_k2", "w", "_w.*")
         signs = signs.select("_k1", "_k2", "k", "step", "win", F.slice("w", F.col("win") * F.col("step") + 1, 2 * F.col("step") + F.col("k") - 1).alias("part"))
         signs = signs.select("_k1", "_k2", "k", "step", "win", _shingles(F.col("part"), F.col("k")).alias("shs"))

@@ -288,7 +288,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame | None:
                 .select("anchor", (F.col("rows") > suffixes.GROUP).alias("frequent")))
     if found.isEmpty():
         return None
-    wanted = few(anchors.join(found.select("anchor"), "anchor").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors")))
+    wanted = few(anchors.join(found.select("anchor"), "anchor").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors")), "anchors")
     spell = ", ".join(["anchor long", *[f"{x} long" for x in suffixes.letter_names(DEPTH)], "_k1 long, _k2 long, s int, weight double, least double"])
     spelled = cut(rows.join(wanted, KEY).select(*KEY, "_host", "weight", "least", "_raw", "anchors").mapInArrow(_suffix_rows, spell).join(found, "anchor"))
     n = {r.frequent: r["count"] for r in spelled.groupBy("frequent").count().collect()}
@@ -315,7 +315,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url"
     if runs is None:
         none = F.lit(0).cast("long")
         return raw.select("_row.*", F.col("_raw").alias("text"), none.alias("n_repeated"), n_around.alias("n_around"), none.alias("n_around_repeated"))
-    runs = few(runs)
+    runs = few(runs, "starts")
     around = raw.select("_id", "_host", F.explode("_around").alias("t")).select("_id", *_key("_host", F.lit(False), F.lit(False), "t"))
     lengths = runs.select(*KEY, F.size(_covered("starts")).cast("long").alias("c"))
     around = few(around.join(lengths, KEY).groupBy("_id").agg(F.sum("c").alias("_n")))

@@ -251,6 +251,11 @@ def test_vectors_equal_brute_force(spark):
     assert {i: got[i] for i in range(300)} == {i: (int(hit[i].sum()), int(label[i])) for i in range(300)}
     assert all(got[k] == (0, k) for k in range(900, 907)) and got[None][0] == 0
     assert vectors.near_vectors(d.limit(0)).count() == 0
+    # cells of several pivots without a smaller block too; rows of one id are one vertex, other columns are not read
+    more = d.filter("vec_id < 300").withColumn("n_links", F.lit(1)).union(spark.createDataFrame([(7, x[200].tolist(), 1), (7, (-x[3]).tolist(), 1)], "vec_id long, embedding array<double>, n_links int"))
+    found = vectors.near_vectors(more).collect()
+    assert {g.vec_id: (g.n_links, g.component_id) for g in found if g.vec_id not in (7, 200)} == {i: got[i] for i in range(300) if i not in (7, 200)}
+    assert {(g.vec_id, g.component_id) for g in found if g.vec_id in (7, 200)} == {(7, 7), (200, 7)} and len(found) == 302 and found[0].asDict().keys() == {"vec_id", "n_links", "component_id"}
 
 
 def test_near_duplicates(spark):
@@ -559,3 +564,40 @@ def test_words_of_the_contract(spark):
     got = spark.createDataFrame([(t,)], "t string").select(F.transform(folded_words("t"), lambda w: F.translate(w, UPPER, LOWER)).alias("w")).first().w
     assert got == want
     assert len(hashed_words([t.encode()], fold=True)[0]) == len(want)
+
+
+def test_quality_equals_plain_normal_equations(spark, monkeypatch):
+    """The scores against one ridge fit over all training rows, and the steps of the isotonic fit against their definition."""
+    r = random.Random(12)
+    rows = []
+    for i in range(260):
+        good = i % 3 > 0
+        t = " ".join(words(r.randrange(5, 80), i)) if good or r.random() < 0.1 else " ".join(w + "$$$" for w in words(r.randrange(5, 40), i))
+        rows.append((i, t, "a"))
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 260) if i % 7] + [(5000, 1), (3, None)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {x.doc_id: x.score for x in quality.score_quality(docs(spark, rows), lab, F.col("doc_id") % 5 != 0).collect()}
+
+    import zlib
+
+    part = lambda i: zlib.crc32(str(i).encode()) // 5 % 4
+    train = [i for i, y in labels if y is not None and i < 260 and i % 5]
+    y = {i: q for i, q in labels if q is not None}
+    stats = quality.statistics([t for _, t, _ in rows])
+    fit, cal = [i for i in train if part(i) != 3], [i for i in train if part(i) == 3]
+    x = stats[fit]
+    f = quality.Fourier(x.mean(0), x.std(0) + 1e-6)
+    z = f(x)
+    beta = np.linalg.solve(z.T @ z + quality.RIDGE * len(fit) * np.eye(z.shape[1]) / z.shape[1], z.T @ np.array([y[i] for i in fit], float))
+    knots, levels = quality.isotonic(f(stats[cal]) @ beta, np.array([y[i] for i in cal], float))
+    raw = f(stats) @ beta
+    want = np.clip(0.98 * np.interp(raw, knots, levels) + 0.02 / (1 + np.exp(-np.clip(4 * (raw - 0.5), -30, 30))), 0, 1)
+    assert np.allclose([got[i] for i in range(260)], want, atol=1e-6)
+
+    v, q = np.array([r.randrange(30) for _ in range(80)], float), np.array([r.randrange(2) for _ in range(80)], float)
+    knots, levels = quality.isotonic(v, q)
+    # the fit at v: the largest, over beginnings up to v, of the smallest mean up to an end from v on
+    xs = sorted(set(v))
+    mean = lambda a, b: q[(v >= a) & (v <= b)].mean()
+    plain = [max(min(mean(a, b) for b in xs if b >= x) for a in xs if a <= x) for x in xs]
+    assert np.allclose(sorted(set(np.round(plain, 9))), sorted(set(np.round(levels, 9)))) and (np.diff(levels) > 0).all() and (np.diff(knots) > 0).all()
