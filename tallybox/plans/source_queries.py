@@ -211,6 +211,11 @@ def cache_folder(v, df, files=4):
     return path
 
 
+def state_size(v) -> int:
+    """Partitions for what is kept by image."""
+    return 4 + v.images.count() // 5_000
+
+
 KEPT = f"WITH k AS ({sql_nms('det', 0.5)}), s AS (SELECT * FROM det)"
 
 
@@ -235,7 +240,7 @@ def r3(v):
     path, out = cache_folder(v, v.det), scratch(v)
     # every image arrives twice; the second record is a duplicate
     records(v.det).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).repartition(2).write.mode("append").text(path)
-    R.run_counts(R.read_cache_stream(v.spark, path), out, out + "-ck", 0.5)
+    R.run_counts(R.read_cache_stream(v.spark, path, 3), out, out + "-ck", 0.5, partitions=state_size(v))
     twice = v.spark.read.parquet(f"{out}/violations").agg(F.lit(-1).alias("class_id"), F.count("*").alias("n"))
     return R.running_counts(v.spark, out).filter("class_id >= 0").union(twice)
 
@@ -261,5 +266,6 @@ def r6(v):
     a, b = cache_folder(v, v.det.filter("model = 'a'"), 2), cache_folder(v, v.det.filter("model = 'b'"), 2)
     out = scratch(v)
     j = R.paired_sources(R.read_cache_stream(v.spark, a), R.read_cache_stream(v.spark, b))
-    R.run_to_parquet(j.select("image_id", F.size("a_candidates").cast("bigint").alias("na"), F.size("b_candidates").cast("bigint").alias("nb")), out, out + "-ck")
+    with R.state_partitions(v.spark, state_size(v)):
+        R.run_to_parquet(j.select("image_id", F.size("a_candidates").cast("bigint").alias("na"), F.size("b_candidates").cast("bigint").alias("nb")), out, out + "-ck")
     return v.spark.read.parquet(out)
