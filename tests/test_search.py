@@ -67,3 +67,20 @@ def test_an_ordered_digest_sees_order_and_not_partitions(spark, monkeypatch):
     assert sets.membership_digest(swapped, ["t"]).first() == sets.membership_digest(d, ["t"]).first()
     assert sets.ordered_digest(d.limit(0), ["t"], [F.col("i")]).first().n == 0
     assert sets.ordered_digest(d.limit(1), ["t"], [F.col("i")]).first().digest != sets.ordered_digest(d.limit(0), ["t"], [F.col("i")]).first().digest
+
+
+def test_diagnostic_set_equals_a_plain_loop(spark):
+    from tallybox.operators import tiles
+
+    r = random.Random(9)
+    rows = [(i, r.choice([i % 3, r.randrange(5)])) for i in range(60) if i % 6 for _ in range(r.randrange(1, 6))]
+    boxes, images = spark.createDataFrame(rows, "image_id long, class_id int"), spark.range(60).toDF("image_id")
+    used, want = set(), []
+    for c in sorted({k for _, k in rows}):
+        others = {i: sum(a == i and k != c for a, k in rows) for i in {a for a, k in rows if k == c}}
+        for i in sorted((i for i in others if i not in used), key=lambda i: (others[i], i))[:4]:
+            used.add(i)
+            want.append((c, i))
+    want += [(-1, i) for i in [i for i in range(60) if i not in {a for a, _ in rows}][:5]]
+    got = [tuple(x) for x in tiles.diagnostic_set(boxes, images, 4, 5).collect()]
+    assert sorted(got) == sorted(want) and len({i for _, i in got}) == len(got)
