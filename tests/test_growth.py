@@ -31,3 +31,12 @@ def test_two_levels_of_an_ordered_digest(spark, monkeypatch):
             level = [sha("".join(level[i:i + 4])) for i in range(0, len(level), 4)]
         d = spark.range(n).select(F.col("id").alias("k"))
         assert sets.ordered_digest(d, ["k"], [F.asc("k")], levels=2).first()["digest"] == max(level, default=None)
+
+
+def test_tries_after_the_first_good_one_are_not_drawn(spark):
+    gt = spark.range(40).select(F.col("id").alias("gt_id"), (F.col("id") % 5).alias("image_id"), F.lit(0).alias("class_id"), *[F.lit(v).alias(c) for v, c in ((10.0, "x1"), (10.0, "y1"), (210.0, "x2"), (160.0, "y2"))])
+    images = spark.range(6).select(F.col("id").alias("image_id"), F.lit(4096.0).alias("width"), F.lit(3000.0).alias("height"))
+    t = time.time()
+    jittered, negative = tiles.jittered_proposals(gt, 200_000, 0.6, "p").collect(), tiles.negative_proposals(images, gt, 2, 200_000, 0.04, "p").collect()
+    assert len(jittered) == 40 and len(negative) == 12 and max(r["try"] for r in jittered) < 5
+    assert time.time() - t < 60  # 8,000,000 and 2,400,000 draws if all were drawn
