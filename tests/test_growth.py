@@ -40,3 +40,20 @@ def test_tries_after_the_first_good_one_are_not_drawn(spark):
     jittered, negative = tiles.jittered_proposals(gt, 200_000, 0.6, "p").collect(), tiles.negative_proposals(images, gt, 2, 200_000, 0.04, "p").collect()
     assert len(jittered) == 40 and len(negative) == 12 and max(r["try"] for r in jittered) < 5
     assert time.time() - t < 60  # 8,000,000 and 2,400,000 draws if all were drawn
+
+
+def test_votes_follow_the_first_anchor(spark):
+    d = boxes(spark, 500)
+    t = time.time()
+    got = {r["det_id"]: (r["n"], r["x1"], r["y2"]) for r in fuse.box_vote(d, 0.5).collect()}
+    assert time.time() - t < 30
+    iou = lambda p, q: (i := max(0, min(p.x2, q.x2) - max(p.x1, q.x1)) * max(0, min(p.y2, q.y2) - max(p.y1, q.y1))) / ((p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) - i)
+    anchors = []
+    for r in sorted(d.collect(), key=lambda r: (-r.score, r.det_id)):
+        home = next((m for m in anchors if iou(m[0], r) > 0.5), None)
+        home.append(r) if home else anchors.append([r])
+    assert set(got) == {m[0].det_id for m in anchors}
+    for m in anchors:
+        w = sum(max(r.score, 1e-12) for r in m)
+        n, x1, y2 = got[m[0].det_id]
+        assert n == len(m) and abs(x1 - sum(r.x1 * max(r.score, 1e-12) for r in m) / w) < 1e-6 and abs(y2 - sum(r.y2 * max(r.score, 1e-12) for r in m) / w) < 1e-6
