@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallybox.operators import fuse, sets, tiles
+from tallybox.operators import fuse, match, metrics, sets, tiles
 
 BOXES = "det_id long, image_id long, class_id int, x1 double, y1 double, x2 double, y2 double, score double"
 
@@ -65,3 +65,17 @@ def test_fusion_and_votes_are_quadratic_in_a_group_at_most(spark):
     a, b = fuse.wbf(d, 0.5).orderBy("cluster").collect(), fuse.wbf(d, 0.5, method="cells").orderBy("cluster").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
     assert time.time() - t < 30  # 60,000,000 overlaps and more, if each cluster sought the best again
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_policies_multiply_pairs_and_not_what_is_shuffled(spark):
+    d = boxes(spark, 60)
+    gt = d.filter("det_id % 3 = 0").withColumnRenamed("det_id", "gt_id").drop("score")
+    policies = spark.createDataFrame([("p", 1.0, 1.0, 0.0, 0.0), ("q", 0.5, 0.5, 3.0, 0.0)], "policy string, sx double, sy double, dx double, dy double")
+    out = match.recall_bound(gt, d, policies, 0.5)
+    assert "sx" not in plan(out)  # boxes met once, what is read by three reports is stored
+    got = {(r["policy"], r["part"]): (r["n"], r["total"]) for r in out.filter("part = 'recall'").collect()}
+    assert got[("p", "recall")] == (20, 20) and got[("q", "recall")] == (0, 20)
