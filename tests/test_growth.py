@@ -71,6 +71,15 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_a_labelling_is_computed_once(spark):
+    d = boxes(spark, 60).repartition("image_id")
+    gt = d.filter("det_id % 3 = 0").withColumnRenamed("det_id", "gt_id").drop("score")
+    lab = metrics.label(fuse.nms(d, 0.5), gt, 0.5)
+    for out in (metrics.class_figures(lab, gt, ["class_id"]), metrics.prefix_figures(lab, gt, [0.0, 0.5], ["class_id"])):
+        assert "posexplode" not in plan(out) and "array_append" not in plan(out)  # neither suppression nor matching is left to do
+    assert "array_append" not in plan(match.top_errors(lab, gt, 5))
+
+
 def test_policies_multiply_pairs_and_not_what_is_shuffled(spark):
     d = boxes(spark, 60)
     gt = d.filter("det_id % 3 = 0").withColumnRenamed("det_id", "gt_id").drop("score")
