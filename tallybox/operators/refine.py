@@ -9,6 +9,7 @@ from tallybox.functions.columns import BOX, from_latent, iou, latent, sigmoid
 from tallybox.operators.fuse import GROUP
 from tallybox.operators.order import average_ranks
 from tallybox.operators.rank import geometric_blend
+from tallybox.session import stored
 
 TINY = 1e-12
 #: The nine numbers that stand for a box's evidence.
@@ -93,6 +94,7 @@ def view_invariant_delta(df: DataFrame, floor: float = 0.6, amplitude: float = 0
     """Scores times exp(amplitude * strength * (2 percentile - 1)): strength is how far the models' agreement is over `floor`, its percentile that among
     the supported rows of the class; rows without support stay. All divided by the largest if that is over 1. `df` holds the evidence."""
     supported = (F.col("both_models") > 0) & (F.col("ab_iou") > floor)
+    df = stored(df)  # read for the ranks, twice for the rows and for the largest score
     df = df.withColumn("_strength", F.when(supported, _over(F.col("ab_iou"), floor)))
     ranked = average_ranks(df.filter(supported), ["class_id"], "_strength", "_rank", "_all").withColumn("_d", amplitude * F.col("_strength") * (2 * (F.col("_rank") + 0.5) / F.col("_all") - 1))
     rest = df.filter(~supported).withColumn("_d", F.lit(0.0))

@@ -143,7 +143,7 @@ def a13(v):
 r AS (SELECT *, rank() OVER (PARTITION BY class_id, on_ ORDER BY strength)-1+(count(*) OVER (PARTITION BY class_id, on_, strength)-1)/2 AS r, count(*) OVER (PARTITION BY class_id, on_) AS n FROM t),
 s AS (SELECT det_id, score*CASE WHEN on_ THEN exp(0.08::DOUBLE*strength*(2*(r+0.5)/n-1)) ELSE 1.0::DOUBLE END AS s FROM r) SELECT det_id, round(s/greatest(1.0, max(s) OVER ()), 6) AS score FROM s""")
 def a14(v):
-    return refine.view_invariant_delta(evidence(v)).select("det_id", F.round("score", 6).alias("score"))
+    return refine.view_invariant_delta(evidence(v).select("det_id", "class_id", "score", "both_models", "ab_iou")).select("det_id", F.round("score", 6).alias("score"))
 
 
 @query("a15_seam_statistics", """WITH l AS (SELECT unnest([1024, 2048, 3072]) AS p), s AS (SELECT det_id, class_id, bool_or(abs(x1-p) <= 12 OR abs(x2-p) <= 12) AS vx, bool_or(abs(y1-p) <= 12 OR abs(y2-p) <= 12) AS hy FROM det, l GROUP BY ALL) SELECT class_id, count(*) AS n, count(*) FILTER (vx) AS vertical, count(*) FILTER (hy) AS horizontal FROM s GROUP BY 1""")

@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallybox.operators import fuse, match, metrics, sets, tiles
+from tallybox.operators import fuse, match, metrics, refine, sets, tiles
 
 BOXES = "det_id long, image_id long, class_id int, x1 double, y1 double, x2 double, y2 double, score double"
 
@@ -88,3 +88,8 @@ def test_policies_multiply_pairs_and_not_what_is_shuffled(spark):
     assert "sx" not in plan(out)  # boxes met once, what is read by three reports is stored
     got = {(r["policy"], r["part"]): (r["n"], r["total"]) for r in out.filter("part = 'recall'").collect()}
     assert got[("p", "recall")] == (20, 20) and got[("q", "recall")] == (0, 20)
+
+
+def test_evidence_is_read_once_for_ranks_and_scores(spark):
+    d = boxes(spark, 30).filter("array_contains(array_repeat(true, 2), score >= 0)").withColumns({"both_models": F.lit(1.0), "ab_iou": 0.6 + F.col("score") / 3})
+    assert "array_repeat" not in plan(refine.view_invariant_delta(d))
