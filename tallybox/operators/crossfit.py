@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybox.session import cut
+from tallybox.session import cut, stored
 
 
 def balanced(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def constrained_logistic(df: DataFrame, columns: list[str], label: str, weight:
     from pyspark.ml.linalg import Matrices
 
     low = Matrices.dense(1, len(columns), [float("-inf") if x is None else x for x in lower])
-    fit = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight, regParam=reg, lowerBoundsOnCoefficients=low, maxIter=50).fit(_vector(df, columns))
+    fit = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight, regParam=reg, lowerBoundsOnCoefficients=low, maxIter=50).fit(_vector(stored(df.select(label, weight, *columns)), columns))
     rows = [*zip(columns, map(float, fit.coefficients), strict=True), ("intercept", float(fit.intercept))]
     return df.sparkSession.createDataFrame(rows, "name string, value double")
 
@@ -54,7 +54,7 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, weight: str, fold
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor
 
-    d = _vector(cut(df), columns)
+    d = _vector(stored(df), columns)
     parts = []
     for k in range(folds):
         make = GBTClassifier if kind == "classifier" else GBTRegressor

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallybox.functions.columns import BOX, iou
 from tallybox.operators import boost, crossfit, match, metrics, rank, sets, support
 from tallybox.operators.fuse import GROUP
 from tallybox.plans.registry import query, sql_iou
@@ -222,9 +223,10 @@ def l13(v):
 
 
 def features(v):
-    from tallybox.operators.fuse import pairs_at
-
-    m = pairs_at(v.det, v.gt, 0.0).groupBy("det_id").agg(F.max("iou").alias("i"))
-    d = v.det.join(m, "det_id", "left").withColumn("label", (F.coalesce("i", F.lit(0.0)) >= 0.5).cast("double")).withColumn("target", F.greatest(F.lit(0.0), (F.coalesce("i", F.lit(0.0)) - 0.25) / 0.75))
+    # the truths of an image and class come to its boxes as one row, and the peers are counted where the boxes then are: they move once
+    t = v.gt.groupBy(*GROUP).agg(F.collect_list(F.struct(*BOX)).alias("_t"))
+    own = F.struct(*BOX)
+    d = v.det.select("det_id", *GROUP, *BOX, "score").join(t, GROUP, "left").withColumn("i", F.array_max(F.transform("_t", lambda g: iou(own, g)))).drop("_t")
+    d = d.withColumn("label", (F.coalesce("i", F.lit(0.0)) >= 0.5).cast("double")).withColumn("target", F.greatest(F.lit(0.0), (F.coalesce("i", F.lit(0.0)) - 0.25) / 0.75))
     d = d.withColumn("n_peers", F.count("*").over(Window.partitionBy(*GROUP)).cast("double")).withColumn("log_area", F.ln(F.greatest((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.lit(1.0))))
     return d.withColumn("weight", F.lit(1.0)).withColumn("grp_no", F.col("image_id") % 37).select("det_id", "image_id", "class_id", "score", "n_peers", "log_area", "label", "target", "weight", "grp_no")

@@ -93,3 +93,15 @@ def test_policies_multiply_pairs_and_not_what_is_shuffled(spark):
 def test_evidence_is_read_once_for_ranks_and_scores(spark):
     d = boxes(spark, 30).filter("array_contains(array_repeat(true, 2), score >= 0)").withColumns({"both_models": F.lit(1.0), "ab_iou": 0.6 + F.col("score") / 3})
     assert "array_repeat" not in plan(refine.view_invariant_delta(d))
+
+
+def test_features_move_a_box_once(spark):
+    from types import SimpleNamespace
+
+    from tallybox.plans import rank_queries
+
+    d = boxes(spark, 60)
+    gt = d.filter("det_id % 7 = 0").withColumnRenamed("det_id", "gt_id").drop("score")
+    f = rank_queries.features(SimpleNamespace(det=d, gt=gt))
+    assert f._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2  # the boxes and the truths
+    assert f.count() == 60 and f.filter("det_id % 7 = 0 and label <> 1").count() == 0
