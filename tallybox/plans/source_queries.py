@@ -205,7 +205,17 @@ def s16(v):
 
 # --- streams -----------------------------------------------------------------------------------
 
-def cache_folder(v, df, files=4):
+def cache_files(v) -> int:
+    """Files of a cache: their number grows with the images, so that neither the task that writes one nor the one that reads it does."""
+    return 4 + v.images.count() // 1_000
+
+
+def at_once(files: int) -> int:
+    """Files of a batch: half of them, and no more than 64."""
+    return max(2, min(files // 2, 64))
+
+
+def cache_folder(v, df, files):
     path = scratch(v)
     records(df).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).repartition(files).write.text(path)
     return path
@@ -221,8 +231,9 @@ KEPT = f"WITH k AS ({sql_nms('det', 0.5)}), s AS (SELECT * FROM det)"
 
 @query("r1_stream_json_reader", "SELECT CAST(image_id AS VARCHAR) AS image_id, count(*) AS n FROM det GROUP BY 1")
 def r1(v):
-    path = cache_folder(v, v.det)
-    s = R.read_cache_stream(v.spark, path).select("image_id", F.size("candidates").cast("bigint").alias("n"))
+    files = cache_files(v)
+    path = cache_folder(v, v.det, files)
+    s = R.read_cache_stream(v.spark, path, at_once(files)).select("image_id", F.size("candidates").cast("bigint").alias("n"))
     out = scratch(v)
     R.run_to_parquet(s, out, out + "-ck")
     return v.spark.read.parquet(out)
@@ -230,17 +241,20 @@ def r1(v):
 
 @query("r2_stream_merge", f"{KEPT} SELECT CAST(image_id AS VARCHAR) AS image_id, class_id, det_id, score FROM s JOIN (SELECT det_id FROM k) USING (det_id)")
 def r2(v):
-    path, out = cache_folder(v, v.det), scratch(v)
-    R.run_to_parquet(R.merged_records(R.read_cache_stream(v.spark, path), 0.5), out, out + "-ck")
+    files = cache_files(v)
+    path, out = cache_folder(v, v.det, files), scratch(v)
+    R.run_to_parquet(R.merged_records(R.read_cache_stream(v.spark, path, at_once(files)), 0.5), out, out + "-ck")
     return v.spark.read.parquet(out)
 
 
 @query("r3_stream_counts", f"{KEPT} SELECT class_id, count(*) AS n FROM s JOIN (SELECT det_id FROM k) USING (det_id) GROUP BY 1 UNION ALL SELECT -1, count(DISTINCT image_id) FROM det")
 def r3(v):
-    path, out = cache_folder(v, v.det), scratch(v)
+    files = cache_files(v)
+    again = files // 2
+    path, out = cache_folder(v, v.det, files), scratch(v)
     # every image arrives twice; the second record is a duplicate
-    records(v.det).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).repartition(2).write.mode("append").text(path)
-    R.run_counts(R.read_cache_stream(v.spark, path, 3), out, out + "-ck", 0.5, partitions=state_size(v))
+    records(v.det).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).repartition(again).write.mode("append").text(path)
+    R.run_counts(R.read_cache_stream(v.spark, path, at_once(files + again)), out, out + "-ck", 0.5, partitions=state_size(v))
     twice = v.spark.read.parquet(f"{out}/violations").agg(F.lit(-1).alias("class_id"), F.count("*").alias("n"))
     return R.running_counts(v.spark, out).filter("class_id >= 0").union(twice)
 
@@ -253,8 +267,9 @@ def r4(v):
 
 @query("r5_resume_by_signature", f"{KEPT} SELECT class_id, count(*) AS n FROM s JOIN (SELECT det_id FROM k) USING (det_id) GROUP BY 1")
 def r5(v):
-    path, out = cache_folder(v, v.det.filter("image_id % 2 = 0")), scratch(v)
-    run = lambda: R.run_to_parquet(R.merged_records(R.read_cache_stream(v.spark, path), 0.5), out, f"{out}-{R.signature(threshold=0.5, source=path)}")
+    files = cache_files(v)
+    path, out = cache_folder(v, v.det.filter("image_id % 2 = 0"), files), scratch(v)
+    run = lambda: R.run_to_parquet(R.merged_records(R.read_cache_stream(v.spark, path, at_once(files)), 0.5), out, f"{out}-{R.signature(threshold=0.5, source=path)}")
     run()
     records(v.det.filter("image_id % 2 = 1")).select(F.to_json(F.struct("image_id", "image_size", "candidates")).alias("value")).write.mode("append").text(path)
     run()  # the same signature: only what is new
@@ -263,9 +278,10 @@ def r5(v):
 
 @query("r6_paired_sources", "WITH a AS (SELECT image_id, count(*) AS na FROM det WHERE model = 'a' GROUP BY 1), b AS (SELECT image_id, count(*) AS nb FROM det WHERE model = 'b' GROUP BY 1) SELECT CAST(image_id AS VARCHAR) AS image_id, na, nb FROM a JOIN b USING (image_id)")
 def r6(v):
-    a, b = cache_folder(v, v.det.filter("model = 'a'"), 2), cache_folder(v, v.det.filter("model = 'b'"), 2)
+    files = cache_files(v) // 2
+    a, b = cache_folder(v, v.det.filter("model = 'a'"), files), cache_folder(v, v.det.filter("model = 'b'"), files)
     out = scratch(v)
-    j = R.paired_sources(R.read_cache_stream(v.spark, a), R.read_cache_stream(v.spark, b))
+    j = R.paired_sources(R.read_cache_stream(v.spark, a, at_once(files)), R.read_cache_stream(v.spark, b, at_once(files)))
     with R.state_partitions(v.spark, state_size(v)):
         R.run_to_parquet(j.select("image_id", F.size("a_candidates").cast("bigint").alias("na"), F.size("b_candidates").cast("bigint").alias("nb")), out, out + "-ck")
     return v.spark.read.parquet(out)

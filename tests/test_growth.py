@@ -95,6 +95,16 @@ def test_evidence_is_read_once_for_ranks_and_scores(spark):
     assert "array_repeat" not in plan(refine.view_invariant_delta(d))
 
 
+def test_caches_have_files_for_their_images(spark):
+    from types import SimpleNamespace
+
+    from tallybox.plans import source_queries
+
+    some = lambda n: SimpleNamespace(images=spark.range(n))
+    few, many = source_queries.cache_files(some(20_000)), source_queries.cache_files(some(200_000))
+    assert many >= 5 * few and source_queries.at_once(many) <= 64
+
+
 def test_features_move_a_box_once(spark):
     from types import SimpleNamespace
 
