@@ -3,7 +3,8 @@
 A model belongs to a class and a held-out fold: it learns from the class's rows of all other folds. One more for each fold learns from all classes and
 stands in for classes without enough support. All models grow together: a pass over the rows sums gradients by (model, node, feature, bin)
 inside its tasks, one aggregation adds the parts, and the best split of each node of each model comes back, so the number of passes is rounds times
-depth, whatever the number of classes and folds. Rows carry the bins of their features and a margin for each model that they meet.
+depth, whatever the number of classes and folds. Rows alike in class, fold, label and bins are summed to one row before, which carries a margin for each model that
+it meets: a pass reads classes * folds * 2 * bins ^ features of them at most, however many rows there are.
 
 What the driver holds is the models: classes times folds times nodes, not rows.
 """
@@ -187,12 +188,16 @@ def crossfit_by_class(df: DataFrame, columns: list[str], label: str, cls: str, f
     rows = df.withColumns({"_cls": number.cast("int"), "_fold": F.col(fold).cast("int"), "_label": F.when(F.col(label).isin(0, 1), F.col(label)).otherwise(-1).cast("int"), "_weight": (F.col(weight) if weight else F.lit(1.0)).cast("double"), "_bins": bins,
                            "_margin": F.array_repeat(F.lit(0.0), 2 * folds)})
     rows = stored(rows)
-    learning = ["_cls", "_fold", "_label", "_weight", "_bins", "_margin"]
+    # rows alike in all that a model sees have one gradient: passes go over these, with the sum of their weights, and not over rows
+    alike = ["_cls", "_fold", "_label", "_bins"]
+    cells = rows.filter("_label >= 0").groupBy(*alike).agg(F.sum("_weight").alias("_weight")).withColumn("_margin", F.array_repeat(F.lit(0.0), 2 * folds))
+    cells = stored(cells)
+    grown: list[Tree] = []
     state = Models(classes, folds, balanced, s.depth)
     for done in range(s.rounds):
         tree = Tree.blank(models, s.depth)
         for level in range(s.depth):
-            parts = rows.filter("_label >= 0").select(*learning).mapInArrow(_histogram(state, tree, level, len(columns), s.bins), "cell long, g double, h double")
+            parts = cells.mapInArrow(_histogram(state, tree, level, len(columns), s.bins), "cell long, g double, h double")
             for r in _splits(parts, s, len(columns)):
                 model, node = divmod(r["node"], 2**level)
                 at = 2**level - 1 + node
@@ -200,9 +205,10 @@ def crossfit_by_class(df: DataFrame, columns: list[str], label: str, cls: str, f
                 if level == s.depth - 1:
                     tree.leaf[model, 2 * node:2 * node + 2] = r["l"], r["r"]
         state.trees.append(tree)
+        grown.append(tree)
         if (done + 1) % STORE_ROUNDS == 0 and done + 1 < s.rounds:
-            rows, state = stored(_scored(rows, state, supported, len(columns), False)), Models(classes, folds, balanced, s.depth)
-    out = _scored(rows, state, supported, len(columns), True)
+            cells, state = stored(_scored(cells, state, supported, len(columns), False)), Models(classes, folds, balanced, s.depth)
+    out = _scored(rows, Models(classes, folds, balanced, s.depth, grown), supported, len(columns), True)
     return out.select(*df.columns, "prediction", "model")
 
 

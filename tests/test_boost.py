@@ -96,3 +96,12 @@ def test_groups_that_leak_and_odd_rows(spark):
     got = {r.id: (r.model, r.prediction) for r in boost.crossfit_by_class(odd, ["a", "b"], "y", "cls", "fold", "grp", 3, boost.Settings(rounds=2, bins=4, least_positives=5, least_positive_groups=2, least_negative_groups=2)).collect()}
     assert len(got) == 202 and got[1000][0] == got[1001][0] == "global" and all(0 < p < 1 for _, p in got.values())
     assert boost.crossfit_by_class(odd.limit(0), ["a", "b"], "y", "cls", "fold", "grp", 3, boost.Settings(rounds=1)).count() == 0
+
+
+def test_passes_read_cells_and_not_rows(spark, monkeypatch):
+    tables, stored = [], boost.stored
+    monkeypatch.setattr(boost, "stored", lambda d: tables.append(stored(d)) or tables[-1])
+    d = spark.createDataFrame(made(), ROWS)
+    out = boost.crossfit_by_class(d, ["a", "b"], "y", "cls", "fold", "grp", 3, boost.Settings(rounds=1, depth=1, bins=4))
+    assert tables[-1].count() <= 3 * 3 * 2 * 4**2  # classes, folds, labels, bins
+    assert tables[-1].groupBy().sum("_weight").first()[0] == out.count() == 900  # all of them, by weight
