@@ -115,3 +115,14 @@ def test_features_move_a_box_once(spark):
     f = rank_queries.features(SimpleNamespace(det=d, gt=gt))
     assert f._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2  # the boxes and the truths
     assert f.count() == 60 and f.filter("det_id % 7 = 0 and label <> 1").count() == 0
+
+
+def test_boxes_of_a_cache_are_dealt_to_a_task_for_each_file(spark):
+    from tallybox.plans import source_queries
+
+    d = spark.range(6_000).select(F.col("id").alias("det_id"), (F.col("id") % 600).alias("image_id"), F.lit(0).alias("class_id"), F.lit(0.5).alias("score"), F.lit(False).alias("touches_edge"), F.lit(False).alias("is_global"),
+                                  *[F.lit(v).alias(c) for v, c in ((1.0, "x1"), (1.0, "y1"), (9.0, "x2"), (9.0, "y2"))])
+    text = source_queries.lines(d, 24)
+    parts = text.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 24 and sum(r["count"] for r in parts) == 600 and max(r["count"] for r in parts) < 60  # the session deals to four
+    assert text._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
