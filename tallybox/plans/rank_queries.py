@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybox.functions.columns import BOX, iou
 from tallybox.operators import boost, crossfit, match, metrics, rank, sets, support
-from tallybox.operators.fuse import GROUP
+from tallybox.operators.fuse import GROUP, match_greedy, pairs_at
 from tallybox.plans.registry import query, sql_iou
 
 
@@ -207,7 +207,8 @@ def l11(v):
     d = features(v).withColumn("fold", (F.col("grp_no") % 3).cast("int"))
     oof = crossfit.out_of_fold(d, ["score", "n_peers", "log_area"], "target", "weight", 3, "regressor")
     view = v.images.select("image_id", "view")
-    lab = metrics.label(v.det, v.gt, 0.5).select("det_id", "tp").join(oof, "det_id").join(view, "image_id")
+    hit = match_greedy(pairs_at(v.det, v.gt, 0.5)).select("det_id", F.lit(1).alias("tp"))
+    lab = oof.join(hit, "det_id", "left").na.fill(0, ["tp"]).join(view, "image_id")
     return crossfit.beta_sweep(lab, metrics.truth_totals(v.gt.join(view, "image_id"), ["view", "class_id"]), [0.0, 0.2, 0.4, 0.6], {"original": 488 / 788, "grid": 300 / 788})
 
 
