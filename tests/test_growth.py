@@ -126,3 +126,45 @@ def test_boxes_of_a_cache_are_dealt_to_a_task_for_each_file(spark):
     parts = text.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(parts) == 24 and sum(r["count"] for r in parts) == 600 and max(r["count"] for r in parts) < 60  # the session deals to four
     assert text._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_thresholds_multiply_levels_and_not_true_positives(spark):
+    n = 2_000
+    d = spark.range(n).select(F.col("id").alias("det_id"), (F.col("id") % 2).cast("int").alias("class_id"), (F.lit(1.0) - F.col("id") / n).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("tp"))
+    gt = spark.range(1_000).select(F.col("id").alias("gt_id"), (F.col("id") % 2).cast("int").alias("class_id"))
+    out = metrics.prefix_figures(d, gt, [0.0, 0.3, 0.7], ["class_id"])
+    assert "sequence(0, 100" not in plan(out).split("aggregate(")[0] and "filter(sequence" not in plan(out)  # no level is sought among all at each true positive
+    for r in out.collect():
+        rows = sorted((x for x in d.collect() if x["class_id"] == r["class_id"] and x["score"] >= r["threshold"]), key=lambda x: -x["score"])
+        hits, at = 0, []
+        for i, x in enumerate(rows):
+            hits += x["tp"]
+            at.append((hits / (i + 1), hits / 500) if x["tp"] else None)
+        want = sum(max((p for p, c in filter(None, at) if i * 0.01 <= c), default=0.0) for i in range(101)) / 101
+        assert abs(r["ap"] - want) < 1e-9 and (r["tp"], r["fp"]) == (hits, len(rows) - hits)
+
+
+def test_levels_are_those_of_the_products(spark):
+    values = sorted({i * 0.01 for i in range(101)} | {i / 100 for i in range(101)} | {k / 7 for k in range(8)} | {i * 0.01 - 1e-17 for i in range(1, 101)} | {1.5})
+    got = spark.createDataFrame([(v,) for v in values], "r double").select("r", metrics._level(F.col("r")).alias("l")).collect()
+    assert [r["l"] for r in got] == [max(i for i in range(101) if i * 0.01 <= r["r"]) for r in got]
+
+
+def test_a_fit_reads_rows_alike_once(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    from tallybox.operators import crossfit
+
+    d = spark.range(1_600).select((F.col("id") % 8).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"), F.lit(1.0).alias("weight"), ((F.col("id") % 37) % 3).cast("int").alias("fold"))
+    d = d.withColumn("target", F.least(F.lit(1.0), F.abs(F.sin(F.col("x") * 3 + F.col("y"))) + F.rand(3) / 9))
+    many = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    cells = [crossfit.alike(t, ["x", "y"], "target", "weight", False) for t in (d, many)]
+    assert cells[0].count() == cells[1].count() == 120
+    got = crossfit.out_of_fold(d, ["x", "y"], "target", "weight", 3, "regressor")
+    seen = {(r["fold"], r["x"], r["y"]): r["prediction"] for r in got.collect()}
+    again = {(r["fold"], r["x"], r["y"]): r["prediction"] for r in crossfit.out_of_fold(many, ["x", "y"], "target", "weight", 3, "regressor").collect()}
+    assert seen.keys() == again.keys() and max(abs(seen[k] - again[k]) for k in seen) < 1e-9
+    x = crossfit._vector(d, ["x", "y"])
+    fit = GBTRegressor(featuresCol="_x", labelCol="target", weightCol="weight", maxIter=5, maxDepth=3, seed=7).fit(x.filter("fold <> 1"))
+    for r in fit.transform(x.filter("fold = 1")).collect():  # the plain fit over the rows themselves
+        assert abs(min(max(r["prediction"], 0.0), 1.0) - seen[1, r["x"], r["y"]]) < 1e-9
