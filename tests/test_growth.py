@@ -168,3 +168,27 @@ def test_a_fit_reads_rows_alike_once(spark):
     fit = GBTRegressor(featuresCol="_x", labelCol="target", weightCol="weight", maxIter=5, maxDepth=3, seed=7).fit(x.filter("fold <> 1"))
     for r in fit.transform(x.filter("fold = 1")).collect():  # the plain fit over the rows themselves
         assert abs(min(max(r["prediction"], 0.0), 1.0) - seen[1, r["x"], r["y"]]) < 1e-9
+
+
+def test_support_of_a_sequence_makes_no_rows_of_pairs(spark, monkeypatch):
+    import math
+
+    from tallybox.operators import groups, support
+
+    monkeypatch.setattr(groups, "ROWS", 50)
+    monkeypatch.setattr(groups, "AT_ONCE", 16)
+    r = np.random.default_rng(5)
+    rows = [(i, int(im), int(im) // 4 if im < 28 else None, int(c), float(x), float(x) + 10, float(s) if s > 0.05 else None) for i, (im, c, x, s) in enumerate(zip(r.integers(0, 30, 600), r.integers(0, 3, 600), r.integers(0, 900, 600), r.random(600), strict=True))]
+    d = spark.createDataFrame(rows, "det_id long, image_id long, seq long, class_id int, x1 double, x2 double, score double")
+    out = support.sequence_support(d, 200.0, 3, 0.2)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString() and out.rdd.getNumPartitions() == 12  # 600 / 50, where the session deals to four
+    lend = {}
+    for q in sorted((q for q in rows if q[6] is not None and q[6] >= 0.2 and q[2] is not None), key=lambda q: (-q[6], q[0])):
+        lend.setdefault((q[2], q[3]), {}).setdefault(q[1], [])
+        if len(lend[q[2], q[3]][q[1]]) < 3:
+            lend[q[2], q[3]][q[1]].append(q)
+    got = {x["det_id"]: x["support"] for x in out.collect()}
+    assert len(got) == 600
+    for q in rows:
+        best = sorted((max(math.exp(-((q[4] - o[4]) / 200.0) ** 2 / 2) * o[6] for o in who) for im, who in lend.get((q[2], q[3]), {}).items() if im != q[1]), reverse=True)[:2]
+        assert abs(got[q[0]] - sum(best) / 2) < 1e-9
