@@ -48,16 +48,28 @@ def constrained_logistic(df: DataFrame, columns: list[str], label: str, weight:
     return df.sparkSession.createDataFrame(rows, "name string, value double")
 
 
-def _bins(columns: list[str], edges: list) -> dict[str, Column]:
-    """The bin of each column as a number: how many edges are below its value. Null and NaN stay, so that the assembler refuses them."""
-    below = lambda c, e: F.when(F.isnan(c), F.col(c)).otherwise(sum(((F.col(c) > float(x)).cast("double") for x in e), F.when(F.col(c).isNotNull(), 0.0)))
-    return {f"_b{i}": below(c, e) for i, (c, e) in enumerate(zip(columns, edges, strict=True))}
+def _binned(df: DataFrame, columns: list[str], edges: list) -> tuple[DataFrame, list[str]]:
+    """`df` with the bin of each column as a number: how many edges are at or below its value. A null stays, so that the assembler refuses it; NaN is an error here."""
+    from pyspark.ml.feature import Bucketizer
+
+    names = [f"_b{i}" for i in range(len(columns))]
+    split = {n: (c, [float("-inf"), *map(float, e), float("inf")]) for n, c, e in zip(names, columns, edges, strict=True) if len(e)}
+    if split:
+        df = Bucketizer(inputCols=[c for c, _ in split.values()], outputCols=[*split], splitsArray=[e for _, e in split.values()]).transform(df)
+        df = df.withColumns({n: F.col(n) + 0.0 for n in split})  # without the mark of a category, since bins have an order
+    return df.withColumns({n: F.when(F.col(c).isNotNull(), 0.0) for n, c in zip(names, columns, strict=True) if n not in split}), names
 
 
 def alike(df: DataFrame, columns: list[str], label: str, weight: str, by_label: bool) -> DataFrame:
-    """Rows of one fold and the same `columns` (and label, `by_label`) as one, with their mean label and the sum of their weights."""
-    w = F.sum(weight)
-    return df.filter(F.col(weight) > 0).groupBy("fold", *columns, *([F.col(label).alias("_y")] if by_label else [])).agg(*([] if by_label else [(F.sum(F.col(weight) * F.col(label)) / w).alias("_y")]), w.alias("_w"))
+    """Rows of one fold and the same `columns` (and label, `by_label`) as one, with their mean label and the sum of their weights. Rows of no weight count nothing."""
+    on = F.col(weight) > 0
+    w = F.coalesce(F.sum(F.when(on, F.col(weight))), F.lit(0.0))
+    mean = F.sum(F.when(on, F.col(weight) * F.col(label))) / F.sum(F.when(on, F.col(weight)))
+    return df.groupBy("fold", *columns, *([F.col(label).alias("_y")] if by_label else [])).agg(*([] if by_label else [mean.alias("_y")]), w.alias("_w"))
+
+
+#: Places of bins that are broadcast with their predictions; more are joined in a shuffle.
+PLACES = 500_000
 
 
 def out_of_fold(df: DataFrame, columns: list[str], label: str, weight: str, folds: int, kind: str, iterations: int = 5) -> DataFrame:
@@ -72,17 +84,19 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, weight: str, fold
     from tallybox.operators.boost import bin_edges
 
     d = stored(df)
-    bins = _bins(columns, bin_edges(d, columns, 32))
-    d = d.withColumns(bins)
-    cells = _vector(stored(alike(d, [*bins], label, weight, kind == "classifier")), [*bins])
+    d, bins = _binned(d, columns, bin_edges(d, columns, 32))
+    place = ["fold", *bins]
+    cells = _vector(stored(alike(d, bins, label, weight, kind == "classifier")), bins)
+    places = cells.select(*place, "_x").distinct()
     parts = []
     for k in range(folds):
         make = GBTClassifier if kind == "classifier" else GBTRegressor
-        fit = make(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=iterations, maxDepth=3, seed=7).fit(cells.filter(F.col("fold") != k))
-        out = fit.transform(_vector(d.filter(F.col("fold") == k), [*bins]))
+        fit = make(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=iterations, maxDepth=3, seed=7).fit(cells.filter((F.col("fold") != k) & (F.col("_w") > 0)))
         p = vector_to_array("probability")[1] if kind == "classifier" else F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))
-        parts.append(out.withColumn("_p", p).select(*df.columns, F.col("_p").alias("prediction")))
-    return reduce(DataFrame.union, parts)
+        parts.append(fit.transform(places.filter(F.col("fold") == k)).select(*place, p.alias("_p")))
+    scored = stored(reduce(DataFrame.union, parts))
+    d = d.join(F.broadcast(scored) if scored.count() <= PLACES else scored, place)
+    return d.select(*df.columns, F.col("_p").alias("prediction"))
 
 
 def beta_sweep(df: DataFrame, totals: DataFrame, betas: list[float], weights: dict[str, float]) -> DataFrame:
