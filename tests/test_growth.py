@@ -192,3 +192,31 @@ def test_support_of_a_sequence_makes_no_rows_of_pairs(spark, monkeypatch):
     for q in rows:
         best = sorted((max(math.exp(-((q[4] - o[4]) / 200.0) ** 2 / 2) * o[6] for o in who) for im, who in lend.get((q[2], q[3]), {}).items() if im != q[1]), reverse=True)[:2]
         assert abs(got[q[0]] - sum(best) / 2) < 1e-9
+
+
+def test_evidence_makes_no_rows_of_pairs(spark, monkeypatch):
+    from tallybox.operators import groups
+
+    monkeypatch.setattr(groups, "ROWS", 40)
+    monkeypatch.setattr(groups, "AT_ONCE", 16)
+    monkeypatch.setattr(refine, "PAIRS", 50)
+    r = np.random.default_rng(2)
+    rows = [(i, int(g) // 3, int(g) % 3, "ab"[int(m)], bool(v), bool(e), float(x), float(x), float(x + 100), float(x + 90), float(s)) for i, (g, m, v, e, x, s) in enumerate(zip(r.integers(0, 12, 200), r.integers(0, 2, 200), r.integers(0, 2, 200), r.integers(0, 2, 200), r.integers(0, 60, 200), r.random(200), strict=True))]
+    d = spark.createDataFrame(rows, "det_id long, image_id long, class_id int, model string, is_global boolean, touches_edge boolean, x1 double, y1 double, x2 double, y2 double, score double")
+    iou = lambda p, q: (i := max(0, min(p[8], q[8]) - max(p[6], q[6])) * max(0, min(p[9], q[9]) - max(p[7], q[7]))) / max((p[8] - p[6]) * (p[9] - p[7]) + (q[8] - q[6]) * (q[9] - q[7]) - i, 1e-9)
+    for anchors, some in ((d, rows), (d.filter("det_id % 5 = 0").drop("model", "is_global", "touches_edge"), rows[::5])):
+        out = refine.evidence(anchors, d, 1000.0, 1000.0)
+        assert "Join" not in plan(out) and out.rdd.getNumPartitions() >= 5 and out.columns[:len(anchors.columns)] == anchors.columns
+        got = {x["det_id"]: x for x in out.collect()}
+        assert len(got) == len(some)
+        for p in some:
+            reps = {}
+            for q in sorted((q for q in rows if q[1:3] == p[1:3] and iou(p, q) >= 0.5), key=lambda q: (-iou(p, q), -q[10], q[0])):
+                reps.setdefault((q[3], q[4]), q)
+            reps = [reps[k] for k in sorted(reps)]
+            x = got[p[0]]
+            assert [(a["model"], a["is_global"], a["p_score"], a["touches_edge"], a["x1"]) for a in x["reps"]] == [(q[3], q[4], q[10], q[5], q[6]) for q in reps]
+            pairs = [(a[3] == b[3], iou(a, b)) for i, a in enumerate(reps) for b in reps[i + 1:]]
+            same, other = [v for s, v in pairs if s], [v for s, v in pairs if not s]
+            want = (float(len({q[3] for q in reps}) == 2), max(other, default=0.0), float(len(reps)), sum(same) / len(same) if same else 0.0, float(np.median([1 - v for _, v in pairs])) if pairs else 1.0, float(all(not q[4] and q[5] for q in reps)))
+            assert np.allclose([x[c] for c in ("both_models", "ab_iou", "sources", "coherence", "dispersion", "edge_only")], want, atol=1e-12) and x["has_views"] == bool(same)
