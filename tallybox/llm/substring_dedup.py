@@ -7,7 +7,8 @@ that is `window` words deep. The tree is never whole anywhere: see `suffixes` fo
 2. A run's whole word span is one compressed path: if it occurs twice, all its windows are repeats, and one row for the span goes
    on, whatever the number of its copies.
 3. Where an anchor has two different spans or more, the windows of each span are spelled as suffixes, split by variable-length
-   prefixes into memory-sized groups, and each group's subtrees give the internal nodes of full depth.
+   prefixes into memory-sized groups, and each group's subtrees give the internal nodes of full depth. The shortest prefix is the anchor
+   itself: anchors of few spans travel as the words of their spans and are spelled in the group; only the windows of others travel.
 
 Sequences are compared by 64-bit hashes of their words within 64-bit anchors. A passage in a third of all documents stays one row a
 span, or one counted node, in every step.
@@ -22,11 +23,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybox.llm import suffixes
-from tallybox.llm.common import as_bytes, by_size, cut, hashed_words, row_key, span_hashes
+from tallybox.llm.common import as_bytes, by_size, few, hashed_words, mix, row_key, span_hashes, written
 from tallybox.llm.suffixes import window_anchors
 
 WINDOW, SHINGLE = 35, 6
@@ -59,10 +60,59 @@ def _run_rows(window: int, shingle: int):
                 begin, end = starts[a], starts[z - 1] + window
                 row = np.searchsorted(first, begin, "right") - 1
                 key = pa.array(lo + row)
+                # a run has fewer windows than a window has words, so one number holds where it begins and how many it has
+                place = (begin - first[row]) * window + (z - a - 1)
+                anchor, span = value[anchors[a]], span_hashes(words, begin, end)
+                # the first of the copies met here stands for the others, which are known to be repeats and go anywhere
+                _, at, which, n = np.unique(span, return_index=True, return_inverse=True, return_counts=True)
+                other = at[which] != np.arange(len(span))
+                anywhere = mix(b.column(0).take(key).to_numpy().view(np.uint64) ^ mix(place.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(value[anchors[a]].view(np.int64)), pa.array(span_hashes(words, begin, end).view(np.int64)),
-                    b.column(0).take(key), b.column(1).take(key), pa.array((begin - first[row]).astype(np.int32)), pa.array((end - first[row]).astype(np.int32))],
-                    names=["anchor", "span", "_k1", "_k2", "s", "e"])
+                    pa.array(np.where(other, anywhere, anchor).view(np.int64)), pa.array(span.view(np.int64)), b.column(0).take(key), b.column(1).take(key), pa.array(place),
+                    pa.array(np.where(other, 2, n[which]))], names=["anchor", "span", "_k1", "_k2", "place", "copies"])
+    return run
+
+
+def _span_rows():
+    """The words of given runs (arrays anchor, s, e)."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            sizes = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(3)).to_numpy())])
+            anchor, s, e = b.column(3).flatten().flatten()
+            for lo, hi, texts in _slices(b, 2):
+                i, j = int(sizes[lo]), int(sizes[hi])
+                row = np.repeat(np.arange(hi - lo), np.diff(sizes[lo:hi + 1]))
+                words = [t.split() for t in texts]
+                spans = [b" ".join(words[k][x:y]) for k, x, y in zip(row.tolist(), s[i:j].to_pylist(), e[i:j].to_pylist(), strict=True)]
+                key = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([anchor[i:j], b.column(0).take(key), b.column(1).take(key), s[i:j], pa.array(spans, pa.binary())], names=["anchor", "_k1", "_k2", "s", "words"])
+    return run
+
+
+def _span_subtrees(window: int):
+    """Of a group's spans, given by their words, the ranges whose windows lie under a node of full depth."""
+    def run(group):
+        import pyarrow as pa
+
+        group = group.combine_chunks()
+        words, first = hashed_words(as_bytes(group.column("words")))
+        n = np.diff(first) - window + 1
+        row = np.repeat(np.arange(len(n)), n)
+        start = np.arange(len(row)) + (row * (window - 1))
+        letters = suffixes.spell(words, start, window)
+        order, lo, hi = suffixes.subtrees(group.column("anchor").to_numpy()[row], letters)
+        inside = np.zeros(len(order) + 1, np.int64)
+        np.add.at(inside, lo, 1)
+        np.add.at(inside, hi, -1)
+        found = np.sort(order[np.cumsum(inside[:-1]) > 0])
+        a, z = _runs(found, row[found])
+        begin, end = found[a], found[z - 1]
+        at, key = start - first[row], pa.array(row[begin])
+        s = group.column("s").to_numpy()[row[begin]]
+        return pa.table({"_k1": group.column("_k1").take(key), "_k2": group.column("_k2").take(key), "s": pa.array((s + at[begin]).astype(np.int32)), "e": pa.array((s + at[end] + window).astype(np.int32))})
     return run
 
 
@@ -103,30 +153,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     `dealt`: the keyed rows, dealt out by key, where the caller needs them so itself."""
     keyed = _keyed(docs, id_col, text_col)
     dealt = keyed.repartition("_k1", "_k2") if dealt is None else dealt
-    runs = keyed.select("_k1", "_k2", "_text").mapInArrow(_run_rows(window, shingle), "anchor long, span long, _k1 long, _k2 long, s int, e int")
-    spans = runs.groupBy("anchor", "span").agg(F.count("*").alias("n"))
-    # an anchor met once roots no repeat; a span met twice is one; an anchor with several spans has open branches
-    open_ = spans.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1")
-    live = spans.join(open_, "anchor", "left").filter("n > 1 or spans is not null").select("anchor", "span", "n", F.coalesce("spans", F.lit(1)).alias("spans"))
-    live = cut(runs.join(live, ["anchor", "span"]))
-    whole = live.filter("n > 1").select("_k1", "_k2", "s", "e")
-    # one run of each span stands for its copies; any one does
-    one = live.filter("spans > 1").groupBy("anchor", "span", (F.col("spans") > suffixes.GROUP).alias("frequent")).agg(*[F.first(c).alias(c) for c in ("_k1", "_k2", "s", "e")])
-    spell = ", ".join(["anchor long", *[f"{x} long" for x in suffixes.letter_names(window)], "_k1 long, _k2 long, s int"])
-
-    def windows(branches: DataFrame) -> DataFrame:
-        branches = branches.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("runs"))
-        # the id goes along unread: the last step needs the same columns, so that both share one shuffle of the texts
-        rows = dealt.join(branches, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "runs", "_id").mapInArrow(_window_rows(window), spell)
-        return rows.select("*", F.lit(1.0).alias("weight"), F.lit(2.0).alias("least"))
+    runs = keyed.select("_k1", "_k2", "_text").mapInArrow(_run_rows(window, shingle), "anchor long, span long, _k1 long, _k2 long, place long, copies long")
+    # runs are dealt by anchor once, and both kinds of windows read them in one order
+    anchor, span = Window.partitionBy("anchor"), Window.partitionBy("anchor", "span")
+    runs = runs.repartition("anchor").withColumns({"n": F.sum("copies").over(span), "copy": F.row_number().over(span.orderBy("_k1", "_k2", "place"))})
+    runs = runs.withColumn("spans", F.count_if(F.col("copy") == 1).over(anchor))
+    # an anchor met once roots no repeat; a span met twice is one; an anchor with several spans has open branches, and there one run of each span stands for its copies
+    runs = runs.select("_k1", "_k2", F.expr(f"int(place div {window})").alias("s"), F.expr(f"int(place div {window} + place % {window} + {window})").alias("e"),
+                       (F.col("n") > 1).alias("whole"), F.when((F.col("spans") > 1) & (F.col("copy") == 1), F.col("anchor")).alias("anchor"), (F.col("spans") > suffixes.GROUP).alias("frequent"))
+    live = written(runs.filter("whole or anchor is not null"))
+    whole, one = live.filter("whole").select("_k1", "_k2", "s", "e"), live.filter("anchor is not null")
+
+    def by_row(runs: DataFrame) -> DataFrame:
+        return runs.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("runs"))
 
     n = {r.frequent: r.n for r in one.groupBy("frequent").agg(F.sum(F.col("e") - F.col("s") - window + 1).alias("n")).collect()}
-    deep = [whole]
+    found = [whole]
     if False in n:
-        deep.append(suffixes.deep_nodes(windows(one.filter("not frequent")), window, n[False]).select("_k1", "_k2", "s", (F.col("s") + window).alias("e")))
+        # the id goes along unread: the last step needs the same columns, so that both share one shuffle of the texts
+        rows = dealt.join(by_row(one.filter("not frequent")), ["_k1", "_k2"]).select("_k1", "_k2", "_text", "runs", "_id").mapInArrow(_span_rows(), "anchor long, _k1 long, _k2 long, s int, words binary")
+        part = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-n[False] // suffixes.PACK))))
+        found.append(rows.withColumn("part", part).groupBy("part").applyInArrow(_span_subtrees(window), "_k1 long, _k2 long, s int, e int"))
     if True in n:
-        deep.append(suffixes.deep_nodes_of_frequent(windows(one.filter("frequent")), window).select("_k1", "_k2", "s", (F.col("s") + window).alias("e")))
-    return reduce(DataFrame.union, deep).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        spell = ", ".join(["anchor long", *[f"{x} long" for x in suffixes.letter_names(window)], "_k1 long, _k2 long, s int"])
+        rows = keyed.join(few(by_row(one.filter("frequent")), "runs"), ["_k1", "_k2"]).select("_k1", "_k2", "_text", "runs").mapInArrow(_window_rows(window), spell)
+        deep = suffixes.deep_nodes_of_frequent(rows.select("*", F.lit(1.0).alias("weight"), F.lit(2.0).alias("least")), window)
+        found.append(deep.select("_k1", "_k2", "s", (F.col("s") + window).alias("e")))
+    return reduce(DataFrame.union, found).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:

@@ -66,24 +66,28 @@ def internal_nodes(shared: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1) + 1
 
 
+def subtrees(anchor: np.ndarray, letters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the suffixes, lo, hi): those at order[lo:hi] are under an internal node of full depth."""
+    keys = [anchor, *letters]
+    order = np.lexsort(keys[::-1])
+    same = np.ones(len(order), bool)
+    same[:1] = False
+    shared = np.zeros(len(order), np.int8)
+    for k, key in enumerate(keys):
+        key = key[order]
+        same[1:] &= key[1:] == key[:-1]
+        if k:
+            shared += same
+    return order, *internal_nodes(shared, len(letters))
+
+
 def _subtrees(n: int):
     """Of a group's suffixes, those under an internal node of full depth that weighs their `least` or more."""
     def run(group):
         import pyarrow as pa
 
         group = group.combine_chunks()
-        letters = [group.column(f"l{i}").to_numpy() for i in range(n)]
-        keys = [group.column("anchor").to_numpy(), *letters]
-        order = np.lexsort(keys[::-1])
-        same = np.ones(len(order), bool)
-        same[:1] = False
-        shared = np.zeros(len(order), np.int8)
-        for k, key in enumerate(keys):
-            key = key[order]
-            same[1:] &= key[1:] == key[:-1]
-            if k:
-                shared += same
-        lo, hi = internal_nodes(shared, n)
+        order, lo, hi = subtrees(group.column("anchor").to_numpy(), [group.column(f"l{i}").to_numpy() for i in range(n)])
         weight = np.concatenate([[0.0], np.cumsum(group.column("weight").to_numpy()[order])])
         total = weight[hi] - weight[lo]
         size = hi - lo

@@ -601,3 +601,18 @@ def test_quality_equals_plain_normal_equations(spark, monkeypatch):
     mean = lambda a, b: q[(v >= a) & (v <= b)].mean()
     plain = [max(min(mean(a, b) for b in xs if b >= x) for a in xs if a <= x) for x in xs]
     assert np.allclose(sorted(set(np.round(plain, 9))), sorted(set(np.round(levels, 9)))) and (np.diff(levels) > 0).all() and (np.diff(knots) > 0).all()
+
+
+def test_open_spans_travel_as_words_and_copies_of_a_span_spread(spark):
+    import pyarrow as pa
+
+    from tallybox.llm.substring_dedup import _run_rows
+
+    texts = [" ".join(words(60, 1) + words(20, 100 + i % 5)) for i in range(40)] + [" ".join(words(300, 500))] * 30 + ["same " * 50]
+    out = remove_repeats(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]))
+    assert "l4#" not in out._jdf.queryExecution().executedPlan().toString()  # a letter of a spelled window
+    got = {r.doc_id: r.kept_text for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == plain_repeats(texts)
+    batch = pa.RecordBatch.from_pydict({"_k1": list(range(len(texts))), "_k2": list(range(len(texts))), "_text": texts})
+    rows = pa.Table.from_batches(_run_rows(35, 6)([batch])).to_pandas()
+    assert rows.groupby(["anchor", "span"]).size().max() == 1  # one of the copies in a batch is dealt by its anchor
