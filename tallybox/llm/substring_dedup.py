@@ -37,7 +37,7 @@ LIMIT = 1 << 21
 def _runs(starts: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranges of consecutive windows that share an anchor."""
     cut = np.flatnonzero((np.diff(anchors, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-    return cut, np.append(cut[1:], len(starts))
+    return cut, np.append(cut, len(starts))[1:]
 
 
 def _slices(batch, column: int):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallybox.llm import graph, pages, pieces, quality, stages, suffixes, toxicity, vectors
+from tallybox.llm import graph, pages, pieces, quality, stages, substring_dedup, suffixes, toxicity, vectors
 from tallybox.llm.common import hashed_words
 from tallybox.llm.decontaminate import decontaminate, drop_contaminated
 from tallybox.llm.licenses import notices, scan_licenses
@@ -506,6 +506,17 @@ def test_substring_dedup_of_frequent_prefixes_equals_brute_force(spark, monkeypa
     assert [got[i] for i in range(len(texts))] == plain_repeats(texts)
 
 
+def test_spans_of_a_group_may_repeat_nowhere():
+    import pyarrow as pa
+
+    a, z = substring_dedup._runs(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert len(a) == len(z) == 0
+    spans = [" ".join(words(40, seed)).encode() for seed in (1, 2)]
+    group = pa.table({"anchor": [7, 7], "_k1": [1, 2], "_k2": [1, 2], "s": pa.array([0, 3], pa.int32()), "words": spans})
+    out = substring_dedup._span_subtrees(35)(group)
+    assert out.num_rows == 0 and out.column_names == ["_k1", "_k2", "s", "e"]
+
+
 def test_licenses_near_the_threshold_and_templates_that_share_a_name(spark):
     text = words(44, 50)  # 40 shingles
     almost, less = text[:41] + ["x"] + text[42:], text[:30] + ["x"] + text[31:36] + ["y"] + text[37:]  # 37 and 30 of them
